@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import exact_dedup, mixing, quality, toxicity
+from pointloom.llm import exact_dedup, mixing, pieces, quality, token_counts, toxicity
 from pointloom.llm.common import read_table
 
 
@@ -12,6 +12,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op8_exact_dedup, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op6_sentencepiece, op7_token_counts, op8_exact_dedup, op9_mixing, op10_quality)}
 
 ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE}
