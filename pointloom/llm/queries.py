@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pointloom.llm import exact_dedup, mixing, pieces, quality, token_counts, toxicity
+from pointloom.llm import exact_dedup, mixing, pieces, quality, simhash, token_counts, topk, toxicity
 from pointloom.llm.common import read_table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(read_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(read_table(spark, sf_dir, "documents"))
 
@@ -32,6 +42,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op6_sentencepiece, op7_token_counts, op8_exact_dedup, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_toxicity, op5_simhash, op6_sentencepiece, op7_token_counts, op8_exact_dedup, op9_mixing, op10_quality)}
 
-ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op1_exact_top_k": topk.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
