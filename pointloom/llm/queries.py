@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import exact_dedup, mixing, pieces, quality, simhash, token_counts, topk, toxicity
+from pointloom.llm import exact_dedup, mixing, pieces, quality, simhash, suffix_dedup, token_counts, topk, toxicity
 from pointloom.llm.common import read_table
 
 
@@ -14,6 +14,11 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_toxicity, op5_simhash, op6_sentencepiece, op7_token_counts, op8_exact_dedup, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_suffix_dedup, op3_toxicity, op5_simhash, op6_sentencepiece, op7_token_counts, op8_exact_dedup, op9_mixing, op10_quality)}
 
 ORACLE = {"op1_exact_top_k": topk.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
