@@ -16,7 +16,7 @@ from array import array
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import SPACE, shuffle_partitions
@@ -221,6 +221,17 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
 
 
+def kept_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows that stay, with the columns of ``docs``: one row of each group of equal texts."""
+    digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE + "+", ""), 256))
+    index = build_index(digests(docs, text, doc_id)).select("digest", "keep_id", F.col("n_chars").alias("_n"))
+    rows = docs.select(F.struct("*").alias("_doc"), digest.alias("digest"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("_n_chars"))
+    kept = rows.join(index, "digest").where(F.col(f"_doc.{doc_id}").eqNullSafe(F.col("keep_id")) & (F.col("_n_chars") == F.col("_n")))
+    # rows that repeat the keeper's id and length; few, as all others are gone by now
+    first = kept.withColumn("_k", F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(0))))
+    return first.where("_k = 1").select("_doc.*")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -110,11 +110,9 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, mos
 
 def mixed_documents(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    taken = mix(docs, seed, **options).where("copies > 0")
-    # equal rows share a hash but may be taken differently often: the k-th of them gets the k-th count
-    n_of = Window.partitionBy("_row").orderBy(F.col("copies").desc())
-    counts = taken.select("_row", F.col("copies").alias("_copies"), F.row_number().over(n_of).alias("_k"))
+    # equal rows share a hash: they share its copies, the first of them one more where that does not come out even
+    counts = mix(docs, seed, **options).groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")).where("_copies > 0")
     keyed = docs.select(F.struct("*").alias("_doc"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("_row"))
-    keyed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))
-    chosen = keyed.join(counts, ["_row", "_k"])
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
+    chosen = keyed.join(counts, "_row").withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))
+    times = F.floor(F.col("_copies") / F.col("_n")) + (F.col("_k") <= F.col("_copies") % F.col("_n")).cast("long")
+    return chosen.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_doc.*")

@@ -198,15 +198,20 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, ke
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: two floats per column
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
         fitted = shared.value
-        for frame in frames:
-            yield pd.DataFrame({"row": frame["row"], "score": [fitted.score(features(t)) for t in frame["text"]]})
+        return pd.Series([fitted.score(features(t)) for t in texts], dtype="float64")
+
+    # only the text goes to Python; a second select keeps the score from being computed twice
+    out = docs.select(F.struct(*keep).alias("_row"), scored(F.coalesce("text", F.lit(""))).alias("_score"))
+    return out.select("_row.*", F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
 
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = rows.schema["row"].dataType
-    out = rows.mapInPandas(run, f"row {kind.simpleString()}, score double")
-    return out.select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model predicts to be of quality, with the columns of ``docs``."""
+    out = score(docs.select(F.struct("*").alias("_doc"), "text"), model, threshold, ["_doc"])
+    return out.where("predicted = 1").select("_doc.*")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

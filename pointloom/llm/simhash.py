@@ -217,3 +217,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(lowest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One document of each group of near-duplicates, the one of smallest id, with the columns of ``docs``.
+
+    Rows that share an id share their fate; rows without an id stay only if no row of their group has one.
+    """
+    found = near_duplicates(docs, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = found.select(F.col("doc_id").alias("_id")).distinct().alias("c")
+    return docs.alias("d").join(chosen, F.expr("d.doc_id <=> c._id"), "left_semi")
