@@ -4,19 +4,20 @@ A suffix (a position of a document) repeats if its first ``length`` bytes also s
 Only classes of equal prefixes matter here, so suffixes are ordered by a fingerprint of their first bytes instead of
 by the bytes: equal prefixes are adjacent in either order, and the order's buckets are even for any text.
 
-1. Documents are dealt into blocks. In each block the suffixes at positions of a difference cover (positions whose
-   residue lies in a set of which every residue is a difference) are ranked by their first ``length - period + 1``
-   bytes, and the distinct ranks go to the bucket they fall in. Any two equal strings of ``length`` bytes have a
-   pair of cover positions at one distance from their starts, so a suffix with no cover rank that some other
-   document shares needs no more work. In the same step each block sends the hashes of content-defined chunks
-   (with the bytes of the suffixes that start in them): a chunk that a smaller document holds too is decided whole.
-2. Suffixes left over are sorted one bucket at a time, by the fingerprint of ``length`` bytes; long ties, of copies,
-   are met by the cover ranks and the chunks of step 1 and by sending each class once for a block, with its
-   smallest id. The bucket answers each block with one bit per class: does a smaller id hold it.
-3. Each block turns its decided suffixes into removed spans.
-
-The blocks' texts are shuffled once and reused; only ranks, fingerprints and bits travel beyond that, so memory is
-bounded by the size of a block and of a bucket.
+1. Documents are dealt into blocks. Each block cuts its texts into content-defined chunks and sends a hash of the
+   bytes of the suffixes that start in each chunk. A chunk that a smaller document holds too is decided whole, so
+   copies cost no more than their chunks.
+2. In the rest, the suffixes at positions of a difference cover (positions whose residue lies in a set of which every
+   residue is a difference) are ranked by their first ``length - period + 1`` bytes, and the distinct ranks go to the
+   bucket they fall in. Any two equal strings of ``length`` bytes have a pair of cover positions at one distance from
+   their starts, so a suffix with no cover rank that some other document shares needs no more work.
+3. Suffixes left over are sorted one bucket at a time, by the fingerprint of ``length`` bytes; each block sends a
+   class once, with its smallest id, and long ties (copies) are gone by the cover ranks and chunks. The bucket answers
+   each block with one bit per class: does a smaller id hold it.
+4. Each block turns its decided suffixes into removed spans.
+
+The blocks' texts are shuffled once and reused; only hashes, ranks, fingerprints and bits travel beyond that, so
+memory is bounded by the size of a block and of a bucket.
 """
 
 from __future__ import annotations
@@ -36,15 +37,16 @@ LENGTH = 50
 BLOCK_BYTES = 8 << 20
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-LEAST_RANKED = 20
+#: Bytes that ranks cover at least; fewer would be shared by chance in large corpora.
+LEAST_RANKED = 30
 ANCHOR_BITS = 6
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
-RANKS, CHUNKS, WINDOWS = 0, 1, 2
+CHUNKS, RANKS, WINDOWS, OWN = 0, 1, 2, 3
 
 
 def period_for(length: int) -> int:
-    """The longest period that leaves at least 20 bytes of a string of ``length`` bytes behind a cover position."""
+    """The longest period that leaves enough bytes of a string of ``length`` bytes behind a cover position."""
     return max((p for p in COVERS if length - p + 1 >= min(LEAST_RANKED, length)), default=1)
 
 
@@ -125,13 +127,20 @@ class _Block:
         """Bucket from the high half of a hash, before its low half: sorts by bucket."""
         return ((((h >> _U(32)) * _U(self.n_buckets)) >> _U(32)) << _U(32)) | (h & _U(0xFFFFFFFF))
 
-    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Cover positions with enough bytes behind them, and their ranks."""
+    def _whole(self) -> np.ndarray:
+        """Whether a suffix has ``length`` bytes."""
+        return self.bounds[1:][self.doc] - np.arange(len(self.raw)) >= self.length
+
+    def ranks(self, undecided: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cover positions that an undecided suffix may use, and their ranks."""
         period = period_for(self.length)
         size = self.length - period + 1
         wanted = np.zeros(period, bool)
         wanted[list(COVERS[period])] = True
-        at = np.flatnonzero(wanted[(np.arange(len(self.raw)) - np.repeat(self.bounds[:-1], self.sizes)) % period])
+        used = undecided.copy()
+        for shift in range(1, period):
+            used[shift:] |= undecided[:-shift]
+        at = np.flatnonzero(used & wanted[(np.arange(len(self.raw)) - np.repeat(self.bounds[:-1], self.sizes)) % period])
         at = at[at + size <= self.bounds[1:][self.doc[at]]]
         return at, self._bucketed(_hash(self.words, at, size, 3))
 
@@ -167,26 +176,28 @@ class _Block:
         where[order] = np.cumsum(new) - 1
         return ordered[first], low, low != high, where
 
-    def decided(self, bits: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """From the answers on ranks and chunks: the suffixes removed with their chunk, and those still open."""
-        at, key = self.ranks()
-        keys, _, several, where = self._classes(key, at)
-        shared = (several | self._answers(keys >> _U(32), bits, RANKS))[where]
-        marks = np.zeros(len(self.raw) + 1, np.int32)
-        period = period_for(self.length)
-        hit = at[shared]
-        np.add.at(marks, np.maximum(hit - period + 1, 0), 1)
-        np.add.at(marks, hit + 1, -1)
+    def decided(self, bits: dict[tuple[int, int], bytes]) -> np.ndarray:
+        """Starts and ends, in turn, of the runs of suffixes that go with their chunk, by the answers on chunks."""
         first, after, h = self.chunks()
         keys, low, _, where = self._classes(h, first)
-        smaller = self._answers(self._bucket_of(keys), bits, CHUNKS)
-        gone = smaller[where] | (self.ids[self.doc[first]] > low[where])
-        removed = np.zeros(len(self.raw) + 1, np.int32)
-        removed[first[gone]] += 1
-        np.add.at(removed, after[gone], -1)
-        removed = np.cumsum(removed[:-1]) > 0
-        whole = self.bounds[1:][self.doc] - np.arange(len(self.raw)) >= self.length
-        return removed, np.flatnonzero((np.cumsum(marks[:-1]) > 0) & ~removed & whole)
+        gone = self._answers(self._bucket_of(keys), bits, CHUNKS)[where] | (self.ids[self.doc[first]] > low[where])
+        return np.stack([first[gone], after[gone]], axis=1).ravel().astype(_U)
+
+    def mask(self, runs: np.ndarray) -> np.ndarray:
+        """True for the suffixes in the runs."""
+        marks = np.zeros(len(self.raw) + 1, np.int32)
+        np.add.at(marks, runs[::2].astype(np.int64), 1)
+        np.add.at(marks, runs[1::2].astype(np.int64), -1)
+        return np.cumsum(marks[:-1]) > 0
+
+    def open(self, runs: np.ndarray, bits: dict[tuple[int, int], bytes]) -> np.ndarray:
+        """The suffixes still open: not decided, and with a cover rank that another document shares."""
+        undecided = ~self.mask(runs) & self._whole()
+        at, key = self.ranks(undecided)
+        keys, _, several, where = self._classes(key, at)
+        hit = at[(several | self._answers(keys >> _U(32), bits, RANKS))[where]]
+        reach = np.stack([np.maximum(hit - period_for(self.length) + 1, 0), hit + 1], axis=1).ravel()
+        return np.flatnonzero(self.mask(reach) & undecided)
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bucket and fingerprint of the open suffixes; the bucket is a second fingerprint's."""
@@ -238,13 +249,17 @@ def _sent(rows: list[tuple]) -> pa.Table:
 def _answer(table):
     """Of one bucket, the blocks' classes: for each block one bit per class.
 
-    For ranks: does another block have it. For chunks and windows: has another block a smaller id.
+    For ranks: does another block have it. For chunks and windows: has another block a smaller id. What a block
+    sends for itself comes back as it is.
     """
     out = []
     bucket = table.column("bucket")[0].as_py()
     blocks, kinds, payloads = table.column("block").to_pylist(), np.asarray(table.column("kind")), table.column("payload").to_pylist()
     for kind in np.unique(kinds).tolist():
-        own = [i for i in np.flatnonzero(kinds == kind)]
+        own = np.flatnonzero(kinds == kind).tolist()
+        if kind == OWN:
+            out += [(bucket, blocks[i], kind, payloads[i]) for i in own]
+            continue
         values, lows = [], []
         for i in own:
             v, rest = _unpacked(memoryview(payloads[i]))
@@ -287,33 +302,36 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     n_blocks = max(shuffle_partitions(spark), -(-n_bytes // block_bytes))
     blocks = whole.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))).repartition(n_blocks, "block")
 
-    def send_ranks(key, table):
+    def send_chunks(key, table):
         number, block = key[0].as_py(), _Block(table, length, n_blocks)
-        out = []
-        keys = np.unique(block.ranks()[1])
-        for b, a, n in _runs(keys >> _U(32)):
-            out.append((b, number, RANKS, _packed(keys[a : a + n] & _U(0xFFFFFFFF))))
         first, _, h = block.chunks()
         keys, low, _, _ = block._classes(h, first)
-        for b, a, n in _runs(block._bucket_of(keys)):
-            out.append((b, number, CHUNKS, _packed(keys[a : a + n]) + _packed_ids(low[a : a + n])))
-        return _sent(out)
+        return _sent([(b, number, CHUNKS, _packed(keys[a : a + n]) + _packed_ids(low[a : a + n])) for b, a, n in _runs(block._bucket_of(keys))])
 
-    def send_windows(key, table, answers):
+    def send_ranks(key, table, answers):
         number, block = key[0].as_py(), _Block(table, length, n_blocks)
-        _, at = block.decided(_bits(answers))
+        runs = block.decided(_bits(answers))
+        keys = np.unique(block.ranks(~block.mask(runs) & block._whole())[1])
+        out = [(b, number, RANKS, _packed(keys[a : a + n] & _U(0xFFFFFFFF))) for b, a, n in _runs(keys >> _U(32))]
+        return _sent([*out, (number, number, OWN, _packed(runs))])
+
+    def send_windows(key, table, answers):
+        number, block, bits = key[0].as_py(), _Block(table, length, n_blocks), _bits(answers)
+        runs, _ = _unpacked(memoryview(bits[OWN, number]))
+        at = block.open(runs, bits)
         buckets, values, low, _ = block.window_classes(at)
-        return _sent([(b, number, WINDOWS, _packed(values[a : a + n]) + _packed_ids(low[a : a + n])) for b, a, n in _runs(buckets)])
+        out = [(b, number, WINDOWS, _packed(values[a : a + n]) + _packed_ids(low[a : a + n])) for b, a, n in _runs(buckets)]
+        return _sent([*out, (number, number, OWN, _packed(runs) + _packed(at.astype(_U)))])
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 
     def remove(key, table, answers):
-        block, bits = _Block(table, length, n_blocks), _bits(answers)
-        removed, at = block.decided(bits)
+        number, block, bits = key[0].as_py(), _Block(table, length, n_blocks), _bits(answers)
+        runs, rest = _unpacked(memoryview(bits[OWN, number]))
+        at = _unpacked(rest)[0].astype(np.int64)
         buckets, _, low, where = block.window_classes(at)
         gone = block._answers(buckets, bits, WINDOWS)[where] | (block.ids[block.doc[at]] > low[where])
-        start = np.flatnonzero(removed)
-        start = np.concatenate([start, at[gone]])
+        start = np.concatenate([np.flatnonzero(block.mask(runs)), at[gone]])
         marks = np.zeros(len(block.raw) + 1, np.int32)
         np.add.at(marks, start, 1)
         np.add.at(marks, start + length, -1)
@@ -330,11 +348,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         columns = [pa.array(block.ids, pa.int64())] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
         return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
 
+    def answered(sent: DataFrame) -> DataFrame:
+        return sent.repartition(n_blocks, "bucket").groupBy("bucket").applyInArrow(_answer, _SENT).repartition(n_blocks, "block").groupBy("block")
+
     by_block = blocks.groupBy("block")
-    ranks = by_block.applyInArrow(send_ranks, _SENT)
-    first = ranks.repartition(n_blocks, "bucket").groupBy("bucket").applyInArrow(_answer, _SENT).repartition(n_blocks, "block")
-    open_ = by_block.cogroup(first.groupBy("block")).applyInArrow(send_windows, _SENT)
-    second = open_.repartition(n_blocks, "bucket").groupBy("bucket").applyInArrow(_answer, _SENT)
-    answers = first.unionByName(second).repartition(n_blocks, "block")
-    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(remove, result)
+    chunks = answered(by_block.applyInArrow(send_chunks, _SENT))
+    ranks = answered(by_block.cogroup(chunks).applyInArrow(send_ranks, _SENT))
+    windows = answered(by_block.cogroup(ranks).applyInArrow(send_windows, _SENT))
+    out = by_block.cogroup(windows).applyInArrow(remove, result)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
