@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _CACHED_WORDS = 250_000
-_CACHED_PAIRS = 1_000_000
+_CACHED_PAIRS = 500_000
+_ROWS = 500
 
 
 class PieceCoder:
@@ -37,8 +38,10 @@ class PieceCoder:
     """
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int] | None, unk_id: int = 0, kind: str = "bpe", dummy_prefix: bool = True):
+        # inside, a space stands for the mark: words of Latin letters then take one byte a letter
+        pieces = {p.replace(MARK, " "): found for p, found in pieces.items()}
         self.pieces, self.byte_ids, self.unk_id, self.kind, self.dummy_prefix = pieces, byte_ids, unk_id, kind, dummy_prefix
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
+        if any(re.search("[^ ] ", p) for p in pieces):
             raise ValueError("a piece goes on behind a word's end: words can't be encoded one by one")
         self.chars = {c for p in pieces for c in p}
         # lengths of the pieces that end in two given characters, longest first
@@ -48,18 +51,21 @@ class PieceCoder:
                 lengths.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
         free = "".join(c for c in "\n\t\r" if c not in self.chars)
-        self.split = re.compile(f"{MARK}*[^{MARK}{free}]+|{MARK}+" + (f"|[{free}]" if free else ""))
+        self.split = re.compile(f" *[^ {free}]+| +" + (f"|[{free}]" if free else ""))
         self.text_of = {i: p for p, (i, _) in pieces.items()}
         self.bytes_of = {i: b for b, i in enumerate(byte_ids or ())}
         self.decoded = self.text_of | {i: chr(b) for i, b in self.bytes_of.items() if b < 128} | {unk_id: " ⁇ "}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.packed = {i: i.to_bytes(4, "little") for i in [*self.text_of, *self.bytes_of, unk_id]}
+        self.words: dict[str, bytes] = {}  # the ids of each word, 4 bytes each
+        self.older: dict[str, bytes] = {}
+        self.id_of = {p: i for p, (i, _) in pieces.items()}
+        self.n_ids = max(self.id_of.values(), default=0) + 1
+        self.pairs: dict[int, bool] = {}
 
     def mark(self, text: str) -> str:
         if not text:
             return ""
-        return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
+        return (" " if self.dummy_prefix else "") + text.replace(MARK, " ")
 
     def merged(self, text: str) -> list[str]:
         """A short text by repeated merging: always the adjacent pair whose piece scores best, leftmost first."""
@@ -79,41 +85,45 @@ class PieceCoder:
                 scores[k - 1] = self.pieces.get(parts[k - 1] + parts[k], (0, worst))[1]
         return parts
 
-    def _follows(self, key: tuple[str, str]) -> bool:
-        """Whether the second piece stays behind the first (or at a word's start), the two merged from scratch."""
-        before, piece = key
+    def _follows(self, before: int, piece: int) -> bool:
+        """Whether a piece stays behind another (or at a start, -1), the two merged from scratch."""
         if len(self.pairs) > _CACHED_PAIRS:
             self.pairs.clear()
-        found = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        second = self.text_of[piece]
+        first = self.text_of[before] if before >= 0 else ""
+        found = self.pairs[before * self.n_ids + piece] = self.merged(first + second) == ([first, second] if first else [second])
         return found
 
-    def _char_ids(self, c: str) -> tuple[int, ...]:
+    def _char_ids(self, c: str) -> bytes:
         found = self.pieces.get(c)
         if found is not None:
-            return (found[0],)
+            return self.packed[found[0]]
         if self.byte_ids is not None:
-            return tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
-        return (self.unk_id,)
+            return b"".join(self.packed[self.byte_ids[b]] for b in c.encode("utf-8", "surrogatepass"))
+        return self.packed[self.unk_id]
 
-    def _bpe(self, word: str, last: list[str], ids: list[tuple[int, ...]], start: int) -> None:
-        """Set last[i], the last piece of the encoding of word[:i], and its ids, for i from start on."""
-        pieces, pairs, lengths = self.pieces, self.pairs, self.lengths
+    def _bpe(self, word: str, last: list[int], ids: list[bytes], start: int) -> None:
+        """Set last[i], the last piece of the encoding of word[:i], and its ids, for i from start on.
+
+        A character of no piece merges with nothing, so behind it as at the start (-1) all is free.
+        """
+        id_of, pairs, lengths, n_ids, packed = self.id_of, self.pairs, self.lengths, self.n_ids, self.packed
         for i in range(start, len(word) + 1):
             for n in lengths.get(word[i - 2 : i], ()) if i > 1 else ():
                 if n <= i:
-                    piece = word[i - n : i]
-                    if piece in pieces:
-                        key = (last[i - n], piece)
-                        fits = pairs.get(key)
-                        if fits or (fits is None and self._follows(key)):
+                    piece = id_of.get(word[i - n : i])
+                    if piece is not None:
+                        before = last[i - n]
+                        fits = pairs.get(before * n_ids + piece)
+                        if fits or (fits is None and self._follows(before, piece)):
                             last.append(piece)
-                            ids.append(ids[i - n] + (pieces[piece][0],))
+                            ids.append(ids[i - n] + packed[piece])
                             break
             else:
-                last.append(word[i - 1])
+                last.append(id_of.get(word[i - 1], -1))
                 ids.append(ids[i - 1] + self._char_ids(word[i - 1]))
 
-    def _unigram(self, word: str, best: list[float], ids: list[tuple[int, ...]], start: int) -> None:
+    def _unigram(self, word: str, best: list[float], ids: list[bytes], start: int) -> None:
         """Set best[i], the highest score of a segmentation of word[:i], and its ids."""
         for i in range(start, len(word) + 1):
             c = word[i - 1]
@@ -121,7 +131,7 @@ class PieceCoder:
             top, at, own = best[i - 1] + (self.pieces[c][1] if c in self.pieces else -1e6), i - 1, self._char_ids(c)
             for n in self.lengths.get(word[i - 2 : i], ()) if i > 1 else ():
                 if n <= i and (found := self.pieces.get(word[i - n : i])) is not None and best[i - n] + found[1] > top:
-                    top, at, own = best[i - n] + found[1], i - n, (found[0],)
+                    top, at, own = best[i - n] + found[1], i - n, self.packed[found[0]]
             best.append(top)
             ids.append(ids[at] + own)
 
@@ -134,7 +144,7 @@ class PieceCoder:
         for word in missing & self.older.keys():
             self.words[word] = self.older[word]
         # the state is one list per position of the word before: what two words share is computed once
-        before, state, ids = "", [""] if self.kind == "bpe" else [0.0], [()]
+        before, state, ids = "", [-1] if self.kind == "bpe" else [0.0], [b""]
         for word in sorted(missing - self.words.keys()):
             shared = len(os.path.commonprefix((before, word)))
             del state[shared + 1 :], ids[shared + 1 :]
@@ -149,7 +159,7 @@ class PieceCoder:
         for text in texts:
             block.append(self.split.findall(self.mark(text)))
             size += len(block[-1])
-            if size > 500_000:
+            if size > 200_000:
                 yield from self._encoded(block)
                 block, size = [], 0
         yield from self._encoded(block)
@@ -157,10 +167,7 @@ class PieceCoder:
     def _encoded(self, block: list[list[str]]) -> Iterator[np.ndarray]:
         self.learn(set().union(*block))
         for words in block:
-            ids: list[int] = []
-            for found in map(self.words.__getitem__, words):
-                ids += found
-            yield np.array(ids, np.int32)
+            yield np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4")
 
     def decode(self, ids) -> str:
         """The text of the ids: byte pieces are put together, marks become spaces, the first mark goes."""
@@ -179,9 +186,7 @@ class PieceCoder:
                 out.append(self.decoded.get(i, ""))
             out.append(held.decode("utf-8", "replace"))
         text = "".join(out)
-        if self.dummy_prefix and text.startswith(MARK):
-            text = text[1:]
-        return text.replace(MARK, " ")
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
 def coder(model: bytes) -> PieceCoder:
@@ -226,7 +231,9 @@ def encode(docs: DataFrame, keep: list[str] | None = None, model: str = MODEL) -
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = _coder(shared.value)
         for frame in frames:
-            yield pd.DataFrame({"row": frame["row"], "ids": list(c.encode(list(frame["text"])))})
+            for k in range(0, len(frame), _ROWS):  # small frames, as ids take much memory on their way
+                part = frame.iloc[k : k + _ROWS]
+                yield pd.DataFrame({"row": part["row"], "ids": list(c.encode(list(part["text"])))})
 
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     out = rows.mapInPandas(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
