@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
-            ORACLE[name] = sql.replace("{P}", P).replace("{S}", S).strip()
+            ORACLE[name] = sql.replace("{P0}", P.replace("p AS", "p0 AS", 1)).replace("{P}", P).replace("{S}", S).strip()
         return f
 
     return add
