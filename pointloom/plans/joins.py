@@ -148,10 +148,10 @@ def w15(spark, d):
     return got.select("set_id", "idx", r("t", 5).alias("t"), r("y", 5).alias("y"))
 
 
-@query("w15_spline_values", """WITH {P}, k AS (SELECT set_id, x, avg(y) AS y FROM p GROUP BY ALL) SELECT set_id, x, round(y, 4) AS value FROM k""")
+@query("w15_spline_values", """WITH {P}, k AS (SELECT set_id, x, avg(y) AS y FROM p GROUP BY ALL) SELECT set_id, x, round(y, 6) AS value FROM k""")
 def w15b(spark, d):
     p = scatter(spark, d)
-    return rs.spline_values(p.select("set_id", "x").distinct(), p, "x", "y").select("set_id", "x", r("value", 4).alias("value"))
+    return rs.spline_values(p.select("set_id", "x").distinct(), p, "x", "y").select("set_id", "x", r("value").alias("value"))
 
 
 @query("w16_spline_integral")
