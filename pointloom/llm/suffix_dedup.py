@@ -15,36 +15,39 @@ by the bytes: equal prefixes are adjacent in either order, and the order's bucke
    smallest id. The bucket answers each block with one bit per class: does a smaller id hold it.
 3. Each block turns its decided suffixes into removed spans.
 
-The blocks' texts are shuffled once and reused; only ranks, fingerprints and bits travel beyond that, so memory is
-bounded by the size of a block and of a bucket.
+Each step is a round of its own that leaves a small table of answers in the checkpoint folder, so that the shuffle
+files of one round can go before the next; only texts, ranks, fingerprints and bits travel, and memory is bounded
+by the size of a block and of a bucket.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import struct
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import shuffle_partitions
+from pointloom.llm.common import checkpointed, shuffle_partitions
 
 LENGTH = 50
 BLOCK_BYTES = 8 << 20
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-LEAST_RANKED = 20
+#: Bytes that ranks cover at least; fewer would be shared by chance in large corpora.
+LEAST_RANKED = 38
 ANCHOR_BITS = 6
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
-RANKS, CHUNKS, WINDOWS = 0, 1, 2
+RANKS, CHUNKS, WINDOWS, OWN = 0, 1, 2, 3
 
 
 def period_for(length: int) -> int:
-    """The longest period that leaves at least 20 bytes of a string of ``length`` bytes behind a cover position."""
+    """The longest period that leaves enough bytes of a string of ``length`` bytes behind a cover position."""
     return max((p for p in COVERS if length - p + 1 >= min(LEAST_RANKED, length)), default=1)
 
 
@@ -99,6 +102,16 @@ def _unpacked_ids(data: memoryview, n: int) -> np.ndarray:
     return full.view("<i8").ravel() + low
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and where they were. Key and place are sorted as one number where both fit 64 bits."""
+    bits = max(1, (len(key) - 1).bit_length())
+    if int(key.max()).bit_length() + bits <= 64:
+        both = np.sort((key << _U(bits)) | np.arange(len(key), dtype=_U))
+        return both >> _U(bits), (both & _U((1 << bits) - 1)).astype(np.int64)
+    order = np.argsort(key)
+    return key[order], order
+
+
 class _Block:
     """The texts of one block, end to end, and what the steps compute of them."""
 
@@ -157,8 +170,7 @@ class _Block:
         """Distinct keys, their smallest id, whether several ids have them, and the class of each position."""
         if not len(key):
             return key, np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
+        ordered, order = _sorted(key)
         new = np.r_[True, ordered[1:] != ordered[:-1]]
         first = np.flatnonzero(new)
         ids = self.ids[self.doc[at[order]]]
@@ -199,7 +211,8 @@ class _Block:
         if not len(at):
             return bucket, h, np.empty(0, np.int64), np.empty(0, np.int64)
         order = np.argsort(h)
-        order = order[np.argsort(bucket[order], kind="stable")]
+        small = bucket.astype(np.uint16) if self.n_buckets <= 1 << 16 else bucket
+        order = order[np.argsort(small[order], kind="stable")]
         b, v = bucket[order], h[order]
         new = np.r_[True, (b[1:] != b[:-1]) | (v[1:] != v[:-1])]
         first = np.flatnonzero(new)
@@ -227,6 +240,18 @@ def _runs(buckets: np.ndarray):
             yield b, a, n
 
 
+def _edges(mask: np.ndarray) -> np.ndarray:
+    """Starts and ends, in turn, of the runs of a mask."""
+    return np.flatnonzero(np.diff(np.r_[False, mask, False])).astype(_U)
+
+
+def _mask(edges: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n + 1, np.int8)
+    out[edges[::2].astype(np.int64)] = 1
+    out[edges[1::2].astype(np.int64)] -= 1
+    return np.cumsum(out[:-1], dtype=np.int8) > 0
+
+
 _SENT = "bucket long, block long, kind int, payload binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -238,13 +263,17 @@ def _sent(rows: list[tuple]) -> pa.Table:
 def _answer(table):
     """Of one bucket, the blocks' classes: for each block one bit per class.
 
-    For ranks: does another block have it. For chunks and windows: has another block a smaller id.
+    For ranks: does another block have it. For chunks and windows: has another block a smaller id. What a block
+    sends for itself comes back as it is.
     """
     out = []
     bucket = table.column("bucket")[0].as_py()
     blocks, kinds, payloads = table.column("block").to_pylist(), np.asarray(table.column("kind")), table.column("payload").to_pylist()
     for kind in np.unique(kinds).tolist():
-        own = [i for i in np.flatnonzero(kinds == kind)]
+        own = np.flatnonzero(kinds == kind).tolist()
+        if kind == OWN:
+            out += [(bucket, blocks[i], kind, payloads[i]) for i in own]
+            continue
         values, lows = [], []
         for i in own:
             v, rest = _unpacked(memoryview(payloads[i]))
@@ -252,8 +281,7 @@ def _answer(table):
             if kind != RANKS:
                 lows.append(_unpacked_ids(rest, len(v)))
         flat = np.concatenate(values)
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
+        ordered, order = _sorted(flat)
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         size = np.diff(np.append(first, len(flat)))
         bit = np.empty(len(flat), bool)
@@ -272,6 +300,12 @@ def _bits(table: pa.Table) -> dict[tuple[int, int], bytes]:
     return dict(zip(zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist()), table.column("payload").to_pylist()))
 
 
+def _forget(spark: SparkSession) -> None:
+    """Let Spark's cleaner take the shuffle files of rounds that are over: it acts when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """What is repeated in each document, and what is left.
 
@@ -301,15 +335,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
     def send_windows(key, table, answers):
         number, block = key[0].as_py(), _Block(table, length, n_blocks)
-        _, at = block.decided(_bits(answers))
+        removed, at = block.decided(_bits(answers))
         buckets, values, low, _ = block.window_classes(at)
-        return _sent([(b, number, WINDOWS, _packed(values[a : a + n]) + _packed_ids(low[a : a + n])) for b, a, n in _runs(buckets)])
+        out = [(b, number, WINDOWS, _packed(values[a : a + n]) + _packed_ids(low[a : a + n])) for b, a, n in _runs(buckets)]
+        still = np.zeros(len(block.raw), bool)
+        still[at] = True
+        return _sent([*out, (number, number, OWN, _packed(_edges(removed)) + _packed(_edges(still)))])
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 
     def remove(key, table, answers):
-        block, bits = _Block(table, length, n_blocks), _bits(answers)
-        removed, at = block.decided(bits)
+        number, block, bits = key[0].as_py(), _Block(table, length, n_blocks), _bits(answers)
+        edges, rest = _unpacked(memoryview(bits[OWN, number]))
+        removed, at = _mask(edges, len(block.raw)), np.flatnonzero(_mask(_unpacked(rest)[0], len(block.raw)))
         buckets, _, low, where = block.window_classes(at)
         gone = block._answers(buckets, bits, WINDOWS)[where] | (block.ids[block.doc[at]] > low[where])
         start = np.flatnonzero(removed)
@@ -330,11 +368,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         columns = [pa.array(block.ids, pa.int64())] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
         return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
 
+    def answered(sent: DataFrame) -> DataFrame:
+        found = checkpointed(sent.repartition(n_blocks, "bucket").groupBy("bucket").applyInArrow(_answer, _SENT))
+        return found.repartition(n_blocks, "block").groupBy("block")
+
     by_block = blocks.groupBy("block")
-    ranks = by_block.applyInArrow(send_ranks, _SENT)
-    first = ranks.repartition(n_blocks, "bucket").groupBy("bucket").applyInArrow(_answer, _SENT).repartition(n_blocks, "block")
-    open_ = by_block.cogroup(first.groupBy("block")).applyInArrow(send_windows, _SENT)
-    second = open_.repartition(n_blocks, "bucket").groupBy("bucket").applyInArrow(_answer, _SENT)
-    answers = first.unionByName(second).repartition(n_blocks, "block")
-    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(remove, result)
+    first = answered(by_block.applyInArrow(send_ranks, _SENT))
+    _forget(spark)
+    second = answered(by_block.cogroup(first).applyInArrow(send_windows, _SENT))
+    _forget(spark)
+    out = by_block.cogroup(second).applyInArrow(remove, result)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
