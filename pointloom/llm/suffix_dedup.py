@@ -25,6 +25,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import checkpointed, shuffle_partitions
 
 LENGTH = 50
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: Bytes that ranks cover at least; fewer would be shared by chance in large corpora.
@@ -301,9 +302,12 @@ def _bits(table: pa.Table) -> dict[tuple[int, int], bytes]:
 
 
 def _forget(spark: SparkSession) -> None:
-    """Let Spark's cleaner take the shuffle files of rounds that are over: it acts when their objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner take the shuffle files of rounds that are over: it acts when their objects are collected,
+    and what the first collection makes free is found by the second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
