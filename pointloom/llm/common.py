@@ -38,19 +38,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def thinned(df: DataFrame, wanted: int, *key: str) -> DataFrame:
+    """About four times the wanted rows, by a hash of the key; all of them if there are no more.
+
+    It goes before an ordered limit, so that each task sends its share of a bounded choice and not its own ``wanted``.
+    """
+    n = df.count()
+    if n <= 4 * wanted:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(7), *key), F.lit(1 << 30)) < int(4 * wanted / n * (1 << 30)) + 1)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> DataFrame:
     """Labelled rows outside the held-out fold: at most ``max_rows`` of them, in the order of a hash of the id.
 
     Rows whose text is longer than ``max_chars`` are no training rows (they are scored like all others).
     ``labels`` is reduced to the bounded choice before it meets ``docs``, so that side is small.
     """
-    chosen = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(2 * max_rows)
-    )
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    one = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+    chosen = thinned(one, 2 * max_rows, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).where(F.length("_text") <= max_chars)
     joined = texts.join(F.broadcast(chosen), "doc_id")
     return joined.orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(max_rows).select("_label", "_text")

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import thinned
+
 MAX_PAGES = 300
 MAX_CHARS = 60_000
 TEMPLATES = 900
@@ -467,7 +469,8 @@ def extract(pages: list[str], model: BoostedTrees) -> list[str]:
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS, **options) -> BoostedTrees:
     """Fit on at most ``max_pages`` pages of up to ``max_chars`` code points, in the order of a hash of their html."""
-    some = pages.where(F.col("html").isNotNull() & (F.length("html") <= max_chars)).select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(max_pages)
+    whole = pages.where(F.col("html").isNotNull() & (F.length("html") <= max_chars))
+    some = thinned(whole, max_pages, "page_id").select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(max_pages)
     return fit_pages([r["html"] for r in some.collect()], **options)
 
 
