@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.points import ordered
+from pointloom.operators.points import checkpointed, ordered
 
 
 def value_of_set(df: DataFrame, offset: int, *columns: str, by: str = "set_id") -> DataFrame:
@@ -68,6 +68,7 @@ def nearest(queries: DataFrame, refs: DataFrame, cell: float, by: list[str] = []
     left = queries.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), rows.alias("_q"))
     left = left.groupBy(*by, "_x", "_y", "_q").agg(F.count("*").alias("_n"))
     ref = refs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_rx"), F.col(y).alias("_ry"), F.struct(*[F.col(c).alias(c) for c in ref_id]).alias("_id"))
+    left, ref = checkpointed(left), checkpointed(ref)  # each round reads them again
     extent = ref.agg(F.min("_rx"), F.max("_rx"), F.min("_ry"), F.max("_ry")).first()
     reach = left.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
     if extent[0] is None or reach[0] is None:
@@ -80,22 +81,39 @@ def nearest(queries: DataFrame, refs: DataFrame, cell: float, by: list[str] = []
         side = cell * 2.0**k
         a = left.withColumn("_o", F.explode(around)).withColumns({"_i": F.floor(F.col("_x") / side) + F.col("_o.i"), "_j": F.floor(F.col("_y") / side) + F.col("_o.j")}).drop("_o")
         b = ref.withColumns({"_i": F.floor(F.col("_rx") / side), "_j": F.floor(F.col("_ry") / side)})
-        met = a.join(b, [*by, "_i", "_j"], "inner")
+        met = a.join(b, [*by, "_i", "_j"], "left")
         d = F.sqrt(F.pow(F.col("_x") - F.col("_rx"), 2) + F.pow(F.col("_y") - F.col("_ry"), 2))
-        best = met.groupBy(*by, "_x", "_y", "_q").agg(F.min(F.struct(d.alias("d"), F.col("_id").alias("id"))).alias("_b"), F.first("_n").alias("_n"))
+        found = F.min(F.when(d.isNotNull(), F.struct(d.alias("d"), F.col("_id").alias("id"))))
+        best = met.groupBy(*by, "_x", "_y", "_q").agg(found.alias("_b"), F.first("_n").alias("_n"))
         last = k == rounds - 1
-        hit = best if last else best.where(F.col("_b.d") <= side)
-        out = hit if out is None else out.unionByName(hit)
+        best = best if last else checkpointed(best)
+        sure = F.col("_b").isNotNull() if last else F.coalesce(F.col("_b.d") <= side, F.lit(False))
+        out = best.where(sure) if out is None else out.unionByName(best.where(sure))
         if last:
             break
-        left = left.join(hit.select(*by, "_x", "_y", "_q"), [*by, "_x", "_y", "_q"], "left_anti")
-        left = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left.persist()
+        left = best.where(~sure).drop("_b")
         if not left.limit(1).count():
             break
     ids = [F.col(f"_b.id.{c}").alias(f"ref_{c}") for c in ref_id]
     return out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_q.*", *ids, F.col("_b.d").alias("distance"))
 
 
+def nearest_or_beside(queries: DataFrame, refs: DataFrame, cell: float, x: str = "x", y: str = "y", ref_id: str = "idx") -> DataFrame:
+    """As :func:`nearest`, but a query that misses one coordinate is held against the other one only.
+
+    Returns the queries' columns, ref_<id> and distance. Queries that miss both take no part.
+    """
+    both = nearest(queries, refs, cell, x=x, y=y, ref_id=[ref_id])
+    parts = [both]
+    for known, missing in ((x, y), (y, x)):
+        asked = queries.where(F.col(known).isNotNull() & F.col(missing).isNull())
+        lines = refs.where(F.col(known).isNotNull()).groupBy(known).agg(F.min(ref_id).alias(ref_id))
+        b = bracket(asked, lines, known, [ref_id])
+        low = F.col("upper").isNull() | (F.col("closest") == F.col("lower"))
+        parts.append(b.select(*queries.columns, F.when(low, F.col(f"lower_{ref_id}")).otherwise(F.col(f"upper_{ref_id}")).alias(f"ref_{ref_id}"), F.abs(F.col(known) - F.col("closest")).alias("distance")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def category(df: DataFrame, value: str, categories: DataFrame, closest: bool = False, most: int = 100_000) -> DataFrame:
     """The category of each value, exact (null if there is none) or closest. ``categories`` has value and category,
     one row per category, at most ``most`` (else ValueError), so it is broadcast."""

@@ -6,6 +6,8 @@ Missing values are null in the library; sources turn NaN into null where a colum
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +42,12 @@ def whole(by: str | list = "set_id") -> Window:
 
 def nan_to_null(c: str | Column) -> Column:
     return F.nanvl(column(c), F.lit(None).cast("double"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder of the session (``spark.checkpoint.dir``); where no folder is
+    named, as in local tests, to a temporary one."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

@@ -170,6 +170,8 @@ def test_nearest_against_all_pairs(spark):
     got = {g["q"]: g["ref_idx"] for g in joins.nearest(q, r, 0.5).collect()}
     assert got == {i: int(((b - p) ** 2).sum(axis=1).argmin()) for i, p in enumerate(a)}
     assert joins.nearest(q, r.limit(0), 1.0).count() == 0
+    beside = {g["q"]: g["ref_idx"] for g in joins.nearest_or_beside(q, r, 0.5).collect()}
+    assert beside == got | {99: int(np.abs(b[:, 1] - 1.0).argmin())}
 
 
 def test_figures_of_equal_and_turned_sets(spark):
