@@ -44,12 +44,12 @@ class PieceCoder:
         if any(re.search("[^ ] ", p) for p in pieces):
             raise ValueError("a piece goes on behind a word's end: words can't be encoded one by one")
         self.chars = {c for p in pieces for c in p}
-        # lengths of the pieces that end in two given characters, longest first
+        # lengths of the pieces of 3 characters or more that end in three given ones, longest first
         lengths: dict[str, set[int]] = {}
         for p in pieces:
-            if len(p) > 1:
-                lengths.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {c: (*sorted(n, reverse=True), 2) for c, n in lengths.items()}
         free = "".join(c for c in "\n\t\r" if c not in self.chars)
         self.split = re.compile(f" *[^ {free}]+| +" + (f"|[{free}]" if free else ""))
         self.text_of = {i: p for p, (i, _) in pieces.items()}
@@ -107,9 +107,10 @@ class PieceCoder:
 
         A character of no piece merges with nothing, so behind it as at the start (-1) all is free.
         """
+        pair = (2,)
         id_of, pairs, lengths, n_ids, packed = self.id_of, self.pairs, self.lengths, self.n_ids, self.packed
         for i in range(start, len(word) + 1):
-            for n in lengths.get(word[i - 2 : i], ()) if i > 1 else ():
+            for n in lengths.get(word[i - 3 : i], pair) if i > 2 else pair[: i - 1]:
                 if n <= i:
                     piece = id_of.get(word[i - n : i])
                     if piece is not None:
@@ -129,7 +130,7 @@ class PieceCoder:
             c = word[i - 1]
             # a character of no piece costs more than any pieces
             top, at, own = best[i - 1] + (self.pieces[c][1] if c in self.pieces else -1e6), i - 1, self._char_ids(c)
-            for n in self.lengths.get(word[i - 2 : i], ()) if i > 1 else ():
+            for n in self.lengths.get(word[i - 3 : i], (2,)) if i > 2 else (2,)[: i - 1]:
                 if n <= i and (found := self.pieces.get(word[i - n : i])) is not None and best[i - n] + found[1] > top:
                     top, at, own = best[i - n] + found[1], i - n, self.packed[found[0]]
             best.append(top)
