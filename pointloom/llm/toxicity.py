@@ -23,7 +23,7 @@ from pointloom.llm.common import held_out, training_rows
 
 COLUMNS = 1 << 18
 MAX_ROWS = 6000
-MAX_CHARS = 20_000
+MAX_CHARS = 10_000
 THRESHOLD = 0.5
 FIRST_BIAS = -6.0
 #: Bytes of a word's beginning and end that are features.
