@@ -67,10 +67,10 @@ def f08(spark, d):
     return scatter(spark, d).select("set_id", "idx", sc.close("x", 20.0, 0.1).alias("close"), sc.compare("x", 20.0).alias("cmp"), sc.at_least("x", 20.0, 0.1).alias("at_least"), sc.at_most("x", 20.0, 0.1).alias("at_most"), (a & b).alias("both"), (a | b).alias("any_"), sc.either(a, b).alias("either"), sc.truth("e").alias("truth"))
 
 
-@query("f09_bits", """SELECT o_orderkey, o_custkey & 12 AS b_and, o_custkey | 12 AS b_or, xor(o_custkey, 12) AS b_xor, ~o_custkey AS b_not, o_custkey << 3 AS l, o_custkey >> 2 AS r, CAST((o_custkey >> 4) & 1 AS TINYINT) AS bit FROM orders""")
+@query("f09_bits", """SELECT o_orderkey, o_custkey & 12 AS b_and, o_custkey | 12 AS b_or, xor(o_custkey, 12) AS b_xor, ~o_custkey AS b_not, o_custkey << 3 AS l, o_custkey >> 2 AS r, CAST((o_custkey >> 4) & 1 AS INTEGER) AS bit FROM orders""")
 def f09(spark, d):
     c = F.col("o_custkey")
-    return table(spark, d, "orders").select("o_orderkey", c.bitwiseAND(12).alias("b_and"), c.bitwiseOR(12).alias("b_or"), c.bitwiseXOR(12).alias("b_xor"), F.bitwise_not(c).alias("b_not"), F.shiftleft(c, 3).alias("l"), F.shiftright(c, 2).alias("r"), F.getbit(c, F.lit(4)).alias("bit"))
+    return table(spark, d, "orders").select("o_orderkey", c.bitwiseAND(12).alias("b_and"), c.bitwiseOR(12).alias("b_or"), c.bitwiseXOR(12).alias("b_xor"), F.bitwise_not(c).alias("b_not"), F.shiftleft(c, 3).alias("l"), F.shiftright(c, 2).alias("r"), F.getbit(c, F.lit(4)).cast("int").alias("bit"))
 
 
 @query("f10_switch", "SELECT p_partkey, CASE WHEN p_size = 7 THEN 1 WHEN p_size IN (1, 2, 3) THEN 2 ELSE 0 END AS k, CASE WHEN p_retailprice > 1000 THEN 'dear' ELSE 'cheap' END AS price FROM part")

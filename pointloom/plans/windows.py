@@ -11,7 +11,7 @@ _W = "WINDOW o AS (PARTITION BY set_id ORDER BY idx)"
 
 
 @query("w01_counters", """WITH {S}, d AS (SELECT set_id, idx, v > 200 AS discarded FROM s) SELECT set_id, idx, idx + 1 AS counter,
-  sum(CASE WHEN discarded THEN 0 ELSE 1 END) OVER o AS kept FROM d """ + _W)
+  CAST(sum(CASE WHEN discarded THEN 0 ELSE 1 END) OVER o AS BIGINT) AS kept FROM d """ + _W)
 def w01(spark, d):
     return wn.counters(discard(series(spark, d), F.col("v") > 200)).select("set_id", "idx", "counter", "kept")
 
@@ -132,12 +132,12 @@ def w20(spark, d):
 
 
 @query("w21_direction_runs", """WITH {P}, g AS (SELECT set_id, idx, nullif(sign(x - lag(x) OVER o), 0) AS d FROM p """ + _W + """), h AS (SELECT *, lag(d IGNORE NULLS) OVER o AS b FROM g """ + _W + """)
-SELECT set_id, idx, sum(CASE WHEN d IS NOT NULL AND b IS NOT NULL AND d <> b THEN 1 ELSE 0 END) OVER o AS run_id FROM h """ + _W)
+SELECT set_id, idx, CAST(sum(CASE WHEN d IS NOT NULL AND b IS NOT NULL AND d <> b THEN 1 ELSE 0 END) OVER o AS BIGINT) AS run_id FROM h """ + _W)
 def w21(spark, d):
     return wn.with_direction_runs(scatter(spark, d), "x").select("set_id", "idx", "run_id")
 
 
-@query("w22_splits", """WITH {S} SELECT set_id, idx, sum(CASE WHEN y IS NULL THEN 1 ELSE 0 END) OVER o AS at, sum(CASE WHEN y IS NULL THEN 1 ELSE 0 END) OVER o - CASE WHEN y IS NULL THEN 1 ELSE 0 END AS behind FROM s """ + _W)
+@query("w22_splits", """WITH {S} SELECT set_id, idx, CAST(sum(CASE WHEN y IS NULL THEN 1 ELSE 0 END) OVER o AS BIGINT) AS at, CAST(sum(CASE WHEN y IS NULL THEN 1 ELSE 0 END) OVER o - CASE WHEN y IS NULL THEN 1 ELSE 0 END AS BIGINT) AS behind FROM s """ + _W)
 def w22(spark, d):
     s = wn.with_splits(wn.with_splits(series(spark, d), F.col("y").isNull(), name="at"), F.col("y").isNull(), True, "behind")
     return s.select("set_id", "idx", "at", "behind")
