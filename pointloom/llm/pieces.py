@@ -9,6 +9,8 @@ The forward state of a position is, for a unigram model, the best score and last
 model it is the last piece of the prefix's encoding: that is the one piece that ends there and, behind the state
 of the position where it starts, merges back into the same two pieces. So the result is the model's own encoding
 and not just a segmentation of high score.
+
+The ids of a word are read from its end back along the last pieces, so memory grows with its length alone.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _CACHED_WORDS = 250_000
+_CACHED_CHARS = 4_000_000
+_BLOCK_CHARS = 2_000_000
 _CACHED_PAIRS = 500_000
 _ROWS = 500
 
@@ -58,7 +62,9 @@ class PieceCoder:
         self.packed = {i: i.to_bytes(4, "little") for i in [*self.text_of, *self.bytes_of, unk_id]}
         self.words: dict[str, bytes] = {}  # the ids of each word, 4 bytes each
         self.older: dict[str, bytes] = {}
+        self.n_chars = 0  # of the words known
         self.id_of = {p: i for p, (i, _) in pieces.items()}
+        self.size_of = {i: len(p) for p, i in self.id_of.items()}
         self.n_ids = max(self.id_of.values(), default=0) + 1
         self.pairs: dict[int, bool] = {}
 
@@ -102,13 +108,13 @@ class PieceCoder:
             return b"".join(self.packed[self.byte_ids[b]] for b in c.encode("utf-8", "surrogatepass"))
         return self.packed[self.unk_id]
 
-    def _bpe(self, word: str, last: list[int], ids: list[bytes], start: int) -> None:
-        """Set last[i], the last piece of the encoding of word[:i], and its ids, for i from start on.
+    def _bpe(self, word: str, last: list[int], start: int) -> None:
+        """Set last[i], the last piece of the encoding of word[:i], for i from start on.
 
         A character of no piece merges with nothing, so behind it as at the start (-1) all is free.
         """
         pair = (2,)
-        id_of, pairs, lengths, n_ids, packed = self.id_of, self.pairs, self.lengths, self.n_ids, self.packed
+        id_of, pairs, lengths, n_ids = self.id_of, self.pairs, self.lengths, self.n_ids
         for i in range(start, len(word) + 1):
             for n in lengths.get(word[i - 3 : i], pair) if i > 2 else pair[: i - 1]:
                 if n <= i:
@@ -118,51 +124,70 @@ class PieceCoder:
                         fits = pairs.get(before * n_ids + piece)
                         if fits or (fits is None and self._follows(before, piece)):
                             last.append(piece)
-                            ids.append(ids[i - n] + packed[piece])
                             break
             else:
                 last.append(id_of.get(word[i - 1], -1))
-                ids.append(ids[i - 1] + self._char_ids(word[i - 1]))
 
-    def _unigram(self, word: str, best: list[float], ids: list[bytes], start: int) -> None:
-        """Set best[i], the highest score of a segmentation of word[:i], and its ids."""
+    def _unigram(self, word: str, last: list[int], best: list[float], start: int) -> None:
+        """Set best[i], the highest score of a segmentation of word[:i], and its last piece (-1: a character of none)."""
         for i in range(start, len(word) + 1):
             c = word[i - 1]
             # a character of no piece costs more than any pieces
-            top, at, own = best[i - 1] + (self.pieces[c][1] if c in self.pieces else -1e6), i - 1, self._char_ids(c)
+            own, score = self.pieces.get(c, (-1, -1e6))
+            top = best[i - 1] + score
             for n in self.lengths.get(word[i - 3 : i], (2,)) if i > 2 else (2,)[: i - 1]:
                 if n <= i and (found := self.pieces.get(word[i - n : i])) is not None and best[i - n] + found[1] > top:
-                    top, at, own = best[i - n] + found[1], i - n, self.packed[found[0]]
+                    own, top = found[0], best[i - n] + found[1]
             best.append(top)
-            ids.append(ids[at] + own)
+            last.append(own)
+
+    def _ids(self, word: str, last: list[int]) -> bytes:
+        """The ids of a word, from its last piece back to its start."""
+        packed, size_of = self.packed, self.size_of
+        out, i = [], len(word)
+        while i:
+            piece = last[i]
+            if piece < 0:
+                i -= 1
+                out.append(self._char_ids(word[i]))
+            else:
+                i -= size_of[piece]
+                out.append(packed[piece])
+        out.reverse()
+        return b"".join(out)
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not known yet, in the order of their trie."""
         missing = words - self.words.keys()
-        if len(self.words) + len(missing) > _CACHED_WORDS:  # words of the generation before stay known while in use
-            self.older, self.words = self.words, {}
-            missing = words
+        if len(self.words) + len(missing) > _CACHED_WORDS or self.n_chars + sum(map(len, missing)) > _CACHED_CHARS:
+            self.older, self.words = self.words, {}  # words of the generation before stay known while in use
+            self.n_chars, missing = 0, words
+        self.n_chars += sum(map(len, missing))
         for word in missing & self.older.keys():
             self.words[word] = self.older[word]
         # the state is one list per position of the word before: what two words share is computed once
-        before, state, ids = "", [-1] if self.kind == "bpe" else [0.0], [b""]
+        before, last, best = "", [-1], [0.0]
         for word in sorted(missing - self.words.keys()):
             shared = len(os.path.commonprefix((before, word)))
-            del state[shared + 1 :], ids[shared + 1 :]
-            (self._bpe if self.kind == "bpe" else self._unigram)(word, state, ids, shared + 1)
-            self.words[word] = ids[-1]
+            del last[shared + 1 :], best[shared + 1 :]
+            if self.kind == "bpe":
+                self._bpe(word, last, shared + 1)
+            else:
+                self._unigram(word, last, best, shared + 1)
+            self.words[word] = self._ids(word, last)
             before = word
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         block: list[list[str]] = []
-        size = 0
+        size = chars = 0
         for text in texts:
             block.append(self.split.findall(self.mark(text)))
             size += len(block[-1])
-            if size > 200_000:
+            chars += len(text)
+            if size > 200_000 or chars > _BLOCK_CHARS:
                 yield from self._encoded(block)
-                block, size = [], 0
+                block, size, chars = [], 0, 0
         yield from self._encoded(block)
 
     def _encoded(self, block: list[list[str]]) -> Iterator[np.ndarray]:

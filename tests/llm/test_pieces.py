@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -25,6 +26,36 @@ def test_same_ids_as_the_library(model):
         assert own.decode(ids.tolist()) == text.replace(pieces.MARK, " ")
 
 
+def test_long_text_without_white_space(model):
+    own, lib = pieces.coder(model), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(8)
+    parts = ["th", "er", "ing", "tion", "é", "Z9+/", "日本語", "的", "を", "x", "🙂"]
+    text = "".join(rng.choices(parts, k=120_000))[:200_000]
+    assert len(text) == 200_000
+    assert next(own.encode([text])).tolist() == lib.encode(text)
+
+
+def test_memory_grows_with_the_length_of_a_word(model):
+    own, peaks = pieces.coder(model), []
+    own.learn({" 日本"})
+    for n in (5_000, 20_000):
+        tracemalloc.start()
+        own.learn({"日本" * (n // 2)})
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 5_000_000
+
+
+def test_known_words_are_bounded_by_their_characters(model, monkeypatch):
+    monkeypatch.setattr(pieces, "_CACHED_CHARS", 50_000)
+    monkeypatch.setattr(pieces, "_BLOCK_CHARS", 10_000)
+    own, lib = pieces.coder(model), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [f"{k}" + "ab" * 4_000 for k in range(40)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == lib.encode(text)
+        assert sum(map(len, [*own.words, *own.older])) <= 100_000
+
+
 def test_unigram_against_all_segmentations():
     vocab = {"▁": (1, -2.0), "a": (2, -1.5), "b": (3, -1.7), "ab": (4, -2.9), "▁a": (5, -3.0), "ba": (6, -2.0), "aba": (7, -4.9)}
     own = pieces.PieceCoder(vocab, None, 0, "unigram")
