@@ -35,6 +35,8 @@ _MARKUP = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"
 _ATTRIBUTES = re.compile(r"(?:^|\s)(?:class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object"}
+# case of ASCII letters alone: offsets in a lowered page are not the page's, as some letters grow
+_RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in _RAW}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "param", "source", "track"}
 _GROUPS = (
     ("article", "main"),
@@ -80,7 +82,6 @@ def parse(page: str) -> Nodes:
     tags, parents, attrs, runs, links = ["html"], [-1], [""], [None], [0]
     open_: list[tuple[str, int]] = [("html", 0)]  # inline elements carry the node of their block
     run, in_link, at, n = -1, 0, 0, len(page)
-    low = None
 
     def text(piece: str) -> None:
         nonlocal run
@@ -125,11 +126,9 @@ def parse(page: str) -> Nodes:
                 del open_[k:]
             continue
         if tag in _RAW:
-            if low is None:
-                low = page.lower()
             if not m[3].endswith("/"):
-                end = low.find("</" + tag, at)
-                at = n if end < 0 else end
+                end = _RAW_END[tag].search(page, at)
+                at = n if end is None else end.start()
             if tag in ("select", "textarea"):
                 tags.append("button")
                 parents.append(open_[-1][1])

@@ -34,6 +34,13 @@ def test_parse_mends_and_decodes():
     assert _texts("</p></div><b>q</b></x>") == ["q"]
 
 
+def test_raw_elements_behind_letters_that_grow_when_lowered():
+    assert _texts("<p>İstanbul</p><TITLE>İzmir</Title><p>one</p>") == ["İstanbul", "one"]
+    page = "<title>" + "İ" * 30 + "</title><p>" + "İ" * 9 + " two</p><script>x()</SCRIPT><p>three</p>four"
+    assert _texts(page) == ["İ" * 9 + " two", "three", "four"]
+    assert _texts("<script>a</ſcript>b</script>c") == ["c"]
+
+
 def test_decode_is_the_best_consistent_labelling():
     rng = np.random.default_rng(3)
     for _ in range(60):
