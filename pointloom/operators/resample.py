@@ -26,17 +26,19 @@ def linear(queries: DataFrame, df: DataFrame, x: str, y: str, name: str = "value
     return b.withColumn(name, value).select(*queries.columns, name)
 
 
-def grid(df: DataFrame, x: str, y: str, most_sets: int = 10_000) -> DataFrame:
+def grid(df: DataFrame, x: str, y: str, buckets: int = 256) -> DataFrame:
     """Every x that occurs in any set, for every set whose range holds it, with y given or interpolated.
 
-    Each set asks only for the places in its range, by buckets of x; there may be at most ``most_sets`` sets (else
-    ValueError), as the result has a row for each place and set.
+    Each set asks only for the places in its range, by a join on buckets of x that hold about as many places each.
+    The result has a row for each set and place in its range.
     """
     ranges = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy("set_id").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    if ranges.limit(most_sets + 1).count() > most_sets:
-        raise ValueError(f"more than {most_sets} sets")
     places = df.where(F.col(x).isNotNull()).select(x).distinct()
-    asked = places.join(F.broadcast(ranges), F.col(x).between(F.col("_lo"), F.col("_hi"))).select("set_id", x)
+    cuts = places.agg(F.array_distinct(F.percentile_approx(x, [k / buckets for k in range(1, buckets)])).alias("_cuts"))  # one row
+    bucket = lambda v: F.size(F.filter("_cuts", lambda c: c <= F.col(v)))
+    at = places.crossJoin(F.broadcast(cuts)).select(x, bucket(x).alias("_b"))
+    touched = ranges.crossJoin(F.broadcast(cuts)).select("set_id", "_lo", "_hi", F.explode(F.sequence(bucket("_lo"), bucket("_hi"))).alias("_b"))
+    asked = touched.join(at, "_b").where(F.col(x).between(F.col("_lo"), F.col("_hi"))).select("set_id", x)
     return linear(asked, df, x, y, y)
 
 
