@@ -1,385 +1,481 @@
-"""Removal of repeated byte strings by a blockwise suffix order with a difference cover.
+"""Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
 A suffix (a position of a document) repeats if its first ``length`` bytes also start in a document of smaller id.
-Only classes of equal prefixes matter here, so suffixes are ordered by a fingerprint of their first bytes instead of
-by the bytes: equal prefixes are adjacent in either order, and the order's buckets are even for any text.
-
-1. Documents are dealt into blocks. In each block the suffixes at positions of a difference cover (positions whose
-   residue lies in a set of which every residue is a difference) are ranked by their first ``length - period + 1``
-   bytes, and the distinct ranks go to the bucket they fall in. Any two equal strings of ``length`` bytes have a
-   pair of cover positions at one distance from their starts, so a suffix with no cover rank that some other
-   document shares needs no more work. In the same step each block sends the hashes of content-defined chunks
-   (with the bytes of the suffixes that start in them): a chunk that a smaller document holds too is decided whole.
-2. Suffixes left over are sorted one bucket at a time, by the fingerprint of ``length`` bytes; long ties, of copies,
-   are met by the cover ranks and the chunks of step 1 and by sending each class once for a block, with its
-   smallest id. The bucket answers each block with one bit per class: does a smaller id hold it.
-3. Each block turns its decided suffixes into removed spans.
-
-Each step is a round of its own that leaves a small table of answers in the checkpoint folder, so that the shuffle
-files of one round can go before the next; only texts, ranks, fingerprints and bits travel, and memory is bounded
-by the size of a block and of a bucket.
+
+1. Each task cuts its texts into stretches: maximal runs of suffixes whose first ``length`` bytes have the same
+   least gram (by a hash of the gram). Equal strings have the same least gram, so a bucket of suffixes is named by
+   it, and a stretch carries the bytes of all its suffixes once. Grams that a sample of documents shows to be
+   common count as the largest, so that no bucket is hot. A stretch that a task has twice is decided there.
+2. Each bucket sorts its suffixes, one range of first bytes at a time, by their first 16 bytes. Ties that documents
+   of different ids share are resolved by the ranks of a difference cover: positions whose residue lies in a set of
+   which every residue is a difference are ranked by their first ``length - period + 1`` bytes (a true order: ranks
+   are equal where the bytes are), so that any two suffixes have cover positions at one distance below ``period``
+   from their starts. Equal first bytes, equal ranks there and equal last bytes are equal strings.
+3. Answers (runs of repeated suffixes) go back to the task's table of documents and become removed spans.
+
+Everything compares bytes; hashes only choose buckets. Memory is bounded by a task's block of text, by a bucket, and
+by the suffixes that are sorted at once.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import struct
-import time
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import checkpointed, shuffle_partitions
+from pointloom.llm.common import scratch, shuffle_files_dropped, shuffle_partitions
 
 LENGTH = 50
-BLOCK_BYTES = 6 << 20
+#: Bytes of text that a task cuts into stretches at a time.
+BLOCK_BYTES = 8 << 20
+#: Bytes of stretches that a bucket holds on average.
+BUCKET_BYTES = 16 << 20
+#: Suffixes that a bucket sorts at once, as far as their first two bytes tell them apart.
+SORTED_AT_ONCE = 1 << 20
+#: Documents looked at for common grams, and the share of them that makes a gram common.
+HOT_DOCS, HOT_SHARE = 2000, 0.01
+#: Most suffixes of a stretch.
+STRETCH = 1024
 #: Perfect difference covers by period.
-COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-#: Bytes that ranks cover at least; fewer would be shared by chance in large corpora.
-LEAST_RANKED = 38
-ANCHOR_BITS = 6
+COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9)}
+#: Words a removed span has more than, to count as a passage.
+PASSAGE_WORDS = 50
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
-RANKS, CHUNKS, WINDOWS, OWN = 0, 1, 2, 3
+_HOT = np.uint32(1 << 31)
+ANSWER, OWN = 0, 1
 
 
 def period_for(length: int) -> int:
-    """The longest period that leaves enough bytes of a string of ``length`` bytes behind a cover position."""
-    return max((p for p in COVERS if length - p + 1 >= min(LEAST_RANKED, length)), default=1)
-
-
-def _words(raw: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on as one number; behind the end count zeros."""
-    padded = np.zeros(len(raw) + 16, np.uint8)
-    padded[: len(raw)] = raw
-    out = np.empty(len(raw) + 8, _U)
-    for k in range(8):
-        own = out[k::8]
-        own[:] = padded[k : k + 8 * len(own)].view("<u8")
-    return out
-
-
-def _hash(words: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """Fingerprint of the ``length`` bytes (8 at least) from each position in ``at`` on."""
-    h = np.full(len(at), seed, _U)
-    for k in [*range(0, length - 8, 8), length - 8]:
-        h ^= words[at + k]
-        h *= _U(0xBF58476D1CE4E5B9 if seed & 1 else 0x94D049BB133111EB)
-        h ^= h >> _U(29)
-    h *= _U(0x9E3779B97F4A7C15)
-    return h ^ (h >> _U(32))
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """Sorted unsigned numbers as gaps, by byte planes of the width that the largest gap needs."""
-    gaps = np.diff(values, prepend=_U(0))
-    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    return struct.pack("<IB", len(values), width) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _unpacked(data: memoryview) -> tuple[np.ndarray, memoryview]:
-    n, width = struct.unpack_from("<IB", data)
-    planes = np.frombuffer(data, np.uint8, n * width, 5).reshape(width, n)
+    """The period of the cover for strings of ``length`` bytes."""
+    return 13 if length >= 32 else 7
+
+
+def _words(raw: np.ndarray, order: str) -> np.ndarray:
+    """The 8 bytes from each position on as one number, without a copy."""
+    return np.ndarray((max(0, len(raw) - 7),), f"{order}u8", raw, strides=(1,))
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    size = 1
+    while 2 * size <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
+
+
+def _least_grams(raw: np.ndarray, length: int, hot: np.ndarray) -> np.ndarray:
+    """For each string of ``length`` bytes the least hash of a gram of 12 bytes (8 for short strings) in it."""
+    gram = 12 if length >= 24 else 8
+    words = _words(raw, "<")
+    n = len(raw) - gram + 1
+    h = words[:n] * _U(0x9E3779B97F4A7C15)
+    if gram == 12:
+        h ^= words[4 : 4 + n] * _U(0xC2B2AE3D27D4EB4F)
+    h ^= h >> _U(29)
+    h *= _U(0xBF58476D1CE4E5B9)
+    h = (h >> _U(33)).astype(np.uint32)
+    least = _least(h, length - gram + 1)
+    for _ in range(len(hot)):
+        common = np.intersect1d(np.unique(least), hot)
+        if not len(common):
+            break
+        h[np.isin(h, common)] |= _HOT  # behind all others, and no longer equal to a hash of the list
+        least = _least(h, length - gram + 1)
+    return least
+
+
+def stretches(raw: np.ndarray, bounds: np.ndarray, length: int, hot: np.ndarray, slab: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First suffix, number of suffixes and least gram of each stretch, in order. ``bounds`` are the texts' ends, from 0 on."""
+    firsts, counts, grams = [], [], []
+    for s in range(0, len(raw) - length + 1, slab):
+        least = _least_grams(raw[s : min(len(raw), s + slab + length - 1)], length, hot)
+        n = len(least)
+        # the last length - 1 positions of a text start no string of it
+        near = bounds[(bounds > s) & (bounds - length + 1 < s + n)] - s
+        marks = np.zeros(n + 1, np.int32)
+        np.add.at(marks, np.clip(near - length + 1, 0, n), 1)
+        np.add.at(marks, np.clip(near, 0, n), -1)
+        fits = np.cumsum(marks[:-1]) == 0
+        edge = ~fits
+        edge[0] = True
+        edge[1:] |= ~fits[:-1] | (least[1:] != least[:-1])
+        at = np.flatnonzero(edge)
+        size = np.diff(np.append(at, n))
+        at, size = at[fits[at]], size[fits[at]]
+        if len(size) and size.max() > STRETCH:
+            parts = -(-size // STRETCH)
+            k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            at, size = np.repeat(at, parts) + k * STRETCH, np.minimum(STRETCH, np.repeat(size, parts) - k * STRETCH)
+        firsts.append(at + s)
+        counts.append(size)
+        grams.append(least[at])
+    if not firsts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(grams)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers by byte planes of the width that the largest needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(data: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
+    width = data[0]
     full = np.zeros((n, 8), np.uint8)
-    full[:, :width] = planes.T
-    return np.cumsum(full.view("<u8").ravel(), dtype=_U), data[5 + n * width :]
+    full[:, :width] = np.frombuffer(data, np.uint8, n * width, 1).reshape(width, n).T
+    return full.view("<u8").ravel(), data[1 + n * width :]
 
 
-def _packed_ids(ids: np.ndarray) -> bytes:
-    low = int(ids.min(initial=0)) if len(ids) else 0
-    rest = (ids - low).astype(_U)
-    width = max(1, (int(rest.max(initial=0)).bit_length() + 7) // 8)
-    return struct.pack("<qB", low, width) + np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _gaps(values: np.ndarray) -> np.ndarray:
+    """Numbers (in any order, negative ones too) as small ones where neighbours are near: gaps with the sign last."""
+    gaps = np.diff(values.astype(np.int64), prepend=np.int64(0))
+    return ((gaps << 1) ^ (gaps >> 63)).view(_U)
 
 
-def _unpacked_ids(data: memoryview, n: int) -> np.ndarray:
-    low, width = struct.unpack_from("<qB", data)
-    full = np.zeros((n, 8), np.uint8)
-    full[:, :width] = np.frombuffer(data, np.uint8, n * width, 9).reshape(width, n).T
-    return full.view("<i8").ravel() + low
+def _ungapped(values: np.ndarray) -> np.ndarray:
+    return np.cumsum((values >> _U(1)).view(np.int64) ^ -(values & _U(1)).view(np.int64))
 
 
-def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys in order, and where they were. Key and place are sorted as one number where both fit 64 bits."""
-    bits = max(1, (len(key) - 1).bit_length())
-    if int(key.max()).bit_length() + bits <= 64:
-        both = np.sort((key << _U(bits)) | np.arange(len(key), dtype=_U))
-        return both >> _U(bits), (both & _U((1 << bits) - 1)).astype(np.int64)
-    order = np.argsort(key)
-    return key[order], order
-
-
-class _Block:
-    """The texts of one block, end to end, and what the steps compute of them."""
-
-    def __init__(self, table: pa.Table, length: int, n_buckets: int):
-        self.length, self.n_buckets = length, n_buckets
-        text = table.column("text").combine_chunks()
-        if isinstance(text, pa.ChunkedArray):
-            text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
-        self.ids = table.column("doc_id").to_numpy().astype(np.int64)
-        n = len(self.ids)
-        if n and text.buffers()[1] is not None:
-            ends = np.frombuffer(text.buffers()[1], np.int32, n + 1, 4 * text.offset).astype(np.int64)
-            data = text.buffers()[2]
-            raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-            self.raw = raw[ends[0] : ends[-1]]
-            self.bounds = ends - ends[0]
-        else:
-            self.raw, self.bounds = np.empty(0, np.uint8), np.zeros(n + 1, np.int64)
-        self.sizes = np.diff(self.bounds)
-        self.words = _words(self.raw)
-        self.doc = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
-
-    def _bucketed(self, h: np.ndarray) -> np.ndarray:
-        """Bucket from the high half of a hash, before its low half: sorts by bucket."""
-        return ((((h >> _U(32)) * _U(self.n_buckets)) >> _U(32)) << _U(32)) | (h & _U(0xFFFFFFFF))
-
-    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Cover positions with enough bytes behind them, and their ranks."""
-        period = period_for(self.length)
-        size = self.length - period + 1
-        wanted = np.zeros(period, bool)
-        wanted[list(COVERS[period])] = True
-        at = np.flatnonzero(wanted[(np.arange(len(self.raw)) - np.repeat(self.bounds[:-1], self.sizes)) % period])
-        at = at[at + size <= self.bounds[1:][self.doc[at]]]
-        return at, self._bucketed(_hash(self.words, at, size, 3))
-
-    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First position and end of each chunk's suffixes, and a hash of their bytes. Chunks too short are left out."""
-        full = self.words[: len(self.raw)]
-        anchor = ((full * _U(0xD6E8FEB86659FD93)) >> _U(64 - ANCHOR_BITS)) == 0
-        whole = self.bounds[1:][self.doc] - np.arange(len(self.raw)) >= 8
-        anchor &= whole
-        anchor[self.bounds[:-1][self.sizes > 0]] = True
-        first = np.flatnonzero(anchor)
-        ends = self.bounds[1:][self.doc[first]] if len(first) else first
-        after = np.minimum(np.append(first[1:], len(self.raw)), ends)
-        until = np.minimum(after + self.length - 1, ends)
-        fits = until - first >= self.length
-        first, after, until = first[fits], after[fits], until[fits]
-        view = memoryview(self.raw)
-        digest = xxhash.xxh3_64_intdigest
-        h = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), until.tolist())], _U)
-        return first, np.minimum(after, until - self.length + 1), h
-
-    def _classes(self, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, their smallest id, whether several ids have them, and the class of each position."""
-        if not len(key):
-            return key, np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
-        ordered, order = _sorted(key)
-        new = np.r_[True, ordered[1:] != ordered[:-1]]
-        first = np.flatnonzero(new)
-        ids = self.ids[self.doc[at[order]]]
-        low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-        where = np.empty(len(key), np.int64)
-        where[order] = np.cumsum(new) - 1
-        return ordered[first], low, low != high, where
-
-    def decided(self, bits: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """From the answers on ranks and chunks: the suffixes removed with their chunk, and those still open."""
-        at, key = self.ranks()
-        keys, _, several, where = self._classes(key, at)
-        shared = (several | self._answers(keys >> _U(32), bits, RANKS))[where]
-        marks = np.zeros(len(self.raw) + 1, np.int32)
-        period = period_for(self.length)
-        hit = at[shared]
-        np.add.at(marks, np.maximum(hit - period + 1, 0), 1)
-        np.add.at(marks, hit + 1, -1)
-        first, after, h = self.chunks()
-        keys, low, _, where = self._classes(h, first)
-        smaller = self._answers(self._bucket_of(keys), bits, CHUNKS)
-        gone = smaller[where] | (self.ids[self.doc[first]] > low[where])
-        removed = np.zeros(len(self.raw) + 1, np.int32)
-        removed[first[gone]] += 1
-        np.add.at(removed, after[gone], -1)
-        removed = np.cumsum(removed[:-1]) > 0
-        whole = self.bounds[1:][self.doc] - np.arange(len(self.raw)) >= self.length
-        return removed, np.flatnonzero((np.cumsum(marks[:-1]) > 0) & ~removed & whole)
-
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket and fingerprint of the open suffixes; the bucket is a second fingerprint's."""
-        bucket = ((_hash(self.words, at, self.length, 8) >> _U(32)) * _U(self.n_buckets)) >> _U(32)
-        return bucket, _hash(self.words, at, self.length, 5)
-
-    def window_classes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (bucket, fingerprint) in order: buckets, fingerprints, smallest ids; and each suffix's class."""
-        bucket, h = self.windows(at)
-        if not len(at):
-            return bucket, h, np.empty(0, np.int64), np.empty(0, np.int64)
-        order = np.argsort(h)
-        small = bucket.astype(np.uint16) if self.n_buckets <= 1 << 16 else bucket
-        order = order[np.argsort(small[order], kind="stable")]
-        b, v = bucket[order], h[order]
-        new = np.r_[True, (b[1:] != b[:-1]) | (v[1:] != v[:-1])]
-        first = np.flatnonzero(new)
-        low = np.minimum.reduceat(self.ids[self.doc[at[order]]], first)
-        where = np.empty(len(at), np.int64)
-        where[order] = np.cumsum(new) - 1
-        return b[first], v[first], low, where
-
-    def _bucket_of(self, h: np.ndarray) -> np.ndarray:
-        return ((h >> _U(32)) * _U(self.n_buckets)) >> _U(32)
-
-    @staticmethod
-    def _answers(buckets: np.ndarray, bits: dict[tuple[int, int], bytes], kind: int) -> np.ndarray:
-        """The answers on sorted classes, put together over their buckets."""
-        out = np.zeros(len(buckets), bool)
-        for b, first, n in _runs(buckets):
-            out[first : first + n] = np.unpackbits(np.frombuffer(bits[kind, b], np.uint8), count=n)
-        return out
+def _pressed(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of whole numbers of one length, and bytes behind them."""
+    n = len(columns[0])
+    return zstandard.ZstdCompressor(level=1).compress(n.to_bytes(8, "little") + b"".join(map(_planes, columns)) + tail)
 
 
-def _runs(buckets: np.ndarray):
-    if len(buckets):
-        first = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
-        for b, a, n in zip(buckets[first].tolist(), first.tolist(), np.diff(np.append(first, len(buckets))).tolist()):
-            yield b, a, n
+def _opened(data: bytes, columns: int) -> tuple[list[np.ndarray], memoryview]:
+    rest = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    n, rest, out = int.from_bytes(rest[:8], "little"), rest[8:], []
+    for _ in range(columns):
+        column, rest = _unplaned(rest, n)
+        out.append(column)
+    return out, rest
 
 
 def _edges(mask: np.ndarray) -> np.ndarray:
     """Starts and ends, in turn, of the runs of a mask."""
-    return np.flatnonzero(np.diff(np.r_[False, mask, False])).astype(_U)
-
-
-def _mask(edges: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n + 1, np.int8)
-    out[edges[::2].astype(np.int64)] = 1
-    out[edges[1::2].astype(np.int64)] -= 1
-    return np.cumsum(out[:-1], dtype=np.int8) > 0
-
+    return np.flatnonzero(np.diff(np.r_[False, mask, False]))
+
+
+def _equal_stretches(raw: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which stretches have the bytes of one of a smaller id."""
+    gone = np.zeros(len(first), bool)
+    if len(first) < 2:
+        return gone
+    words = _words(raw, "<")
+    key = gram.astype(_U) + (last - first).astype(_U) * _U(0xC2B2AE3D27D4EB4F)
+    for at in (first, (first + last) // 2 - 4, last - 8):
+        key = (key ^ words[at]) * _U(0x9E3779B97F4A7C15)
+        key ^= key >> _U(31)
+    order = np.lexsort((ids, key))
+    key = key[order]
+    leads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    view = memoryview(raw)
+    for a, b in zip(leads.tolist(), np.append(leads[1:], len(key)).tolist()):
+        if b - a > 1:
+            lead = order[a]
+            whole = view[first[lead] : last[lead]]
+            for k in order[a + 1 : b].tolist():
+                if ids[k] > ids[lead] and view[first[k] : last[k]] == whole:
+                    gone[k] = True
+    return gone
+
+
+_SENT = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(_SENT.types)], schema=_SENT)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+class _Texts:
+    """Rows of Arrow batches (doc_id, key, text) that are held until they make a block."""
+
+    def __init__(self):
+        self.held: list[pa.RecordBatch] = []
+        self.size = 0
+
+    def blocks(self, batches: Iterator[pa.RecordBatch], most: int):
+        for batch in batches:
+            sizes = np.diff(np.frombuffer(batch.column("text").buffers()[1], np.int32, len(batch) + 1, 4 * batch.column("text").offset)) if len(batch) else []
+            at = 0
+            for k, size in enumerate(sizes):
+                self.size += int(size)
+                if self.size >= most:
+                    self.held.append(batch.slice(at, k + 1 - at))
+                    yield self.taken()
+                    at = k + 1
+            if at < len(batch):
+                self.held.append(batch.slice(at))
+        if self.held:
+            yield self.taken()
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, keys (16 bytes each), sizes and bytes of the held rows, without repeated rows, by id."""
+        table = pa.Table.from_batches(self.held)
+        self.held, self.size = [], 0
+        ids = table.column("doc_id").to_numpy().astype(np.int64)
+        keys = table.column("key").to_pylist()
+        rows, seen = [], set()
+        for k in np.argsort(ids, kind="stable").tolist():
+            if (ids[k], keys[k]) not in seen:
+                seen.add((ids[k], keys[k]))
+                rows.append(k)
+        texts = [c.as_buffer() for c in table.column("text").cast(pa.binary()).take(pa.array(rows, pa.int64()))]
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        return ids[rows], np.frombuffer(b"".join(keys[k] for k in rows), np.uint8), np.array([t.size for t in texts], np.int64), raw
+
+
+def _cut(texts: tuple, length: int, n_buckets: int, hot: np.ndarray, piece: int) -> Iterator[pa.RecordBatch]:
+    """What a block of texts sends: its stretches to their buckets, and its table of documents."""
+    ids, keys, sizes, raw = texts
+    ends = np.cumsum(sizes)
+    first, count, gram = stretches(raw, ends, length, hot)
+    own = ids[np.searchsorted(ends, first, "right")]
+    last = first + count + length - 1
+    gone = _equal_stretches(raw, first, last, gram, own)
+    decided = _runs(first[gone], count[gone])
+    table = _pressed(_gaps(ids), sizes.astype(_U), tail=keys.tobytes() + _pressed(_gaps(decided)))
+    yield _sent([(piece % n_buckets, piece, OWN, table)])
+    left = np.flatnonzero(~gone)
+    mixed = (gram[left].astype(_U) + _U(1)) * _U(0x94D049BB133111EB)
+    mixed = (mixed ^ (mixed >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    bucket = ((mixed >> _U(32)) * _U(n_buckets)) >> _U(32)
+    left = left[np.argsort(bucket, kind="stable")]
+    bucket = np.sort(bucket)
+    view, rows = memoryview(raw), []
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    for a, b in zip(starts, np.append(starts[1:], len(bucket)) if len(bucket) else []):
+        some = left[a:b]
+        bytes_ = b"".join([view[i:j] for i, j in zip(first[some].tolist(), last[some].tolist())])
+        rows.append((int(bucket[a]), piece, ANSWER, _pressed(_gaps(first[some]), count[some].astype(_U), _gaps(own[some]), tail=bytes_)))
+        if len(rows) == 64:
+            yield _sent(rows)
+            rows = []
+    if rows:
+        yield _sent(rows)
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Starts and ends, in turn, of runs of positions given in order; runs that touch are one."""
+    if not len(first):
+        return np.empty(0, np.int64)
+    end = first + count
+    new = np.flatnonzero(np.r_[True, first[1:] != end[:-1]])
+    return np.stack([first[new], end[np.append(new[1:], len(first)) - 1]], axis=1).ravel()
+
+
+def _tied(groups: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of rows in the order of their groups, those whose group has several ids."""
+    if not len(groups):
+        return np.zeros(0, bool)
+    first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+    return np.repeat(several, np.diff(np.append(first, len(groups))))
+
+
+def _ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by the keys, the first before the others, and the rank of each row in that order."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.cumsum(new)
+
+
+def repeats(raw: np.ndarray, at: np.ndarray, residue: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings of ``length`` bytes at the positions ``at`` a smaller id has too.
+
+    ``residue`` is a position's distance from the start of its stretch.
+    """
+    out = np.zeros(len(at), bool)
+    words = _words(raw, ">")
+    key = words[at].astype(_U)
+    order = np.argsort(key)
+    rows = order[_tied(key[order], ids[order])]
+    order, group = _ranks(words[at[rows]].astype(_U), words[at[rows] + 8].astype(_U))
+    rows = rows[order]
+    tied = _tied(group, ids[rows])
+    rows, group = rows[tied], group[tied]
+    if not len(rows):
+        return out
+    # the bytes behind the last that a rank is sure to reach
+    order, group = _ranks(group, words[at[rows] + length - 16].astype(_U), words[at[rows] + length - 8].astype(_U))
+    rows = rows[order]
+    tied = _tied(group, ids[rows])
+    rows, group = rows[tied], group[tied]
+    if not len(rows):
+        return out
+    period = period_for(length)
+    size = length - period + 1
+    steps = np.array([sorted((d - r) % period for d in COVERS[period]) for r in range(period)])[residue[rows] % period]
+    near = at[rows][:, None] + steps
+    covered = np.zeros(len(raw), bool)
+    covered[near] = True
+    sample = np.flatnonzero(covered)
+    order, rank = _ranks(*[words[sample + k].astype(_U) for k in (*range(0, size - 8, 8), size - 8)])
+    rank_of = np.empty(len(sample), np.int64)
+    rank_of[order] = rank
+    # one row for each suffix and cover position: the same group, distance and rank are the same string
+    place = rank_of[np.searchsorted(sample, near.ravel())]
+    both = ((group - group[0]).repeat(steps.shape[1]) * period + steps.ravel()) * (int(rank[-1]) + 1) + place
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    own = ids[rows].repeat(steps.shape[1])[order]
+    low = np.empty(len(both), np.int64)
+    low[order] = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(both))))
+    out[rows] = low.reshape(steps.shape).min(axis=1) < ids[rows]
+    return out
 
-_SENT = "bucket long, block long, kind int, payload binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 
+def _answers(table: pa.Table, length: int, at_once: int) -> pa.Table:
+    """Of one bucket: which suffixes of each piece repeat. What a piece sends for itself passes."""
+    pieces, kinds, payloads = (table.column(c).to_pylist() for c in ("piece", "kind", "payload"))
+    bucket = table.column("bucket")[0].as_py()
+    out = [(bucket, p, OWN, x) for p, k, x in zip(pieces, kinds, payloads) if k == OWN]
+    own = [i for i, k in enumerate(kinds) if k != OWN]
+    if own:
+        opened = [_opened(payloads[i], 3) for i in own]
+        where, count, ids = (np.concatenate([c[k] for c, _ in opened]) for k in range(3))
+        where = np.concatenate([_ungapped(c[0]) for c, _ in opened])
+        ids = np.concatenate([_ungapped(c[2]) for c, _ in opened])
+        count = count.astype(np.int64)
+        raw = np.frombuffer(b"".join(rest for _, rest in opened), np.uint8)
+        ends = np.cumsum([len(c[0]) for c, _ in opened])
+        del opened, payloads
+        size = count + length - 1
+        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        at = start[of] + step
+        prefix = (raw[at].astype(np.int32) << 8) | raw[at + 1]
+        gone = np.zeros(len(at), bool)
+        for a, b in _ranges(np.bincount(prefix, minlength=1 << 16), at_once):
+            rows = np.flatnonzero((prefix >= a) & (prefix < b))
+            if len(rows) > 1:
+                gone[rows] = repeats(raw, at[rows], step[rows], ids[of[rows]], length)
+        position = where[of[gone]] + step[gone]
+        cuts = np.searchsorted(of[gone], ends)
+        for i, a, b in zip(own, [0, *cuts[:-1]], cuts):
+            if b > a:
+                out.append((bucket, pieces[i], ANSWER, _pressed(_gaps(_runs(position[a:b], np.ones(b - a, np.int64))))))
+    return pa.Table.from_batches([_sent(out)])
+
+
+def _ranges(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of first bytes whose suffixes number at most ``most``, or that are one value."""
+    total, first, before = np.cumsum(counts), 0, 0
+    while first < len(counts):
+        end = max(first + 1, int(np.searchsorted(total, before + most, "right")))
+        yield first, end
+        first, before = end, int(total[end - 1])
+
+
+_SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+
+
+def _spans(table: pa.Table, length: int) -> pa.Table:
+    """Of one piece: the removed spans of each document that has any."""
+    kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
+    (ids, sizes), rest = _opened(payloads[kinds.index(OWN)], 2)
+    ids, sizes = _ungapped(ids), sizes.astype(np.int64)
+    keys = bytes(rest[: 16 * len(ids)])
+    runs = [_ungapped(_opened(bytes(rest[16 * len(ids) :]), 1)[0][0])]
+    runs += [_ungapped(_opened(x, 1)[0][0]) for k, x in zip(kinds, payloads) if k != OWN]
+    runs = np.concatenate(runs).reshape(-1, 2)
+    bounds = np.append(0, np.cumsum(sizes))
+    marks = np.zeros(bounds[-1] + 1, np.int32)
+    np.add.at(marks, runs[:, 0], 1)
+    np.add.at(marks, runs[:, 1] + length - 1, -1)
+    mask = np.cumsum(marks[:-1]) > 0
+    found = np.unique(np.searchsorted(bounds, runs[:, 0], "right") - 1).tolist()
+    edges = [_edges(mask[bounds[i] : bounds[i + 1]]) for i in found]
+    columns = [ids[found].tolist(), [keys[16 * i : 16 * i + 16] for i in found], [e[::2].tolist() for e in edges], [e[1::2].tolist() for e in edges]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _SPANS.types)], schema=_SPANS)
+
+
+def _common_grams(docs: DataFrame, length: int, most_docs: int, share: float) -> np.ndarray:
+    """Least grams of more than the given share of about ``most_docs`` documents, chosen by a hash of their texts.
+
+    They change in which buckets strings meet, never the result.
+    """
+    n = docs.count()
+    part = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, most_docs / max(n, 1)) * (1 << 30)) + 1
+    some = docs.where(part).dropDuplicates(["key"]).select("text")
 
-def _sent(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(_SENT_ARROW.types)], schema=_SENT_ARROW)
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                raw = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
+                yield pa.record_batch([pa.array(np.unique(stretches(raw, np.array([len(raw)]), length, np.empty(0, np.uint32))[2]).astype(np.int64))], names=["gram"])
 
+    counts = some.mapInArrow(grams, "gram long").groupBy("gram").count()
+    found = counts.where(F.col("count") > F.lit(max(20, int(share * min(n, most_docs))))).orderBy(F.desc("count"), "gram").limit(1000).collect()
+    return np.array(sorted(r["gram"] for r in found), np.uint32)
 
-def _answer(table):
-    """Of one bucket, the blocks' classes: for each block one bit per class.
 
-    For ranks: does another block have it. For chunks and windows: has another block a smaller id. What a block
-    sends for itself comes back as it is.
-    """
-    out = []
-    bucket = table.column("bucket")[0].as_py()
-    blocks, kinds, payloads = table.column("block").to_pylist(), np.asarray(table.column("kind")), table.column("payload").to_pylist()
-    for kind in np.unique(kinds).tolist():
-        own = np.flatnonzero(kinds == kind).tolist()
-        if kind == OWN:
-            out += [(bucket, blocks[i], kind, payloads[i]) for i in own]
-            continue
-        values, lows = [], []
-        for i in own:
-            v, rest = _unpacked(memoryview(payloads[i]))
-            values.append(v)
-            if kind != RANKS:
-                lows.append(_unpacked_ids(rest, len(v)))
-        flat = np.concatenate(values)
-        ordered, order = _sorted(flat)
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        size = np.diff(np.append(first, len(flat)))
-        bit = np.empty(len(flat), bool)
-        if kind == RANKS:
-            bit[order] = np.repeat(size > 1, size)
-        else:
-            ids = np.concatenate(lows)[order]
-            bit[order] = ids > np.repeat(np.minimum.reduceat(ids, first), size)
-        ends = np.cumsum([len(v) for v in values])
-        for i, b in zip(own, np.split(bit, ends[:-1])):
-            out.append((bucket, blocks[i], kind, np.packbits(b).tobytes()))
-    return _sent(out)
-
-
-def _bits(table: pa.Table) -> dict[tuple[int, int], bytes]:
-    return dict(zip(zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist()), table.column("payload").to_pylist()))
-
-
-def _forget(spark: SparkSession) -> None:
-    """Let Spark's cleaner take the shuffle files of rounds that are over: it acts when their objects are collected,
-    and what the first collection makes free is found by the second."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, at_once: int = SORTED_AT_ONCE) -> DataFrame:
     """What is repeated in each document, and what is left.
 
-    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left), starts and ends (the
-    maximal removed runs, in bytes). Null texts count as empty. A null id counts as larger than every other, so it
-    is never the smaller one; rows of one id do not remove each other's strings. ``length`` is 8 at least.
+    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left), n_passages (spans of more
+    than 50 words), starts and ends (the maximal removed runs, in bytes). Null and empty texts have 0 bytes. A null
+    id counts as larger than every other, so it is never the smaller one; rows of one id do not remove each other's
+    strings, and repeated rows have equal results. Long texts are cut like others; an empty table gives an empty
+    result; other columns of ``docs`` are not read. ``length`` is 16 at least. A task that is run again must meet its
+    rows in the same order, as rows of files and checkpoints are.
     """
-    if length < 8:
-        raise ValueError("strings of fewer than 8 bytes are not supported")
+    if length < 16:
+        raise ValueError("strings of fewer than 16 bytes are not supported")
     spark = docs.sparkSession
-    whole = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     n_bytes = whole.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_blocks = max(shuffle_partitions(spark), -(-n_bytes // block_bytes))
-    blocks = whole.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))).repartition(n_blocks, "block")
-
-    def send_ranks(key, table):
-        number, block = key[0].as_py(), _Block(table, length, n_blocks)
-        out = []
-        keys = np.unique(block.ranks()[1])
-        for b, a, n in _runs(keys >> _U(32)):
-            out.append((b, number, RANKS, _packed(keys[a : a + n] & _U(0xFFFFFFFF))))
-        first, _, h = block.chunks()
-        keys, low, _, _ = block._classes(h, first)
-        for b, a, n in _runs(block._bucket_of(keys)):
-            out.append((b, number, CHUNKS, _packed(keys[a : a + n]) + _packed_ids(low[a : a + n])))
-        return _sent(out)
-
-    def send_windows(key, table, answers):
-        number, block = key[0].as_py(), _Block(table, length, n_blocks)
-        removed, at = block.decided(_bits(answers))
-        buckets, values, low, _ = block.window_classes(at)
-        out = [(b, number, WINDOWS, _packed(values[a : a + n]) + _packed_ids(low[a : a + n])) for b, a, n in _runs(buckets)]
-        still = np.zeros(len(block.raw), bool)
-        still[at] = True
-        return _sent([*out, (number, number, OWN, _packed(_edges(removed)) + _packed(_edges(still)))])
-
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-
-    def remove(key, table, answers):
-        number, block, bits = key[0].as_py(), _Block(table, length, n_blocks), _bits(answers)
-        edges, rest = _unpacked(memoryview(bits[OWN, number]))
-        removed, at = _mask(edges, len(block.raw)), np.flatnonzero(_mask(_unpacked(rest)[0], len(block.raw)))
-        buckets, _, low, where = block.window_classes(at)
-        gone = block._answers(buckets, bits, WINDOWS)[where] | (block.ids[block.doc[at]] > low[where])
-        start = np.flatnonzero(removed)
-        start = np.concatenate([start, at[gone]])
-        marks = np.zeros(len(block.raw) + 1, np.int32)
-        np.add.at(marks, start, 1)
-        np.add.at(marks, start + length, -1)
-        mask = np.cumsum(marks[:-1]) > 0
-        rows = []
-        for i, (a, b) in enumerate(zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist())):
-            own = mask[a:b]
-            if own.any():
-                edges = np.flatnonzero(np.diff(np.r_[False, own, False]))
-                rows.append((b - a, int(own.sum()), len(edges) // 2, hashlib.sha256(block.raw[a:b][~own].tobytes()).hexdigest(), edges[::2].tolist(), edges[1::2].tolist()))
-            else:
-                rows.append((b - a, 0, 0, hashlib.sha256(block.raw[a:b].tobytes()).hexdigest(), [], []))
-        kinds = [pa.int64()] * 3 + [pa.string()] + [pa.list_(pa.int64())] * 2
-        columns = [pa.array(block.ids, pa.int64())] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-        return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
-
-    def answered(sent: DataFrame) -> DataFrame:
-        found = checkpointed(sent.repartition(n_blocks, "bucket").groupBy("bucket").applyInArrow(_answer, _SENT))
-        return found.repartition(n_blocks, "block").groupBy("block")
-
-    by_block = blocks.groupBy("block")
-    first = answered(by_block.applyInArrow(send_ranks, _SENT))
-    _forget(spark)
-    second = answered(by_block.cogroup(first).applyInArrow(send_windows, _SENT))
-    _forget(spark)
-    out = by_block.cogroup(second).applyInArrow(remove, result)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    n_buckets = max(shuffle_partitions(spark), -(-int(3.5 * n_bytes) // bucket_bytes))
+    hot = _common_grams(whole, length, HOT_DOCS, HOT_SHARE)
+
+    def send(batches):
+        task = TaskContext.get().partitionId()
+        for k, texts in enumerate(_Texts().blocks(batches, block_bytes)):
+            yield from _cut(texts, length, n_buckets, hot, task << 32 | k)
+
+    sent = whole.mapInArrow(send, _ddl(_SENT))
+    answers = sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda table: _answers(table, length, at_once), _ddl(_SENT))
+    spans = answers.groupBy("piece").applyInArrow(lambda table: _spans(table, length), "doc_id long, key binary, starts array<long>, ends array<long>")
+    folder = scratch(spark, "spans")
+    with shuffle_files_dropped(spark):  # the stretches need not lie beside the texts of the last step
+        spans.dropDuplicates(["doc_id", "key"]).write.parquet(folder)
+    joined = whole.join(spark.read.schema(spans.schema).parquet(folder), ["doc_id", "key"], "left").select("doc_id", "text", "starts", "ends")
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, starts, ends in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist()):
+                kept, before, passages = hashlib.sha256(), 0, 0
+                for a, b in zip(starts or (), ends or ()):
+                    kept.update(text[before:a])
+                    before = b
+                    passages += b - a > 2 * PASSAGE_WORDS and len(text[a:b].split()) > PASSAGE_WORDS
+                kept.update(text[before:])
+                rows.append((len(text), sum(ends or ()) - sum(starts or ()), len(starts or ()), kept.hexdigest(), passages, starts or [], ends or []))
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64()] + [pa.list_(pa.int64())] * 2
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "starts", "ends"]
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=names)
+
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, starts array<long>, ends array<long>"
+    return joined.mapInArrow(remove, result).withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))

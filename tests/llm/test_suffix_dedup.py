@@ -58,5 +58,5 @@ def test_spans_against_brute_force(spark, seed, length):
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, block string, n_bytes int")
     assert _got(df, length=length) == _brute(rows, length)
     if seed == 1:
-        assert _got(df.repartition(5), length=length, block_bytes=2000) == _brute(rows, length)
+        assert _got(df.repartition(5), length=length, block_bytes=2000, bucket_bytes=5000, at_once=100) == _brute(rows, length)
         assert repeated_spans(df.limit(0)).count() == 0
