@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.operators.points import checkpointed, scratch  # noqa: F401  (the operators take them from here)
+
 #: White space as the operators' contracts have it: space and the code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,34 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Where neither is set, a local session gets a temporary folder; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of the session."""
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 @contextlib.contextmanager
 def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
     """Queries that end inside drop their shuffle files at their end, where Spark has that setting (4.1)."""
@@ -91,3 +63,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).where(F.length("_text") <= max_chars)
     joined = texts.join(F.broadcast(chosen), "doc_id")
     return joined.orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(max_rows).select("_label", "_text")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, columns: list[str], weight: str, n: int) -> DataFrame:
+    """``rows`` with the columns of the one row of ``table`` that has its key; ``weight`` is how many of the n rows that is.
+
+    Keys of more than a 500th of the rows (fewer than 500, so they are broadcast) are looked up where their rows are;
+    in the join of the others those rows are dealt out by a hash of all their columns.
+    """
+    hot = table.where(F.col(weight) > max(1000, n // 500)).select(key, F.struct(*columns).alias("_hot"))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).alias("_salt")
+    first = rows.join(F.broadcast(hot), key, "left").select("*", salt)
+    rest = table.select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*columns).alias("_cold"))
+    return first.join(rest, [key, "_salt"], "left").select(*rows.columns, F.coalesce("_hot", "_cold").alias("_found")).select(*rows.columns, "_found.*")
