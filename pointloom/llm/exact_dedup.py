@@ -7,22 +7,27 @@ free slot after the allowed number of moves doubles the filter and refills it fr
 Deletion takes the tag out of the filter and the digest out of the bucket.
 
 Rows go through the index twice: each map task merges its own rows (so a digest that a third of all rows
-share leaves each task once), then each shard merges what the tasks sent.
+share leaves each task once), then each shard merges what the tasks sent. The number of shards follows the number of
+rows, a map task's index leaves when it is full, and what leaves an index goes in small tables.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import SPACE, shuffle_partitions
+from pointloom.llm.common import SPACE, checkpointed, shuffle_partitions, spread_join
 
 SLOTS = 4
 MAX_MOVES = 200
+#: Rows for which there is a shard, and the digests that a map task's index holds at most.
+SHARD_ROWS = 200_000
+OUT_ROWS = 20_000
 INDEX_SCHEMA = "digest binary, keep_id long, n_chars long, group_size long"
 
 
@@ -144,16 +149,25 @@ def _merge(index: CuckooIndex, frame: pd.DataFrame) -> None:
             kept[2] += size
 
 
-def _merge_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    index = CuckooIndex()
-    for frame in frames:
-        _merge(index, frame)
-    yield _table(index)
+def _merge_partition(most: int | None = None):
+    """Merge the rows of a partition; an index of ``most`` digests leaves and a new one starts."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = CuckooIndex()
+        for frame in frames:
+            _merge(index, frame)
+            if most and index.size >= most:
+                yield from _tables(index)
+                index = CuckooIndex()
+        yield from _tables(index)
 
-def _table(index: CuckooIndex) -> pd.DataFrame:
-    rows = [(digest, v[1], v[0], v[2]) for digest, v in index.items()]
-    return pd.DataFrame(rows, columns=["digest", "keep_id", "n_chars", "group_size"])
+    return run
+
+
+def _tables(index: CuckooIndex) -> Iterator[pd.DataFrame]:
+    entries = index.items()
+    while rows := [(digest, v[1], v[0], v[2]) for digest, v in islice(entries, OUT_ROWS)]:
+        yield pd.DataFrame(rows, columns=["digest", "keep_id", "n_chars", "group_size"])
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -163,16 +177,16 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(bare, 256)).alias("digest"), F.length(whole).cast("long").alias("n_chars"))
 
 
-def build_index(rows: DataFrame) -> DataFrame:
+def build_index(rows: DataFrame, n_rows: int | None = None) -> DataFrame:
     """One row per distinct digest: keep_id, its n_chars and the group's size.
 
     ``rows`` is what :func:`digests` returns. The row with most code points, then the smallest id, is kept;
     a null id counts as larger than every other and comes back as null.
     """
-    spark = rows.sparkSession
     one = rows.select("digest", F.coalesce("doc_id", F.lit(_NO_ID)).alias("keep_id"), "n_chars", F.lit(1).cast("long").alias("group_size"))
-    local = one.mapInPandas(_merge_partition, INDEX_SCHEMA)
-    merged = local.repartition(shuffle_partitions(spark), "digest").mapInPandas(_merge_partition, INDEX_SCHEMA)
+    shards = max(shuffle_partitions(rows.sparkSession), -(-(rows.count() if n_rows is None else n_rows) // SHARD_ROWS))
+    local = one.mapInPandas(_merge_partition(SHARD_ROWS), INDEX_SCHEMA)
+    merged = local.repartition(shards, "digest").mapInPandas(_merge_partition(), INDEX_SCHEMA)
     return merged.withColumn("keep_id", F.when(F.col("keep_id") != _NO_ID, F.col("keep_id")))
 
 
@@ -197,7 +211,7 @@ def apply_changes(index: DataFrame, changes: DataFrame, shards: int = 64) -> Dat
                 live.delete(bytes(digest))
             elif op == "insert":
                 _merge(live, pd.DataFrame({"digest": [digest], "keep_id": [doc_id], "n_chars": [n_chars], "group_size": [1]}))
-        return _table(live)
+        return pd.concat([pd.DataFrame(columns=["digest", "keep_id", "n_chars", "group_size"]), *_tables(live)])
 
     out = a.groupBy("shard").cogroup(b.groupBy("shard")).applyInPandas(update, INDEX_SCHEMA)
     return out.withColumn("keep_id", F.when(F.col("keep_id") != _NO_ID, F.col("keep_id")))
@@ -211,8 +225,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     table gives an empty result; other columns of ``docs`` are not read.
     """
     rows = digests(docs, text, doc_id)
-    index = build_index(rows).select("digest", "keep_id", "group_size")
-    return rows.join(index, "digest").select(
+    n = docs.count()
+    index = checkpointed(build_index(rows, n))
+    return spread_join(rows, index, "digest", ["keep_id", "group_size"], "group_size", n).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -222,13 +237,19 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def kept_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that stay, with the columns of ``docs``: one row of each group of equal texts."""
-    digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE + "+", ""), 256))
-    index = build_index(digests(docs, text, doc_id)).select("digest", "keep_id", F.col("n_chars").alias("_n"))
-    rows = docs.select(F.struct("*").alias("_doc"), digest.alias("digest"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("_n_chars"))
-    kept = rows.join(index, "digest").where(F.col(f"_doc.{doc_id}").eqNullSafe(F.col("keep_id")) & (F.col("_n_chars") == F.col("_n")))
+    """The rows that stay, with the columns of ``docs``: one row of each group of equal texts.
+
+    Null texts count as empty, so one document without text stays; of null ids and repeated rows see
+    :func:`exact_dedup`. An empty table stays empty.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    digest = F.unhex(F.sha2(F.regexp_replace(whole, SPACE + "+", ""), 256))
+    # by digest, id and length at once: the rows of a large group are dealt out by their ids
+    key = lambda d, i, n: F.struct(d.alias("digest"), i.alias("id"), n.cast("long").alias("n")).alias("_key")
+    kept = build_index(digests(docs, text, doc_id), docs.count()).select(key(F.col("digest"), F.col("keep_id"), F.col("n_chars")))
+    rows = docs.select(F.struct("*").alias("_doc"), key(digest, F.col(doc_id).cast("long"), F.length(whole)))
     # rows that repeat the keeper's id and length; few, as all others are gone by now
-    first = kept.withColumn("_k", F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(0))))
+    first = rows.join(kept, "_key").withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
     return first.where("_k = 1").select("_doc.*")
 
 

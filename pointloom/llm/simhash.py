@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import checkpointed, shuffle_partitions
+from pointloom.llm.common import checkpointed, shuffle_partitions, spread_join
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -208,15 +208,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links.
 
     A row without an id is a node like others, but null is nobody's component_id unless all ids reachable are
-    null. Repeated rows share their result. Other columns of ``docs`` are not read.
+    null. Texts without words, null among them, have fingerprint 0. Repeated rows share their result; an empty table
+    gives an empty result. Other columns of ``docs`` are not read.
     """
     fps = checkpointed(fingerprints(docs, words))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(links(nodes.select("fp"), radius, chunk_rows))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = checkpointed(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
+    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("nodes"))
+    n_nodes, n = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    named = spread_join(placed, lowest, "root", ["component_id"], "nodes", n_nodes).select("fp", "n", "component_id")
+    return spread_join(fps, named, "fp", ["component_id"], "n", n).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:

@@ -42,6 +42,25 @@ def test_exact_dedup_against_brute_force(spark):
     assert exact_dedup(df.limit(0)).count() == 0
 
 
+def test_full_indexes_hot_digests_and_long_texts(spark, monkeypatch):
+    from pointloom.llm import common, exact_dedup as module
+
+    monkeypatch.setattr(module, "SHARD_ROWS", 40)
+    monkeypatch.setattr(module, "OUT_ROWS", 7)
+    rows = [(i, f"text {i % 97 if i % 3 else 0}") for i in range(3000)] + [(5000, "é " * 400_000), (5001, "é" * 400_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup(df).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+    assert got == {i: (min(groups[t.replace(" ", "")])[1], len(groups[t.replace(" ", "")])) for i, t in rows}
+    kept = sorted(r["doc_id"] for r in module.kept_documents(df).collect())
+    assert kept == sorted(min(g)[1] for g in groups.values())
+    table = spark.createDataFrame([(0, "hot", 2000), (1, "cold", 1)], "k long, name string, n long")
+    joined = common.spread_join(spark.range(2001).selectExpr("CAST(id = 2000 AS long) AS k", "id"), table, "k", ["name"], "n", 2001)
+    assert sorted((r["name"], r["id"]) for r in joined.collect()) == [("cold", 2000)] + [("hot", i) for i in range(2000)]
+
+
 def test_changes(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a a")], "doc_id long, text string")
     index = build_index(digests(docs))
