@@ -30,8 +30,11 @@ MAX_PAGES = 300
 MAX_CHARS = 60_000
 TEMPLATES = 900
 
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
-_MARKUP = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
+# A tag's attributes as browsers read them: a quote opens a value only behind "="; one that nothing closes is a plain
+# character. Every part is atomic, so no page takes more than one reading.
+_MARKUP = re.compile(
+    r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?>\s*+=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+)*+)>|<[!?][^>]*>"
+)
 _ATTRIBUTES = re.compile(r"(?:^|\s)(?:class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object"}
@@ -82,6 +85,7 @@ def parse(page: str) -> Nodes:
     tags, parents, attrs, runs, links = ["html"], [-1], [""], [None], [0]
     open_: list[tuple[str, int]] = [("html", 0)]  # inline elements carry the node of their block
     run, in_link, at, n = -1, 0, 0, len(page)
+    end_of_markup = max(page.rfind(">") + 1, page.rfind("<!--") + 4)  # behind it no tag can end
 
     def text(piece: str) -> None:
         nonlocal run
@@ -90,7 +94,7 @@ def parse(page: str) -> Nodes:
         if "&" in piece:
             piece = html.unescape(piece)
         if run < 0:
-            if not piece.strip(" \t\n\x0b\x0c\r"):
+            if not piece.strip():
                 return
             run = len(tags)
             tags.append("")
@@ -103,7 +107,7 @@ def parse(page: str) -> Nodes:
             links[run] += len(piece)
 
     while at < n:
-        m = _MARKUP.search(page, at)
+        m = _MARKUP.search(page, at, end_of_markup)
         if m is None:
             text(page[at:])
             break
@@ -193,7 +197,8 @@ def _good_bad(attributes: str) -> tuple[int, int]:
 
 
 def run_text(pieces: list[str]) -> str:
-    return _SPACES.sub(" ", "".join(pieces)).strip(" ")
+    """The text of a run: all white space that Unicode knows, as no-break spaces, is one space, and none at the ends."""
+    return " ".join("".join(pieces).split())
 
 
 def features(nodes: Nodes) -> tuple[np.ndarray, list[str]]:
@@ -474,7 +479,13 @@ def fit(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS
 
 
 def main_text(pages: DataFrame, keep: list[str] | None = None, model: BoostedTrees | None = None, **options) -> DataFrame:
-    """The columns ``keep`` (page_id and url if None), text and n_chars of every page; a null page counts as empty."""
+    """The columns ``keep`` (page_id and url if None), text and n_chars (its code points) of every page.
+
+    Null, empty and markup-only pages have the text "". Character references are decoded first, then all Unicode white
+    space in a run becomes one space; runs are joined by one. Pages are parsed whole, however long. Repeated pages have
+    equal results; an empty table gives an empty result (its model is fitted on templates alone); extra columns of
+    ``pages`` are not read. Fitting looks at a bounded sample (:func:`fit`).
+    """
     keep = ["page_id", "url"] if keep is None else keep
     shared = pages.sparkSession.sparkContext.broadcast(model or fit(pages, **options))  # of fixed size: the trees
 

@@ -29,7 +29,7 @@ def _texts(page):
 def test_parse_mends_and_decodes():
     assert _texts("<p>a &amp; b<br>c<p>d<b>e</b>f<script>x</script> g<!-- no --><div>h</div>i") == ["a & b c", "def g", "h", "i"]
     assert _texts("<ul><li>one<li>two</ul>t<table><tr><td>x<td>y</table>") == ["one", "two", "t", "x", "y"]
-    assert _texts("") == [] and _texts("<") == ["<"] and _texts("a < b &lt;c&gt; &#233;&nbsp;&bogus;") == ["a < b <c> é\xa0&bogus;"]
+    assert _texts("") == [] and _texts("<") == ["<"] and _texts("a < b &lt;c&gt; &#233;&nbsp;&bogus;") == ["a < b <c> é &bogus;"]
     assert _texts("<div class='a>b'>x</div><!-- open") == ["x"] and _texts("<style>p{}") == []
     assert _texts("</p></div><b>q</b></x>") == ["q"]
 
@@ -41,6 +41,16 @@ def test_raw_elements_behind_letters_that_grow_when_lowered():
     assert _texts("<script>a</ſcript>b</script>c") == ["c"]
 
 
+def test_quotes_in_and_around_attribute_values():
+    assert _texts("<p data-x=it's>inner words are here</p>") == ["inner words are here"]
+    assert _texts("<p a='1' b = 2 c>one</p><p title=\"x>y\">two</p><p x=\"1\"y='2'>three") == ["one", "two", "three"]
+    assert _texts('<p title="open>four</p> five') == ["four", "five"]
+    assert _texts("<p a=>six</p><P =x>seven</P><a href=/x/>eight</a>") == ["six", "seven", "eight"]
+    assert _texts("a\u00a0 \u3000b&nbsp;&nbsp;c&nbsp;<br>&nbsp;") == ["a b c"]
+    for odd in ("<p " + "a" * 200_000, '<p a="' * 20_000, "<" * 200_000, "<p " + "a= " * 100_000, "<p a='" * 20_000 + ">"):
+        ht.parse(odd)  # none takes long
+
+
 def test_decode_is_the_best_consistent_labelling():
     rng = np.random.default_rng(3)
     for _ in range(60):
