@@ -35,6 +35,18 @@ def test_long_text_without_white_space(model):
     assert next(own.encode([text])).tolist() == lib.encode(text)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "的一是在不了有和人这中大为上个国我以要他时来用们"])
+def test_a_word_of_a_million_letters(model, letters):
+    own, lib = pieces.coder(model), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    text = "".join(random.Random(3).choices(letters, k=1_000_000))
+    tracemalloc.start()
+    ids = next(own.encode([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000_000
+    assert ids.tolist() == lib.encode(text)
+
+
 def test_memory_grows_with_the_length_of_a_word(model):
     own, peaks = pieces.coder(model), []
     own.learn({" 日本"})
