@@ -6,7 +6,8 @@ A suffix (a position of a document) repeats if its first ``length`` bytes also s
    least gram (by a hash of the gram). Equal strings have the same least gram, so a bucket of suffixes is named by
    it, and a stretch carries the bytes of all its suffixes once. Grams that a sample of documents shows to be
    common count as the largest, so that no bucket is hot. A stretch that a task has twice is decided there.
-2. Each bucket sorts its suffixes, one range of first bytes at a time, by their first 16 bytes. Ties that documents
+2. Each bucket leaves out the suffixes that share no slot of a hash table with another id, and sorts the others, one
+   range of first bytes at a time, by their first 16 bytes. Ties that documents
    of different ids share are resolved by the ranks of a difference cover: positions whose residue lies in a set of
    which every residue is a difference are ranked by their first ``length - period + 1`` bytes (a true order: ranks
    are equal where the bytes are), so that any two suffixes have cover positions at one distance below ``period``
@@ -35,7 +36,7 @@ LENGTH = 50
 #: Bytes of text that a task cuts into stretches at a time.
 BLOCK_BYTES = 8 << 20
 #: Bytes of stretches that a bucket holds on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 12 << 20
 #: Suffixes that a bucket sorts at once, as far as their first two bytes tell them apart.
 SORTED_AT_ONCE = 1 << 20
 #: Documents looked at for common grams, and the share of them that makes a gram common.
@@ -49,6 +50,7 @@ PASSAGE_WORDS = 50
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
 _HOT = np.uint32(1 << 31)
+_PART = 1 << 17
 ANSWER, OWN = 0, 1
 
 
@@ -99,11 +101,9 @@ def stretches(raw: np.ndarray, bounds: np.ndarray, length: int, hot: np.ndarray,
         least = _least_grams(raw[s : min(len(raw), s + slab + length - 1)], length, hot)
         n = len(least)
         # the last length - 1 positions of a text start no string of it
-        near = bounds[(bounds > s) & (bounds - length + 1 < s + n)] - s
-        marks = np.zeros(n + 1, np.int32)
-        np.add.at(marks, np.clip(near - length + 1, 0, n), 1)
-        np.add.at(marks, np.clip(near, 0, n), -1)
-        fits = np.cumsum(marks[:-1]) == 0
+        fits = np.ones(n, bool)
+        for end in (bounds[(bounds > s) & (bounds - length + 1 < s + n)] - s).tolist():
+            fits[max(0, end - length + 1) : end] = False
         edge = ~fits
         edge[0] = True
         edge[1:] |= ~fits[:-1] | (least[1:] != least[:-1])
@@ -165,12 +165,12 @@ def _edges(mask: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.r_[False, mask, False]))
 
 
-def _equal_stretches(raw: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _equal_stretches(data: bytes, first: np.ndarray, last: np.ndarray, gram: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which stretches have the bytes of one of a smaller id."""
     gone = np.zeros(len(first), bool)
     if len(first) < 2:
         return gone
-    words = _words(raw, "<")
+    words = _words(np.frombuffer(data, np.uint8), "<")
     key = gram.astype(_U) + (last - first).astype(_U) * _U(0xC2B2AE3D27D4EB4F)
     for at in (first, (first + last) // 2 - 4, last - 8):
         key = (key ^ words[at]) * _U(0x9E3779B97F4A7C15)
@@ -178,14 +178,13 @@ def _equal_stretches(raw: np.ndarray, first: np.ndarray, last: np.ndarray, gram:
     order = np.lexsort((ids, key))
     key = key[order]
     leads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    view = memoryview(raw)
-    for a, b in zip(leads.tolist(), np.append(leads[1:], len(key)).tolist()):
-        if b - a > 1:
-            lead = order[a]
-            whole = view[first[lead] : last[lead]]
-            for k in order[a + 1 : b].tolist():
-                if ids[k] > ids[lead] and view[first[k] : last[k]] == whole:
-                    gone[k] = True
+    ends = np.append(leads[1:], len(key))
+    for a, b in zip(leads[ends - leads > 1].tolist(), ends[ends - leads > 1].tolist()):
+        lead = order[a]
+        whole = data[first[lead] : last[lead]]
+        for k in order[a + 1 : b].tolist():
+            if ids[k] > ids[lead] and data[first[k] : last[k]] == whole:
+                gone[k] = True
     return gone
 
 
@@ -223,7 +222,7 @@ class _Texts:
         if self.held:
             yield self.taken()
 
-    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def taken(self) -> tuple[np.ndarray, bytes, np.ndarray, bytes]:
         """ids, keys (16 bytes each), sizes and bytes of the held rows, without repeated rows, by id."""
         table = pa.Table.from_batches(self.held)
         self.held, self.size = [], 0
@@ -235,20 +234,19 @@ class _Texts:
                 seen.add((ids[k], keys[k]))
                 rows.append(k)
         texts = [c.as_buffer() for c in table.column("text").cast(pa.binary()).take(pa.array(rows, pa.int64()))]
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        return ids[rows], np.frombuffer(b"".join(keys[k] for k in rows), np.uint8), np.array([t.size for t in texts], np.int64), raw
+        return ids[rows], b"".join(keys[k] for k in rows), np.array([t.size for t in texts], np.int64), b"".join(texts)
 
 
 def _cut(texts: tuple, length: int, n_buckets: int, hot: np.ndarray, piece: int) -> Iterator[pa.RecordBatch]:
     """What a block of texts sends: its stretches to their buckets, and its table of documents."""
-    ids, keys, sizes, raw = texts
+    ids, keys, sizes, data = texts
     ends = np.cumsum(sizes)
-    first, count, gram = stretches(raw, ends, length, hot)
+    first, count, gram = stretches(np.frombuffer(data, np.uint8), ends, length, hot)
     own = ids[np.searchsorted(ends, first, "right")]
     last = first + count + length - 1
-    gone = _equal_stretches(raw, first, last, gram, own)
+    gone = _equal_stretches(data, first, last, gram, own)
     decided = _runs(first[gone], count[gone])
-    table = _pressed(_gaps(ids), sizes.astype(_U), tail=keys.tobytes() + _pressed(_gaps(decided)))
+    table = _pressed(_gaps(ids), sizes.astype(_U), tail=keys + _pressed(_gaps(decided)))
     yield _sent([(piece % n_buckets, piece, OWN, table)])
     left = np.flatnonzero(~gone)
     mixed = (gram[left].astype(_U) + _U(1)) * _U(0x94D049BB133111EB)
@@ -256,11 +254,11 @@ def _cut(texts: tuple, length: int, n_buckets: int, hot: np.ndarray, piece: int)
     bucket = ((mixed >> _U(32)) * _U(n_buckets)) >> _U(32)
     left = left[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket)
-    view, rows = memoryview(raw), []
+    rows = []
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
     for a, b in zip(starts, np.append(starts[1:], len(bucket)) if len(bucket) else []):
         some = left[a:b]
-        bytes_ = b"".join([view[i:j] for i, j in zip(first[some].tolist(), last[some].tolist())])
+        bytes_ = b"".join([data[i:j] for i, j in zip(first[some].tolist(), last[some].tolist())])
         rows.append((int(bucket[a]), piece, ANSWER, _pressed(_gaps(first[some]), count[some].astype(_U), _gaps(own[some]), tail=bytes_)))
         if len(rows) == 64:
             yield _sent(rows)
@@ -328,11 +326,10 @@ def repeats(raw: np.ndarray, at: np.ndarray, residue: np.ndarray, ids: np.ndarra
     covered[near] = True
     sample = np.flatnonzero(covered)
     order, rank = _ranks(*[words[sample + k].astype(_U) for k in (*range(0, size - 8, 8), size - 8)])
-    rank_of = np.empty(len(sample), np.int64)
-    rank_of[order] = rank
+    rank_of = np.empty(len(raw), np.int32)
+    rank_of[sample[order]] = rank
     # one row for each suffix and cover position: the same group, distance and rank are the same string
-    place = rank_of[np.searchsorted(sample, near.ravel())]
-    both = ((group - group[0]).repeat(steps.shape[1]) * period + steps.ravel()) * (int(rank[-1]) + 1) + place
+    both = ((group - group[0]).repeat(steps.shape[1]) * period + steps.ravel()) * (int(rank[-1]) + 1) + rank_of[near.ravel()]
     order = np.argsort(both, kind="stable")
     both = both[order]
     first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
@@ -343,6 +340,26 @@ def repeats(raw: np.ndarray, at: np.ndarray, residue: np.ndarray, ids: np.ndarra
     return out
 
 
+def _perhaps_repeated(raw: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """Rows of the strings that may occur under several ids: the others share no slot of a table with another id."""
+    words, rows = _words(raw, "<"), np.arange(len(at))
+    for k in (0, 8):
+        bits = min(24, len(rows).bit_length() + 2)
+        slot, last, several = np.empty(len(rows), np.int32), np.empty(1 << bits, np.int32), np.zeros(1 << bits, bool)
+        parts = [slice(a, a + _PART) for a in range(0, len(rows), _PART)]  # small ones, as they stay in the cache
+        for part in parts:
+            own = rows[part]
+            start = at[own]
+            h = words[start + k] * _U(0x9E3779B97F4A7C15)
+            h ^= (words[start + (length - 8 - k)] ^ (h >> _U(31))) * _U(0xC2B2AE3D27D4EB4F)
+            slot[part] = h >> _U(64 - bits)
+            last[slot[part]] = ids[own]
+        for part in parts:
+            several[slot[part][last[slot[part]] != ids[rows[part]]]] = True
+        rows = rows[np.concatenate([several[slot[part]] for part in parts])] if parts else rows
+    return rows
+
+
 def _answers(table: pa.Table, length: int, at_once: int) -> pa.Table:
     """Of one bucket: which suffixes of each piece repeat. What a piece sends for itself passes."""
     pieces, kinds, payloads = (table.column(c).to_pylist() for c in ("piece", "kind", "payload"))
@@ -358,17 +375,18 @@ def _answers(table: pa.Table, length: int, at_once: int) -> pa.Table:
         raw = np.frombuffer(b"".join(rest for _, rest in opened), np.uint8)
         ends = np.cumsum([len(c[0]) for c, _ in opened])
         del opened, payloads
-        size = count + length - 1
+        size, before = count + length - 1, np.cumsum(count) - count
         start = np.cumsum(size) - size
-        of = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        at = start[of] + step
+        at = np.arange(int(count.sum())) + np.repeat(start - before, count)
+        rows = _perhaps_repeated(raw, at, np.repeat(np.unique(ids, return_inverse=True)[1].astype(np.int32), count), length)
+        at, of = at[rows], np.searchsorted(before, rows, "right") - 1
+        step = rows - before[of]
         prefix = (raw[at].astype(np.int32) << 8) | raw[at + 1]
         gone = np.zeros(len(at), bool)
         for a, b in _ranges(np.bincount(prefix, minlength=1 << 16), at_once):
-            rows = np.flatnonzero((prefix >= a) & (prefix < b))
-            if len(rows) > 1:
-                gone[rows] = repeats(raw, at[rows], step[rows], ids[of[rows]], length)
+            some = np.flatnonzero((prefix >= a) & (prefix < b))
+            if len(some) > 1:
+                gone[some] = repeats(raw, at[some], step[some], ids[of[some]], length)
         position = where[of[gone]] + step[gone]
         cuts = np.searchsorted(of[gone], ends)
         for i, a, b in zip(own, [0, *cuts[:-1]], cuts):
