@@ -6,8 +6,8 @@ A suffix (a position of a document) repeats if its first ``length`` bytes also s
    least gram (by a hash of the gram). Equal strings have the same least gram, so a bucket of suffixes is named by
    it, and a stretch carries the bytes of all its suffixes once. Grams that a sample of documents shows to be
    common count as the largest, so that no bucket is hot. A stretch that a task has twice is decided there.
-2. Each bucket leaves out the suffixes that share no slot of a hash table with another id, and sorts the others, one
-   range of first bytes at a time, by their first 16 bytes. Ties that documents
+2. Each bucket decides equal stretches as wholes, leaves out stretches and suffixes that share no slot of a hash table
+   with another id, and sorts the other suffixes, one range of first bytes at a time, by their first 16 bytes. Ties that documents
    of different ids share are resolved by the ranks of a difference cover: positions whose residue lies in a set of
    which every residue is a difference are ranked by their first ``length - period + 1`` bytes (a true order: ranks
    are equal where the bytes are), so that any two suffixes have cover positions at one distance below ``period``
@@ -36,7 +36,7 @@ LENGTH = 50
 #: Bytes of text that a task cuts into stretches at a time.
 BLOCK_BYTES = 8 << 20
 #: Bytes of stretches that a bucket holds on average.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 #: Suffixes that a bucket sorts at once, as far as their first two bytes tell them apart.
 SORTED_AT_ONCE = 1 << 20
 #: Documents looked at for common grams, and the share of them that makes a gram common.
@@ -94,7 +94,7 @@ def _least_grams(raw: np.ndarray, length: int, hot: np.ndarray) -> np.ndarray:
     return least
 
 
-def stretches(raw: np.ndarray, bounds: np.ndarray, length: int, hot: np.ndarray, slab: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stretches(raw: np.ndarray, bounds: np.ndarray, length: int, hot: np.ndarray, slab: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First suffix, number of suffixes and least gram of each stretch, in order. ``bounds`` are the texts' ends, from 0 on."""
     firsts, counts, grams = [], [], []
     for s in range(0, len(raw) - length + 1, slab):
@@ -259,7 +259,7 @@ def _cut(texts: tuple, length: int, n_buckets: int, hot: np.ndarray, piece: int)
     for a, b in zip(starts, np.append(starts[1:], len(bucket)) if len(bucket) else []):
         some = left[a:b]
         bytes_ = b"".join([data[i:j] for i, j in zip(first[some].tolist(), last[some].tolist())])
-        rows.append((int(bucket[a]), piece, ANSWER, _pressed(_gaps(first[some]), count[some].astype(_U), _gaps(own[some]), tail=bytes_)))
+        rows.append((int(bucket[a]), piece, ANSWER, _pressed(_gaps(first[some]), count[some].astype(_U), _gaps(own[some]), gram[some].astype(_U) & _U(0xFFFFFF), tail=bytes_)))
         if len(rows) == 64:
             yield _sent(rows)
             rows = []
@@ -344,7 +344,7 @@ def _perhaps_repeated(raw: np.ndarray, at: np.ndarray, ids: np.ndarray, length:
     """Rows of the strings that may occur under several ids: the others share no slot of a table with another id."""
     words, rows = _words(raw, "<"), np.arange(len(at))
     for k in (0, 8):
-        bits = min(24, len(rows).bit_length() + 2)
+        bits = min(24, len(rows).bit_length() + 1)
         slot, last, several = np.empty(len(rows), np.int32), np.empty(1 << bits, np.int32), np.zeros(1 << bits, bool)
         parts = [slice(a, a + _PART) for a in range(0, len(rows), _PART)]  # small ones, as they stay in the cache
         for part in parts:
@@ -367,31 +367,38 @@ def _answers(table: pa.Table, length: int, at_once: int) -> pa.Table:
     out = [(bucket, p, OWN, x) for p, k, x in zip(pieces, kinds, payloads) if k == OWN]
     own = [i for i, k in enumerate(kinds) if k != OWN]
     if own:
-        opened = [_opened(payloads[i], 3) for i in own]
-        where, count, ids = (np.concatenate([c[k] for c, _ in opened]) for k in range(3))
-        where = np.concatenate([_ungapped(c[0]) for c, _ in opened])
-        ids = np.concatenate([_ungapped(c[2]) for c, _ in opened])
-        count = count.astype(np.int64)
-        raw = np.frombuffer(b"".join(rest for _, rest in opened), np.uint8)
+        opened = [_opened(payloads[i], 4) for i in own]
+        where, ids = (np.concatenate([_ungapped(c[k]) for c, _ in opened]) for k in (0, 2))
+        count, gram = (np.concatenate([c[k].astype(np.int64) for c, _ in opened]) for k in (1, 3))
         ends = np.cumsum([len(c[0]) for c, _ in opened])
+        data = b"".join([rest for _, rest in opened])
         del opened, payloads
-        size, before = count + length - 1, np.cumsum(count) - count
+        raw, size = np.frombuffer(data, np.uint8), count + length - 1
         start = np.cumsum(size) - size
-        at = np.arange(int(count.sum())) + np.repeat(start - before, count)
-        rows = _perhaps_repeated(raw, at, np.repeat(np.unique(ids, return_inverse=True)[1].astype(np.int32), count), length)
-        at, of = at[rows], np.searchsorted(before, rows, "right") - 1
-        step = rows - before[of]
+        whole = _equal_stretches(data, start, start + size, gram, ids)
+        # of the others, those whose gram stretches of several ids share
+        left = np.flatnonzero(~whole)
+        left = left[np.argsort(gram[left], kind="stable")]
+        left = np.sort(left[_tied(gram[left], ids[left])])
+        n = count[left]
+        before = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(start[left] - before, n)
+        rows = _perhaps_repeated(raw, at, np.repeat(np.unique(ids[left], return_inverse=True)[1].astype(np.int32), n), length)
+        place = np.searchsorted(before, rows, "right") - 1
+        at, of, step = at[rows], left[place], rows - before[place]
         prefix = (raw[at].astype(np.int32) << 8) | raw[at + 1]
         gone = np.zeros(len(at), bool)
         for a, b in _ranges(np.bincount(prefix, minlength=1 << 16), at_once):
             some = np.flatnonzero((prefix >= a) & (prefix < b))
             if len(some) > 1:
                 gone[some] = repeats(raw, at[some], step[some], ids[of[some]], length)
-        position = where[of[gone]] + step[gone]
-        cuts = np.searchsorted(of[gone], ends)
-        for i, a, b in zip(own, [0, *cuts[:-1]], cuts):
-            if b > a:
-                out.append((bucket, pieces[i], ANSWER, _pressed(_gaps(_runs(position[a:b], np.ones(b - a, np.int64))))))
+        position, of, whole = where[of[gone]] + step[gone], of[gone], np.flatnonzero(whole)
+        for i, a, b in zip(own, [0, *ends[:-1]], ends):
+            singles = position[np.searchsorted(of, a) : np.searchsorted(of, b)]
+            full = whole[np.searchsorted(whole, a) : np.searchsorted(whole, b)]
+            if len(singles) or len(full):
+                runs = [_runs(singles, np.ones(len(singles), np.int64)), _runs(where[full], count[full])]
+                out.append((bucket, pieces[i], ANSWER, _pressed(_gaps(np.concatenate(runs)))))
     return pa.Table.from_batches([_sent(out)])
 
 
