@@ -250,7 +250,12 @@ def _shared(docs: DataFrame, path: str):
 
 
 def encode(docs: DataFrame, keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
-    """The columns ``keep`` (doc_id if None), ids (array of int) and n_tokens; a null or empty text has no ids."""
+    """The columns ``keep`` (doc_id if None), ids (array of int) and n_tokens.
+
+    A null or empty text has no ids. Texts are encoded whole, in memory that grows with their length. Repeated rows
+    have equal results; an empty table gives an empty result; columns of ``docs`` beside ``keep`` and text, ids and
+    n_tokens among them, are not read.
+    """
     keep = ["doc_id"] if keep is None else keep
     shared = _shared(docs, model)
 
@@ -284,7 +289,8 @@ def encode_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """What encoding and decoding every whole text gives, without the ids themselves.
 
     Columns: doc_id, n_tokens, n_byte_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and
-    round_trip (whether decoding gives the text, a mark in it read as a space).
+    round_trip (whether decoding gives the text, a mark in it read as a space). Nulls, long texts, repeated rows, empty
+    tables and other columns as in :func:`encode`.
     """
     shared = _shared(docs, model)
 

@@ -209,12 +209,20 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, ke
 
 
 def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the model predicts to be of quality, with the columns of ``docs``."""
+    """The rows of ``docs`` that the model predicts to be of quality, with the columns of ``docs``.
+
+    Null texts count as empty; repeated rows share their fate; columns may have any names.
+    """
     out = score(docs.select(F.struct("*").alias("_doc"), "text"), model, threshold, ["_doc"])
     return out.where("predicted = 1").select("_doc.*")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, by a model fitted on the rest of the folds."""
+    """doc_id, held_out, score and predicted of every document, by a model fitted on the rest of the folds.
+
+    Null texts count as empty, which have a score of their own; long texts are scored whole. Null ids are in the fold
+    of the empty text, repeated rows have equal results, an empty table gives an empty result, and other columns of
+    ``docs`` (``score`` or ``predicted`` too) are not read. Without labels every score is one half.
+    """
     scored = score(docs, fit(docs, labels, **options))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -76,6 +76,8 @@ def section_tokens(docs: DataFrame, rule: str = "start", sections: Callable[[byt
 
     Columns: doc_id, section (from 0), start and end (code points), n_tokens, n_crossing (tokens allocated here that
     reach into another section) and doc_tokens. A null or empty text has one section of no characters and no tokens.
+    Long texts are encoded whole; repeated rows and null ids each have their sections; an empty table gives an empty
+    result; other columns of ``docs``, ``section`` or ``start`` among them, are not read.
     ``sections`` gets a text's UTF-8 bytes and returns the first byte of each section.
     """
     if rule not in RULES:

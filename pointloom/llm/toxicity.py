@@ -177,7 +177,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """doc_id, held_out, score, predicted, and where the document offends most.
 
     worst_start and worst_end are the character span of the sentence of highest score (null without a sentence),
-    n_offending counts the sentences of a score of at least one half. Null texts count as empty.
+    n_offending counts the sentences of a score of at least one half. Null and empty texts have no sentence and score
+    0; long texts are scored whole. Null ids are in the fold of the empty text, repeated rows have equal results, an
+    empty table gives an empty result, and other columns of ``docs`` (``score`` or ``predicted`` too) are not read.
+    Without any label of one kind every score is 0.
     """
     model = fit(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: one float per column
