@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from pointloom.operators.joins import nearest, paired
 from pointloom.operators.selection import shift_rotate
-from pointloom.operators.stats import TAU, fold
+from pointloom.operators.stats import TAU, fold, mean, stdev, sums
 
 
-def closest_points(df: DataFrame, pairs: DataFrame, cell: float, extra: list[str] = []) -> DataFrame:  # noqa: B006
+def closest_points(df: DataFrame, pairs: DataFrame, extra: list[str] = []) -> DataFrame:  # noqa: B006
     """For each pair (set_a, set_b) and each point of either set the closest point of the other: direction 12 or 21."""
     side = lambda own, d: pairs.join(df.select(F.col("set_id").alias(own), "idx", "x", "y", *extra), own).withColumn("direction", F.lit(d))
     # the points of both sets, told apart by the direction in which they ask and are asked
     asked = side("set_a", 12).unionByName(side("set_b", 21))
     given = side("set_b", 12).unionByName(side("set_a", 21))
-    return nearest(asked, given, cell, ["set_a", "set_b", "direction"], ref_id=["idx", "x", "y", *extra])
+    return nearest(asked, given, ["set_a", "set_b", "direction"], ref_id=["idx", "x", "y", *extra])
 
 
 def _transformed(d: Column, transform: str | None, parameter: float) -> Column:
@@ -27,19 +27,19 @@ def _transformed(d: Column, transform: str | None, parameter: float) -> Column:
     return d
 
 
-def figural_distance(df: DataFrame, pairs: DataFrame, cell: float | None = None, transform: str | None = None, parameter: float = 1.0, orientation: str | None = None, base: float = 360.0) -> DataFrame:
-    """set_a, set_b and distance: the mean distance to the closest point, both ways; without ``cell`` point by point.
+def figural_distance(df: DataFrame, pairs: DataFrame, pointwise: bool = False, transform: str | None = None, parameter: float = 1.0, orientation: str | None = None, base: float = 360.0) -> DataFrame:
+    """set_a, set_b and distance: the mean distance to the closest point, both ways, or ``pointwise`` that of paired points.
 
     ``transform`` ('log' or 'power') is applied to each distance; with ``orientation`` the mean absolute difference of
     that column of the matched points comes along, as a share of half the base.
     """
     extra = [orientation] if orientation else []
-    if cell is None:
+    if pointwise:
         m = paired(df, pairs, "x", "y", *extra)
         d = F.sqrt(F.pow(F.col("a_x") - F.col("b_x"), 2) + F.pow(F.col("a_y") - F.col("b_y"), 2))
         turn = F.abs(fold(F.col(f"a_{orientation}") - F.col(f"b_{orientation}"), base)) if orientation else None
     else:
-        m = closest_points(df, pairs, cell, extra)
+        m = closest_points(df, pairs, extra)
         d = F.col("distance")
         turn = F.abs(fold(F.col(orientation) - F.col(f"ref_{orientation}"), base)) if orientation else None
     aggs = [F.avg(_transformed(d, transform, parameter)).alias("distance"), F.count("*").alias("n")]
@@ -48,10 +48,10 @@ def figural_distance(df: DataFrame, pairs: DataFrame, cell: float | None = None,
     return m.groupBy("set_a", "set_b").agg(*aggs)
 
 
-def mean_direction(df: DataFrame, pairs: DataFrame, cell: float, base: float = 360.0) -> DataFrame:
+def mean_direction(df: DataFrame, pairs: DataFrame, base: float = 360.0) -> DataFrame:
     """set_a, set_b and the mean direction from the points of the first set to their closest of the second, and back
     (there turned round)."""
-    m = closest_points(df, pairs, cell)
+    m = closest_points(df, pairs)
     sign = F.when(F.col("direction") == 12, 1.0).otherwise(-1.0)
     dx, dy = sign * (F.col("ref_x") - F.col("x")), sign * (F.col("ref_y") - F.col("y"))
     d = F.sqrt(dx * dx + dy * dy)
@@ -94,14 +94,22 @@ def closeness(df: DataFrame, pairs: DataFrame, columns: tuple[str, ...] = ("y",
 
 
 def overlap(df: DataFrame, pairs: DataFrame, weight: str | None = None) -> DataFrame:
-    """Per pair the mean share of the shorter error bar that both bars cover, weighted by both sides' observations."""
+    """Per pair the mean (overlap) and the stdev (spread) of the share of the shorter error bar that both bars cover,
+    weighted by both sides' observations."""
     m = paired(df, pairs, "y", "e", *([weight] if weight else []))
     low = F.greatest(F.col("a_y") - F.col("a_e"), F.col("b_y") - F.col("b_e"))
     high = F.least(F.col("a_y") + F.col("a_e"), F.col("b_y") + F.col("b_e"))
     shorter = 2 * F.least("a_e", "b_e")
     share = F.when(shorter == 0, F.when(F.least("a_e", "b_e") == F.greatest("a_e", "b_e"), (F.col("a_y") == F.col("b_y")).cast("double")).otherwise((high >= low).cast("double"))).otherwise(F.try_divide(F.greatest(high - low, F.lit(0.0)), shorter))
     w = F.col(f"a_{weight}") + F.col(f"b_{weight}") if weight else F.lit(1.0)
-    return m.groupBy("set_a", "set_b").agg((F.sum(share * w) / F.sum(w)).alias("overlap"))
+    g = m.groupBy("set_a", "set_b").agg(*[f.alias(k) for k, f in sums(share, w).items() if k in ("n", "w_sum", "s1", "s2")])
+    return g.select("set_a", "set_b", mean().alias("overlap"), stdev().alias("spread"))
+
+
+def overall_overlap(overlaps: DataFrame) -> DataFrame:
+    """One row over all pairs of :func:`overlap`: mean and sample stdev of their means and of their spreads."""
+    spread_of = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    return overlaps.agg(F.count("*").alias("pairs"), F.avg("overlap").alias("overlap"), spread_of("overlap").alias("overlap_stdev"), F.avg("spread").alias("spread"), spread_of("spread").alias("spread_stdev"))
 
 
 def turtle_distance(df: DataFrame, pairs: DataFrame, c: str, k: float = 1.0) -> DataFrame:

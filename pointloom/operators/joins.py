@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -27,25 +28,39 @@ def paired(df: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(side("a"), "set_a").join(side("b"), ["set_b", "idx"]).select("set_a", "set_b", "idx", *[f"{s}_{c}" for s in "ab" for c in columns])
 
 
-def bracket(queries: DataFrame, refs: DataFrame, value: str, payload: list[str] = [], by: list[str] = [], tolerance: float = 0.0) -> DataFrame:  # noqa: B006
+def bracket(queries: DataFrame, refs: DataFrame, value: str, payload: list[str] = [], by: list[str] = [], tolerance: float = 0.0, spread: bool | None = None) -> DataFrame:  # noqa: B006
     """For each query the nearest reference at or below its value and the nearest at or above it.
 
     Adds lower and upper (null beyond the ends), lower_<p> and upper_<p> for the payload, and closest: whichever is
-    nearer (the lower of equals). Within ``tolerance`` of a reference both are that reference. Both tables are merged
-    in order of the value, so nothing is compared pairwise; give ``by`` to keep a group's rows in a task's reach.
+    nearer (the lower of equals). Within ``tolerance`` of a reference both are that reference. Queries without a value
+    are left out. Both tables are merged in order of the value, so nothing is compared pairwise.
+
+    A group of ``by`` is one task's work unless ``spread`` (the default without ``by``): then ranges of the order by
+    group and value are, and each range takes the references next to it over from the others' ends.
     """
-    keys = by or ["_all"]
-    q, ref = (t if by else t.withColumn("_all", F.lit(0)) for t in (queries, refs))
+    spread = not by if spread is None else spread
     given = F.struct(F.col(value).alias("v"), *[F.col(p).alias(p) for p in payload])
     row = F.struct(*[F.col(c) for c in queries.columns])
-    kind = q.select(row.alias("q")).schema["q"].dataType
-    a = q.select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_side"), F.lit(None).cast(ref.select(given.alias("r")).schema["r"].dataType).alias("_r"), row.alias("_q"))
-    b = ref.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.lit(0).alias("_side"), given.alias("_r"), F.lit(None).cast(kind).alias("_q"))
+    kind = queries.select(row.alias("q")).schema["q"].dataType
+    a = queries.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.lit(1).alias("_side"), F.lit(None).cast(refs.select(given.alias("r")).schema["r"].dataType).alias("_r"), row.alias("_q"))
+    b = refs.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.lit(0).alias("_side"), given.alias("_r"), F.lit(None).cast(kind).alias("_q"))
     both = a.unionByName(b)
+    keys = list(by)
+    if spread:
+        # equal values are never parted, so a range's ends are all that others need of it
+        both = checkpointed(both.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+        keys = [*by, "_part"]
     w = Window.partitionBy(*keys).orderBy("_v", "_side")
     # references come before queries of their value, so the last one so far is at or below; above, the first one after
     up = Window.partitionBy(*keys).orderBy(F.col("_v").desc(), "_side")
-    found = both.withColumns({"_lo": F.last("_r", True).over(w), "_hi": F.last("_r", True).over(up)}).where("_side = 1 and _v is not null")
+    found = both.withColumns({"_lo": F.last("_r", True).over(w), "_hi": F.last("_r", True).over(up)}).where("_side = 1")
+    if spread:
+        ends = both.groupBy(*keys).agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_v"))).alias("_first"), F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_v"))).alias("_last"))
+        along = Window.partitionBy(*by or [F.lit(0)]).orderBy("_part")  # one row for each range
+        before = F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing))
+        taken = ends.select(*keys, before.alias("_before"), after.alias("_after"))
+        found = found.join(taken, keys).withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
     near_lo = F.col("_lo").isNotNull() & (F.col("_v") - F.col("_lo.v") <= tolerance)
     near_hi = F.col("_hi").isNotNull() & (F.col("_hi.v") - F.col("_v") <= tolerance)
     lo = F.when(near_hi & ~near_lo, F.col("_hi")).otherwise(F.col("_lo"))
@@ -56,55 +71,82 @@ def bracket(queries: DataFrame, refs: DataFrame, value: str, payload: list[str]
     return out.select("_q.*", F.col("_lo.v").alias("lower"), F.col("_hi.v").alias("upper"), *extra, closest.alias("closest"))
 
 
-def nearest(queries: DataFrame, refs: DataFrame, cell: float, by: list[str] = [], x: str = "x", y: str = "y", ref_id: list[str] = ["idx"], most_rounds: int = 40) -> DataFrame:  # noqa: B006
+#: Children per side of a grid's cell, and places that need no further division.
+_FAN, _LEAF = 4, 32
+
+
+def nearest(queries: DataFrame, refs: DataFrame, by: list[str] = [], x: str = "x", y: str = "y", ref_id: list[str] = ["idx"], leaf: int = _LEAF, most_depth: int = 24) -> DataFrame:  # noqa: B006
     """The nearest reference in the plane for each query (all columns of ``queries``, ref_<id>..., distance).
 
-    Queries meet the references of their own and the eight cells around; a hit no farther than a cell's side is the
-    nearest. Queries without one go on with cells of twice the side. Ties go to the smallest ids. Rows with a missing
-    coordinate on either side take no part. A query is a row: repeated rows come back as often.
+    Groups of ``by`` are searched on their own. Each group's references are counted in nested grids, each cell of one
+    holding four by four of the next; cells of more than ``leaf`` places are divided, down to a depth that the densest
+    cell calls for. Queries go down level by level with the cells that can hold their nearest reference: those no
+    farther than the farthest corner of some other's bounding box. So a query meets the places of a few cells,
+    however dense or remote, and no level meets whole tables. Ties go to the smallest ids. Rows with a missing
+    coordinate on either side take no part; queries of a group without references have no row.
     """
-    out = None
-    rows = F.struct(*[F.col(c) for c in queries.columns])
-    left = queries.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), rows.alias("_q"))
-    left = left.groupBy(*by, "_x", "_y", "_q").agg(F.count("*").alias("_n"))
-    ref = refs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_rx"), F.col(y).alias("_ry"), F.struct(*[F.col(c).alias(c) for c in ref_id]).alias("_id"))
-    left, ref = checkpointed(left), checkpointed(ref)  # each round reads them again
-    extent = ref.agg(F.min("_rx"), F.max("_rx"), F.min("_ry"), F.max("_ry")).first()
-    reach = left.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
-    if extent[0] is None or reach[0] is None:
+    given = queries.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.struct(*[F.col(c) for c in queries.columns]).alias("_q"))
+    left = checkpointed(given).withColumn("_id", F.monotonically_increasing_id())
+    known = refs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    # a place that several references share is one, of the smallest ids
+    ref = checkpointed(known.groupBy(*by, F.col(x).cast("double").alias("_rx"), F.col(y).cast("double").alias("_ry")).agg(F.min(F.struct(*[F.col(c).alias(c) for c in ref_id])).alias("_rid")))
+    box = {"x0": F.min("_rx"), "x1": F.max("_rx"), "y0": F.min("_ry"), "y1": F.max("_ry"), "n": F.count("*")}
+    groups = checkpointed(ref.groupBy(*by).agg(*[f.alias(c) for c, f in box.items()]).where("n > 0"))
+    largest = groups.agg(F.max("n")).first()[0]
+    if largest is None:
         ids = [F.lit(None).cast(refs.schema[c].dataType).alias(f"ref_{c}") for c in ref_id]
         return queries.limit(0).select("*", *ids, F.lit(None).cast("double").alias("distance"))
-    span = max(max(extent[1], reach[1]) - min(extent[0], reach[0]), max(extent[3], reach[3]) - min(extent[2], reach[2]))
-    rounds = min(most_rounds, max(1, math.ceil(math.log2(max(span, cell) / cell)) + 2))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    for k in range(rounds):
-        side = cell * 2.0**k
-        a = left.withColumn("_o", F.explode(around)).withColumns({"_i": F.floor(F.col("_x") / side) + F.col("_o.i"), "_j": F.floor(F.col("_y") / side) + F.col("_o.j")}).drop("_o")
-        b = ref.withColumns({"_i": F.floor(F.col("_rx") / side), "_j": F.floor(F.col("_ry") / side)})
-        met = a.join(b, [*by, "_i", "_j"], "left")
-        d = F.sqrt(F.pow(F.col("_x") - F.col("_rx"), 2) + F.pow(F.col("_y") - F.col("_ry"), 2))
-        found = F.min(F.when(d.isNotNull(), F.struct(d.alias("d"), F.col("_id").alias("id"))))
-        best = met.groupBy(*by, "_x", "_y", "_q").agg(found.alias("_b"), F.first("_n").alias("_n"))
-        last = k == rounds - 1
-        best = best if last else checkpointed(best)
-        sure = F.col("_b").isNotNull() if last else F.coalesce(F.col("_b.d") <= side, F.lit(False))
-        out = best.where(sure) if out is None else out.unionByName(best.where(sure))
-        if last:
-            break
-        left = best.where(~sure).drop("_b")
-        if not left.limit(1).count():
+    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    frame = groups.select(*by, F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), F.when(span > 0, span).otherwise(1.0).alias("_span"))
+    beside = lambda df, table: df.join(table, by) if by else df.crossJoin(F.broadcast(table))  # noqa: E731  (one row without groups)
+    framed = beside(ref, frame)
+    depth = max(1, math.ceil(math.log(max(largest / leaf, 1.0), _FAN * _FAN)) + 1)
+    while True:
+        n = float(_FAN**depth)
+        at = lambda c, low: F.least(F.floor((F.col(c) - F.col(low)) / F.col("_span") * n), F.lit(n - 1)).cast("long")  # noqa: B023, E731
+        placed = framed.select(*by, "_rx", "_ry", "_rid", at("_rx", "_x0").alias("i"), at("_ry", "_y0").alias("j"))
+        level = placed.groupBy(*by, "i", "j").agg(*[f.alias(c) for c, f in box.items()])
+        densest = level.agg(F.max("n")).first()[0]
+        if densest <= 4 * leaf or depth >= most_depth:
             break
+        depth = min(most_depth, depth + max(1, math.ceil(math.log(densest / leaf, _FAN * _FAN) / 2)))
+    up = [f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max), ("n", F.sum))]
+    levels = [level.withColumn("level", F.lit(depth))]
+    for k in range(depth - 1, 0, -1):
+        level = level.groupBy(*by, F.shiftright("i", 2).alias("i"), F.shiftright("j", 2).alias("j")).agg(*up)
+        levels.append(level.withColumn("level", F.lit(k)))
+    tree = checkpointed(functools.reduce(DataFrame.unionByName, levels))
+    near = lambda low, c, high: F.greatest(F.col(low) - F.col(c), F.lit(0.0), F.col(c) - F.col(high))
+    far = lambda low, c, high: F.greatest(F.abs(F.col(low) - F.col(c)), F.abs(F.col(c) - F.col(high)))
+    square = lambda f: F.pow(f("x0", "_x", "x1"), 2) + F.pow(f("y0", "_y", "y1"), 2)
+    zero = F.lit(0).cast("long")
+    cells = beside(left.select(*by, "_id", "_x", "_y"), groups).withColumns({"level": F.lit(0), "i": zero, "j": zero})
+    own = ["level", "i", "j", "n", "x0", "x1", "y0", "y1"]
+    for k in range(1, depth + 1):
+        children = tree.where(F.col("level") == k).select(*by, F.shiftright("i", 2).alias("_pi"), F.shiftright("j", 2).alias("_pj"), F.struct(*own).alias("_c"))
+        divided = (F.col("level") == k - 1) & (F.col("n") > leaf)
+        # cells that stay get keys that meet nothing, spread by the query's number
+        asked = cells.withColumns({"_pi": F.when(divided, F.col("i")).otherwise(-1 - F.pmod("_id", F.lit(1 << 20))), "_pj": F.when(divided, F.col("j")).otherwise(F.lit(-1)), "_c0": F.struct(*own)})
+        met = asked.join(children, [*by, "_pi", "_pj"], "left").select(*by, "_id", "_x", "_y", F.coalesce("_c", "_c0").alias("_c")).select(*by, "_id", "_x", "_y", "_c.*")
+        bound = F.min(square(far)).over(Window.partitionBy("_id"))
+        cells = met.withColumn("_bound", bound).where(square(near) <= F.col("_bound")).drop("_bound")
+        if k % 4 == 0:
+            cells = checkpointed(cells)
+    places = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    down = F.lit(2) * (F.lit(depth) - F.col("level"))
+    places = places.withColumns({"i": F.call_function("shiftright", F.col("i"), down), "j": F.call_function("shiftright", F.col("j"), down)})
+    d = F.pow(F.col("_x") - F.col("_rx"), 2) + F.pow(F.col("_y") - F.col("_ry"), 2)
+    best = cells.select(*by, "_id", "_x", "_y", "level", "i", "j").join(places, [*by, "level", "i", "j"]).groupBy("_id").agg(F.min(F.struct(d.alias("d"), F.col("_rid").alias("id"))).alias("_b"))
     ids = [F.col(f"_b.id.{c}").alias(f"ref_{c}") for c in ref_id]
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_q.*", *ids, F.col("_b.d").alias("distance"))
+    return left.join(best, "_id").select("_q.*", *ids, F.sqrt("_b.d").alias("distance"))
 
 
-def nearest_or_beside(queries: DataFrame, refs: DataFrame, cell: float, x: str = "x", y: str = "y", ref_id: str = "idx") -> DataFrame:
+def nearest_or_beside(queries: DataFrame, refs: DataFrame, x: str = "x", y: str = "y", ref_id: str = "idx") -> DataFrame:
     """As :func:`nearest`, but a query that misses one coordinate is held against the other one only.
 
     Returns the queries' columns, ref_<id> and distance. Queries that miss both take no part.
     """
-    both = nearest(queries, refs, cell, x=x, y=y, ref_id=[ref_id])
-    parts = [both]
+    parts = [nearest(queries, refs, x=x, y=y, ref_id=[ref_id])]
     for known, missing in ((x, y), (y, x)):
         asked = queries.where(F.col(known).isNotNull() & F.col(missing).isNull())
         lines = refs.where(F.col(known).isNotNull()).groupBy(known).agg(F.min(ref_id).alias(ref_id))
@@ -114,19 +156,15 @@ def nearest_or_beside(queries: DataFrame, refs: DataFrame, cell: float, x: str =
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def category(df: DataFrame, value: str, categories: DataFrame, closest: bool = False, most: int = 100_000) -> DataFrame:
-    """The category of each value, exact (null if there is none) or closest. ``categories`` has value and category,
-    one row per category, at most ``most`` (else ValueError), so it is broadcast."""
-    if categories.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} categories")
+def category(df: DataFrame, value: str, categories: DataFrame, closest: bool = False) -> DataFrame:
+    """The category of each value, exact (null if there is none) or closest (the lower of two as near; null for no
+    value). ``categories`` has value and category, one row per category, of any number."""
     if not closest:
-        c = F.broadcast(categories.select(F.col("value").alias("_cv"), "category"))
-        return df.join(c, F.col(value) == F.col("_cv"), "left").drop("_cv")
-    # the limits between categories, as one array that every row searches
-    w = Window.partitionBy(F.lit(0)).orderBy("value")
-    bounds = categories.withColumn("_from", (F.col("value") + F.lag("value").over(w)) / 2).select("category", "_from", (F.lead("value").over(w) + F.col("value")).alias("_s"))
-    c = F.broadcast(bounds.select("category", F.coalesce("_from", F.lit(float("-inf"))).alias("_lo"), F.coalesce(F.col("_s") / 2, F.lit(float("inf"))).alias("_hi")))
-    return df.join(c, (F.col(value) > F.col("_lo")) & (F.col(value) <= F.col("_hi")), "left").drop("_lo", "_hi")
+        return df.join(categories.select(F.col("value").alias("_cv"), "category"), F.col(value) == F.col("_cv"), "left").drop("_cv")
+    found = bracket(df, categories.select(F.col("value").alias(value), F.col("category").alias("_category")), value, ["_category"])
+    low = F.col("upper").isNull() | (F.col("closest") == F.col("lower"))
+    named = found.select(*df.columns, F.when(low, F.col("lower__category")).otherwise(F.col("upper__category")).alias("category"))
+    return named.unionByName(df.where(F.col(value).isNull()).withColumn("category", F.lit(None).cast(categories.schema["category"].dataType)))
 
 
 def members(df: DataFrame, value: str, others: DataFrame, inside: bool = True) -> DataFrame:

@@ -22,8 +22,17 @@ def savitzky_golay_mask(half: int, order: int, derivative: int = 0, dx: float =
     return (rows[derivative] * gain).tolist()
 
 
-def savitzky_golay(df: DataFrame, c: str, half: int, order: int, derivative: int = 0, dx: float = 1.0, name: str = "smooth") -> DataFrame:
-    return convolved(df, c, savitzky_golay_mask(half, order, derivative, dx), name)
+def savitzky_golay(df: DataFrame, columns: str | list[str], half: int, order: int, derivative: int = 0, dx: float = 1.0, name: str = "smooth", pad_low: float | None = None, pad_high: float | None = None) -> DataFrame:
+    """Each column smoothed, or its derivative: ``name`` for a single column, else <column>_<name>.
+
+    The ends go on with the first and last values, or with ``pad_low`` and ``pad_high`` where they are given.
+    """
+    mask = savitzky_golay_mask(half, order, derivative, dx)
+    if isinstance(columns, str):
+        return convolved(df, columns, mask, name, low=pad_low, high=pad_high)
+    for c in columns:
+        df = convolved(df, c, mask, f"{c}_{name}", low=pad_low, high=pad_high)
+    return df
 
 
 def low_pass(values: np.ndarray, tau: float, dt: np.ndarray, memory: float = 0.0) -> np.ndarray:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.special import chi2_probability_udf, f_probability_udf, t_probability_udf
-from pointloom.operators.points import column
+from pointloom.operators.joins import bracket
+from pointloom.operators.points import checkpointed, column
 
 MAD = 1.482602218505602
 TAU = 2 * math.pi
@@ -212,8 +213,11 @@ def histogram(df: DataFrame, x: str, by: list[str] = [], classes: DataFrame | No
             raise ValueError("classes are for the whole table")
         counts = F.broadcast(classes.select(F.col(classes.columns[0]).alias("value")).distinct()).join(counts, "value", "left").fillna(0.0, ["h"])
     if normalise:
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        counts = counts.withColumn("h", F.col("h") / {"sum": F.sum, "max": F.max}[normalise]("h").over(w))
+        whole = {"sum": F.sum, "max": F.max}[normalise]("h")
+        if by:
+            return counts.withColumn("h", F.col("h") / whole.over(Window.partitionBy(*by)))
+        names = counts.columns
+        counts = counts.crossJoin(F.broadcast(counts.agg(whole.alias("_whole")))).withColumn("h", F.try_divide(F.col("h"), F.col("_whole"))).select(*names)  # with one row
     return counts
 
 
@@ -325,39 +329,66 @@ def correlation_two_pass(pairs: DataFrame, by: list[str], a: str, b: str) -> Dat
 
 
 def crude_bin_starts(values: np.ndarray, eps: float, domain: str = "linear") -> np.ndarray:
-    """For sorted distinct values the first value of each one's bin: those within eps of it share it."""
+    """For sorted distinct values the first value of each one's bin: those less than eps above it share it."""
     f: Callable = {"linear": lambda v: v, "log10": np.log10}[domain]
-    out, start = np.empty(len(values)), None
-    for i, v in enumerate(values):
-        if start is None or not abs(f(v) - f(start)) < eps:
-            start = v
+    out, end = np.empty(len(values)), None
+    for i, (v, at) in enumerate(zip(values, f(np.asarray(values, float)))):
+        if end is None or not at < end:
+            start, end = v, at + eps
         out[i] = start
     return out
 
 
+def _starts_by_leaps(values: DataFrame, eps: float, domain: str) -> DataFrame:
+    """The first values of the crude bins of a table of distinct values (v).
+
+    The start behind any value is found by a join in order; from the least value on, leaps of 1, 2, 4, ... starts
+    double those known each time.
+    """
+    place = F.log10("v") if domain == "log10" else F.col("v")
+    placed = checkpointed(values.select("v", place.alias("at")))
+    leap = bracket(placed.select("v", (F.col("at") + eps).alias("at")), placed.select("at", F.col("v").alias("next")), "at", ["next"]).select("v", F.col("upper_next").alias("to")).where("to is not null")
+    leap = checkpointed(leap)
+    known = checkpointed(placed.agg(F.min("v").alias("v")).where("v is not null"))
+    while True:
+        new = checkpointed(known.join(leap, "v").select(F.col("to").alias("v")))
+        if not new.limit(1).count():
+            return known
+        known = checkpointed(known.unionByName(new))
+        twice = leap.alias("a").join(leap.alias("b"), F.col("a.to") == F.col("b.v")).select("a.v", "b.to")
+        leap = checkpointed(twice)
+
+
 def crude_bins(df: DataFrame, field: str, eps: float, domain: str = "linear", label: str = "bin", most_values: int = 1_000_000) -> DataFrame:
     """``df`` with the label of each row's crude bin: the mean of the bin's values by their frequency.
 
-    The distinct values (at most ``most_values``, else ValueError: the scan is sequential) are scanned in one place.
+    From the least value on, those less than eps above a bin's first value (in its logarithm for ``log10``) share the
+    bin. Rows without a value are left out. Up to ``most_values`` distinct values are scanned in one place and their
+    labels broadcast; more are leapt over by joins.
     """
-    counts = df.where(_valid(F.col(field).cast("double"))).groupBy(field).count().limit(most_values + 1).toPandas().sort_values(field)
-    if len(counts) > most_values:
-        raise ValueError(f"more than {most_values} distinct values")
-    values = counts[field].to_numpy(float)
-    counts["_start"] = crude_bin_starts(values, eps, domain)
-    total = (counts[field] * counts["count"]).groupby(counts["_start"]).sum() / counts["count"].groupby(counts["_start"]).sum()
-    table = pd.DataFrame({"_v": values, label: counts["_start"].map(total).to_numpy(float)})
-    names = df.sparkSession.createDataFrame(table, f"_v double, {label} double")
-    return df.join(F.broadcast(names), F.col(field).cast("double") == F.col("_v")).drop("_v")
-
-
-def accumulate(df: DataFrame, i: str, j: str, value: str, n_i: int, n_j: int) -> DataFrame:
-    """Sums in the cells of a matrix; an index of -1 stands for the whole row or column."""
-    spread = lambda c, n: F.explode(F.when(F.col(c) == -1, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.col(c).cast("int"))))
+    counts = df.where(_valid(F.col(field).cast("double"))).groupBy(F.col(field).cast("double").alias("v")).count()
+    some = counts.limit(most_values + 1).toPandas().sort_values("v")
+    if len(some) <= most_values:
+        some["_start"] = crude_bin_starts(some["v"].to_numpy(float), eps, domain)
+        total = (some["v"] * some["count"]).groupby(some["_start"]).sum() / some["count"].groupby(some["_start"]).sum()
+        table = pd.DataFrame({"_v": some["v"], label: some["_start"].map(total).to_numpy(float)})
+        names = F.broadcast(df.sparkSession.createDataFrame(table, f"_v double, {label} double"))
+    else:
+        starts = _starts_by_leaps(counts.select("v"), eps, domain)
+        of = bracket(counts, starts, "v", spread=True).select("v", "count", F.col("lower").alias("_start"))
+        means = of.groupBy("_start").agg((F.sum(F.col("v") * F.col("count")) / F.sum("count")).alias(label))
+        names = of.join(means, "_start").select(F.col("v").alias("_v"), label)
+    return df.join(names, F.col(field).cast("double") == F.col("_v")).drop("_v")
+
+
+def accumulate(df: DataFrame, indexes: list[str], value: str, sizes: list[int]) -> DataFrame:
+    """Sums in the cells of a matrix of two, three or more indexes, of which -1 stands for the whole of its range."""
     # cells are summed before they are spread, so that only distinct cells are
-    cells = df.groupBy(i, j).agg(F.sum(value).alias("_v"))
-    wide = cells.withColumn("_i", spread(i, n_i)).withColumn("_j", spread(j, n_j))
-    return wide.groupBy(F.col("_i").alias("i"), F.col("_j").alias("j")).agg(F.sum("_v").alias("value"))
+    cells = df.groupBy(*indexes).agg(F.sum(value).alias("value"))
+    for c, n in zip(indexes, sizes):
+        all_ = F.sequence(F.lit(0), F.lit(n - 1))
+        cells = cells.withColumn(c, F.explode(F.when(F.col(c) == -1, all_).otherwise(F.array(F.col(c).cast("int")))))
+    return cells.groupBy(*indexes).agg(F.sum("value").alias("value"))
 
 
 def samples(df: DataFrame, by: list[str], x: str, w: str) -> DataFrame:

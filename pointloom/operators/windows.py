@@ -213,14 +213,16 @@ def padded(df: DataFrame, c: str, n: int, low: float | None = None, high: float
     return df.select("set_id", "idx", c).unionByName(before).unionByName(behind)
 
 
-def convolved(df: DataFrame, c: str, mask: list[float], name: str = "convolved", linear: bool = True) -> DataFrame:
-    """Sum of mask[j] times the value j - len(mask) // 2 points on; the ends go on with the end values.
+def convolved(df: DataFrame, c: str, mask: list[float], name: str = "convolved", linear: bool = True, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Sum of mask[j] times the value j - len(mask) // 2 points on; the ends go on with the end values, or with
+    ``low`` and ``high`` where they are given.
 
     Gaps are filled for the sums and are gaps again in the result.
     """
     filled = with_gaps_filled(df, c, "_f", linear)
     both = ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = filled.withColumns({"_lo": F.first("_f").over(both), "_hi": F.last("_f").over(both), "_n": F.count(F.lit(1)).over(whole())})
+    ends = [F.lit(float(v)) if v is not None else f("_f").over(both) for v, f in ((low, F.first), (high, F.last))]
+    filled = filled.withColumns({"_lo": ends[0], "_hi": ends[1], "_n": F.count(F.lit(1)).over(whole())})
     half, w, total = len(mask) // 2, ordered(), F.lit(0.0)
     for j, m in enumerate(mask):
         k = j - half

@@ -1,5 +1,7 @@
 """Queries of scalar functions (F1 to F20)."""
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -46,7 +48,11 @@ def f05(spark, d):
     return scatter(spark, d).select("set_id", "idx", r(sc.subtended("x", "y", 360), 9).alias("disc"), r(sc.subtended("x", "y", 360, True), 9).alias("sphere"))
 
 
-@query("f06_special")
+#: Regularised lower incomplete gamma by its series, for moderate arguments.
+_GAMMA_P = "list_sum(list_transform(range(0, 300), lambda k: exp({a} * ln({x}) - {x} + k * ln({x}) - lgamma({a} + k + 1))))"
+
+
+@query("f06_special", "WITH {P}, q AS (SELECT DISTINCT x, power(x / 20, 2) AS z FROM p) SELECT x, round(" + _GAMMA_P.replace("{a}", "0.5").replace("{x}", "z") + ", 9) AS erf, round(1 - " + _GAMMA_P.replace("{a}", "0.5").replace("{x}", "z") + ", 9) AS erfc, round(" + _GAMMA_P.replace("{a}", "7.5").replace("{x}", "x") + ", 9) AS gamma_p FROM q")
 def f06(spark, d):
     p = scatter(spark, d).select("x").distinct()
     return p.select("x", r(special.erf_udf(F.col("x") / 20), 9).alias("erf"), r(special.one_minus_erf_udf(F.col("x") / 20), 9).alias("erfc"), r(special.incomplete_gamma_udf(F.lit(7.5), "x"), 9).alias("gamma_p"))
@@ -78,14 +84,14 @@ def f10(spark, d):
     return table(spark, d, "part").select("p_partkey", sc.switch("p_size", [(7, 1), ([1, 2, 3], 2)], 0).alias("k"), F.when(F.col("p_retailprice") > 1000, "dear").otherwise("cheap").alias("price"))
 
 
-@query("f11_arrays", """WITH a AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 4)) AS e FROM embeddings)
-SELECT vec_id, e[3] AS third, len(e) AS n, round(list_sum(list_transform(list_zip(e, e[2:4]), lambda z: coalesce(z[1] * z[2], 0))), 9) AS products, round(list_sum(list_concat(e, [1.0, 1.0])), 6) AS total,
+@query("f11_arrays", """WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4)) AS e FROM embeddings)
+SELECT vec_id, e[3] AS third, len(e) AS n, round(list_sum(list_transform(list_zip(e, e[2:]), lambda z: coalesce(z[1] * z[2], 0))), 9) AS products, round(list_sum(list_concat(e, [1.0, 1.0])), 6) AS total,
   CASE WHEN vec_id % 5 < 4 THEN (vec_id % 3) * 4 + vec_id % 5 END AS place FROM a""")
 def f11(spark, d):
-    e = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 4))
+    e = F.transform("embedding", lambda x: F.round(x.cast("double"), 4))
     a = table(spark, d, "embeddings").select("vec_id", e.alias("e"))
     add = lambda s, v: s + v
-    products = F.aggregate(F.zip_with("e", F.slice("e", 2, 3), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), add)
+    products = F.aggregate(F.zip_with("e", F.slice("e", F.lit(2), F.size("e") - 1), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), add)
     total = F.aggregate(F.concat("e", F.array_repeat(F.lit(1.0), 2)), F.lit(0.0), add)
     return a.select("vec_id", F.get("e", F.lit(2)).alias("third"), F.size("e").cast("long").alias("n"), r(products, 9).alias("products"), r(total).alias("total"), sc.flat_index([F.col("vec_id") % 3, F.col("vec_id") % 5], [3, 4]).alias("place"))
 
@@ -126,14 +132,24 @@ def f16(spark, d):
     return table(spark, d, "orders").select("o_orderkey", sc.year_day(F.dayofmonth(t), F.month(t), F.year(t)).alias("day"), sc.year_day(28, c, 2024).alias("other"))
 
 
-@query("f17_hash")
+@query("f17_hash", "SELECT p_partkey, CAST('0x' || md5(p_name)[1:15] AS BIGINT) AS hash FROM part")
 def f17(spark, d):
     return table(spark, d, "part").select("p_partkey", sc.text_hash("p_name").alias("hash"))
 
 
-@query("f18_random")
+@query("f18_random", "SELECT count(*) AS n, true AS uniform_inside, true AS uniform_mean, true AS normal_mean, true AS normal_stdev, true AS abnormal_mean FROM lineitem")
 def f18(spark, d):
-    return table(spark, d, "part").select("p_partkey", sc.uniform(2, 5, 1).alias("uniform"), sc.normal(1, 2, 2).alias("normal"), sc.abnormal(1, 2, 3).alias("abnormal"))
+    """Bounds and moments of one draw a row, each within six standard errors."""
+    draws = table(spark, d, "lineitem").select(sc.uniform(2, 5, 1).alias("u"), sc.normal(1, 2, 2).alias("g"), sc.abnormal(1, 2, 3).alias("a"))
+    n, near = F.count("*"), lambda v, want, sd: F.abs(v - want) < 6 * sd / F.sqrt(F.count("*"))
+    return draws.agg(
+        n.alias("n"),
+        ((F.min("u") >= 2) & (F.max("u") <= 5)).alias("uniform_inside"),
+        near(F.avg("u"), 3.5, 0.87).alias("uniform_mean"),
+        near(F.avg("g"), 1.0, 2.0).alias("normal_mean"),
+        near(F.stddev_samp("g"), 2.0, 1.5).alias("normal_stdev"),
+        near(F.avg("a"), 1.0 + 2 * (2 / math.pi) ** 0.5, 1.21).alias("abnormal_mean"),
+    )
 
 
 @query("f19_line_in_circle", """WITH {P}, q AS (SELECT set_id, idx, x AS x1, 0.0::DOUBLE AS y1, 50 - x AS x2, 50.0::DOUBLE AS y2 FROM p), z AS (SELECT *, power(x2 - x1, 2) + power(y2 - y1, 2) AS a, 2 * ((x1 - 25) * (x2 - x1) + (y1 - 20) * (y2 - y1)) AS b, power(x1 - 25, 2) + power(y1 - 20, 2) - 100 AS c FROM q),

@@ -73,22 +73,23 @@ def pf08(spark, d):
 
 @query("pf09_equal", """SELECT 'equal' AS kind, l_orderkey, l_quantity FROM lineitem WHERE l_quantity = 7
 UNION ALL SELECT 'near', l_orderkey, l_quantity FROM lineitem WHERE abs(l_quantity - 9.2) < 0.5
-UNION ALL SELECT 'other', l_orderkey, l_quantity FROM lineitem WHERE l_quantity <> 7 AND l_suppkey = 3
+UNION ALL SELECT 'other', l_orderkey, l_quantity FROM lineitem WHERE l_quantity <> 7
 UNION ALL SELECT 'far', l_orderkey, l_quantity FROM lineitem WHERE abs(l_quantity - 9.2) >= 40""")
 def pf09(spark, d):
     rows = table(spark, d, "lineitem")
-    parts = {"equal": sel.where_equal(rows, "l_quantity", 7), "near": sel.where_equal(rows, "l_quantity", 9.2, 0.5), "other": sel.where_not_equal(rows, "l_quantity", 7).where("l_suppkey = 3"), "far": sel.where_not_equal(rows, "l_quantity", 9.2, 40)}
+    parts = {"equal": sel.where_equal(rows, "l_quantity", 7), "near": sel.where_equal(rows, "l_quantity", 9.2, 0.5), "other": sel.where_not_equal(rows, "l_quantity", 7), "far": sel.where_not_equal(rows, "l_quantity", 9.2, 40)}
     out = [p.select(F.lit(k).alias("kind"), "l_orderkey", "l_quantity") for k, p in parts.items()]
     return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
 
 
 @query("pf10_compare", """SELECT o_orderkey, o_totalprice, 'low' AS kind FROM orders WHERE o_totalprice < 20000
-UNION ALL SELECT o_orderkey, o_totalprice, 'high' FROM orders WHERE o_totalprice >= 400000 AND o_custkey <= 500 AND o_custkey > 3""")
+UNION ALL SELECT o_orderkey, o_totalprice, 'middle' FROM orders WHERE o_totalprice > 200000 AND o_totalprice <= 220000
+UNION ALL SELECT o_orderkey, o_totalprice, 'high' FROM orders WHERE o_totalprice >= 400000""")
 def pf10(spark, d):
-    o = table(spark, d, "orders")
-    low = sel.where_less(o, "o_totalprice", 20000).select("o_orderkey", "o_totalprice", F.lit("low").alias("kind"))
-    high = sel.where_greater(sel.where_less_equal(sel.where_greater_equal(o, "o_totalprice", 400000), "o_custkey", 500), "o_custkey", 3)
-    return low.unionAll(high.select("o_orderkey", "o_totalprice", F.lit("high").alias("kind")))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    parts = {"low": sel.where_less(o, "o_totalprice", 20000), "middle": sel.where_less_equal(sel.where_greater(o, "o_totalprice", 200000), "o_totalprice", 220000), "high": sel.where_greater_equal(o, "o_totalprice", 400000)}
+    low, middle, high = (p.withColumn("kind", F.lit(k)) for k, p in parts.items())
+    return low.unionAll(middle).unionAll(high)
 
 
 @query("pf11_in", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")

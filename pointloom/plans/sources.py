@@ -3,11 +3,7 @@
 What a query reads is written from the given tables first, to the session's shared folder.
 """
 
-import os
-import re
 import struct
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Window
@@ -15,35 +11,28 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import user
 from pointloom.operators import stats as st
+from pointloom.operators.points import scratch
 from pointloom.plans.registry import query, r, scatter, series, table
 from pointloom.sources import readers as rd
 from pointloom.streaming import jobs
 
 
-def folder(spark, name: str) -> str:
-    """A new place in the shared folder that the session names, or in a temporary one where it names none."""
-    top = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointloom-")).rstrip("/")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+folder = scratch
 
 
 def _written_sets(spark, d) -> str:
-    """The scatter sets below 20 as files of several sets each: a name, points, a blank line."""
-    p = scatter(spark, d).where("set_id < 20")
-    line = F.concat_ws(" ", F.col("x"), F.col("y"), F.col("e"))
-    text = p.groupBy("set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("s")))), lambda v: v["s"]), "\n").alias("t"))
-    named = text.select((F.col("set_id") % 4).alias("f"), F.struct("set_id", F.concat(F.lit('"set '), "set_id", F.lit("\n"), "t", F.lit("\n")).alias("t")).alias("s"))
-    files = named.groupBy("f").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda v: v["t"]), "\n").alias("value"))
+    """The scatter sets as files of several sets each."""
     at = folder(spark, "multiset")
-    files.repartition(4, "f").write.partitionBy("f").text(at)
+    rd.write_multiset(scatter(spark, d), at)
     return at
 
 
-@query("io01_multiset", "WITH {P} SELECT 'set ' || set_id AS name, idx, x, y, e FROM p WHERE set_id < 20")
+@query("io01_multiset", "WITH {P} SELECT 'set ' || set_id AS name, idx, x, y, e FROM p")
 def io01(spark, d):
     return rd.read_multiset(spark, _written_sets(spark, d)).select("name", "idx", "x", "y", "e")
 
 
-@query("io01_set_table", "WITH {P} SELECT 'set ' || set_id AS name, count(*) AS points FROM p WHERE set_id < 20 GROUP BY set_id")
+@query("io01_set_table", "WITH {P} SELECT 'set ' || set_id AS name, count(*) AS points FROM p GROUP BY set_id")
 def io01b(spark, d):
     return rd.read_sets(spark, _written_sets(spark, d)).select("name", "points")
 
@@ -97,7 +86,9 @@ def io05(spark, d):
     return _binary(spark, d).mapInPandas(run, "file string, idx long, x double, y double, e double")
 
 
-@query("io06_recordings")
+@query("io06_recordings", """WITH {S}, q AS (SELECT set_id, idx, round_even(v, 0) AS v, round_even(a, 0) AS a FROM s), c AS (SELECT set_id, idx, 0 AS channel, 'a' AS name, v AS raw FROM q UNION ALL SELECT set_id, idx, 1, 'b', a FROM q),
+k AS (SELECT set_id, channel FROM c GROUP BY ALL HAVING max(abs(raw)) > 0)
+SELECT c.set_id, CAST(c.channel AS BIGINT) AS channel, name, idx, idx * 0.5::DOUBLE AS t, round(raw * (3277 / 3276.8::DOUBLE) + 2, 6) AS value, 1::BIGINT AS events FROM c JOIN k ON k.set_id = c.set_id AND k.channel = c.channel""")
 def io06(spark, d):
     s = series(spark, d)
     packed = s.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("idx", "v", "a"))).alias("a"))
@@ -121,12 +112,12 @@ def io06(spark, d):
     return got.withColumn("value", r("value"))
 
 
-@query("io07_processed_dump", "WITH {P} SELECT set_id, idx, x FROM p WHERE x <= 40 AND set_id < 10")
+@query("io07_processed_dump", "WITH {P} SELECT set_id, idx, x FROM p WHERE x <= 40")
 def io07(spark, d):
     at = folder(spark, "processed")
-    p = scatter(spark, d).where("set_id < 10").withColumn("discarded", F.col("x") > 40)
-    rd.write_processed(p, at)
-    return spark.read.parquet(at).select(F.col("set_id").cast("long"), "idx", "x")
+    p = scatter(spark, d).withColumn("discarded", F.col("x") > 40)
+    rd.write_processed(p, at, folders=64)
+    return spark.read.parquet(at).select("set_id", "idx", "x")
 
 
 @query("io08_cut", """SELECT CASE WHEN p_partkey = 7 THEN '0' ELSE p_partkey::VARCHAR END AS c0, CASE WHEN p_size > 20 THEN p_brand ELSE '-' END AS c1, CASE WHEN p_size = 7 THEN '0' ELSE p_size::VARCHAR END AS c2 FROM part WHERE p_partkey % 10 <> 3""")
@@ -146,7 +137,7 @@ def io09(spark, d):
     return got.select("set_id", "idx", r("x", 9).alias("x"), r("y", 9).alias("y"))
 
 
-@query("io10_files", "WITH {P}, f AS (SELECT set_id % 4 AS file_id, dense_rank() OVER (ORDER BY set_id % 4, set_id) - 1 AS set_id, count(*) AS n FROM p WHERE set_id < 20 GROUP BY p.set_id) SELECT * FROM f")
+@query("io10_files", "WITH {P} SELECT dense_rank() OVER (ORDER BY set_id // 25) - 1 AS file_id, dense_rank() OVER (ORDER BY set_id) - 1 AS set_id, count(*) AS n FROM p GROUP BY p.set_id")
 def io10(spark, d):
     got = rd.read_multiset(spark, _written_sets(spark, d))
     return got.groupBy("file_id", "set_id").agg(F.count("*").alias("n"))
@@ -159,13 +150,9 @@ def io11(spark, d):
     return spark.read.csv(at, sep="\t").select("_c0", "_c1")
 
 
-@query("io12_importer", "WITH {P} SELECT 'set ' || set_id AS name, idx, x, y FROM p WHERE set_id < 20")
+@query("io12_importer", "WITH {P} SELECT 'set ' || set_id AS name, idx, x, y FROM p")
 def io12(spark, d):
-    rd.register(spark)
-    at = _written_sets(spark, d)
-    files = [re.sub("^file:/+", "/", f[0]) for f in spark.read.text(at, wholetext=True).select("_metadata.file_path").distinct().collect()]
-    paths = ",".join(os.path.normpath(f) for f in sorted(files))
-    return spark.read.format("multiset").option("paths", paths).load().select("name", "idx", "x", "y")
+    return rd.read_format(spark, "multiset", _written_sets(spark, d)).select("name", "idx", "x", "y")
 
 
 def _events_stream(spark, d):
@@ -200,13 +187,16 @@ def st01(spark, d):
     return got.withColumn("k", F.row_number().over(last)).where("k = 1").select("user_id", "n", r("mean").alias("mean"))
 
 
-@query("st02_recursive_filter")
+@query("st02_recursive_filter", """WITH RECURSIVE q AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+f AS (SELECT key, t, i, v AS y FROM q WHERE i = 1 UNION ALL SELECT q.key, q.t, q.i, y + least((q.t - f.t) / 3600.0, 1.0) * (q.v - y) FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1)
+SELECT key, round(t, 3) AS t, round(y, 4) AS filtered, 0::BIGINT AS late FROM f""")
 def st02(spark, d):
     s = _events_stream(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return _collected(spark, jobs.low_pass_stream(s, "user_id", "t", "value", 3600.0), "append", "filtered").select("key", r("t", 3).alias("t"), r("filtered", 4).alias("filtered"), "late")
 
 
-@query("st03_changes")
+@query("st03_changes", """WITH q AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t, floor(value / 100) AS value FROM events), c AS (SELECT *, lag(value) OVER (PARTITION BY key ORDER BY t) AS b FROM q)
+SELECT key, round(t, 3) AS t, value, row_number() OVER (PARTITION BY key ORDER BY t) - 1 AS run_id FROM c WHERE b IS NULL OR b <> value""")
 def st03(spark, d):
     s = _events_stream(spark, d).withColumns({"t": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "level": F.floor(F.col("value") / 100)})
     return _collected(spark, jobs.change_stream(s, "user_id", "t", "level"), "append", "changes").select("key", r("t", 3).alias("t"), "value", "run_id")

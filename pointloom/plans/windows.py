@@ -97,6 +97,14 @@ def w11(spark, d):
     return s.select("set_id", "idx", r("smooth").alias("smooth"), r("slope").alias("slope"))
 
 
+@query("w11_savitzky_golay_padded", """WITH {S}
+SELECT set_id, idx, round((-3 * coalesce(lag(v, 2) OVER o, 10) + 12 * coalesce(lag(v) OVER o, 10) + 17 * v + 12 * coalesce(lead(v) OVER o, 20) - 3 * coalesce(lead(v, 2) OVER o, 20)) / 35, 6) AS v_smooth,
+  round((-3 * coalesce(lag(a, 2) OVER o, 10) + 12 * coalesce(lag(a) OVER o, 10) + 17 * a + 12 * coalesce(lead(a) OVER o, 20) - 3 * coalesce(lead(a, 2) OVER o, 20)) / 35, 6) AS a_smooth FROM s """ + _W)
+def w11b(spark, d):
+    s = smooth.savitzky_golay(series(spark, d), ["v", "a"], 2, 2, pad_low=10.0, pad_high=20.0)
+    return s.select("set_id", "idx", r("v_smooth").alias("v_smooth"), r("a_smooth").alias("a_smooth"))
+
+
 @query("w13_gaps", _FILL + " SELECT set_id, idx, round(linear, 6) AS linear, step FROM f")
 def w13(spark, d):
     s = wn.with_gaps_filled(wn.with_gaps_filled(series(spark, d), "y", "linear"), "y", "step", linear=False)

@@ -34,7 +34,7 @@ def trajectories(spark, d):
     even = resample.spline_resample(smoothed, "t", "y1", 64).select("set_id", "idx", F.col("t").alias("x"), F.col("y1").alias("y"))
     long = wn.with_curve_length(even)
     pairs = long.where("set_id % 2 = 0").select(F.col("set_id").alias("set_a"), (F.col("set_id") + 1).alias("set_b")).distinct()
-    got = compare.figural_distance(long, pairs)
+    got = compare.figural_distance(long, pairs, pointwise=True)
     return got.select("set_a", "set_b", "n", r("distance", 4).alias("distance"))
 
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from pointloom.operators.points import checkpointed, with_positions
 
 POINTS = "file string, set_no long, name string, idx long, x double, y double, e double, l double, n double, run_id long, columns array<double>"
 # How the text format writes infinite and missing numbers.
@@ -144,11 +145,11 @@ def read_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(points: DataFrame) -> DataFrame:
-    """file_id by the order of the files' paths, and set_id over all files. The list of sets goes through one task."""
-    sets = points.select("file", "set_no").distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("file", "set_no")
-    ids = sets.withColumns({"set_id": (F.row_number().over(order) - 1).cast("long"), "file_id": (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("file")) - 1).cast("long")})
-    return points.join(ids, ["file", "set_no"])
+    """file_id by the order of the files' paths, and set_id over all files: places in the sorted table of sets."""
+    points = checkpointed(points)
+    sets = with_positions(points.select("file", "set_no").distinct(), ["file", "set_no"], "set_id")
+    files = with_positions(points.select("file").distinct(), ["file"], "file_id")
+    return points.join(sets, ["file", "set_no"]).join(files, "file")
 
 
 def read_delimited(spark: SparkSession, path: str, columns: list | None = None, sep: str = "\t", decimal_comma: bool = False) -> DataFrame:
@@ -240,10 +241,27 @@ def read_recordings(spark: SparkSession, path: str, events: bool = False) -> Dat
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
-def write_processed(df: DataFrame, path: str) -> None:
-    """The points that are not discarded, in a folder for each set."""
+def write_processed(df: DataFrame, path: str, folders: int | None = None) -> None:
+    """The points that are not discarded, in a folder for each set, or in ``folders`` folders by a hash of the set
+    (for collections of very many sets)."""
     kept = df.where(~F.col("discarded")).drop("discarded") if "discarded" in df.columns else df
-    kept.write.mode("overwrite").partitionBy("set_id").parquet(path)
+    if folders is None:
+        kept.repartition("set_id").write.mode("overwrite").partitionBy("set_id").parquet(path)
+    else:
+        part = F.pmod(F.xxhash64("set_id"), F.lit(folders))
+        kept.withColumn("folder", part).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
+def write_multiset(df: DataFrame, path: str, sets_a_file: int = 25) -> None:
+    """Sets (set_id, idx, x, y, e) in the text format: a name, points, a blank line; some neighbouring sets a file.
+
+    The lines of a file are sorted in a task, so nothing is gathered in a row.
+    """
+    line = F.concat_ws(" ", "x", "y", "e")
+    lines = F.when(F.col("idx") == 0, F.array(F.lit(""), F.concat(F.lit('"set '), "set_id"), line)).otherwise(F.array(line))
+    rows = df.select(F.lpad(F.floor(F.col("set_id") / sets_a_file).cast("string"), 12, "0").alias("part"), "set_id", "idx", lines.alias("lines"))
+    dealt = rows.repartition("part").sortWithinPartitions("part", "set_id", "idx")
+    dealt.select("part", F.explode("lines").alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
 def cut_columns(lines: DataFrame, fields: list[int], sep: str = "\t", missing: str = "0", comment: str = "#", no_data: str | None = None, replacement: str | None = None) -> DataFrame:
@@ -274,35 +292,32 @@ def write_values(df: DataFrame, path: str, *columns: str) -> None:
     df.select(*columns).write.mode("overwrite").csv(path, sep="\t")
 
 
-class _MultisetReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+#: Importers by name: the schema of what they give, whether they take text or bytes, and a function of one file's
+#: content that returns the rows (a list of tuples or a frame).
+IMPORTERS: dict[str, tuple[str, bool, Callable]] = {}
 
-    def read(self, partition):
-        with open(partition.value, encoding="utf-8") as f:
-            for p in parse_multiset(f.read())[0]:
-                yield (partition.value, p["set_no"], p["name"], p["idx"], p["x"], p["y"], p["e"])
 
+def register_importer(name: str, schema: str, parse: Callable, text: bool = True) -> None:
+    """Add a format: ``parse`` takes a file's text, or its bytes, and gives rows of the schema."""
+    IMPORTERS[name] = (schema, text, parse)
 
-class MultisetSource(DataSource):
-    """An importer of the text format as a data source: ``spark.read.format('multiset').option('paths', 'a,b')``.
 
-    Paths are files that every executor can open. For a store that only Spark reads, use :func:`read_multiset`.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "multiset"
+def read_format(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """file and the rows of a registered format, from any store that Spark reads; a file is one task's work."""
+    schema, text, parse = IMPORTERS[name]
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    files = _whole_files(spark, path) if text else spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").alias("value"))
 
-    def schema(self) -> str:
-        return "file string, set_no long, name string, idx long, x double, y double, e double"
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, value in zip(frame["file"], frame["value"]):
+                rows = parse(value if text else bytes(value))
+                out = rows[names] if isinstance(rows, pd.DataFrame) else pd.DataFrame(rows, columns=names)
+                out.insert(0, "file", file)
+                yield out
 
-    def reader(self, schema) -> DataSourceReader:
-        return _MultisetReader(self.options)
+    return files.mapInPandas(run, f"file string, {schema}")
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(MultisetSource)
+register_importer("multiset", "set_no long, name string, idx long, x double, y double, e double", lambda text: [(p["set_no"], p["name"], p["idx"], p["x"], p["y"], p["e"]) for p in parse_multiset(text)[0]])
+register_importer("recording", "channel long, name string, units string, idx long, t double, value double", lambda data: parse_recording(data)[0], text=False)

@@ -162,15 +162,43 @@ def test_bracket_ends_ties_and_tolerance(spark):
     assert near[3] == (3, 3)
 
 
+@pytest.mark.parametrize("leaf", [1, 4, 32])
+def test_nearest_in_groups_of_uneven_density(spark, leaf):
+    rng, rows, asked = np.random.default_rng(leaf), [], []
+    for g in range(3):
+        dense = np.concatenate([rng.normal(0, 1e-4, (300, 2)), rng.uniform(-50, 50, (40, 2)), np.full((20, 2), 7.0)])
+        rows += [(g, i, *map(float, np.round(p, 6))) for i, p in enumerate(dense)]
+        asked += [(g, i, *map(float, p)) for i, p in enumerate(np.concatenate([rng.uniform(-500, 500, (15, 2)), rng.normal(0, 1e-4, (15, 2)), [[7.0, 7.0], [7.0, 7.0]]]))]
+    q = spark.createDataFrame(asked + [(9, 0, 1.0, 1.0)], "g long, q long, x double, y double")
+    ref = spark.createDataFrame(rows + [(1, 999, None, 0.0)], "g long, idx long, x double, y double")
+    got = {(r["g"], r["q"]): (r["ref_idx"], r["distance"]) for r in joins.nearest(q, ref, ["g"], leaf=leaf).collect()}
+    want = {}
+    for g, i, x, y in asked:
+        d, k = min(((x - a) ** 2 + (y - b) ** 2, k) for h, k, a, b in rows if h == g)
+        want[g, i] = (k, math.sqrt(d))
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_bracket_over_ranges_and_hot_groups(spark):
+    rng = np.random.default_rng(3)
+    q = [(i, int(rng.choice([0, 0, 0, 1, 2])), float(rng.integers(0, 400))) for i in range(500)]
+    ref = [(int(rng.choice([0, 0, 1])), float(rng.integers(100, 300))) for _ in range(200)]
+    qs, refs = spark.createDataFrame(q, "q long, g long, v double"), spark.createDataFrame(ref, "g long, v double")
+    for by in ([], ["g"]):
+        got = {r["q"]: (r["lower"], r["upper"]) for r in joins.bracket(qs, refs, "v", by=by, spread=True).collect()}
+        own = {i: [v for h, v in ref if not by or h == g] for i, g, _ in q}
+        assert got == {i: (max((w for w in own[i] if w <= v), default=None), min((w for w in own[i] if w >= v), default=None)) for i, _, v in q}
+
+
 def test_nearest_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     a, b = rng.uniform(0, 100, (40, 2)), np.concatenate([rng.uniform(0, 100, (60, 2)), rng.uniform(40, 41, (200, 2))])
     q = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(a)] + [(99, None, 1.0)], "q long, x double, y double")
     r = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(b)], "idx long, x double, y double")
-    got = {g["q"]: g["ref_idx"] for g in joins.nearest(q, r, 0.5).collect()}
+    got = {g["q"]: g["ref_idx"] for g in joins.nearest(q, r).collect()}
     assert got == {i: int(((b - p) ** 2).sum(axis=1).argmin()) for i, p in enumerate(a)}
-    assert joins.nearest(q, r.limit(0), 1.0).count() == 0
-    beside = {g["q"]: g["ref_idx"] for g in joins.nearest_or_beside(q, r, 0.5).collect()}
+    assert joins.nearest(q, r.limit(0)).count() == 0
+    beside = {g["q"]: g["ref_idx"] for g in joins.nearest_or_beside(q, r).collect()}
     assert beside == got | {99: int(np.abs(b[:, 1] - 1.0).argmin())}
 
 
@@ -179,13 +207,13 @@ def test_figures_of_equal_and_turned_sets(spark):
     p = [(1, i, *map(float, v)) for i, v in enumerate(rng.uniform(0, 10, (25, 2)))]
     df = spark.createDataFrame(p + [(2, *r[1:]) for r in p], "set_id long, idx long, x double, y double").withColumn("e", F.col("x"))
     pair = spark.createDataFrame([(1, 2)], "set_a long, set_b long")
-    assert compare.figural_distance(df, pair, 1.0).first()["distance"] == 0 and compare.closeness(df, pair).first()["closeness_y"] == 1
+    assert compare.figural_distance(df, pair).first()["distance"] == 0 and compare.closeness(df, pair).first()["closeness_y"] == 1
     x, y = selection.shift_rotate(F.col("x"), F.col("y"), 90, 1.0, (0, 0), (3, 0))
     turned = df.withColumns({"x": F.when(F.col("set_id") == 2, x).otherwise(F.col("x")), "y": F.when(F.col("set_id") == 2, y).otherwise(F.col("y"))})
     grid = [{"angle": a, "dy": d} for a in (0, 90, -90) for d in (0, 3)]
     best = compare.best_alignment(turned, pair, grid).first()
     assert grid[best["p_id"]] == {"angle": -90, "dy": 3} and best["score"] == pytest.approx(0, abs=1e-9)
-    there, back = compare.figural_distance(turned, pair, 1.0).first(), compare.figural_distance(turned, spark.createDataFrame([(2, 1)], "set_a long, set_b long"), 1.0).first()
+    there, back = compare.figural_distance(turned, pair).first(), compare.figural_distance(turned, spark.createDataFrame([(2, 1)], "set_a long, set_b long")).first()
     assert there["distance"] == pytest.approx(back["distance"])
 
 
@@ -202,8 +230,14 @@ def test_crude_bins(spark):
     assert st.crude_bin_starts(np.array([0, 0.4, 0.9, 1.0, 1.9]), 1.0).tolist() == [0, 0, 0, 1.0, 1.0]
     df = _set(spark, [0, 0, 0.9, 5])
     assert sorted({r["bin"] for r in st.crude_bins(df, "y", 1.0).collect()}) == pytest.approx([0.3, 5])
-    with pytest.raises(ValueError):
-        st.crude_bins(df, "y", 1.0, most_values=2)
+
+
+@pytest.mark.parametrize("domain,eps", [("linear", 1.0), ("log10", 0.2)])
+def test_crude_bins_by_leaps_are_those_of_the_scan(spark, domain, eps):
+    rng = np.random.default_rng(4)
+    df = _set(spark, [float(v) for v in np.round(rng.uniform(1, 60, 300), 3)])
+    plain = lambda d: sorted((r["idx"], round(r["bin"], 9)) for r in d.collect())
+    assert plain(st.crude_bins(df, "y", eps, domain, most_values=5)) == plain(st.crude_bins(df, "y", eps, domain))
 
 
 def test_histogram_adds_up(spark):

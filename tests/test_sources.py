@@ -8,37 +8,37 @@ from pointloom.functions import scalars as sc
 from pointloom.sources import readers as rd
 from pointloom.streaming import jobs
 
-FIVE = '''0.5 7.8
-1.0 6.2
-"set one
-1.5 8.9
+FIVE = '''3 -1.25
+4 2.75
+"rising
+6 .5
 
-"set two
--3.4 1.4e-3
--2.0 1.9e-2
+"falling and rising
+10 7e-1
+-12.5 3e2
 
-2.2 12.8 0.1
-2.4 -3.3 0.2
+0.25 1.5 9
+0.5 2.5 8
 
-"infinite
--Inf 0
-0 ++
-1 ---
-2 NaN
+"beyond numbers
+Inf 1
+5 ---
+6 ++
+7 nan
 
-"only y
-4
-3
+"single column
+-8
+2
 
 '''
 
 
 def test_text_of_five_sets():
     points, sets = rd.parse_multiset(FIVE)
-    assert [s["name"] for s in sets] == ["set one", "set two", None, "infinite", "only y"] and [s["points"] for s in sets] == [3, 2, 2, 4, 2]
-    assert (points[0]["x"], points[0]["y"], points[0]["e"]) == (0.5, 7.8, None) and points[5]["e"] == 0.1
-    assert points[7]["x"] == -math.inf and points[8]["y"] == math.inf and points[9]["y"] == -math.inf and math.isnan(points[10]["y"])
-    assert [(p["x"], p["y"]) for p in points[-2:]] == [(0, 4), (1, 3)]
+    assert [s["name"] for s in sets] == ["rising", "falling and rising", None, "beyond numbers", "single column"] and [s["points"] for s in sets] == [3, 2, 2, 4, 2]
+    assert (points[0]["x"], points[0]["y"], points[0]["e"]) == (3, -1.25, None) and points[5]["e"] == 9
+    assert points[7]["x"] == math.inf and points[8]["y"] == -math.inf and points[9]["y"] == math.inf and math.isnan(points[10]["y"])
+    assert [(p["x"], p["y"]) for p in points[-2:]] == [(0, -8), (1, 2)]
     assert rd.parse_multiset("") == ([], [])
 
 
@@ -57,6 +57,28 @@ def test_several_files_are_one_collection(spark, tmp_path):
     assert rd.read_sets(spark, str(tmp_path)).count() == 6
 
 
+def test_importers(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(FIVE)
+    got = rd.read_format(spark, "multiset", str(tmp_path))
+    assert got.count() == 13 and got.where("name = 'rising'").count() == 3
+    rd.register_importer("pairs", "a int, b int", lambda data: [tuple(data[k : k + 2]) for k in range(0, len(data), 2)], text=False)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.bin").write_bytes(bytes([1, 2, 3, 4]))
+    assert sorted((r["a"], r["b"]) for r in rd.read_format(spark, "pairs", str(tmp_path / "b")).collect()) == [(1, 2), (3, 4)]
+
+
+def test_written_sets_come_back(spark, tmp_path):
+    rows = [(s, i, float(i), s / 2, 0.5) for s in range(60) for i in range(1 + s % 4)]
+    df = spark.createDataFrame(rows, "set_id long, idx long, x double, y double, e double").repartition(7)
+    rd.write_multiset(df, str(tmp_path / "sets"), sets_a_file=9)
+    got = rd.read_multiset(spark, str(tmp_path / "sets"))
+    assert sorted((r["set_id"], r["idx"], r["x"], r["y"], r["e"]) for r in got.collect()) == rows
+    assert {(r["set_id"], r["file_id"]) for r in got.collect()} == {(s, s // 9) for s in range(60)}
+    for folders in (None, 3):
+        rd.write_processed(df.withColumn("discarded", F.col("x") > 1), str(tmp_path / f"kept{folders}"), folders)
+        assert spark.read.parquet(str(tmp_path / f"kept{folders}")).count() == sum(r[2] <= 1 for r in rows)
+
+
 def test_binary_records(spark, tmp_path):
     (tmp_path / "r.bin").write_bytes(struct.pack(">6d", 1, 2, 3, 4, 5, 6))
     got = rd.read_records(spark, str(tmp_path), 3, 8, swap=True).orderBy("idx").collect()
