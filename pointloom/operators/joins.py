@@ -72,7 +72,7 @@ def bracket(queries: DataFrame, refs: DataFrame, value: str, payload: list[str]
 
 
 #: Children per side of a grid's cell, and places that need no further division.
-_FAN, _LEAF = 4, 32
+_FAN, _LEAF = 4, 1024
 
 
 def nearest(queries: DataFrame, refs: DataFrame, by: list[str] = [], x: str = "x", y: str = "y", ref_id: list[str] = ["idx"], leaf: int = _LEAF, most_depth: int = 24) -> DataFrame:  # noqa: B006
@@ -100,22 +100,22 @@ def nearest(queries: DataFrame, refs: DataFrame, by: list[str] = [], x: str = "x
     frame = groups.select(*by, F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), F.when(span > 0, span).otherwise(1.0).alias("_span"))
     beside = lambda df, table: df.join(table, by) if by else df.crossJoin(F.broadcast(table))  # noqa: E731  (one row without groups)
     framed = beside(ref, frame)
-    depth = max(1, math.ceil(math.log(max(largest / leaf, 1.0), _FAN * _FAN)) + 1)
+    depth = math.ceil(math.log(largest / leaf, _FAN * _FAN)) + 1 if largest > leaf else 0
     while True:
         n = float(_FAN**depth)
         at = lambda c, low: F.least(F.floor((F.col(c) - F.col(low)) / F.col("_span") * n), F.lit(n - 1)).cast("long")  # noqa: B023, E731
         placed = framed.select(*by, "_rx", "_ry", "_rid", at("_rx", "_x0").alias("i"), at("_ry", "_y0").alias("j"))
         level = placed.groupBy(*by, "i", "j").agg(*[f.alias(c) for c, f in box.items()])
         densest = level.agg(F.max("n")).first()[0]
-        if densest <= 4 * leaf or depth >= most_depth:
+        if densest <= 4 * leaf or depth >= most_depth or not depth:
             break
         depth = min(most_depth, depth + max(1, math.ceil(math.log(densest / leaf, _FAN * _FAN) / 2)))
     up = [f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max), ("n", F.sum))]
-    levels = [level.withColumn("level", F.lit(depth))]
+    levels = [level.withColumn("level", F.lit(depth))]  # without depth the groups themselves, which all are small
     for k in range(depth - 1, 0, -1):
         level = level.groupBy(*by, F.shiftright("i", 2).alias("i"), F.shiftright("j", 2).alias("j")).agg(*up)
         levels.append(level.withColumn("level", F.lit(k)))
-    tree = checkpointed(functools.reduce(DataFrame.unionByName, levels))
+    tree = checkpointed(functools.reduce(DataFrame.unionByName, levels)) if depth else None
     near = lambda low, c, high: F.greatest(F.col(low) - F.col(c), F.lit(0.0), F.col(c) - F.col(high))
     far = lambda low, c, high: F.greatest(F.abs(F.col(low) - F.col(c)), F.abs(F.col(c) - F.col(high)))
     square = lambda f: F.pow(f("x0", "_x", "x1"), 2) + F.pow(f("y0", "_y", "y1"), 2)
@@ -136,7 +136,11 @@ def nearest(queries: DataFrame, refs: DataFrame, by: list[str] = [], x: str = "x
     down = F.lit(2) * (F.lit(depth) - F.col("level"))
     places = places.withColumns({"i": F.call_function("shiftright", F.col("i"), down), "j": F.call_function("shiftright", F.col("j"), down)})
     d = F.pow(F.col("_x") - F.col("_rx"), 2) + F.pow(F.col("_y") - F.col("_ry"), 2)
-    best = cells.select(*by, "_id", "_x", "_y", "level", "i", "j").join(places, [*by, "level", "i", "j"]).groupBy("_id").agg(F.min(F.struct(d.alias("d"), F.col("_rid").alias("id"))).alias("_b"))
+    cells = checkpointed(cells.select(*by, "_id", "_x", "_y", "level", "i", "j")) if depth else cells
+    at = [*by, "level", "i", "j"]
+    # a least number is aggregated by hashing, the least id among those at that distance on the few rows left
+    least = cells.join(places.select(*at, "_rx", "_ry"), at).groupBy("_id").agg(F.min(d).alias("_d"))
+    best = cells.join(least, "_id").join(places, at).where(d == F.col("_d")).groupBy("_id").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_rid").alias("id"))).alias("_b"))
     ids = [F.col(f"_b.id.{c}").alias(f"ref_{c}") for c in ref_id]
     return left.join(best, "_id").select("_q.*", *ids, F.sqrt("_b.d").alias("distance"))
 
