@@ -5,7 +5,8 @@ Each source gets a target number of words. A document of a source is wanted in p
 Whole copies are certain and are allocated first. What is left of the expected copies is the document's inclusion
 probability p in a sample without replacement: it gets the ranking variable (u / (1 - u)) / (p / (1 - p)) from a
 uniform u that depends only on the row, and the documents of lowest rank are taken until the words left to take are
-reached (the document at the cut is taken if that comes nearer).
+reached (the document at the cut is taken if that comes nearer). Then one document of each source is turned round, where
+that brings its words nearer to the target.
 
 The cut is found without sorting a source in one task: the ranks are counted in histograms, twice, each time
 inside the bin that holds the cut, and only the rows of the last bin are sorted. The factor of the measure comes from
@@ -104,6 +105,27 @@ def _factors(rows: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return factor.groupBy("source", "source_size", "target").agg(F.max("_factor").alias("_factor"), F.greatest(F.first("target") - F.sum(whole), F.lit(0.0)).alias("_left"))
 
 
+def _nearer(rows: DataFrame, small) -> DataFrame:
+    """``rows`` with one decision of each source turned round where that brings its words nearer to its target.
+
+    A long document at the cut may leave a source far off; one more document taken, or one of the sample left out,
+    mends that best. Of those that do it as well, the one of lowest rank, then of smallest id, is turned.
+    """
+    words = (F.col("_whole") + F.col("_extra")) * F.col("size")
+    off = rows.groupBy("source").agg((F.first("target") - F.sum(words)).alias("_off")).where("_off != 0")
+    change = F.when(F.col("_extra") == 1, -F.col("size")).otherwise(F.col("size"))
+    open_ = rows.where("_left > 0 and _q is not null and size > 0").alias("d").join(small(off.alias("o")), F.expr("d.source <=> o.source"))
+    miss = open_.select("d.source", "_off", "doc_id", "_row", "_q", "_extra", F.abs(F.col("_off") - change).alias("_miss")).where("_miss < abs(_off)")
+    least = miss.groupBy("source").agg(F.min("_miss").alias("_least"))
+    best = miss.alias("d").join(small(least.alias("l")), F.expr("d.source <=> l.source AND d._miss = l._least")).groupBy("d.source").agg(F.min(F.struct("_q", "doc_id", "_row", "_extra")).alias("_b"))
+    turned = checkpointed(best.select("source", "_b.*"))
+    found = rows.alias("d").join(small(turned.alias("t")), F.expr("d.source <=> t.source AND d._row = t._row AND d.doc_id <=> t.doc_id AND d._extra = t._extra"), "left").select("d.*", F.col("t._row").isNotNull().alias("_turned"))
+    # of equal rows one is turned; they are few, as a source has one such decision
+    first = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) == 1
+    one = found.where("_turned").withColumn("_extra", F.when(first, 1 - F.col("_extra")).otherwise(F.col("_extra")))
+    return found.where("not _turned").unionByName(one).drop("_turned")
+
+
 def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, bins: int = BINS, max_sources: int = MAX_SOURCES) -> DataFrame:
     """How often each document is taken.
 
@@ -150,7 +172,7 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, mos
     rest = placed.where(~at)
     # a source whose words never reach the rest to take (rounding) is taken whole once more
     extra = F.when((F.col("_left") <= 0) | F.col("_q").isNull(), 0).when(F.col("_cut1").isNull(), 1).when(before, 1).otherwise(0)
-    out = rest.withColumn("_extra", extra).unionByName(edge)
+    out = _nearer(checkpointed(rest.withColumn("_extra", extra).unionByName(edge)), small)
     copies = F.least(F.col("_whole") + F.col("_extra"), F.lit(most))
     return out.select("doc_id", "source", "size", "source_size", "target", "expected", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "_row")
 

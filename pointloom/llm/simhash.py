@@ -185,11 +185,14 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk_rows: int = CHUNK) -> Da
     return edges.distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """For every node of the edges (a, b): node and root, the smallest node reachable."""
+def components(edges: DataFrame) -> DataFrame:
+    """For every node of the edges (a, b): node and root, the smallest node reachable.
+
+    Rounds go on until nothing changes, which takes at most the square of the logarithm of the number of nodes.
+    """
     e = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -201,7 +204,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             # every node now points to its root; roots point to themselves
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
-    raise RuntimeError("components not found in the allowed rounds")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, chunk_rows: int = CHUNK) -> DataFrame:
