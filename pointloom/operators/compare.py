@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,22 +64,22 @@ def mean_direction(df: DataFrame, pairs: DataFrame, base: float = 360.0) -> Data
 def best_alignment(df: DataFrame, pairs: DataFrame, parameters: list[dict], correlation: bool = False) -> DataFrame:
     """The row of the parameter grid that brings the second set nearest to the first, point by point.
 
-    ``parameters`` is a list of scale, dx, dy, rx, ry, angle (a few hundred at most: each pair of points is spread over
-    them); p_id is the place in it. The least mean distance wins, or with ``correlation`` the greatest mean of the correlations of x and of y; ties
+    ``parameters`` is a list of scale, dx, dy, rx, ry, angle (each pair of points is spread over them, 500 at a time); p_id is the place in it. The least mean distance wins, or with ``correlation`` the greatest mean of the correlations of x and of y; ties
     go to the smallest p_id.
     """
-    if len(parameters) > 1000:
-        raise ValueError("more than 1000 parameter sets")
     neutral = {"scale": 1.0, "dx": 0.0, "dy": 0.0, "rx": 0.0, "ry": 0.0, "angle": 0.0}
-    rows = F.array(*[F.struct(F.lit(k).alias("p_id"), *[F.lit(float(v)).alias(c) for c, v in (neutral | p).items()]) for k, p in enumerate(parameters)])
-    m = paired(df, pairs, "x", "y").withColumn("_p", F.explode(rows)).select("*", "_p.*")
-    x, y = shift_rotate(F.col("b_x"), F.col("b_y"), F.col("angle"), F.col("scale"), (F.col("rx"), F.col("ry")), (F.col("dx"), F.col("dy")))
-    m = m.withColumns({"_x": x, "_y": y})
+    pairs_of_points = paired(df, pairs, "x", "y")
     if correlation:
         score = -(F.corr("a_x", "_x") + F.corr("a_y", "_y")) / 2
     else:
         score = F.avg(F.sqrt(F.pow(F.col("a_x") - F.col("_x"), 2) + F.pow(F.col("a_y") - F.col("_y"), 2)))
-    scored = m.groupBy("set_a", "set_b", "p_id").agg(score.alias("_v"))
+    parts = []
+    for first in range(0, len(parameters), 500):
+        rows = F.array(*[F.struct(F.lit(first + k).alias("p_id"), *[F.lit(float(v)).alias(c) for c, v in (neutral | p).items()]) for k, p in enumerate(parameters[first : first + 500])])
+        m = pairs_of_points.withColumn("_p", F.explode(rows)).select("*", "_p.*")
+        x, y = shift_rotate(F.col("b_x"), F.col("b_y"), F.col("angle"), F.col("scale"), (F.col("rx"), F.col("ry")), (F.col("dx"), F.col("dy")))
+        parts.append(m.withColumns({"_x": x, "_y": y}).groupBy("set_a", "set_b", "p_id").agg(score.alias("_v")))
+    scored = functools.reduce(DataFrame.unionByName, parts)
     best = scored.groupBy("set_a", "set_b").agg(F.min(F.struct("_v", "p_id")).alias("_b"))
     return best.select("set_a", "set_b", F.col("_b.p_id").alias("p_id"), (-F.col("_b._v") if correlation else F.col("_b._v")).alias("score"))
 

@@ -39,13 +39,21 @@ def j02(spark, d):
     return jn.paired(p.withColumn("discarded", F.col("x") == 7), pairs(p), "x").select("set_a", "set_b", "idx", "a_x", "b_x")
 
 
-@query("j03_bracket", """WITH c AS (SELECT c_custkey, c_acctbal AS v, c_nationkey AS g FROM customer), s AS (SELECT s_acctbal AS v, s_nationkey % 5 AS g FROM supplier),
-b AS (SELECT c_custkey, c.v, (SELECT max(s.v) FROM s WHERE s.v <= c.v AND s.g = c.g % 5) AS lo, (SELECT min(s.v) FROM s WHERE s.v >= c.v AND s.g = c.g % 5) AS hi FROM c)
+@query("j03_bracket", """WITH c AS (SELECT c_custkey, c_acctbal AS v FROM customer), s AS (SELECT s_acctbal AS v FROM supplier),
+b AS (SELECT c_custkey, c.v, (SELECT max(s.v) FROM s WHERE s.v <= c.v) AS lo, (SELECT min(s.v) FROM s WHERE s.v >= c.v) AS hi FROM c)
 SELECT c_custkey, lo AS lower, hi AS upper, CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL OR v - lo <= hi - v THEN lo ELSE hi END AS closest FROM b""")
 def j03(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v"), (F.col("c_nationkey") % 5).alias("g"))
-    s = table(spark, d, "supplier").select(F.col("s_acctbal").alias("v"), (F.col("s_nationkey") % 5).alias("g"))
-    return jn.bracket(c, s, "v", by=["g"]).select("c_custkey", "lower", "upper", "closest")
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v"))
+    return jn.bracket(c, table(spark, d, "supplier").select(F.col("s_acctbal").alias("v")), "v").select("c_custkey", "lower", "upper", "closest")
+
+
+@query("j03_bracket_in_groups", """WITH c AS (SELECT c_custkey, c_acctbal AS v, c_nationkey AS g FROM customer), s AS (SELECT s_acctbal AS v, s_nationkey AS g FROM supplier),
+b AS (SELECT c_custkey, c.v, (SELECT max(s.v) FROM s WHERE s.v <= c.v AND s.g = c.g) AS lo, (SELECT min(s.v) FROM s WHERE s.v >= c.v AND s.g = c.g) AS hi FROM c)
+SELECT c_custkey, lo AS lower, hi AS upper FROM b""")
+def j03b(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v"), F.col("c_nationkey").alias("g"))
+    s = table(spark, d, "supplier").select(F.col("s_acctbal").alias("v"), F.col("s_nationkey").alias("g"))
+    return jn.bracket(c, s, "v", by=["g"], spread=True).select("c_custkey", "lower", "upper")
 
 
 @query("j04_nearest_point", """WITH {P0}, p AS (SELECT set_id, idx, x, y / 1000 AS y FROM p0), q AS (SELECT s_suppkey AS q_id, s_nationkey * 2 + 0.5 AS x, s_acctbal / 100 AS y FROM supplier),
@@ -145,6 +153,13 @@ def w12(spark, d):
     return smooth.recursive_filters(series(spark, d), "v", 2.0, t="t").select("set_id", "idx", r("filtered").alias("filtered"))
 
 
+@query("w12_recursive_filter_in_blocks", _STEPS + """f AS (SELECT set_id, idx, 0.0::DOUBLE + least(dt / 2.0, 1.0) * (v - 0.0) AS y FROM q WHERE idx = 0
+  UNION ALL SELECT q.set_id, q.idx, y + least(q.dt / 2.0, 1.0) * (q.v - y) FROM f JOIN q ON q.set_id = f.set_id AND q.idx = f.idx + 1)
+SELECT set_id, idx, round(y, 6) AS filtered FROM f""")
+def w12c(spark, d):
+    return smooth.recursive_filters_in_blocks(series(spark, d), "v", 2.0, t="t", block=32).select("set_id", "idx", r("filtered").alias("filtered"))
+
+
 @query("w12_shunting_inhibition", _STEPS + """f AS (SELECT set_id, idx, 0.2 * v AS y FROM q WHERE idx = 0
   UNION ALL SELECT q.set_id, q.idx, y + 0.2 * (q.v - (1.0 + q.i) * y) FROM f JOIN q ON q.set_id = f.set_id AND q.idx = f.idx + 1)
 SELECT set_id, idx, round(y, 6) AS filtered FROM f""")
@@ -202,6 +217,14 @@ def w16(spark, d):
     return rs.spline_integrals(series(spark, d), "t", "y", 100.0, 400.0).select("set_id", r("integral", 3).alias("integral"))
 
 
+@query("w16_integral_in_blocks", _SERIES_KNOTS + """, c AS (SELECT *, greatest(x, 100.0) AS a, least(x1, 400.0) AS b FROM k),
+v AS (SELECT set_id, CASE WHEN h IS NOT NULL AND b > a THEN (b - a) / 6 * (""" + _PIECE.replace("{at}", "a") + " + 4 * " + _PIECE.replace("{at}", "((a + b) / 2)") + " + " + _PIECE.replace("{at}", "b") + """) ELSE 0 END AS part FROM c)
+SELECT set_id, round(sum(part), 3) AS integral FROM v GROUP BY set_id""")
+def w16b(spark, d):
+    pieces = rs.spline_pieces(series(spark, d), "t", "y", block=1000)
+    return rs.integrals_of_pieces(pieces, 100.0, 400.0).select("set_id", r("integral", 3).alias("integral"))
+
+
 @query("w25_spectrum", """WITH {S}, n AS (SELECT set_id, count(*) AS n FROM s GROUP BY set_id), k AS (SELECT set_id, n, unnest(range(n // 2 + 1)) AS k FROM n),
 f AS (SELECT s.set_id, k.k, k.n, sum(v * cos(2 * pi() * ((k.k * idx) % k.n) / k.n)) AS re, -sum(v * sin(2 * pi() * ((k.k * idx) % k.n) / k.n)) AS im FROM k JOIN s ON s.set_id = k.set_id GROUP BY ALL)
 SELECT set_id, k, round(re, 5) + 0 AS re, round(im, 5) + 0 AS im, round((re * re + im * im) / (n * n), 6) AS power FROM f""")

@@ -139,6 +139,38 @@ def test_splines():
     assert resample.polynomial_at([0, 1, 3], [1, 2, 10], 2) == pytest.approx(5)
 
 
+def test_splines_and_filters_in_blocks_are_those_of_whole_sets(spark):
+    rng, rows = np.random.default_rng(8), []
+    for k, n in enumerate((700, 3, 2, 1, 300)):
+        x = np.cumsum(rng.exponential(1.0, n))
+        y = np.where((rng.random(n) < 0.1) & (np.arange(n) > 0), None, np.sin(x) + rng.normal(0, 0.1, n))
+        rows += [(k, i, float(a), None if b is None else float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "set_id long, idx long, x double, y double").repartition(5)
+    pieces = resample.spline_pieces(df, "x", "y", block=150).cache()
+    order = lambda d, c: [tuple(r) for r in d.select("set_id", "idx", c).orderBy("set_id", "idx").collect()]
+    a, b = (order(d, "y") for d in (resample.resampled_pieces(pieces, "x", "y", 40), resample.spline_resample(df, "x", "y", 40)))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and np.allclose([r[2] for r in a], [r[2] for r in b], atol=1e-9)
+    a, b = ({r["set_id"]: r["integral"] for r in d.collect()} for d in (resample.integrals_of_pieces(pieces, 3.5, 200.0), resample.spline_integrals(df, "x", "y", 3.5, 200.0)))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-8) for k in a)
+    for t in ("x", None):
+        step = {"t": "x"} if t else {"dt": 0.5}
+        a, b = (order(d, "filtered") for d in (smooth.recursive_filters_in_blocks(df, "y", 3.0, memory=0.7, block=64, **step), smooth.recursive_filters(df, "y", 3.0, memory=0.7, **step)))
+        assert [r[:2] for r in a] == [r[:2] for r in b] and np.allclose([r[2] for r in a], [r[2] for r in b])
+
+
+def test_alignment_over_many_parameters(spark):
+    df = spark.createDataFrame([(1, i, float(i), float(i * i)) for i in range(6)] + [(2, i, i - 0.731, float(i * i)) for i in range(6)], "set_id long, idx long, x double, y double")
+    best = compare.best_alignment(df, spark.createDataFrame([(1, 2)], "set_a long, set_b long"), [{"dx": k / 1000} for k in range(1200)]).first()
+    assert best["p_id"] == 731 and best["score"] == pytest.approx(0, abs=1e-9)
+
+
+def test_overlap_of_equal_sets_is_one(spark):
+    rows = [(s, i, float(i), 0.5 if i else 0.0) for s in (1, 2, 3) for i in range(4)]
+    df = spark.createDataFrame(rows, "set_id long, idx long, y double, e double")
+    found = compare.overlap(df, spark.createDataFrame([(1, 2), (2, 3)], "set_a long, set_b long"))
+    assert tuple(compare.overall_overlap(found).first()) == (2, 1.0, 0.0, 0.0, 0.0)
+
+
 def test_spline_drops_end_gaps_and_duplicates(spark):
     df = spark.createDataFrame([(1, 0, 0.0, None), (1, 1, 1.0, 2.0), (1, 2, 1.0, 4.0), (1, 3, 2.0, 5.0)], "set_id long, idx long, x double, y double")
     got = resample.spline_resample(df, "x", "y", 3).orderBy("idx").collect()
