@@ -190,14 +190,16 @@ def build_index(rows: DataFrame, n_rows: int | None = None) -> DataFrame:
     return merged.withColumn("keep_id", F.when(F.col("keep_id") != _NO_ID, F.col("keep_id")))
 
 
-def apply_changes(index: DataFrame, changes: DataFrame, shards: int = 64) -> DataFrame:
+def apply_changes(index: DataFrame, changes: DataFrame, shards: int | None = None) -> DataFrame:
     """The index after a batch of changes.
 
     ``changes`` has op ('insert' or 'delete'), seq (order of the changes of one digest), digest, doc_id and
     n_chars. A deletion takes the digest out, so that a later insertion of the same text is new again.
     Deleting a digest that is not live, or an unknown op, changes nothing. Each shard of the index and its
-    changes are brought together in one task, so ``shards`` must grow with the index.
+    changes are brought together in one task; their number follows that of the rows unless ``shards`` is given.
     """
+    if shards is None:
+        shards = max(shuffle_partitions(index.sparkSession), -(-(index.count() + changes.count()) // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
     a = index.select(shard, "digest", F.coalesce("keep_id", F.lit(_NO_ID)).alias("keep_id"), "n_chars", "group_size")
     b = changes.select(shard, "op", "seq", "digest", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))

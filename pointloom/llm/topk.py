@@ -124,7 +124,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     one = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
     n, m = vectors.count(), one.count()
     rows, columns = max(1, math.ceil(n / cell_vectors)), max(1, math.ceil(m / cell_queries))
-    blocks = vectors.repartitionByRange(rows, "vec_id").sortWithinPartitions("vec_id").mapInPandas(_pack(block_rows, rows), _PACKED)
+    # rows that repeat an id are parted too
+    blocks = vectors.repartitionByRange(rows, "vec_id", F.xxhash64("q")).sortWithinPartitions("vec_id").mapInPandas(_pack(block_rows, rows), _PACKED)
     asked = one.repartitionByRange(columns, "vec_id").mapInPandas(_pack(block_rows, columns), _PACKED)
     # each group of blocks meets each group of queries: the stated queries against all rows, in blocks
     left = blocks.select(F.col("part").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).alias("j"), "ids", "rows", "dim")
