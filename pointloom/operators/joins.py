@@ -39,7 +39,7 @@ def bracket(queries: DataFrame, refs: DataFrame, value: str, payload: list[str]
     group and value are, and each range takes the references next to it over from the others' ends.
     """
     spread = not by if spread is None else spread
-    given = F.struct(F.col(value).alias("v"), *[F.col(p).alias(p) for p in payload])
+    given = F.struct(F.col(value).alias("_value"), *[F.col(p).alias(p) for p in payload])
     row = F.struct(*[F.col(c) for c in queries.columns])
     kind = queries.select(row.alias("q")).schema["q"].dataType
     a = queries.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.lit(1).alias("_side"), F.lit(None).cast(refs.select(given.alias("r")).schema["r"].dataType).alias("_r"), row.alias("_q"))
@@ -61,14 +61,14 @@ def bracket(queries: DataFrame, refs: DataFrame, value: str, payload: list[str]
         after = F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing))
         taken = ends.select(*keys, before.alias("_before"), after.alias("_after"))
         found = found.join(taken, keys).withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
-    near_lo = F.col("_lo").isNotNull() & (F.col("_v") - F.col("_lo.v") <= tolerance)
-    near_hi = F.col("_hi").isNotNull() & (F.col("_hi.v") - F.col("_v") <= tolerance)
+    near_lo = F.col("_lo").isNotNull() & (F.col("_v") - F.col("_lo._value") <= tolerance)
+    near_hi = F.col("_hi").isNotNull() & (F.col("_hi._value") - F.col("_v") <= tolerance)
     lo = F.when(near_hi & ~near_lo, F.col("_hi")).otherwise(F.col("_lo"))
     hi = F.when(near_lo, F.col("_lo")).otherwise(F.col("_hi"))
     out = found.select("_q", lo.alias("_lo"), hi.alias("_hi"), "_v")
-    closest = F.when(F.col("_lo").isNull(), F.col("_hi.v")).when(F.col("_hi").isNull() | (F.col("_v") - F.col("_lo.v") <= F.col("_hi.v") - F.col("_v")), F.col("_lo.v")).otherwise(F.col("_hi.v"))
+    closest = F.when(F.col("_lo").isNull(), F.col("_hi._value")).when(F.col("_hi").isNull() | (F.col("_v") - F.col("_lo._value") <= F.col("_hi._value") - F.col("_v")), F.col("_lo._value")).otherwise(F.col("_hi._value"))
     extra = [F.col(f"_{s}.{p}").alias(f"{n}_{p}") for s, n in (("lo", "lower"), ("hi", "upper")) for p in payload]
-    return out.select("_q.*", F.col("_lo.v").alias("lower"), F.col("_hi.v").alias("upper"), *extra, closest.alias("closest"))
+    return out.select("_q.*", F.col("_lo._value").alias("lower"), F.col("_hi._value").alias("upper"), *extra, closest.alias("closest"))
 
 
 #: Children per side of a grid's cell, and places that need no further division.

@@ -1,17 +1,26 @@
-"""Fourier transforms of sets. A set must fit one task; longer ones than ``most`` raise an error."""
+"""Fourier transforms of sets.
+
+A set is one task's work, up to ``most`` points; :func:`long_spectrum` deals a set of any length over tasks.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pointloom.operators.joins import bracket
+from pointloom.operators.points import checkpointed
 
 MOST_POINTS = 50_000_000
 
 
 def _series(frame: pd.DataFrame, c: str, most: int) -> np.ndarray:
     if len(frame) > most:
-        raise ValueError(f"a set has more than {most} points")
+        raise ValueError(f"a set has more than {most} points; see long_spectrum")
     # gaps are filled by place, as the transform knows no missing values
     return frame.sort_values("idx")[c].astype(float).interpolate(limit_direction="both").fillna(0.0).to_numpy()
 
@@ -56,3 +65,63 @@ def cyclic_convolution(df: DataFrame, c: str, mask: list[float], deconvolve: boo
         return pd.DataFrame({"set_id": frame["set_id"].iloc[0], "idx": np.arange(len(v)), "value": out})
 
     return df.select("set_id", "idx", c).groupBy("set_id").applyInPandas(run, "set_id long, idx long, value double")
+
+
+def _transform(rows: DataFrame, high: int, low: int, sign: int, cells: int) -> DataFrame:
+    """The unscaled transform of (set_id, i, re, im), i below high * low, absent rows being zero, in two steps: along
+    the columns of the matrix of ``low`` columns that the set fills row by row, and along its rows. Each task has
+    about ``cells`` cells of it."""
+    kind, n = rows.schema["set_id"].dataType.simpleString(), high * low
+    wide, tall = max(1, cells // high), max(1, cells // low)
+    along = lambda m, axis: np.fft.fft(m, axis=axis) if sign < 0 else np.fft.ifft(m, axis=axis) * m.shape[axis]
+
+    def frame_of(key, a, b, m: np.ndarray) -> pd.DataFrame:
+        a, b = np.broadcast_arrays(a, b)
+        return pd.DataFrame({"set_id": key, "a": a.ravel(), "b": b.ravel(), "re": m.real.ravel(), "im": m.imag.ravel()})
+
+    def columns(key, frame: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[1]) * wide
+        m = np.zeros((high, min(wide, low - first)), complex)
+        m[frame["i"] // low, frame["i"] % low - first] = frame["re"].to_numpy() + 1j * frame["im"].to_numpy()
+        a, b = np.arange(high)[:, None], first + np.arange(m.shape[1])
+        return frame_of(key[0], a, b, along(m, 0) * np.exp(sign * 2j * np.pi * ((a * b) % n) / n))
+
+    def lines(key, frame: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[1]) * tall
+        m = np.zeros((min(tall, high - first), low), complex)
+        m[frame["a"] - first, frame["b"]] = frame["re"].to_numpy() + 1j * frame["im"].to_numpy()
+        return frame_of(key[0], first + np.arange(m.shape[0])[:, None], np.arange(low), along(m, 1))
+
+    schema = f"set_id {kind}, a long, b long, re double, im double"
+    half = rows.groupBy("set_id", F.floor(F.pmod("i", F.lit(low)) / wide).alias("_k")).applyInPandas(columns, schema)
+    done = half.groupBy("set_id", F.floor(F.col("a") / tall).alias("_k")).applyInPandas(lines, schema)
+    return done.select("set_id", (F.col("a") + high * F.col("b")).alias("i"), "re", "im")
+
+
+def long_spectrum(df: DataFrame, c: str, cells: int = 1 << 22) -> DataFrame:
+    """As :func:`spectrum`, for sets of any length (idx from 0 without gaps): a convolution with a chirp turns a length
+    into the power of two that holds twice as many points, whose transform is dealt over tasks of ``cells`` cells."""
+    given = df.select("set_id", "idx", F.col(c).cast("double").alias("v"))
+    known = given.where(F.col("v").isNotNull())
+    gaps = bracket(given.where(F.col("v").isNull()).drop("v"), known, "idx", ["v"], ["set_id"], spread=True)
+    part = (F.col("idx") - F.col("lower")) / (F.col("upper") - F.col("lower"))
+    line = F.col("lower_v") + (F.col("upper_v") - F.col("lower_v")) * part
+    filled = known.unionByName(gaps.select("set_id", "idx", F.coalesce(line, "lower_v", "upper_v", F.lit(0.0)).alias("v")))
+    counts = checkpointed(given.groupBy("set_id").agg(F.count("*").alias("n")))
+    longest = counts.agg(F.max("n")).first()[0] or 1
+    bits = max(2, (2 * longest - 1).bit_length())
+    high, low = 1 << (bits // 2), 1 << (bits - bits // 2)
+    m = high * low
+    rows = filled.join(counts, "set_id")
+    angle = F.lit(math.pi) * (F.pmod(F.col("idx") * F.col("idx"), 2 * F.col("n")) / F.col("n"))
+    a = rows.select("set_id", F.col("idx").alias("i"), (F.col("v") * F.cos(angle)).alias("re"), (-F.col("v") * F.sin(angle)).alias("im"))
+    both = F.array_distinct(F.array(F.col("idx"), F.pmod(m - F.col("idx"), F.lit(m))))  # the chirp is even
+    b = rows.select("set_id", F.explode(both).alias("i"), F.cos(angle).alias("re"), F.sin(angle).alias("im"))
+    fa, fb = (_transform(t, high, low, -1, cells) for t in (a, b))
+    f = fa.join(fb.select("set_id", "i", F.col("re").alias("_re"), F.col("im").alias("_im")), ["set_id", "i"])
+    product = f.select("set_id", "i", (F.col("re") * F.col("_re") - F.col("im") * F.col("_im")).alias("re"), (F.col("re") * F.col("_im") + F.col("im") * F.col("_re")).alias("im"))
+    out = _transform(product, high, low, 1, cells).join(counts, "set_id").where(F.col("i") <= F.floor(F.col("n") / 2)).withColumn("idx", F.col("i"))
+    re = (F.col("re") * F.cos(angle) + F.col("im") * F.sin(angle)) / m
+    im = (F.col("im") * F.cos(angle) - F.col("re") * F.sin(angle)) / m
+    found = out.select("set_id", F.col("i").alias("k"), re.alias("re"), im.alias("im"), "n")
+    return found.withColumn("power", (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("n") * F.col("n"))).select("set_id", "k", "re", "im", "power", "n")

@@ -225,12 +225,21 @@ def w16b(spark, d):
     return rs.integrals_of_pieces(pieces, 100.0, 400.0).select("set_id", r("integral", 3).alias("integral"))
 
 
-@query("w25_spectrum", """WITH {S}, n AS (SELECT set_id, count(*) AS n FROM s GROUP BY set_id), k AS (SELECT set_id, n, unnest(range(n // 2 + 1)) AS k FROM n),
+_DFT = """WITH {S}, n AS (SELECT set_id, count(*) AS n FROM s GROUP BY set_id), k AS (SELECT set_id, n, unnest(range(n // 2 + 1)) AS k FROM n),
 f AS (SELECT s.set_id, k.k, k.n, sum(v * cos(2 * pi() * ((k.k * idx) % k.n) / k.n)) AS re, -sum(v * sin(2 * pi() * ((k.k * idx) % k.n) / k.n)) AS im FROM k JOIN s ON s.set_id = k.set_id GROUP BY ALL)
-SELECT set_id, k, round(re, 5) + 0 AS re, round(im, 5) + 0 AS im, round((re * re + im * im) / (n * n), 6) AS power FROM f""")
+SELECT set_id, k, round(re, 5) + 0 AS re, round(im, 5) + 0 AS im, round((re * re + im * im) / (n * n), 6) AS power FROM f"""
+
+
+@query("w25_spectrum", _DFT)
 def w25(spark, d):
     got = spectral.spectrum(series(spark, d), "v")
-    return got.select("set_id", "k", r("re", 5).alias("re"), r("im", 5).alias("im"), r("power", 6).alias("power"))
+    return got.select("set_id", "k", (r("re", 5) + 0.0).alias("re"), (r("im", 5) + 0.0).alias("im"), r("power", 6).alias("power"))
+
+
+@query("w25_spectrum_over_tasks", _DFT)
+def w25b(spark, d):
+    got = spectral.long_spectrum(series(spark, d), "v", cells=1 << 12)
+    return got.select("set_id", "k", (r("re", 5) + 0.0).alias("re"), (r("im", 5) + 0.0).alias("im"), r("power", 6).alias("power"))
 
 
 @query("w26_inverse", "WITH {S} SELECT set_id, idx, round(v, 5) AS value FROM s")

@@ -185,11 +185,25 @@ def test_spectrum_there_and_back(spark):
     assert np.allclose(_column(back, "value"), [1, 5, 3.5, 2, 8, 3, 4])
 
 
+def test_long_spectrum_is_that_of_whole_sets(spark):
+    rng = np.random.default_rng(5)
+    values = [[float(v) for v in rng.normal(0, 3, n)] for n in (1, 2, 97, 500)]
+    values[2][0] = values[2][40] = values[2][41] = values[2][96] = None
+    df = _set(spark, values[0])
+    for k, v in enumerate(values[1:], 2):
+        df = df.unionByName(_set(spark, v, set_id=k))
+    for cells in (1, 256, 1 << 20):
+        got, want = ([tuple(r) for r in f(df).orderBy("set_id", "k").select("set_id", "k", "n", "re", "im", "power").collect()] for f in (lambda d: spectral.long_spectrum(d, "y", cells), lambda d: spectral.spectrum(d, "y")))  # noqa: B023
+        assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=1e-9)
+
+
 def test_bracket_ends_ties_and_tolerance(spark):
     q = spark.createDataFrame([(1, 0.5), (2, 2.0), (3, 2.95), (4, 9.0), (5, None)], "q long, v double")
     ref = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (3.0,)], "v double")
     got = {r["q"]: (r["lower"], r["upper"], r["closest"]) for r in joins.bracket(q, ref, "v").collect()}
     assert got == {1: (None, 1, 1), 2: (2, 2, 2), 3: (2, 3, 3), 4: (3, None, 3)}
+    named = joins.bracket(q.withColumnRenamed("v", "x"), ref.select(F.col("v").alias("x"), "v"), "x", ["v"]).where("q = 1").first()  # a payload of any name
+    assert (named["lower_v"], named["upper_v"]) == (None, 1)
     near = {r["q"]: (r["lower"], r["upper"]) for r in joins.bracket(q, ref, "v", tolerance=0.1).collect()}
     assert near[3] == (3, 3)
 
