@@ -74,5 +74,7 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, columns: list[str],
     hot = table.where(F.col(weight) > max(1000, n // 500)).select(key, F.struct(*columns).alias("_hot"))
     salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).alias("_salt")
     first = rows.join(F.broadcast(hot), key, "left").select("*", salt)
-    rest = table.select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*columns).alias("_cold"))
+    # always 0, but no constant: the optimiser would take a constant out of the keys by which rows are dealt
+    none = F.pmod(F.xxhash64(key), F.lit(1)).cast("long").alias("_salt")
+    rest = table.select(key, none, F.struct(*columns).alias("_cold"))
     return first.join(rest, [key, "_salt"], "left").select(*rows.columns, F.coalesce("_hot", "_cold").alias("_found")).select(*rows.columns, "_found.*")
