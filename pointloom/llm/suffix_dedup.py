@@ -45,7 +45,7 @@ HOT_DOCS, HOT_SHARE = 2000, 0.01
 STRETCH = 1024
 #: Perfect difference covers by period.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9)}
-#: Words a removed span has more than, to count as a passage.
+#: Words of a removed span that make it a passage.
 PASSAGE_WORDS = 50
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
@@ -148,7 +148,7 @@ def _ungapped(values: np.ndarray) -> np.ndarray:
 def _pressed(*columns: np.ndarray, tail: bytes = b"") -> bytes:
     """Columns of whole numbers of one length, and bytes behind them."""
     n = len(columns[0])
-    return zstandard.ZstdCompressor(level=1).compress(n.to_bytes(8, "little") + b"".join(map(_planes, columns)) + tail)
+    return zstandard.ZstdCompressor(level=3).compress(n.to_bytes(8, "little") + b"".join(map(_planes, columns)) + tail)
 
 
 def _opened(data: bytes, columns: int) -> tuple[list[np.ndarray], memoryview]:
@@ -160,11 +160,6 @@ def _opened(data: bytes, columns: int) -> tuple[list[np.ndarray], memoryview]:
     return out, rest
 
 
-def _edges(mask: np.ndarray) -> np.ndarray:
-    """Starts and ends, in turn, of the runs of a mask."""
-    return np.flatnonzero(np.diff(np.r_[False, mask, False]))
-
-
 def _equal_stretches(data: bytes, first: np.ndarray, last: np.ndarray, gram: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which stretches have the bytes of one of a smaller id."""
     gone = np.zeros(len(first), bool)
@@ -247,7 +242,7 @@ def _cut(texts: tuple, length: int, n_buckets: int, hot: np.ndarray, piece: int)
     gone = _equal_stretches(data, first, last, gram, own)
     decided = _runs(first[gone], count[gone])
     table = _pressed(_gaps(ids), sizes.astype(_U), tail=keys + _pressed(_gaps(decided)))
-    yield _sent([(piece % n_buckets, piece, OWN, table)])
+    yield _sent([((piece * 0x9E3779B97F4A7C15 % (1 << 64) >> 33) % n_buckets, piece, OWN, table)])
     left = np.flatnonzero(~gone)
     mixed = (gram[left].astype(_U) + _U(1)) * _U(0x94D049BB133111EB)
     mixed = (mixed ^ (mixed >> _U(32))) * _U(0xD6E8FEB86659FD93)
@@ -423,15 +418,21 @@ def _spans(table: pa.Table, length: int) -> pa.Table:
     runs = [_ungapped(_opened(bytes(rest[16 * len(ids) :]), 1)[0][0])]
     runs += [_ungapped(_opened(x, 1)[0][0]) for k, x in zip(kinds, payloads) if k != OWN]
     runs = np.concatenate(runs).reshape(-1, 2)
+    if not len(runs):
+        return _SPANS.empty_table()
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
     bounds = np.append(0, np.cumsum(sizes))
-    marks = np.zeros(bounds[-1] + 1, np.int32)
-    np.add.at(marks, runs[:, 0], 1)
-    np.add.at(marks, runs[:, 1] + length - 1, -1)
-    mask = np.cumsum(marks[:-1]) > 0
-    found = np.unique(np.searchsorted(bounds, runs[:, 0], "right") - 1).tolist()
-    edges = [_edges(mask[bounds[i] : bounds[i + 1]]) for i in found]
-    columns = [ids[found].tolist(), [keys[16 * i : 16 * i + 16] for i in found], [e[::2].tolist() for e in edges], [e[1::2].tolist() for e in edges]]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, _SPANS.types)], schema=_SPANS)
+    start, top = runs[:, 0], np.maximum.accumulate(runs[:, 1] + length - 1)
+    doc = np.searchsorted(bounds, start, "right") - 1
+    new = np.ones(len(runs), bool)
+    new[1:] = (start[1:] > top[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    doc, start, end = doc[first], start[first] - bounds[doc[first]], top[np.append(first[1:], len(runs)) - 1] - bounds[doc[first]]
+    found, at = np.unique(doc, return_index=True)
+    offsets = pa.array(np.append(at, len(doc)).astype(np.int32))
+    columns = [pa.array(ids[found]), pa.array([keys[16 * i : 16 * i + 16] for i in found.tolist()], pa.binary())]
+    columns += [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (start, end)]
+    return pa.table(columns, schema=_SPANS)
 
 
 def _common_grams(docs: DataFrame, length: int, most_docs: int, share: float) -> np.ndarray:
@@ -457,8 +458,8 @@ def _common_grams(docs: DataFrame, length: int, most_docs: int, share: float) ->
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, at_once: int = SORTED_AT_ONCE) -> DataFrame:
     """What is repeated in each document, and what is left.
 
-    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left), n_passages (spans of more
-    than 50 words), starts and ends (the maximal removed runs, in bytes). Null and empty texts have 0 bytes. A null
+    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left), n_passages (spans of 50
+    words or more), starts and ends (the maximal removed runs, in bytes). Null and empty texts have 0 bytes. A null
     id counts as larger than every other, so it is never the smaller one; rows of one id do not remove each other's
     strings, and repeated rows have equal results. Long texts are cut like others; an empty table gives an empty
     result; other columns of ``docs`` are not read. ``length`` is 16 at least. A task that is run again must meet its
@@ -494,7 +495,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
                 for a, b in zip(starts or (), ends or ()):
                     kept.update(text[before:a])
                     before = b
-                    passages += b - a > 2 * PASSAGE_WORDS and len(text[a:b].split()) > PASSAGE_WORDS
+                    passages += b - a >= 2 * PASSAGE_WORDS - 1 and len(text[a:b].split()) >= PASSAGE_WORDS
                 kept.update(text[before:])
                 rows.append((len(text), sum(ends or ()) - sum(starts or ()), len(starts or ()), kept.hexdigest(), passages, starts or [], ends or []))
             columns = list(zip(*rows)) if rows else [[]] * 7
