@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+from pointloom.llm import suffix_dedup
 from pointloom.llm.suffix_dedup import COVERS, repeated_spans
 
 
@@ -60,3 +62,32 @@ def test_spans_against_brute_force(spark, seed, length):
     if seed == 1:
         assert _got(df.repartition(5), length=length, block_bytes=2000, bucket_bytes=5000, at_once=100) == _brute(rows, length)
         assert repeated_spans(df.limit(0)).count() == 0
+
+
+def test_common_lines_and_their_grams(spark):
+    rng = random.Random(6)
+    line = "".join(rng.choices("abcdefgh ", k=90))
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=150)) + line[i % 3 :] + "".join(rng.choices("abcdefgh ", k=150))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    keyed = df.selectExpr("text", "unhex(md5(text)) AS key")
+    hot = suffix_dedup._common_grams(keyed, 50, 2000, 0.01)
+    assert 0 < len(hot) < 60
+    for text in (line, rows[0][1]):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        plain, ordered = (suffix_dedup.stretches(raw, np.array([len(raw)]), 50, h)[2] for h in (hot[:0], hot))
+        assert set(plain) & set(hot) and not set(ordered) & set(hot)
+    assert _got(df) == _brute(rows, 50)
+
+
+def test_texts_larger_than_a_block(spark):
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 123, 9_000_000, dtype=np.uint8)
+    other = raw.copy()
+    places = [100, 1_000_000, 8_388_600, 8_999_900]
+    other[places] = 32
+    assert len(raw) > suffix_dedup.BLOCK_BYTES
+    df = spark.createDataFrame([(2, other.tobytes().decode()), (1, raw.tobytes().decode()), (3, "x" + other.tobytes().decode()[:100])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repeated_spans(df).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == len(raw) - 4 and got[2]["n_spans"] == 5
+    assert got[2]["starts"] == [0, *(p + 1 for p in places)] and got[2]["ends"] == [*places, len(raw)]
+    assert got[3]["n_removed"] == 100 and got[3]["starts"] == [1] and got[3]["n_passages"] == 0
