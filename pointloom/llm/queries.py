@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import exact_dedup, html_text, mixing, pieces, quality, simhash, suffix_dedup, token_counts, topk, toxicity
+from pointloom.llm import exact_dedup, html_text, minhash, mixing, pieces, quality, simhash, suffix_dedup, token_counts, topk, toxicity
 from pointloom.llm.common import read_table
 
 
@@ -51,6 +51,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +68,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_mixing,
         op10_quality,
+        op11_minhash,
     )
 }
 
