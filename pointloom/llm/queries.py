@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import exact_dedup, html_text, minhash, mixing, pieces, quality, simhash, suffix_dedup, token_counts, topk, toxicity
+from pointloom.llm import exact_dedup, fim, html_text, minhash, mixing, pieces, quality, simhash, suffix_dedup, token_counts, topk, toxicity
 from pointloom.llm.common import read_table
 
 
@@ -55,6 +55,10 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,8 +73,9 @@ QUERIES = {
         op9_mixing,
         op10_quality,
         op11_minhash,
+        op12_fill_in_middle,
     )
 }
 
 #: Those that SQL can express; the others are tested against brute force, round trips or held-out rows.
-ORACLE = {"op1_exact_top_k": topk.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op1_exact_top_k": topk.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op12_fill_in_middle": fim.ORACLE}
