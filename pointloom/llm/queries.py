@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import exact_dedup, fim, html_text, minhash, mixing, pieces, quality, simhash, suffix_dedup, token_counts, topk, toxicity
+from pointloom.llm import exact_dedup, fim, html_text, minhash, mixing, pieces, quality, simhash, suffix_dedup, token_counts, topk, toxicity, trie
 from pointloom.llm.common import read_table
 
 
@@ -59,6 +59,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,8 +78,9 @@ QUERIES = {
         op10_quality,
         op11_minhash,
         op12_fill_in_middle,
+        op13_prefix_trie,
     )
 }
 
 #: Those that SQL can express; the others are tested against brute force, round trips or held-out rows.
-ORACLE = {"op1_exact_top_k": topk.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op12_fill_in_middle": fim.ORACLE}
+ORACLE = {"op1_exact_top_k": topk.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_prefix_trie": trie.ORACLE}
