@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.points import checkpointed
@@ -76,39 +76,43 @@ def recursive_filters(df: DataFrame, x: str, tau: float, dt: float | None = None
     return df.select(*dict.fromkeys(used)).groupBy("set_id").applyInPandas(run, "set_id long, idx long, filtered double")
 
 
-def recursive_filters_in_blocks(df: DataFrame, x: str, tau: float, dt: float | None = None, t: str | None = None, memory: float = 0.0, block: int = 1_000_000) -> DataFrame:
-    """As :func:`recursive_filters` without inhibition, for sets too long for one task.
+def recursive_filters_in_blocks(df: DataFrame, x: str, tau: float, dt: float | None = None, t: str | None = None, y: str | None = None, c: float = 1.0, memory: float = 0.0, block: int = 1_000_000) -> DataFrame:
+    """As :func:`recursive_filters`, for sets too long for one task.
 
-    A block of consecutive points (by idx) turns the value before it into a y + b behind it; only these two numbers a
-    block are chained along a set, and each block then starts from its own value.
+    Both filters are linear in their memory: a block of consecutive points (by idx) turns the value before it into
+    a s + b behind it. Only these two numbers a block are chained along a set, and each block then starts from its own
+    value.
     """
-    cut = df.select("set_id", "idx", F.col(x).cast("double").alias("_x"), (F.col(t) if t else F.lit(None)).cast("double").alias("_t"), F.floor(F.col("idx") / block).alias("_block"))
+    null = F.lit(None)
+    cut = df.select("set_id", "idx", F.col(x).cast("double").alias("_x"), (F.col(t) if t else null).cast("double").alias("_t"), (F.col(y) if y else null).cast("double").alias("_y"), F.floor(F.col("idx") / block).alias("_block"))
     cut = checkpointed(cut.repartition("set_id", "_block"))
     last = cut.groupBy("set_id", "_block").agg(F.max_by("_t", "idx").alias("_before")).withColumn("_block", F.col("_block") + 1)
 
-    def arrays(frame: pd.DataFrame, before: float) -> tuple[pd.DataFrame, np.ndarray]:
+    def filtered(frame: pd.DataFrame, *memories: float) -> tuple[pd.DataFrame, list[np.ndarray]]:
         frame = frame.sort_values("idx")
-        at = frame["_t"].to_numpy(float)
-        return frame, np.full(len(frame), float(dt)) if t is None else np.diff(at, prepend=at[0] if np.isnan(before) else before)
+        at, before = frame["_t"].to_numpy(float), frame["_before"].iloc[0]
+        step = np.full(len(frame), float(dt)) if t is None else np.diff(at, prepend=at[0] if np.isnan(before) else before)
+        v = frame["_x"].to_numpy(float)
+        return frame, [low_pass(v, tau, step, m) if y is None else shunt(v, frame["_y"].to_numpy(float), c, tau, step, m) for m in memories]
 
     def outline(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, step = arrays(frame, frame["_before"].iloc[0])
-        v = frame["_x"].to_numpy(float)
-        # the filter is linear in its memory
-        none, one = (low_pass(v, tau, step, m)[-1] for m in (0.0, 1.0))
-        return pd.DataFrame({"set_id": frame["set_id"].iloc[:1], "_block": frame["_block"].iloc[:1], "a": one - none, "b": none})
+        frame, (none, one) = filtered(frame, 0.0, 1.0)
+        return pd.DataFrame({"set_id": frame["set_id"].iloc[:1], "_block": frame["_block"].iloc[:1], "a": one[-1] - none[-1], "b": none[-1]})
 
-    kind = df.schema["set_id"].dataType.simpleString()
-    known = cut.join(last, ["set_id", "_block"], "left")
-    outlines = known.groupBy("set_id", "_block").applyInPandas(outline, f"set_id {kind}, _block long, a double, b double")
-    along = Window.partitionBy("set_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    before = F.collect_list(F.struct("a", "b")).over(along)
-    start = F.aggregate(before, F.lit(float(memory)), lambda y, o: o["a"] * y + o["b"])
-    known = known.join(outlines.select("set_id", "_block", start.alias("_start")), ["set_id", "_block"])
+    def chain(frame: pd.DataFrame) -> pd.DataFrame:  # one row a block
+        frame = frame.sort_values("_block")
+        start, s = [], memory
+        for a, b in zip(frame["a"], frame["b"]):
+            start.append(s)
+            s = a * s + b
+        return pd.DataFrame({"set_id": frame["set_id"], "_block": frame["_block"], "_start": start})
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, step = arrays(frame, frame["_before"].iloc[0])
-        out = low_pass(frame["_x"].to_numpy(float), tau, step, frame["_start"].iloc[0])
+        frame, (out,) = filtered(frame, frame["_start"].iloc[0])
         return pd.DataFrame({"set_id": frame["set_id"], "idx": frame["idx"], "filtered": out})
 
-    return known.groupBy("set_id", "_block").applyInPandas(run, f"set_id {kind}, idx long, filtered double")
+    kind = df.schema["set_id"].dataType.simpleString()
+    known = cut.join(last, ["set_id", "_block"], "left")
+    outlines = known.groupBy("set_id", "_block").applyInPandas(outline, f"set_id {kind}, _block long, a double, b double")
+    starts = outlines.groupBy("set_id").applyInPandas(chain, f"set_id {kind}, _block long, _start double")
+    return known.join(starts, ["set_id", "_block"]).groupBy("set_id", "_block").applyInPandas(run, f"set_id {kind}, idx long, filtered double")

@@ -1,8 +1,8 @@
 """Statistics per bin: sums, moments, quantiles, angles, tests, histograms, fits.
 
 Every aggregate leaves out null and NaN values (and infinite ones with ``finite=True``). Sums are partial
-aggregates, so a hot bin is summed where its rows are. Exact quantiles keep a bin's distinct values in memory; for
-very large bins there is ``approximate``.
+aggregates, so a hot bin is summed where its rows are. Exact quantiles as columns keep a bin's distinct values in
+memory; for bins of any size there are ``order_stats.quantiles`` and its like, also exact, and ``approximate``.
 """
 
 from __future__ import annotations

@@ -1,5 +1,5 @@
 """Operators along each ordered set. All use one window, partitioned by set and ordered by ``idx``, so a chain of
-them shuffles once. For sets too long for one task there is :func:`running_sum_in_blocks`.
+them shuffles once. Those with a ``block`` take sets too long for one task in blocks of so many points (see ``scans``).
 """
 
 from __future__ import annotations
@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.points import column, ordered, running, whole
+from pointloom.operators.scans import scanned
 from pointloom.operators.stats import fold, mean, stdev
 
 
-def counters(df: DataFrame) -> DataFrame:
+def counters(df: DataFrame, block: int | None = None) -> DataFrame:
     """counter: points so far; kept: those not discarded."""
-    return df.withColumns({"counter": F.row_number().over(ordered()).cast("long"), "kept": F.sum(F.when(F.col("discarded"), 0).otherwise(1)).over(running())})
+    return scanned(df, block, sums={"counter": F.lit(1).cast("long"), "kept": F.when(F.col("discarded"), 0).otherwise(1)})
 
 
 def changed(*columns: str) -> Column:
@@ -26,6 +27,15 @@ def changed(*columns: str) -> Column:
     return (F.row_number().over(w) == 1) | ~same
 
 
+def with_changed(df: DataFrame, *columns: str, name: str = "changed", block: int | None = None) -> DataFrame:
+    """As :func:`changed`, as a column."""
+    there = scanned(df, block, lag={f"_p{k}": c for k, c in enumerate(columns)} | {"_is": F.lit(True)})
+    same = F.col("_is").isNotNull()
+    for k, c in enumerate(columns):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p{k}"))
+    return there.withColumn(name, ~same).drop("_is", *[f"_p{k}" for k in range(len(columns))])
+
+
 def stays_same(c: str, n: int) -> Column:
     """1 if the column keeps its value for the next n points (the last -n if negative), 0 if not, -1 past the set's end."""
     low, high = (0, n) if n >= 0 else (n, 0)
@@ -33,21 +43,16 @@ def stays_same(c: str, n: int) -> Column:
     return F.when(F.count(F.lit(1)).over(w) <= abs(n), -1).when((F.min(c).over(w) == F.col(c)) & (F.max(c).over(w) == F.col(c)) & (F.count(c).over(w) == abs(n) + 1), 1).otherwise(0)
 
 
-def _segment(x: str, y: str) -> tuple[Column, Column, Column]:
-    w = ordered()
-    dx, dy = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)
-    return dx, dy, F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
-
-
-def with_curve_length(df: DataFrame, x: str = "x", y: str = "y", name: str = "length", signed: int = 0) -> DataFrame:
+def with_curve_length(df: DataFrame, x: str = "x", y: str = "y", name: str = "length", signed: int = 0, block: int | None = None) -> DataFrame:
     """Length of the curve up to each point; segments with a missing end count 0.
 
     ``signed``: 1 or -1 takes the sign of the step in x or y, 2 that of the turn about the origin, 3 that of the step
     seen from the direction of the point before; there ties keep the sign before them.
     """
-    dx, dy, length = _segment(x, y)
-    w = ordered()
-    px, py = F.lag(x).over(w), F.lag(y).over(w)
+    df = scanned(df, block, lag={"_px": x, "_py": y})
+    px, py = F.col("_px"), F.col("_py")
+    dx, dy = F.col(x) - px, F.col(y) - py
+    length = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
     if signed in (1, -1):
         sign = F.when((dx if signed == 1 else dy) < 0, -1.0).otherwise(1.0)
     elif signed == 2:
@@ -55,59 +60,62 @@ def with_curve_length(df: DataFrame, x: str = "x", y: str = "y", name: str = "le
     elif signed == 3:
         along, across = px * dx + py * dy, px * dy - py * dx
         df = df.withColumns({"_s": F.when(across > 0, 1.0).when(across < 0, -1.0), "_d": F.when((across == 0) & (along > 0), -1.0).when((across == 0) & (along < 0), 1.0)})
-        sign = F.coalesce(F.last("_s", True).over(running()), F.first("_d", True).over(running()), F.lit(-1.0))
+        known = F.when(F.col("_d").isNotNull(), F.col("idx"))
+        df = scanned(df, block, last={"_s": "_s"}, whole={"_d1": F.min_by("_d", known), "_i1": F.min(known)})
+        sign = F.coalesce(F.col("_s"), F.when(F.col("idx") >= F.col("_i1"), F.col("_d1")), F.lit(-1.0))
     else:
         sign = F.lit(1.0)
-    return df.withColumn("_l", sign * length).withColumn(name, F.sum("_l").over(running())).drop("_l", "_s", "_d")
+    return scanned(df, block, sums={name: sign * length}).drop("_px", "_py", "_s", "_d", "_d1", "_i1")
 
 
-def with_error_length(df: DataFrame, e: str = "e", name: str = "length", base: float | None = None) -> DataFrame:
+def with_error_length(df: DataFrame, e: str = "e", name: str = "length", base: float | None = None, block: int | None = None) -> DataFrame:
     """Sum of the absolute changes up to each point; with a base, of changes folded to half of it."""
-    step = F.col(e) - F.lag(e).over(ordered())
+    df = scanned(df, block, lag={"_p": e})
+    step = F.col(e) - F.col("_p")
     step = step if base is None else F.when(F.abs(step) > base / 2, fold(step, base)).otherwise(step)
-    return df.withColumn("_l", F.coalesce(F.abs(step), F.lit(0.0))).withColumn(name, F.sum("_l").over(running())).drop("_l")
+    return scanned(df, block, sums={name: F.coalesce(F.abs(step), F.lit(0.0))}).drop("_p")
 
 
-def with_unwrapped(df: DataFrame, a: str, name: str = "unwrapped", base: float = 360.0) -> DataFrame:
+def with_unwrapped(df: DataFrame, a: str, name: str = "unwrapped", base: float = 360.0, block: int | None = None) -> DataFrame:
     """The angle without jumps: the first one plus the differences, folded where they reach half the base."""
-    step = F.col(a) - F.lag(a).over(ordered())
+    df = scanned(df, block, lag={"_p": a})
+    step = F.col(a) - F.col("_p")
     step = F.when(F.abs(step) < base / 2, step).otherwise(-fold(-step, base))
-    return df.withColumn("_l", F.coalesce(step, F.col(a))).withColumn(name, F.sum("_l").over(running())).drop("_l")
+    return scanned(df, block, sums={name: F.coalesce(step, F.col(a))}).drop("_p")
 
 
-def with_integral(df: DataFrame, v: str, t: str, name: str = "integral", resets: bool = False, initial: float = 0.0) -> DataFrame:
+def with_integral(df: DataFrame, v: str, t: str, name: str = "integral", resets: bool = False, initial: float = 0.0, block: int | None = None) -> DataFrame:
     """Running sum of v times the step in t.
 
     Rows with a missing v or t keep the sum and the time before. A non-zero first value counts with the mean step;
     a first value of zero makes the sum start a row later. With ``resets`` the missing rows have no sum, and the next
     valid row starts again at the initial value. Rows before the first valid one are null.
     """
-    s = whole()
     ok = F.col(v).isNotNull() & F.col(t).isNotNull()
-    df = df.withColumn("_first", F.min(F.when(ok, F.col("idx"))).over(s))
-    at = F.col("idx") == F.col("_first")
-    df = df.withColumns({"_v0": F.max(F.when(at, F.col(v))).over(s), "_t0": F.max(F.when(at, F.col(t))).over(s), "_n": F.count(F.lit(1)).over(s), "_t1": F.last(F.when(F.col("idx") >= F.col("_first"), F.col(t)), True).over(ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    late = (F.col("_v0") == 0) & (F.col("idx") == F.col("_first") + 1)
-    held = F.when((F.col("idx") >= F.col("_first")) & (ok | late), F.col(t))
-    before = F.last(held, True).over(ordered().rowsBetween(Window.unboundedPreceding, -1))
-    average = F.try_divide(F.col("_t1") - F.col("_t0"), F.col("_n") - F.col("_first") - 1)
-    run = F.sum(F.when((F.col("idx") > F.col("_first")) & ~ok, 1).otherwise(0)).over(running()) if resets else F.lit(0)
-    df = df.withColumns({"_run": run, "_b": before})
+    idx, first, known = F.col("idx"), F.col("_first"), F.when(ok, F.col("idx"))
+    timed = F.when(F.col(t).isNotNull(), idx)
+    df = scanned(df, block, whole={"_first": F.min(known), "_v0": F.min_by(v, known), "_t0": F.min_by(t, known), "_n": F.count(F.lit(1)), "_t1": F.max_by(t, timed), "_i1": F.max(timed)})
+    df = df.withColumn("_t1", F.when(F.col("_i1") >= first, F.col("_t1")))
+    at, late = idx == first, (F.col("_v0") == 0) & (idx == first + 1)
+    missing = F.when((idx > first) & ~ok, 1).otherwise(0)
+    held = F.when((idx >= first) & (ok | late), F.col(t))
+    # of a missing row, and of valid ones how many have come before
+    df = scanned(df, block, before={"_b": held, "_ok": F.when(ok, idx), "_gap": F.when(missing == 1, idx)})
     again = F.lit(False)
     if resets:
-        again = (F.col("_run") > 0) & (F.row_number().over(ordered(F.when(ok, F.col("idx")).asc_nulls_last(), ["set_id", "_run"])) == 1)
+        again = F.col("_gap").isNotNull() & (F.col("_ok").isNull() | (F.col("_ok") < F.col("_gap")))
+    average = F.try_divide(F.col("_t1") - F.col("_t0"), F.col("_n") - first - 1)
     step = F.when(~ok, 0.0).when(at, F.when(F.col("_v0") != 0, F.col(v) * F.coalesce(average, F.lit(0.0))).otherwise(0.0)).when(late | again, 0.0).otherwise(F.col(v) * (F.col(t) - F.col("_b")))
-    df = df.withColumn("_s", step)
-    total = F.sum("_s").over(running(by=["set_id", "_run"])) + initial
-    shown = F.when(F.col("idx") >= F.col("_first"), F.when(ok | F.lit(not resets), total)).when((F.col("idx") == F.col("_first") - 1) & (F.col("_v0") != 0), F.lit(float(initial)))
-    return df.withColumn(name, shown).drop("_first", "_v0", "_t0", "_n", "_t1", "_run", "_b", "_s")
+    df = scanned(df, block, since={"_total": (step, (missing == 1) if resets else F.lit(False))})
+    total = F.col("_total") + initial
+    shown = F.when(idx >= first, F.when(ok | F.lit(not resets), total)).when((idx == first - 1) & (F.col("_v0") != 0), F.lit(float(initial)))
+    return df.withColumn(name, shown).drop("_first", "_v0", "_t0", "_n", "_t1", "_i1", "_b", "_ok", "_gap", "_total")
 
 
-def with_gaps_filled(df: DataFrame, c: str, name: str = "filled", linear: bool = True) -> DataFrame:
+def with_gaps_filled(df: DataFrame, c: str, name: str = "filled", linear: bool = True, block: int | None = None) -> DataFrame:
     """Missing values filled by index: linearly, or by a step at half the gap; at the ends by the nearest value."""
-    back, ahead = running(), ordered().rowsBetween(0, Window.unboundedFollowing)
     place = F.when(F.col(c).isNotNull(), F.col("idx"))
-    df = df.withColumns({"_a": F.last(c, True).over(back), "_i": F.last(place, True).over(back), "_b": F.first(c, True).over(ahead), "_j": F.first(place, True).over(ahead)})
+    df = scanned(df, block, last={"_a": c, "_i": place}, ahead={"_b": c, "_j": place})
     gap = F.col("_j") - F.col("_i")
     if linear:
         inside = F.col("_a") + (F.col("_b") - F.col("_a")) / F.nullif(gap, F.lit(0)) * (F.col("idx") - F.col("_i"))
@@ -129,10 +137,10 @@ def with_trend_removed(df: DataFrame, c: str, start: int, start_trend: float | N
     return df.withColumn(name, F.when(inside, F.col(c) - line).otherwise(F.col(c)))
 
 
-def ties_removed(df: DataFrame, c: str) -> DataFrame:
+def ties_removed(df: DataFrame, c: str, block: int | None = None) -> DataFrame:
     """The first point of each run of equal consecutive values, with unique_idx, its place among those."""
-    marked = df.withColumn("_new", changed(c)).withColumn("unique_idx", F.sum(F.col("_new").cast("long")).over(running()) - 1)
-    return marked.where("_new").drop("_new")
+    marked = scanned(with_changed(df, c, name="_new", block=block), block, sums={"unique_idx": F.col("_new").cast("long")})
+    return marked.where("_new").withColumn("unique_idx", F.col("unique_idx") - 1).drop("_new")
 
 
 def monotone(df: DataFrame, c: str, strict: bool = False) -> DataFrame:
@@ -146,28 +154,31 @@ def monotone(df: DataFrame, c: str, strict: bool = False) -> DataFrame:
     return g.select("set_id", F.when(F.col("first_against").isNull() & F.col("_f").isNotNull(), F.col("_f").cast("int")).otherwise(0).alias("direction"), "first_against")
 
 
-def cropped(df: DataFrame, c: str) -> DataFrame:
+def cropped(df: DataFrame, c: str, block: int | None = None) -> DataFrame:
     """Without a leading and a trailing run of one value, where such a run is 2 points or longer."""
-    runs = df.withColumn("_run", F.sum(changed(c).cast("long")).over(running()))
-    n = F.count(F.lit(1)).over(whole(["set_id", "_run"]))
-    edge = runs.withColumns({"_n": n, "_last": F.max("_run").over(whole())})
-    return edge.where(~((F.col("_n") >= 2) & ((F.col("_run") == 1) | (F.col("_run") == F.col("_last"))))).drop("_run", "_n", "_last")
+    runs = scanned(with_changed(df, c, name="_new", block=block), block, sums={"_pos": F.lit(1)})
+    start = F.when(F.col("_new"), F.col("_pos"))
+    runs = scanned(runs, block, whole={"_tail": F.max(start), "_second": F.min(F.when(start > 1, start)), "_n": F.max("_pos")})
+    head_end = F.coalesce("_second", F.col("_n") + 1)  # the first point behind the leading run
+    head = (F.col("_pos") < head_end) & (head_end > 2)
+    tail = (F.col("_pos") >= F.col("_tail")) & (F.col("_tail") < F.col("_n"))
+    return runs.where(~(head | tail)).drop("_new", "_pos", "_tail", "_second", "_n")
 
 
-def with_direction_runs(df: DataFrame, x: str, name: str = "run_id") -> DataFrame:
+def with_direction_runs(df: DataFrame, x: str, name: str = "run_id", block: int | None = None) -> DataFrame:
     """Number of the run of one direction of x; steps of 0 belong to the run before."""
-    d = F.signum(F.col(x) - F.lag(x).over(ordered()))
-    df = df.withColumn("_d", F.when(d != 0, d))
-    df = df.withColumn("_p", F.last("_d", True).over(ordered().rowsBetween(Window.unboundedPreceding, -1)))
+    df = scanned(df, block, lag={"_x": x})
+    d = F.signum(F.col(x) - F.col("_x"))
+    df = scanned(df.withColumn("_d", F.when(d != 0, d)), block, before={"_p": "_d"})
     turn = F.when(F.col("_d").isNotNull() & F.col("_p").isNotNull() & (F.col("_d") != F.col("_p")), 1).otherwise(0)
-    return df.withColumn(name, F.sum(turn).over(running())).drop("_d", "_p")
+    return scanned(df, block, sums={name: turn}).drop("_x", "_d", "_p")
 
 
-def with_splits(df: DataFrame, condition: Column, after: bool = False, name: str = "run_id") -> DataFrame:
+def with_splits(df: DataFrame, condition: Column, after: bool = False, name: str = "run_id", block: int | None = None) -> DataFrame:
     """Number of the part of the set, which a new one follows at (or after) each point that meets the condition."""
     hit = F.coalesce(condition, F.lit(False)).cast("long")
-    w = running() if not after else ordered().rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_h", hit).withColumn(name, F.coalesce(F.sum("_h").over(w), F.lit(0))).drop("_h")
+    df = scanned(df.withColumn("_h", hit), block, sums={name: "_h"})
+    return (df.withColumn(name, F.col(name) - F.col("_h")) if after else df).drop("_h")
 
 
 def with_moving_statistics(df: DataFrame, x: str, k: int, w: str | None = None) -> DataFrame:
@@ -232,10 +243,5 @@ def convolved(df: DataFrame, c: str, mask: list[float], name: str = "convolved",
 
 
 def running_sum_in_blocks(df: DataFrame, c: str, name: str = "running", block: int = 1_000_000) -> DataFrame:
-    """A running sum for sets too long for one task: sums per block of the order, offsets of the blocks, then sums
-    inside the blocks. Only the blocks' sums (one row per block) are ordered within a set."""
-    cut = df.withColumn("_block", F.floor(F.col("idx") / block))
-    totals = cut.groupBy("set_id", "_block").agg(F.sum(c).alias("_t"))
-    offsets = totals.select("set_id", "_block", F.coalesce(F.sum("_t").over(ordered("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_o"))
-    inside = F.coalesce(F.sum(c).over(running(by=["set_id", "_block"])), F.lit(0.0))
-    return cut.join(offsets, ["set_id", "_block"]).withColumn(name, F.col("_o") + inside).drop("_block", "_o")
+    """A running sum for sets too long for one task."""
+    return scanned(df, block, sums={name: c})

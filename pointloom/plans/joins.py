@@ -9,7 +9,7 @@ from pointloom.operators import resample as rs
 from pointloom.operators import smooth, spectral
 from pointloom.operators import stats as st
 from pointloom.operators.points import with_positions
-from pointloom.plans.registry import query, r, scatter, series, table
+from pointloom.plans.registry import ORACLE, query, r, scatter, series, table
 from pointloom.plans.selection import sets
 
 _PAIRS = "pr AS (SELECT DISTINCT set_id AS set_a, set_id + 1 AS set_b FROM p WHERE set_id % 2 = 0)"
@@ -168,6 +168,12 @@ def w12b(spark, d):
     return smooth.recursive_filters(s, "v", 5.0, dt=1.0, y="inhibit", c=1.0).select("set_id", "idx", r("filtered").alias("filtered"))
 
 
+@query("w12_shunting_inhibition_in_blocks", ORACLE["w12_shunting_inhibition"])
+def w12d(spark, d):
+    s = series(spark, d).withColumn("inhibit", F.col("a") / 360)
+    return smooth.recursive_filters_in_blocks(s, "v", 5.0, dt=1.0, y="inhibit", c=1.0, block=32).select("set_id", "idx", r("filtered").alias("filtered"))
+
+
 @query("w14_linear_interpolation", """WITH {S}, k AS (SELECT set_id, t, y FROM s WHERE y IS NOT NULL), q AS (SELECT set_id, CAST(t AS DOUBLE) AS t FROM (SELECT DISTINCT set_id FROM s), range(0, 700, 50) g(t)),
 b AS (SELECT q.set_id, q.t, max(k.t) FILTER (k.t <= q.t) AS t0, min(k.t) FILTER (k.t >= q.t) AS t1 FROM q LEFT JOIN k ON k.set_id = q.set_id GROUP BY q.set_id, q.t)
 SELECT b.set_id, b.t, round(CASE WHEN t0 = t1 THEN a.y ELSE a.y + (c.y - a.y) * (b.t - t0) / (t1 - t0) END, 5) AS value FROM b LEFT JOIN k a ON a.set_id = b.set_id AND a.t = t0 LEFT JOIN k c ON c.set_id = b.set_id AND c.t = t1""")

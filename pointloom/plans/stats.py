@@ -3,8 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pointloom.operators import order_stats as os_
 from pointloom.operators import stats as st
-from pointloom.plans.registry import query, r, scatter, series, table
+from pointloom.plans.registry import ORACLE, query, r, scatter, series, table
 
 _BINS = """b AS (SELECT set_id, count(x) AS n, sum(w) AS w_sum, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(w * x * x * x) AS s3,
   min(x) AS mn, max(x) AS mx FROM p GROUP BY set_id),
@@ -85,6 +86,24 @@ def a09(spark, d):
     return st.median_deviation(scatter(spark, d), ["set_id"], "x").select("set_id", "median", r("adev", 8).alias("adev"))
 
 
+# Bins of more than 50 values count as large here, so that they are narrowed, in steps of an eighth.
+@query("a07_median_of_large_bins", ORACLE["a07_median"])
+def a07b(spark, d):
+    return os_.medians(scatter(spark, d), ["set_id"], "y", 50, 8).select("set_id", r("median").alias("median"))
+
+
+@query("a08_quantile_of_large_bins", ORACLE["a08_quantile"])
+def a08b(spark, d):
+    got = os_.quantiles(scatter(spark, d), ["set_id"], "y", [0.1, 0.9], 50, 8)
+    return got.select("set_id", *[r(F.get("q", F.lit(k)), 4).alias(name) for k, name in enumerate(("q10", "q90"))])
+
+
+@query("a09_median_deviation_of_large_bins", ORACLE["a09_median_deviation"])
+def a09b(spark, d):
+    got = os_.median_deviations(scatter(spark, d), ["set_id"], "x", st.MAD, 50, 8)
+    return got.select("set_id", "median", r("adev", 8).alias("adev"))
+
+
 @query("a10_angular", """WITH {S}, c AS (SELECT set_id, count(a) AS n, min(a) AS mn, max(a) AS mx, degrees(atan2(sum(sin(radians(a))), sum(cos(radians(a))))) AS g FROM s GROUP BY set_id),
 m AS (SELECT *, CASE WHEN g < 0 THEN g + 360 ELSE g END AS mean FROM c),
 o AS (SELECT s.set_id, n, mn, mx, mean, a - mean - 360 * floor((a - mean + 180) / 360) AS dd FROM s JOIN m USING (set_id))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pointloom.operators import smooth
 from pointloom.operators import windows as wn
 from pointloom.operators.selection import discard
-from pointloom.plans.registry import query, r, scatter, series
+from pointloom.plans.registry import ORACLE, query, r, scatter, series
 
 _W = "WINDOW o AS (PARTITION BY set_id ORDER BY idx)"
 
@@ -183,6 +183,78 @@ def w29(spark, d):
     return wn.padded(series(spark, d), "v", 3, low=0.0)
 
 
+# Sets in blocks of 32 points, with the SQL of the same queries over whole sets.
+BLOCK = 32
+
+
 @query("w04_running_in_blocks", "WITH {P} SELECT set_id, idx, sum(x) OVER o AS running FROM p " + _W)
 def w04b(spark, d):
     return wn.running_sum_in_blocks(scatter(spark, d), "x", block=100).select("set_id", "idx", "running")
+
+
+@query("w01_counters_in_blocks", ORACLE["w01_counters"])
+def w01_blocks(spark, d):
+    return wn.counters(discard(series(spark, d), F.col("v") > 200), BLOCK).select("set_id", "idx", "counter", "kept")
+
+
+@query("w02_changed_in_blocks", ORACLE["w02_changed"])
+def w02_blocks(spark, d):
+    return wn.with_changed(scatter(spark, d), "x", "e", block=BLOCK).select("set_id", "idx", "changed")
+
+
+@query("w05_signed_length_in_blocks", ORACLE["w05_signed_length"])
+def w05_blocks(spark, d):
+    p = scatter(spark, d).withColumn("y", F.col("y") / 1000)
+    for mode, name in ((1, "by_x"), (-1, "by_y"), (2, "by_turn")):
+        p = wn.with_curve_length(p, name=name, signed=mode, block=BLOCK)
+    return p.select("set_id", "idx", *[r(c, 4).alias(c) for c in ("by_x", "by_y", "by_turn")])
+
+
+@query("w06_error_length_in_blocks", ORACLE["w06_error_length"])
+def w06_blocks(spark, d):
+    s = wn.with_error_length(wn.with_error_length(series(spark, d), "a", "plain", block=BLOCK), "a", "folded", 360.0, BLOCK)
+    return s.select("set_id", "idx", r("plain", 4).alias("plain"), r("folded", 4).alias("folded"))
+
+
+@query("w07_unwrap_in_blocks", ORACLE["w07_unwrap"])
+def w07_blocks(spark, d):
+    return wn.with_unwrapped(series(spark, d), "a", block=BLOCK).select("set_id", "idx", r("unwrapped", 4).alias("unwrapped"))
+
+
+@query("w08_integral_in_blocks", ORACLE["w08_integral"])
+def w08_blocks(spark, d):
+    return wn.with_integral(series(spark, d), "y", "t", block=BLOCK).select("set_id", "idx", r("integral", 4).alias("integral"))
+
+
+@query("w09_integral_resets_in_blocks", ORACLE["w09_integral_resets"])
+def w09_blocks(spark, d):
+    return wn.with_integral(series(spark, d), "y", "t", resets=True, block=BLOCK).select("set_id", "idx", r("integral", 4).alias("integral"))
+
+
+@query("w13_gaps_in_blocks", ORACLE["w13_gaps"])
+def w13_blocks(spark, d):
+    s = wn.with_gaps_filled(wn.with_gaps_filled(series(spark, d), "y", "linear", block=BLOCK), "y", "step", linear=False, block=BLOCK)
+    return s.select("set_id", "idx", r("linear").alias("linear"), "step")
+
+
+@query("w18_ties_in_blocks", ORACLE["w18_ties"])
+def w18_blocks(spark, d):
+    p = scatter(spark, d).withColumn("k", F.floor(F.col("x") / 10).cast("double"))
+    return wn.ties_removed(p, "k", BLOCK).select("set_id", "idx", "k", "unique_idx")
+
+
+@query("w20_crop_in_blocks", ORACLE["w20_crop"])
+def w20_blocks(spark, d):
+    p = scatter(spark, d).withColumn("k", F.floor(F.col("x") / 25).cast("double"))
+    return wn.cropped(p, "k", BLOCK).select("set_id", "idx", "k")
+
+
+@query("w21_direction_runs_in_blocks", ORACLE["w21_direction_runs"])
+def w21_blocks(spark, d):
+    return wn.with_direction_runs(scatter(spark, d), "x", block=BLOCK).select("set_id", "idx", "run_id")
+
+
+@query("w22_splits_in_blocks", ORACLE["w22_splits"])
+def w22_blocks(spark, d):
+    s = wn.with_splits(series(spark, d), F.col("y").isNull(), name="at", block=BLOCK)
+    return wn.with_splits(s, F.col("y").isNull(), True, "behind", BLOCK).select("set_id", "idx", "at", "behind")
