@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.points import checkpointed, ordered
+from pointloom.operators.scans import joined
 
 
 def value_of_set(df: DataFrame, offset: int, *columns: str, by: str = "set_id") -> DataFrame:
@@ -60,7 +61,7 @@ def bracket(queries: DataFrame, refs: DataFrame, value: str, payload: list[str]
         before = F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
         after = F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing))
         taken = ends.select(*keys, before.alias("_before"), after.alias("_after"))
-        found = found.join(taken, keys).withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
+        found = joined(found, taken, keys).withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
     near_lo = F.col("_lo").isNotNull() & (F.col("_v") - F.col("_lo._value") <= tolerance)
     near_hi = F.col("_hi").isNotNull() & (F.col("_hi._value") - F.col("_v") <= tolerance)
     lo = F.when(near_hi & ~near_lo, F.col("_hi")).otherwise(F.col("_lo"))
@@ -85,6 +86,9 @@ def nearest(queries: DataFrame, refs: DataFrame, by: list[str] = [], x: str = "x
     however dense or remote, and no level meets whole tables. Ties go to the smallest ids. Rows with a missing
     coordinate on either side take no part; queries of a group without references have no row.
     """
+    if by and by != ["_by"]:  # a struct of the keys, so that null keys meet
+        whole = F.struct(*by).alias("_by")
+        return nearest(queries.select("*", whole), refs.select("*", whole), ["_by"], x, y, ref_id, leaf, most_depth).drop("_by")
     given = queries.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.struct(*[F.col(c) for c in queries.columns]).alias("_q"))
     left = checkpointed(given).withColumn("_id", F.monotonically_increasing_id())
     known = refs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -165,10 +169,13 @@ def category(df: DataFrame, value: str, categories: DataFrame, closest: bool = F
     value). ``categories`` has value and category, one row per category, of any number."""
     if not closest:
         return df.join(categories.select(F.col("value").alias("_cv"), "category"), F.col(value) == F.col("_cv"), "left").drop("_cv")
-    found = bracket(df, categories.select(F.col("value").alias(value), F.col("category").alias("_category")), value, ["_category"])
+    # distinct values are looked up, not rows
+    values = df.select(F.col(value).alias("_cv")).where("_cv IS NOT NULL").distinct()
+    found = bracket(values, categories.select(F.col("value").alias("_cv"), F.col("category").alias("_category")), "_cv", ["_category"])
     low = F.col("upper").isNull() | (F.col("closest") == F.col("lower"))
-    named = found.select(*df.columns, F.when(low, F.col("lower__category")).otherwise(F.col("upper__category")).alias("category"))
-    return named.unionByName(df.where(F.col(value).isNull()).withColumn("category", F.lit(None).cast(categories.schema["category"].dataType)))
+    named = checkpointed(found.select("_cv", F.when(low, F.col("lower__category")).otherwise(F.col("upper__category")).alias("category")))
+    few = named.count() <= 1_000_000
+    return df.join(F.broadcast(named) if few else named, F.col(value) == F.col("_cv"), "left").drop("_cv")
 
 
 def members(df: DataFrame, value: str, others: DataFrame, inside: bool = True) -> DataFrame:

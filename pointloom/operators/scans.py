@@ -75,7 +75,7 @@ def scanned(
     blocks = df.groupBy(*part).agg(*handed, F.count(F.lit(1)).alias("_rows"))
     for k in since:  # the sum of the block's last segment, and how many resets the block has
         tails = df.groupBy(*part, f"_at_{k}").agg(F.sum(f"_in_{k}").alias("_s")).groupBy(*part).agg(F.max_by("_s", f"_at_{k}").alias(f"_h_{k}"), F.max(f"_at_{k}").alias(f"_r_{k}"))
-        blocks = _joined(blocks, tails, part)
+        blocks = joined(blocks, tails, part)
     along = Window.partitionBy(*by).orderBy("_block")  # one row a block
     past, next_ = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
     carry = {f"_c_{k}": F.lag(f"_h_{k}").over(along) for k in lag}
@@ -87,15 +87,15 @@ def scanned(
         carry |= {f"_c_{k}": F.coalesce(F.lag(f"_t_{k}").over(along), F.lit(0))}
     blocks = blocks.withColumns(carry) if carry else blocks
     if whole:
-        blocks = _joined(blocks, df.groupBy(*by).agg(*[c.alias(f"_c_{k}") for k, c in whole.items()]), by)
-    got = _joined(inner, blocks.select(*part, *[f"_c_{k}" for k in results]), part)
+        blocks = joined(blocks, df.groupBy(*by).agg(*[c.alias(f"_c_{k}") for k, c in whole.items()]), by)
+    got = joined(inner, blocks.select(*part, *[f"_c_{k}" for k in results]), part)
     a, c = (lambda k: F.col(f"_a_{k}")), (lambda k: F.col(f"_c_{k}"))
     end = {k: F.when(F.col("_first"), c(k)).otherwise(a(k)) for k in lag} | {k: F.coalesce(a(k), c(k)) for k in (*last, *before, *ahead)}
     end |= {k: a(k) + c(k) for k in sums} | {k: F.when(F.col(f"_at_{k}") > 0, a(k)).otherwise(a(k) + c(k)) for k in since} | {k: c(k) for k in whole}
     return got.select(*[n for n in names if n not in end and n != "_block"], *[v.alias(k) for k, v in end.items()])
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """An inner join in which null keys meet."""
     right = right.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in right.columns])
     on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys])

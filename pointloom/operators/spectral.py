@@ -49,16 +49,16 @@ def inverse(transformed: DataFrame, scaled: bool = True) -> DataFrame:
 
 
 def cyclic_convolution(df: DataFrame, c: str, mask: list[float], deconvolve: bool = False, most: int = MOST_POINTS) -> DataFrame:
-    """set_id, idx and value: each set convolved cyclically with a mask centred on its middle, or the reverse.
+    """set_id, idx and value: each set convolved cyclically with a mask (of any length) centred on its middle, or the reverse.
 
     Where the mask's transform is 0 a deconvolution has nothing to divide by and leaves 0.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         v = _series(frame, c, most)
-        wide = np.zeros(max(len(v), len(mask)))
-        wide[: len(mask)] = mask
-        f = np.fft.rfft(np.roll(wide, -(len(mask) // 2))[: len(v)])
+        wide = np.zeros(len(v))  # cells of a mask longer than the set wrap round and add up
+        np.add.at(wide, (np.arange(len(mask)) - len(mask) // 2) % len(v), mask)
+        f = np.fft.rfft(wide)
         g = np.fft.rfft(v)
         with np.errstate(all="ignore"):
             out = np.fft.irfft(np.where(np.abs(f) > 1e-12, g / f, 0) if deconvolve else g * f, len(v))

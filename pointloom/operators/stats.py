@@ -206,12 +206,12 @@ def chi2_two(rows: DataFrame, by: list[str], a: str, b: str, constraints: int =
 
 def histogram(df: DataFrame, x: str, by: list[str] = [], classes: DataFrame | None = None, normalise: str | None = None) -> DataFrame:  # noqa: B006
     """How often each value occurs, or each of the given ``classes`` (a table of one column, each class once, missing
-    ones with 0; broadcast, as a list of classes is); normalised by the total matched or by the largest count."""
+    ones with 0); normalised by the total matched or by the largest count."""
     counts = df.where(_valid(F.col(x).cast("double"))).groupBy(*by, F.col(x).alias("value")).agg(F.count("*").cast("double").alias("h"))
     if classes is not None:
         if by:
             raise ValueError("classes are for the whole table")
-        counts = F.broadcast(classes.select(F.col(classes.columns[0]).alias("value")).distinct()).join(counts, "value", "left").fillna(0.0, ["h"])
+        counts = classes.select(F.col(classes.columns[0]).alias("value")).distinct().join(counts, "value", "left").fillna(0.0, ["h"])
     if normalise:
         whole = {"sum": F.sum, "max": F.max}[normalise]("h")
         if by:

@@ -3,6 +3,7 @@
 What a query reads is written from the given tables first, to the session's shared folder.
 """
 
+import contextlib
 import struct
 
 import numpy as np
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from pointloom.functions import user
 from pointloom.operators import stats as st
 from pointloom.operators.points import scratch
-from pointloom.plans.registry import query, r, scatter, series, table
+from pointloom.plans.registry import ORACLE, query, r, scatter, series, table
 from pointloom.sources import readers as rd
+from pointloom.sources import splits
 from pointloom.streaming import jobs
 
 
@@ -37,6 +39,13 @@ def io01b(spark, d):
     return rd.read_sets(spark, _written_sets(spark, d)).select("name", "points")
 
 
+@query("io01_multiset_in_splits", ORACLE["io01_multiset"])
+def io01c(spark, d):
+    at = folder(spark, "multiset")
+    rd.write_multiset(scatter(spark, d), at, sets_a_file=1 << 40)  # a single file
+    return splits.read_multiset_splits(spark, at, 64 << 10).select("name", "idx", "x", "y", "e")
+
+
 @query("io02_delimited", "SELECT s_suppkey::DOUBLE AS s_suppkey, s_acctbal FROM supplier")
 def io02(spark, d):
     at = folder(spark, "delimited")
@@ -143,11 +152,11 @@ def io10(spark, d):
     return got.groupBy("file_id", "set_id").agg(F.count("*").alias("n"))
 
 
-@query("io11_printed_values", "WITH {P} SELECT set_id::VARCHAR AS _c0, idx::VARCHAR AS _c1 FROM p WHERE x = 3")
+@query("io11_printed_values", "WITH {P} SELECT set_id::VARCHAR AS _c0, idx::VARCHAR AS _c1, x::DOUBLE AS x FROM p")
 def io11(spark, d):
     at = folder(spark, "printed")
-    rd.write_values(scatter(spark, d).where("x = 3"), at, "set_id", "idx", "x")
-    return spark.read.csv(at, sep="\t").select("_c0", "_c1")
+    rd.write_values(scatter(spark, d), at, "set_id", "idx", "x")
+    return spark.read.csv(at, sep="\t").select("_c0", "_c1", F.col("_c2").cast("double").alias("x"))
 
 
 @query("io12_importer", "WITH {P} SELECT 'set ' || set_id AS name, idx, x, y FROM p")
@@ -202,6 +211,51 @@ def st03(spark, d):
     return _collected(spark, jobs.change_stream(s, "user_id", "t", "level"), "append", "changes").select("key", r("t", 3).alias("t"), "value", "run_id")
 
 
+def _shuffled_stream(spark, d):
+    """The events in five files, out of order by up to three days, and a last row far behind all others that closes the
+    stream (of a key of its own, whose row never leaves)."""
+    at = folder(spark, "shuffled")
+    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    came = F.unix_micros("ts") + F.pmod(F.xxhash64("user_id", "ts"), F.lit(3 * 86_400_000_000))
+    first, last = rows.agg(F.min(came), F.max(came)).first()
+    part = F.floor((came - first) * 5 / (last - first + 1))
+    rows.withColumn("part", part).repartition(5, "part").write.partitionBy("part").parquet(at)
+    spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.timestamp_micros(F.lit(last + 60 * 86_400_000_000)).alias("ts"), F.lit(0.0).alias("value")).write.parquet(f"{at}/part=5")
+    paths = [f"{at}/part={k}" for k in range(6)]
+    stream = folder(spark, "arriving")
+    # written one after another, as a stream takes files in the order of their times
+    for k, p in enumerate(paths):
+        spark.read.schema(rows.schema).parquet(p).coalesce(1).write.mode("append").parquet(stream)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(stream)
+
+
+@contextlib.contextmanager
+def _several_states(spark):
+    """A state store that keeps several states a key."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+@query("st02_out_of_order", ORACLE["st02_recursive_filter"])
+def st02b(spark, d):
+    with _several_states(spark):
+        got = _collected(spark, jobs.low_pass_in_order(_shuffled_stream(spark, d), "user_id", "ts", "value", 3600.0, "4 days"), "append", "filtered")
+    return got.select("key", r("t", 3).alias("t"), r("filtered", 4).alias("filtered"), "late")
+
+
+@query("st03_out_of_order", ORACLE["st03_changes"])
+def st03b(spark, d):
+    stream = _shuffled_stream(spark, d).withColumn("level", F.floor(F.col("value") / 100))
+    with _several_states(spark):
+        got = _collected(spark, jobs.changes_in_order(stream, "user_id", "ts", "level", "4 days"), "append", "changes")
+    return got.select("key", r("t", 3).alias("t"), "value", "run_id")
+
+
 @query("st04_appended_points", "SELECT user_id, event_id, value FROM events")
 def st04(spark, d):
     at = folder(spark, "appended")

@@ -1,7 +1,7 @@
-"""Readers. A file is read in one task; many files are read in parallel.
+"""Readers of many files in parallel, each parsed in one task (``wholetext`` or ``binaryFile``).
 
-Formats without a Spark reader are parsed per file (``wholetext`` or ``binaryFile``), so a file must fit a task's
-memory; large collections should be many files.
+For files too large for that there are ``splits`` (the text format in ranges of a file) and ``datasource`` (binary
+records and recordings in ranges of a file).
 """
 
 from __future__ import annotations
@@ -29,6 +29,113 @@ def number(token: str) -> float:
     return _SIGNS[token] if token in _SIGNS else float(token)
 
 
+def classified(line: str) -> tuple[str, object]:
+    """What a line of the text format is: blank, name, data, a directive's key, or nothing, with its value."""
+    line = line.strip()
+    if not line:
+        return "blank", None
+    if line.startswith('"'):
+        return "name", line[1:].rstrip('"')
+    m = _DIRECTIVE.match(line)
+    if not m:
+        try:
+            return "data", [number(t) for t in re.split(r"[\s,]+", line) if t]
+        except ValueError:
+            return "nothing", None
+    key, rest = m[1], m[2].strip()
+    if key == "COLUMNS":
+        pairs = dict(re.findall(r"([A-Za-z]\w*)\s*=\s*([-+.\w]+)", rest))
+        return "roles", {r: int(pairs.get(r, -1)) for r in ("x", "y", "e", "l", "n")}
+    if key in ("SCALEFACT", "SCALFACT"):
+        v = [number(t) for t in re.split(r"[\s,]+", rest) if t][:3]
+        return "factor", v + [1.0] * (3 - len(v))
+    if key in ("LEGEND", "NAME"):
+        return "name", rest
+    if key == "TITLE":
+        return "title", rest
+    if key == "FILE":
+        return "file", rest
+    if key == "N":
+        return "n_obs", number(rest.split()[0])
+    if key == "ASSOCIATE":
+        return "assoc", [number(t) for t in re.split(r"[\s,]+", rest) if t]
+    if key == "SPLIT":
+        return "split", None
+    if key == "INTERVAL":
+        return "interval", max(1, int(float(rest.split()[0])))
+    if key == "COLUMNLABELS":
+        return "labels", {k: p.strip() for k, p in enumerate(re.split(r"\t|,", rest)) if p.strip()}
+    return "nothing", None
+
+
+#: Settings that hold from a line on, over the sets behind it.
+SETTINGS = ("roles", "factor", "labels", "interval", "title", "file")
+
+
+def multiset_start() -> dict:
+    """The state before a file's first line: settings, the number of sets so far and the set that is open."""
+    return {"roles": {"x": 0, "y": 1, "e": 2, "l": -1, "n": -1}, "factor": [1.0, 1.0, 1.0], "labels": {}, "interval": 1, "title": None, "file": None, "sets": 0, "open": None}
+
+
+class MultisetParser:
+    """Reads the text format line by line from any state on; ``points`` and ``sets`` are what it has read.
+
+    A set is opened by a name, a number of observations, associations or data, and closed by a blank line behind data.
+    """
+
+    def __init__(self, state: dict):
+        self.settings = {k: state[k] for k in SETTINGS}
+        self.n_sets = state["sets"]
+        self.open: dict | None = dict(state["open"]) if state["open"] else None
+        self.points: list[dict] = []
+        self.sets: list[dict] = [self.open] if self.open else []
+
+    def _opened(self) -> dict:
+        if self.open is None:
+            s = self.settings
+            self.open = {"set_no": self.n_sets, "name": None, "title": s["title"], "file": s["file"], "labels": dict(s["labels"]), "assoc": [], "n_obs": None, "points": 0, "seen": 0, "run": 0}
+            self.sets.append(self.open)
+            self.n_sets += 1
+        return self.open
+
+    def read(self, kind: str, value: object) -> None:
+        if kind == "blank":
+            if self.open and self.open["points"]:
+                self.open = None
+        elif kind == "data":
+            self._data(self._opened(), value)
+        elif kind in ("name", "n_obs"):
+            self._opened()[kind] = value
+        elif kind == "assoc":
+            self._opened()["assoc"] += value
+        elif kind == "split":
+            if self.open and self.open["points"]:
+                self.open["run"] += 1
+        elif kind in SETTINGS:
+            self.settings[kind] = value
+            if self.open and kind in ("title", "file", "labels"):
+                self.open[kind] = dict(value) if kind == "labels" else value
+
+    def _data(self, own: dict, values: list[float]) -> None:
+        s = self.settings
+        if own["seen"] % s["interval"] == 0:
+            idx, roles = own["points"], s["roles"]
+            get = lambda r: values[roles[r]] if 0 <= roles[r] < len(values) else None
+            x, y, e = (float(idx), values[0], None) if len(values) == 1 else (get("x"), get("y"), get("e"))
+            scaled = [v * f if v is not None else None for v, f in zip((x, y, e), s["factor"])]
+            self.points.append({"set_no": own["set_no"], "name": own["name"], "idx": idx, "x": scaled[0], "y": scaled[1], "e": scaled[2], "l": get("l"), "n": get("n"), "run_id": own["run"], "columns": values})
+            own["points"] += 1
+        own["seen"] += 1
+
+    def named(self, names: dict[int, str | None]) -> list[dict]:
+        """The points so far, with their sets' names (those of ``names`` go before); they leave the parser."""
+        known = {s["set_no"]: s["name"] for s in self.sets} | names
+        out, self.points = self.points, []
+        for p in out:
+            p["name"] = known[p["set_no"]]
+        return out
+
+
 def parse_multiset(text: str) -> tuple[list[dict], list[dict]]:
     """The points and the sets of a text of several sets.
 
@@ -36,83 +143,10 @@ def parse_multiset(text: str) -> tuple[list[dict], list[dict]]:
     as x. Directives give columns' roles, scale factors, legends, titles, file names, observations, associations,
     splits, intervals and column labels. Lines that are nothing of this are left out.
     """
-    points: list[dict] = []
-    sets: list[dict] = []
-    roles = {"x": 0, "y": 1, "e": 2, "l": -1, "n": -1}
-    factor, labels, interval, title, file = (1.0, 1.0, 1.0), {}, 1, None, None
-    state: dict | None = None
-    seen = 0
-
-    def current() -> dict:
-        nonlocal state, seen
-        if state is None:
-            state = {"set_no": len(sets), "name": None, "title": title, "file": file, "labels": dict(labels), "assoc": [], "n_obs": None, "points": 0, "run": 0}
-            sets.append(state)
-            seen = 0
-        return state
-
+    parser = MultisetParser(multiset_start())
     for line in text.splitlines():
-        line = line.strip()
-        if not line:
-            state = None if state is not None and state["points"] else state
-            continue
-        if line.startswith('"'):
-            current()["name"] = line[1:].rstrip('"')
-            continue
-        m = _DIRECTIVE.match(line)
-        if m:
-            key, rest = m[1], m[2].strip()
-            pairs = dict(re.findall(r"([A-Za-z]\w*)\s*=\s*([-+.\w]+)", rest))
-            if key == "COLUMNS":
-                roles = {r: int(pairs.get(r, -1)) for r in ("x", "y", "e", "l")} | {"n": int(pairs.get("n", -1))}
-            elif key in ("SCALEFACT", "SCALFACT"):
-                v = [number(t) for t in re.split(r"[\s,]+", rest) if t][:3]
-                factor = tuple(v + [1.0] * (3 - len(v)))
-            elif key in ("LEGEND", "NAME"):
-                current()["name"] = rest
-            elif key == "TITLE":
-                title = rest
-                if state is not None:
-                    state["title"] = rest
-            elif key == "FILE":
-                file = rest
-                if state is not None:
-                    state["file"] = rest
-            elif key == "N":
-                current()["n_obs"] = number(rest.split()[0])
-            elif key == "ASSOCIATE":
-                current()["assoc"] += [number(t) for t in re.split(r"[\s,]+", rest) if t]
-            elif key == "SPLIT":
-                if state is not None and state["points"]:
-                    state["run"] += 1
-            elif key == "INTERVAL":
-                interval = max(1, int(float(rest.split()[0])))
-            elif key == "COLUMNLABELS":
-                parts = re.split(r"\t|,", rest)
-                labels = {k: p.strip() for k, p in enumerate(parts) if p.strip()}
-                if state is not None:
-                    state["labels"] = dict(labels)
-            continue
-        try:
-            values = [number(t) for t in re.split(r"[\s,]+", line) if t]
-        except ValueError:
-            continue
-        own = current()
-        if seen % interval == 0:
-            idx = own["points"]
-            get = lambda r: values[roles[r]] if 0 <= roles[r] < len(values) else None
-            if len(values) == 1:
-                x, y, e = float(idx), values[0], None
-            else:
-                x, y, e = get("x"), get("y"), get("e")
-            scaled = [v * f if v is not None else None for v, f in zip((x, y, e), factor)]
-            points.append({"set_no": own["set_no"], "name": own["name"], "idx": idx, "x": scaled[0], "y": scaled[1], "e": scaled[2], "l": get("l"), "n": get("n"), "run_id": own["run"], "columns": values})
-            own["points"] += 1
-        seen += 1
-    names = {s["set_no"]: s["name"] for s in sets}
-    for p in points:
-        p["name"] = names[p["set_no"]]
-    return points, sets
+        parser.read(*classified(line))
+    return parser.named({}), parser.sets
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Running statistics, filters and runs per key on streams, and appending to stored points.
 
 Batches are ordered by event time inside; a row older than the state's time is late: it is dropped and counted.
-State is small per key and can time out.
+State is small per key and can time out. Streams out of order have :func:`low_pass_in_order` and
+:func:`changes_in_order`, whose rows wait for the watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pointloom.operators.stats import mean, stdev, sums
@@ -57,26 +59,121 @@ def low_pass_stream(stream: DataFrame, key: str, t: str, x: str, tau: float, idl
     return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, t double, filtered double, late long", "last double, y double, dropped long", "append", timeout)
 
 
+def _same(a: float | None, b: float | None) -> bool:
+    """Equal, or both missing."""
+    return a == b or (a is None or np.isnan(a)) and (b is None or np.isnan(b))
+
+
 def change_stream(stream: DataFrame, key: str, t: str, x: str) -> DataFrame:
-    """Only the rows whose x differs from the key's row before, with the number of the run they begin."""
+    """Only the rows whose x differs from the key's row before, with the number of the run they begin and how many late
+    rows the key had so far. Missing values are equal to each other."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, value, run = state.get if state.exists else (float("-inf"), None, -1)
+        last, value, run, late = state.get if state.exists else (float("-inf"), None, -1, 0)
         out = []
         frame = pd.concat(list(frames)).sort_values(t, kind="stable")
         for at, v in zip(frame[t].to_numpy(float), frame[x].to_numpy(float)):
             if at < last:
+                late += 1
                 continue
-            if run < 0 or v != value:
+            if run < 0 or not _same(v, value):
                 run += 1
-                out.append((k[0], at, v, run))
+                out.append((k[0], at, v, run, late))
             last, value = at, v
-        state.update((last, value, run))
-        yield pd.DataFrame(out, columns=["key", "t", "value", "run_id"])
+        state.update((last, value, run, late))
+        yield pd.DataFrame(out, columns=["key", "t", "value", "run_id", "late"])
 
     kind = stream.schema[key].dataType.simpleString()
     rows = stream.select(F.col(key).alias("key"), F.col(t).cast("double").alias(t), F.col(x).cast("double").alias(x))
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, t double, value double, run_id long", "last double, value double, run long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, t double, value double, run_id long, late long", "last double, value double, run long, late long", "append", GroupStateTimeout.NoTimeout)
+
+
+class _InOrder(StatefulProcessor):
+    """Rows wait in a list until the watermark has passed them and are then applied in the order of time.
+
+    ``step(state, t, v)`` gets and returns (last, value, number) and a result row or None. A row older than what has
+    been applied is late: it is dropped and counted. With ``idle_s`` a key without rows for so long is forgotten.
+    """
+
+    def __init__(self, step: Callable, start: tuple, names: list[str], idle_s: float | None):
+        self.step, self.start, self.names, self.idle_s = step, start, names, idle_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t double, v double")
+        self.state = handle.getValueState("state", "last double, value double, number long, late long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(float(t), float(v)) for frame in rows for t, v in zip(frame["t"], frame["v"])]
+        yield self._applied(key, new, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._applied(key, [], timerValues)
+
+    def _applied(self, key, new: list[tuple[float, float]], timer_values) -> pd.DataFrame:
+        mark = timer_values.getCurrentWatermarkInMs() / 1000
+        *state, late = self.state.get() if self.state.exists() else (*self.start, 0)
+        late += sum(t < state[0] for t, _ in new)
+        held = [row for row in (*(self.waiting.get() if self.waiting.exists() else ()), *new) if row[0] >= state[0]]
+        held.sort(key=lambda row: row[0])
+        ready = sum(t <= mark for t, _ in held)
+        out = []
+        for t, v in held[:ready]:
+            state, row = self.step(tuple(state), t, v)
+            if row is not None:
+                out.append((*key, *row, late))
+        self.waiting.clear()
+        if held[ready:]:
+            self.waiting.put([(float(t), float(v)) for t, v in held[ready:]])
+        self.state.update((float(state[0]), float(state[1]), int(state[2]), int(late)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held[ready:]:
+            self.handle.registerTimer(int(held[ready][0] * 1000) + 1)
+        elif self.idle_s is not None and state[0] + self.idle_s <= mark:
+            self.state.clear()
+        elif self.idle_s is not None:
+            self.handle.registerTimer(int((state[0] + self.idle_s) * 1000) + 1)
+        return pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(stream: DataFrame, key: str, time: str, x: str, delay: str, step: Callable, start: tuple, result: str, idle_s: float | None) -> DataFrame:
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.withWatermark(time, delay).select(F.col(key).alias("key"), F.col(time).alias("time"), (F.unix_micros(time) / 1e6).alias("t"), F.coalesce(F.col(x).cast("double"), F.lit(float("nan"))).alias("v"))
+    names = [c.split()[0] for c in f"key {kind}, {result}, late long".split(", ")]
+    return rows.groupBy("key").transformWithStateInPandas(_InOrder(step, start, names, idle_s), f"key {kind}, {result}, late long", "Append", "EventTime")
+
+
+def low_pass_in_order(stream: DataFrame, key: str, time: str, x: str, tau: float, delay: str, idle_s: float | None = None) -> DataFrame:
+    """As :func:`low_pass_stream` for rows that come out of order, by up to ``delay`` of the event time (a timestamp).
+
+    A row is given out once the watermark has passed it. The session needs a state store that keeps several states a
+    key (RocksDB's).
+    """
+
+    def step(state: tuple, t: float, v: float) -> tuple[tuple, tuple]:
+        last, y, n = state
+        if not np.isnan(v):
+            gain = 1.0 if last == float("-inf") or tau == 0 else min((t - last) / tau, 1.0)
+            y += gain * (v - y)
+        return (t, y, n + 1), (t, y)
+
+    return _in_order(stream, key, time, x, delay, step, (float("-inf"), 0.0, 0), "t double, filtered double", idle_s)
+
+
+def changes_in_order(stream: DataFrame, key: str, time: str, x: str, delay: str, idle_s: float | None = None) -> DataFrame:
+    """As :func:`change_stream` for rows that come out of order, by up to ``delay`` of the event time (a timestamp)."""
+
+    def step(state: tuple, t: float, v: float) -> tuple[tuple, tuple | None]:
+        last, value, run = state
+        if run >= 0 and _same(v, value):
+            return (t, value, run), None
+        return (t, v, run + 1), (t, v, run + 1)
+
+    return _in_order(stream, key, time, x, delay, step, (float("-inf"), float("nan"), -1), "t double, value double, run_id long", idle_s)
 
 
 def append_points(stream: DataFrame, path: str, checkpoint: str):
