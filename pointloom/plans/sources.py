@@ -14,6 +14,7 @@ from pointloom.functions import user
 from pointloom.operators import stats as st
 from pointloom.operators.points import scratch
 from pointloom.plans.registry import ORACLE, query, r, scatter, series, table
+from pointloom.sources import datasource
 from pointloom.sources import readers as rd
 from pointloom.sources import splits
 from pointloom.streaming import jobs
@@ -68,57 +69,67 @@ def io04(spark, d):
     return rd.read_table(spark, at)
 
 
-def _binary(spark, d):
-    """file and content of binary records of each supplier's points, as the reader of binary files gives them."""
-    p = scatter(spark, d)
-    packed = p.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x", "y", "e"))).alias("a"))
-
-    @F.pandas_udf("binary")
-    def pack(column):
-        import pandas as pd
-
-        return pd.Series([np.array([[v["x"], v["y"], v["e"]] for v in rows], "<f8").tobytes() for rows in column])
-
-    return packed.select(F.concat(F.lit("set"), "set_id").alias("path"), pack("a").alias("content"))
-
-
-@query("io05_binary_records", "WITH {P} SELECT 'set' || set_id AS file, idx, x, y, e FROM p")
+@query("io05_binary_records", "WITH {P} SELECT set_id, idx, x, y, e FROM p")
 def io05(spark, d):
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            for file, data in zip(frame["path"], frame["content"]):
-                a = rd.parse_records(bytes(data), 3, 8)
-                yield pd.DataFrame({"file": file, "idx": np.arange(len(a)), "x": a[:, 0], "y": a[:, 1], "e": a[:, 2]})
-
-    return _binary(spark, d).mapInPandas(run, "file string, idx long, x double, y double, e double")
+    datasource.register(spark)
+    at = folder(spark, "records")
+    cells = F.array(*[F.col(c).cast("double") for c in ("set_id", "idx", "x", "y", "e")])
+    scatter(spark, d).select(cells.alias("columns")).write.format("loom_records").option("size", 8).mode("append").save(at)
+    got = spark.read.format("loom_records").option("columns", 5).option("size", 8).option("split_bytes", 64 << 10).load(at)
+    c = F.col("columns")
+    return got.select(c[0].cast("long").alias("set_id"), c[1].cast("long").alias("idx"), c[2].alias("x"), c[3].alias("y"), c[4].alias("e"))
+
+
+@query("io05_item_sizes", """WITH {P}, q AS (SELECT x, round(e * 100) AS e, set_id % 200 AS k FROM p)
+SELECT size, x::DOUBLE AS x, e::DOUBLE AS e, k, count(*) AS n FROM q, (SELECT unnest([1, 2, 4, 8]) AS size) GROUP BY ALL""")
+def io05b(spark, d):
+    datasource.register(spark)
+    cells = F.array("x", F.round(F.col("e") * 100), (F.col("set_id") % 200).cast("double"))
+    rows = scatter(spark, d).select(cells.alias("columns"))
+    parts = []
+    for size in (1, 2, 4, 8):
+        at = folder(spark, f"records{size}")
+        # whole numbers are kept between the columns' extremes, here such that their steps are 1
+        options = {"columns": 3, "size": size, "swap": size in (2, 8), "split_bytes": 10_000} | ({"extremes": str([[0, 256**size - 1]] * 3)} if size < 4 else {})
+        rows.write.format("loom_records").options(**options).mode("overwrite").save(at)
+        parts.append(spark.read.format("loom_records").options(**options).load(at).select(F.lit(size).alias("size"), *[F.col("columns")[k].alias(c) for k, c in enumerate("xek")]))
+    union = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return union.groupBy("size", "x", "e", F.round("k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("io06_recordings", """WITH {S}, q AS (SELECT set_id, idx, round_even(v, 0) AS v, round_even(a, 0) AS a FROM s), c AS (SELECT set_id, idx, 0 AS channel, 'a' AS name, v AS raw FROM q UNION ALL SELECT set_id, idx, 1, 'b', a FROM q),
 k AS (SELECT set_id, channel FROM c GROUP BY ALL HAVING max(abs(raw)) > 0)
 SELECT c.set_id, CAST(c.channel AS BIGINT) AS channel, name, idx, idx * 0.5::DOUBLE AS t, round(raw * (3277 / 3276.8::DOUBLE) + 2, 6) AS value, 1::BIGINT AS events FROM c JOIN k ON k.set_id = c.set_id AND k.channel = c.channel""")
 def io06(spark, d):
-    s = series(spark, d)
-    packed = s.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("idx", "v", "a"))).alias("a"))
+    datasource.register(spark)
+    at = folder(spark, "recordings")
+    _recordings_of(series(spark, d), at)
+    read = spark.read.format("loom_recordings").option("split_bytes", 2000)
+    samples, events = read.load(at), read.option("events", True).load(at)
+    signal = samples.groupBy("file", "channel").agg(F.max(F.abs("raw")).alias("most")).where("most > 0").drop("most")
+    got = samples.join(signal, ["file", "channel"]).join(events.groupBy("file").agg(F.count("*").alias("events")), "file")
+    number = F.regexp_extract("file", r"set(\d+)\.rec$", 1).cast("long")
+    return got.select(number.alias("set_id"), "channel", "name", "idx", "t", r("value").alias("value"), "events")
+
+
+def _recordings_of(s, at: str) -> None:
+    """A recording of each set, of the channels v, a and an empty one, and one event."""
 
-    def run(frames):
+    def record(frame):
         import pandas as pd
 
-        for frame in frames:
-            for key, rows in zip(frame["set_id"], frame["a"]):
-                v = np.array([[x["v"], x["a"], 0.0] for x in rows]).round().astype("<i2")
-                data = rd._GENERAL.pack(b"rec", 3, 0.5, 1.0, len(v), 0, 0, 0, 0, 0, 0.0, 1, 0, 0, 0, b"")
-                for k in range(3):
-                    data += rd._CHANNEL.pack(b"ab"[k : k + 1] or b"z", 3277, 2, 1.0, 0.0, 0, 0, b"unit", b"") + v[:, k].tobytes()
-                data += struct.pack("<II80s", 1, 0, b"mark")
-                samples, events = rd.parse_recording(data)
-                samples.insert(0, "set_id", key)
-                samples["events"] = len(events)
-                yield samples[["set_id", "channel", "name", "idx", "t", "value", "events"]]
+        frame = frame.sort_values("idx")
+        v = np.array([frame["v"], frame["a"], 0 * frame["a"]]).round().astype("<i2")
+        data = rd._GENERAL.pack(b"rec", 3, 0.5, 1.0, v.shape[1], 0, 0, 0, 0, 0, 0.0, 1, 0, 0, 0, b"")
+        for k in range(3):
+            data += rd._CHANNEL.pack(b"ab"[k : k + 1] or b"z", 3277, 2, 1.0, 0.0, 0, 0, b"unit", b"") + v[k].tobytes()
+        fs, root = datasource.file_system(at)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/set{frame['set_id'].iloc[0]}.rec") as f:
+            f.write(data + struct.pack("<II80s", 1, 0, b"mark"))
+        return pd.DataFrame({"n": [len(frame)]})
 
-    got = packed.mapInPandas(run, "set_id long, channel long, name string, idx long, t double, value double, events long")
-    return got.withColumn("value", r("value"))
+    s.select("set_id", "idx", "v", "a").groupBy("set_id").applyInPandas(record, "n long").agg(F.sum("n")).first()
 
 
 @query("io07_processed_dump", "WITH {P} SELECT set_id, idx, x FROM p WHERE x <= 40")
@@ -161,7 +172,8 @@ def io11(spark, d):
 
 @query("io12_importer", "WITH {P} SELECT 'set ' || set_id AS name, idx, x, y FROM p")
 def io12(spark, d):
-    return rd.read_format(spark, "multiset", _written_sets(spark, d)).select("name", "idx", "x", "y")
+    datasource.register(spark)
+    return spark.read.format("loom_multiset").load(_written_sets(spark, d)).select("name", "idx", "x", "y")
 
 
 def _events_stream(spark, d):
