@@ -191,13 +191,30 @@ def segments(df: DataFrame, t: str, duration: float) -> DataFrame:
     return cut.withColumns({"starts": ~F.col("segment").eqNullSafe(F.lag("segment").over(w)), "ends": ~F.col("segment").eqNullSafe(F.lead("segment").over(w))})
 
 
-def in_segments(df: DataFrame, t: str, table: DataFrame, bucket: float) -> DataFrame:
-    """Samples with the segments (segment, start, end; end excluded) they fall in, by joins on buckets of time.
+def in_segments(df: DataFrame, t: str, table: DataFrame, hot_rows: int = 200_000) -> DataFrame:
+    """Samples with the segments (segment, start, end; end excluded) they fall in; segments of any length may overlap.
 
-    ``bucket`` should be near the segments' usual length: a segment goes to every bucket it touches.
+    A segment lies in one or two cells of the level whose cells are at least as long as it and at most twice that, and
+    a sample asks the one cell of each level that it is in. Cells that more than ``hot_rows`` samples ask are split by
+    a hash of the sample, their segments going to each part.
     """
-    s = table.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    return df.withColumn("_b", F.floor(F.col(t) / bucket)).join(s, "_b").where((F.col(t) >= F.col("start")) & (F.col(t) < F.col("end"))).drop("_b")
+    length = F.col("end").cast("double") - F.col("start")
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level")))
+    placed = table.where(length > 0).withColumn("_level", F.ceil(F.log2(length)).cast("int"))
+    placed = checkpointed(placed.withColumn("_cell", F.explode(F.array_distinct(F.array(cell("start"), cell("end"))))))
+    levels = sorted(row[0] for row in placed.select("_level").distinct().collect())  # at most some two thousand powers of two
+    if not levels:
+        return df.join(table.limit(0), F.lit(False))
+    asked = df.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]))).where(F.col(t).isNotNull())
+    asked = asked.withColumn("_cell", cell(t))
+    counts = asked.groupBy("_level", "_cell").count().where(F.col("count") > hot_rows)
+    hot = checkpointed(counts.join(placed.select("_level", "_cell").distinct(), ["_level", "_cell"]).select("_level", "_cell", F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts")))
+    few = hot.count() <= 100_000
+    parts = lambda rows: rows.join(F.broadcast(hot) if few else hot, ["_level", "_cell"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left = parts(asked).withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.col("_parts")).cast("int")).drop("_parts")
+    right = parts(placed).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    met = left.join(right, ["_level", "_cell", "_part"])
+    return met.where((F.col(t) >= F.col("start")) & (F.col(t) < F.col("end"))).drop("_level", "_cell", "_part")
 
 
 def with_metadata(df: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:

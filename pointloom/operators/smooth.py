@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.points import checkpointed
-from pointloom.operators.windows import convolved
+from pointloom.operators.windows import LONG_MASK, convolved, convolved_in_blocks
 
 
 def savitzky_golay_mask(half: int, order: int, derivative: int = 0, dx: float = 1.0) -> list[float]:
@@ -24,12 +24,16 @@ def savitzky_golay_mask(half: int, order: int, derivative: int = 0, dx: float =
     return (rows[derivative] * gain).tolist()
 
 
-def savitzky_golay(df: DataFrame, columns: str | list[str], half: int, order: int, derivative: int = 0, dx: float = 1.0, name: str = "smooth", pad_low: float | None = None, pad_high: float | None = None) -> DataFrame:
+def savitzky_golay(df: DataFrame, columns: str | list[str], half: int, order: int, derivative: int = 0, dx: float = 1.0, name: str = "smooth", pad_low: float | None = None, pad_high: float | None = None, block: int | None = None) -> DataFrame:
     """Each column smoothed, or its derivative: ``name`` for a single column, else <column>_<name>.
 
-    The ends go on with the first and last values, or with ``pad_low`` and ``pad_high`` where they are given.
+    The ends go on with the first and last values, or with ``pad_low`` and ``pad_high`` where they are given. With a
+    ``block``, and for long masks, sets are taken in blocks of so many points, all columns at once.
     """
     mask = savitzky_golay_mask(half, order, derivative, dx)
+    if block or len(mask) > LONG_MASK:
+        results = {name: columns} if isinstance(columns, str) else {f"{c}_{name}": c for c in columns}
+        return convolved_in_blocks(df, results, mask, low=pad_low, high=pad_high, block=block or 1 << 16)
     if isinstance(columns, str):
         return convolved(df, columns, mask, name, low=pad_low, high=pad_high)
     for c in columns:

@@ -4,14 +4,21 @@ them shuffles once. Those with a ``block`` take sets too long for one task in bl
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pointloom.operators.points import column, ordered, running, whole
 from pointloom.operators.scans import scanned
 from pointloom.operators.stats import fold, mean, stdev
 
 
+#: Values of a mask up to which a convolution is a sum of window columns.
+LONG_MASK = 64
+
+
 def counters(df: DataFrame, block: int | None = None) -> DataFrame:
     """counter: points so far; kept: those not discarded."""
     return scanned(df, block, sums={"counter": F.lit(1).cast("long"), "kept": F.when(F.col("discarded"), 0).otherwise(1)})
@@ -228,8 +235,11 @@ def convolved(df: DataFrame, c: str, mask: list[float], name: str = "convolved",
     """Sum of mask[j] times the value j - len(mask) // 2 points on; the ends go on with the end values, or with
     ``low`` and ``high`` where they are given.
 
-    Gaps are filled for the sums and are gaps again in the result.
+    Gaps are filled for the sums and are gaps again in the result. Masks of more than LONG_MASK values go by
+    :func:`convolved_in_blocks`.
     """
+    if len(mask) > LONG_MASK:
+        return convolved_in_blocks(df, {name: c}, mask, linear, low, high)
     filled = with_gaps_filled(df, c, "_f", linear)
     both = ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = [F.lit(float(v)) if v is not None else f("_f").over(both) for v, f in ((low, F.first), (high, F.last))]
@@ -242,6 +252,46 @@ def convolved(df: DataFrame, c: str, mask: list[float], name: str = "convolved",
     return filled.withColumn(name, F.when(F.col(c).isNotNull(), total)).drop("_f", "_lo", "_hi", "_n")
 
 
+def convolved_in_blocks(df: DataFrame, columns: dict[str, str], mask: list[float], linear: bool = True, low: float | None = None, high: float | None = None, block: int = 1 << 16) -> DataFrame:
+    """As :func:`convolved` for sets and masks of any length, several columns (result: column) at a time.
+
+    Overlap-save: a set is cut into blocks of consecutive idx, at least four masks long; each takes the points that its
+    mask reaches from its neighbours too and is convolved by Fourier transforms.
+    """
+    half, m = len(mask) // 2, np.array(mask, float)
+    block = max(block, 4 * len(mask))
+    reach = len(mask) - 1 - half  # points ahead
+    for k, c in enumerate(columns.values()):
+        df = with_gaps_filled(df, c, f"_f{k}", linear, block)
+    ends = {"_n": F.max("idx") + 1}
+    for k in range(len(columns)):
+        ends |= {f"_lo{k}": F.min_by(f"_f{k}", "idx") if low is None else F.max(F.lit(float(low))), f"_hi{k}": F.max_by(f"_f{k}", "idx") if high is None else F.max(F.lit(float(high)))}
+    sent = F.explode(F.sequence(F.floor(F.greatest(F.col("idx") - reach, F.lit(0)) / block), F.floor((F.col("idx") + half) / block)))
+    points = scanned(df, block, whole=ends).withColumn("_b", sent).where(F.col("_b") * block < F.col("_n"))
+    size = 1 << (block + len(mask) - 2).bit_length()
+    transform = np.conj(np.fft.rfft(m, size))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("idx")
+        first, n = int(frame["_b"].iloc[0]) * block, int(frame["_n"].iloc[0])
+        count = min(block, n - first)
+        at = frame["idx"].to_numpy() - (first - half)
+        own = frame[(frame["idx"] >= first) & (frame["idx"] < first + count)]
+        out = own[names].copy()
+        place = first - half + np.arange(block + len(mask) - 1)
+        for k, (result, c) in enumerate(columns.items()):
+            v = np.where(place < 0, frame[f"_lo{k}"].iloc[0], frame[f"_hi{k}"].iloc[0]).astype(float)
+            v[at] = frame[f"_f{k}"].to_numpy(float)
+            got = np.fft.irfft(np.fft.rfft(v, size) * transform, size)[own["idx"].to_numpy() - first]
+            out[result] = np.where(own[c].isna(), np.nan, got)
+        return out
+
+    names = [c for c in df.columns if not c.startswith("_f")]
+    schema = StructType([df.schema[c] for c in names] + [StructField(r, DoubleType()) for r in columns])
+    found = points.groupBy("set_id", "_b").applyInPandas(run, schema)
+    return found.withColumns({r: F.nanvl(r, F.lit(None).cast("double")) for r in columns})
+
+
 def running_sum_in_blocks(df: DataFrame, c: str, name: str = "running", block: int = 1_000_000) -> DataFrame:
     """A running sum for sets too long for one task."""
     return scanned(df, block, sums={name: c})

@@ -134,7 +134,20 @@ def j09(spark, d):
 SELECT set_id, idx, segment FROM s JOIN g ON t >= start AND t < end_""")
 def j09b(spark, d):
     g = table(spark, d, "orders").select(F.col("o_orderkey").alias("segment"), (F.col("o_custkey") / 10.0).alias("start"), (F.col("o_custkey") / 10.0 + 0.25).alias("end"))
-    return jn.in_segments(series(spark, d), "t", g, 0.25).select("set_id", "idx", "segment")
+    return jn.in_segments(series(spark, d), "t", g).select("set_id", "idx", "segment")
+
+
+@query("j09_long_segments", """WITH {S}, b AS (SELECT min(t) AS lo, max(t) AS hi FROM s), g AS (SELECT s_suppkey AS segment, lo + (hi - lo) * ((s_suppkey * 37) % 100) / 100.0 AS start, power(2.0, s_suppkey % 7) AS length FROM supplier, b
+  UNION ALL SELECT 0, lo, hi - lo FROM b UNION ALL SELECT -1, lo - 1e6, 2e6 FROM b)
+SELECT segment, count(*) AS n, sum(set_id) AS sets, sum(idx) AS places FROM s JOIN g ON t >= start AND t < start + length GROUP BY segment""")
+def j09c(spark, d):
+    s = series(spark, d)
+    lo, hi = s.agg(F.min("t"), F.max("t")).first()
+    k = F.col("s_suppkey")
+    start = F.lit(lo) + F.lit(hi - lo) * ((k * 37) % 100) / 100.0
+    g = table(spark, d, "supplier").select(k.alias("segment"), start.alias("start"), (start + F.pow(F.lit(2.0), k % 7)).alias("end"))
+    g = g.unionByName(spark.createDataFrame([(0, lo, lo + (hi - lo)), (-1, lo - 1e6, lo - 1e6 + 2e6)], "segment long, start double, end double"))
+    return jn.in_segments(s, "t", g, 2000).groupBy("segment").agg(F.count("*").alias("n"), F.sum("set_id").alias("sets"), F.sum("idx").alias("places"))
 
 
 @query("j10_metadata", "WITH {P} SELECT set_id, idx, s_name AS title FROM p LEFT JOIN supplier ON s_suppkey = set_id")

@@ -1,5 +1,7 @@
 """Queries along ordered sets (W1 to W11, W13, W17 to W24, W28, W29)."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from pointloom.operators import smooth
@@ -258,3 +260,19 @@ def w21_blocks(spark, d):
 def w22_blocks(spark, d):
     s = wn.with_splits(series(spark, d), F.col("y").isNull(), name="at", block=BLOCK)
     return wn.with_splits(s, F.col("y").isNull(), True, "behind", BLOCK).select("set_id", "idx", "at", "behind")
+
+
+# 4096 values of a fading wave
+_WAVE = [math.sin(j) / (1 + j) for j in range(4096)]
+
+
+@query("w10_long_mask", _FILL + """, n AS (SELECT *, count(*) OVER (PARTITION BY set_id) AS n FROM f), m AS (SELECT j, sin(j) / (1 + j) AS m FROM range(4096) g(j))
+SELECT a.set_id, a.idx, CASE WHEN a.y IS NOT NULL THEN round(sum(m * b.linear), 4) END AS convolved FROM n a, m JOIN n b ON b.set_id = a.set_id AND b.idx = greatest(0, least(a.n - 1, a.idx + j - 2048)) GROUP BY a.set_id, a.idx, a.y""")
+def w10_long(spark, d):
+    return wn.convolved(series(spark, d), "y", _WAVE).select("set_id", "idx", r("convolved", 4).alias("convolved"))
+
+
+@query("w11_savitzky_golay_in_blocks", ORACLE["w11_savitzky_golay_padded"])
+def w11_blocks(spark, d):
+    s = smooth.savitzky_golay(series(spark, d), ["v", "a"], 2, 2, pad_low=10.0, pad_high=20.0, block=20)
+    return s.select("set_id", "idx", r("v_smooth").alias("v_smooth"), r("a_smooth").alias("a_smooth"))
