@@ -37,7 +37,12 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTES = re.compile(r"(?:^|\s)(?:class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object"}
+_RAW = {"script", "style", "textarea", "title", "iframe"}
+# Elements that nest and whose content is left out as a whole.
+_LEFT_OUT = {"noscript", "template", "svg", "select", "object"}
+_LEFT_OUT_TAGS = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)(?=[\s/>]).*?(?:</\1|\Z)|<(/?)(noscript|template|svg|select|object)(?=[\s/>])[^>]*>", re.I | re.A | re.S
+)
 # case of ASCII letters alone: offsets in a lowered page are not the page's, as some letters grow
 _RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in _RAW}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "param", "source", "track"}
@@ -76,20 +81,38 @@ def _tokens(attributes: str) -> set[str]:
     return found
 
 
+def _left_out_ends(page: str) -> dict[int, int]:
+    """For the start tags of elements that are left out and are closed: where their own end tags begin."""
+    open_: dict[str, list[int]] = {tag: [] for tag in _LEFT_OUT}
+    ends: dict[int, int] = {}
+    for m in _LEFT_OUT_TAGS.finditer(page):
+        if m[3] is None or not m[2] and m[0].endswith("/>"):
+            continue
+        same = open_[m[3].lower()]
+        if not m[2]:
+            same.append(m.start())
+        elif same:
+            ends[same.pop()] = m.start()
+    return ends
+
+
 def parse(page: str) -> Nodes:
     """Tags, parents, attribute text, pieces of runs, and the link characters of each node, in page order.
 
     A run has the tag "" and is the child of its block. The first node stands for the page. Scripts, styles and
-    comments are no nodes. Unclosed and misplaced end tags are mended as browsers do in the simple cases.
+    comments are no nodes. Unclosed and misplaced end tags are mended as browsers do in the simple cases. Elements that
+    are left out, such as svg and noscript, may nest; one that nothing closes ends with the next tag of a block, so that
+    it takes no text with it but its own.
     """
     tags, parents, attrs, runs, links = ["html"], [-1], [""], [None], [0]
     open_: list[tuple[str, int]] = [("html", 0)]  # inline elements carry the node of their block
     run, in_link, at, n = -1, 0, 0, len(page)
+    muted, left_out = False, None
     end_of_markup = max(page.rfind(">") + 1, page.rfind("<!--") + 4)  # behind it no tag can end
 
     def text(piece: str) -> None:
         nonlocal run
-        if not piece:
+        if not piece or muted:
             return
         if "&" in piece:
             piece = html.unescape(piece)
@@ -106,6 +129,13 @@ def parse(page: str) -> Nodes:
         if in_link:
             links[run] += len(piece)
 
+    def control() -> None:
+        tags.append("button")
+        parents.append(open_[-1][1])
+        attrs.append("")
+        runs.append(None)
+        links.append(0)
+
     while at < n:
         m = _MARKUP.search(page, at, end_of_markup)
         if m is None:
@@ -122,6 +152,8 @@ def parse(page: str) -> Nodes:
         if m[1]:
             if tag in _VOID:
                 continue
+            if tag in _LEFT_OUT or tag in _GROUP:
+                muted = False
             k = next((k for k in range(len(open_) - 1, 0, -1) if open_[k][0] == tag), 0)
             if k and not (tag not in _GROUP and any(t in _GROUP for t, _ in open_[k + 1 :])):
                 if any(t in _GROUP for t, _ in open_[k:]):
@@ -133,12 +165,17 @@ def parse(page: str) -> Nodes:
             if not m[3].endswith("/"):
                 end = _RAW_END[tag].search(page, at)
                 at = n if end is None else end.start()
-            if tag in ("select", "textarea"):
-                tags.append("button")
-                parents.append(open_[-1][1])
-                attrs.append("")
-                runs.append(None)
-                links.append(0)
+            if tag == "textarea":
+                control()
+            continue
+        if tag in _LEFT_OUT:
+            if not m[3].endswith("/"):
+                left_out = _left_out_ends(page) if left_out is None else left_out
+                end = left_out.get(m.start())
+                muted = muted or end is None
+                at = at if end is None else end
+            if tag == "select":
+                control()
             continue
         if tag in _VOID:
             if tag == "br" or tag == "hr":
@@ -147,16 +184,13 @@ def parse(page: str) -> Nodes:
                 if tag == "hr":
                     run = -1
             elif tag == "input":
-                tags.append("button")
-                parents.append(open_[-1][1])
-                attrs.append("")
-                runs.append(None)
-                links.append(0)
+                control()
             continue
         if tag not in _GROUP:
             open_.append((tag, open_[-1][1]))
             in_link += tag == "a"
             continue
+        muted = False
         if tag in ("html", "head", "body") and any(t == tag for t, _ in open_):
             if tag != "html":
                 continue

@@ -34,6 +34,19 @@ def test_parse_mends_and_decodes():
     assert _texts("</p></div><b>q</b></x>") == ["q"]
 
 
+@pytest.mark.parametrize("tag", ["svg", "template", "noscript", "select", "object"])
+def test_elements_left_out_nested_and_unclosed(tag):
+    assert _texts(f"<p>a</p><{tag}>x<{tag}>y</{tag}>z</{tag}><p>b</p>") == ["a", "b"]
+    assert _texts(f"<{tag}><{tag}></{tag}><text>label</text></{tag}>t") == ["t"]
+    assert _texts(f"<{tag.upper()} data='x'><div><p>in</p></div></{tag}><p>out") == ["out"]
+    # nothing closes it: its own text goes, blocks behind it stay
+    assert _texts(f"<article><p>one</p><{tag} data=x>own<b>own</b><p>two</p></article><p>three</p>") == ["one", "two", "three"]
+    assert _texts(f"<div><{tag}>own</div>rest<p>more</p>") == ["rest", "more"]
+    assert _texts(f"<p>a</p><{tag}>x<{tag}>y</{tag}><p>b</p>") == ["a", "b"]
+    assert _texts(f"<p>a</p><!-- <{tag}> --><script>'<{tag}>'</script>b<{tag}/>c</{tag}>d") == ["a", "bcd"]
+    assert _texts(f"x<{tag}>" * 2000 + "<p>end") == ["x", "end"]
+
+
 def test_raw_elements_behind_letters_that_grow_when_lowered():
     assert _texts("<p>İstanbul</p><TITLE>İzmir</Title><p>one</p>") == ["İstanbul", "one"]
     page = "<title>" + "İ" * 30 + "</title><p>" + "İ" * 9 + " two</p><script>x()</SCRIPT><p>three</p>four"
