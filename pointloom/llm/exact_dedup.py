@@ -28,7 +28,8 @@ MAX_MOVES = 200
 #: Rows for which there is a shard, and the digests that a map task's index holds at most.
 SHARD_ROWS = 200_000
 OUT_ROWS = 20_000
-INDEX_SCHEMA = "digest binary, keep_id long, n_chars long, group_size long"
+INDEX_SCHEMA = "digest binary, keep_id long, no_id boolean, n_chars long, group_size long"
+_COLUMNS = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
 
 
 class CuckooIndex:
@@ -134,19 +135,17 @@ class CuckooIndex:
             yield from entries or ()
 
 
-_NO_ID = (1 << 63) - 1  # stands for a null id: larger than every other
-
-
 def _merge(index: CuckooIndex, frame: pd.DataFrame) -> None:
-    for digest, keep_id, n_chars, size in zip(frame["digest"], frame["keep_id"], frame["n_chars"], frame["group_size"]):
-        digest = bytes(digest)
+    """Values are [characters, a known id before none, id] of the row that stays, negated where less is better, and the
+    group's size."""
+    for digest, keep_id, no_id, n_chars, size in zip(*(frame[c].tolist() for c in _COLUMNS)):
+        digest, order = bytes(digest), (n_chars, not no_id, -keep_id)
         kept = index.get(digest)
         if kept is None:
-            index.insert(digest, [n_chars, keep_id, size])
+            index.insert(digest, [order, size])
         else:
-            if (n_chars, -keep_id) > (kept[0], -kept[1]):
-                kept[0], kept[1] = n_chars, keep_id
-            kept[2] += size
+            kept[0] = max(kept[0], order)
+            kept[1] += size
 
 
 def _merge_partition(most: int | None = None):
@@ -166,8 +165,17 @@ def _merge_partition(most: int | None = None):
 
 def _tables(index: CuckooIndex) -> Iterator[pd.DataFrame]:
     entries = index.items()
-    while rows := [(digest, v[1], v[0], v[2]) for digest, v in islice(entries, OUT_ROWS)]:
-        yield pd.DataFrame(rows, columns=["digest", "keep_id", "n_chars", "group_size"])
+    while rows := [(digest, -v[0][2], not v[0][1], v[0][0], v[1]) for digest, v in islice(entries, OUT_ROWS)]:
+        yield pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def _flagged(doc_id: str, name: str = "keep_id") -> list:
+    """An id and whether it is missing; a missing one is 0."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias(name), F.col(doc_id).isNull().alias("no_id")]
+
+
+def _unflagged(index: DataFrame) -> DataFrame:
+    return index.withColumn("keep_id", F.when(~F.col("no_id"), F.col("keep_id"))).drop("no_id")
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -183,11 +191,11 @@ def build_index(rows: DataFrame, n_rows: int | None = None) -> DataFrame:
     ``rows`` is what :func:`digests` returns. The row with most code points, then the smallest id, is kept;
     a null id counts as larger than every other and comes back as null.
     """
-    one = rows.select("digest", F.coalesce("doc_id", F.lit(_NO_ID)).alias("keep_id"), "n_chars", F.lit(1).cast("long").alias("group_size"))
+    one = rows.select("digest", *_flagged("doc_id"), "n_chars", F.lit(1).cast("long").alias("group_size"))
     shards = max(shuffle_partitions(rows.sparkSession), -(-(rows.count() if n_rows is None else n_rows) // SHARD_ROWS))
     local = one.mapInPandas(_merge_partition(SHARD_ROWS), INDEX_SCHEMA)
     merged = local.repartition(shards, "digest").mapInPandas(_merge_partition(), INDEX_SCHEMA)
-    return merged.withColumn("keep_id", F.when(F.col("keep_id") != _NO_ID, F.col("keep_id")))
+    return _unflagged(merged)
 
 
 def apply_changes(index: DataFrame, changes: DataFrame, shards: int | None = None) -> DataFrame:
@@ -201,22 +209,22 @@ def apply_changes(index: DataFrame, changes: DataFrame, shards: int | None = Non
     if shards is None:
         shards = max(shuffle_partitions(index.sparkSession), -(-(index.count() + changes.count()) // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
-    a = index.select(shard, "digest", F.coalesce("keep_id", F.lit(_NO_ID)).alias("keep_id"), "n_chars", "group_size")
-    b = changes.select(shard, "op", "seq", "digest", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+    a = index.select(shard, "digest", *_flagged("keep_id"), "n_chars", "group_size")
+    b = changes.select(shard, "op", "seq", "digest", *_flagged("doc_id", "doc_id"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
     def update(state: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         live = CuckooIndex(max(64, len(state) // 2))
         _merge(live, state)
         batch = batch.sort_values(["seq"], kind="stable")
-        for op, digest, doc_id, n_chars in zip(batch["op"], batch["digest"], batch["doc_id"], batch["n_chars"]):
+        for op, digest, doc_id, no_id, n_chars in zip(*(batch[c].tolist() for c in ("op", "digest", "doc_id", "no_id", "n_chars"))):
             if op == "delete":
                 live.delete(bytes(digest))
             elif op == "insert":
-                _merge(live, pd.DataFrame({"digest": [digest], "keep_id": [doc_id], "n_chars": [n_chars], "group_size": [1]}))
-        return pd.concat([pd.DataFrame(columns=["digest", "keep_id", "n_chars", "group_size"]), *_tables(live)])
+                _merge(live, pd.DataFrame([(digest, doc_id, no_id, n_chars, 1)], columns=_COLUMNS))
+        return pd.concat([pd.DataFrame(columns=_COLUMNS), *_tables(live)])
 
     out = a.groupBy("shard").cogroup(b.groupBy("shard")).applyInPandas(update, INDEX_SCHEMA)
-    return out.withColumn("keep_id", F.when(F.col("keep_id") != _NO_ID, F.col("keep_id")))
+    return _unflagged(out)
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

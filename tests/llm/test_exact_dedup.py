@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from pointloom.llm.exact_dedup import CuckooIndex, apply_changes, build_index, digests, exact_dedup
+from pointloom.llm.exact_dedup import CuckooIndex, apply_changes, build_index, digests, exact_dedup, kept_documents
 
 
 def _digest(i):
@@ -70,3 +70,12 @@ def test_changes(spark):
     bit = lambda s: hashlib.sha256(s.encode()).digest()
     assert got[bit("b")]["keep_id"] == 9 and got[bit("b")]["group_size"] == 1
     assert got[bit("c")]["keep_id"] == 7 and bit("zz") not in got
+
+
+def test_the_largest_id_is_no_missing_one(spark):
+    most = (1 << 63) - 1
+    rows = [(most, "a b"), (None, "ab"), (most, "c"), (None, "d"), (-most - 1, "e"), (3, "e"), (None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text_sha256"][:8]): (r["keep_id"], r["kept"]) for r in exact_dedup(df).collect()}
+    assert sorted(got.values(), key=str) == sorted([(most, True), (most, False), (most, True), (None, True), (-most - 1, True), (-most - 1, False), (-most - 1, False)], key=str)
+    assert sorted((tuple(r) for r in kept_documents(df).collect()), key=str) == sorted([(most, "a b"), (most, "c"), (None, "d"), (-most - 1, "e")], key=str)
