@@ -461,7 +461,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left), n_passages (spans of 50
     words or more), starts and ends (the maximal removed runs, in bytes). Null and empty texts have 0 bytes. A null
     id counts as larger than every other, so it is never the smaller one; rows of one id do not remove each other's
-    strings, and repeated rows have equal results. Long texts are cut like others; an empty table gives an empty
+    strings, and repeated rows have equal results; ids of both -2^63 and 2^63-1 can't be told from null. Long texts are cut like others; an empty table gives an empty
     result; other columns of ``docs`` are not read. ``length`` is 16 at least. A task that is run again must meet its
     rows in the same order, as rows of files and checkpoints are.
     """
@@ -469,8 +469,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         raise ValueError("strings of fewer than 16 bytes are not supported")
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    whole = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
-    n_bytes = whole.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_bytes, largest = docs.agg(F.sum(F.octet_length(text).cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    n_bytes = n_bytes or 0
+    # ids move down by one where the largest one has the number that stands for a null id
+    down = int(largest == _NO_ID)
+    doc_id = F.coalesce(F.col("doc_id").cast("long") - down, F.lit(_NO_ID))
+    whole = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     n_buckets = max(shuffle_partitions(spark), -(-int(3.5 * n_bytes) // bucket_bytes))
     hot = _common_grams(whole, length, HOT_DOCS, HOT_SHARE)
 
@@ -504,4 +508,4 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=names)
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, starts array<long>, ends array<long>"
-    return joined.mapInArrow(remove, result).withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    return joined.mapInArrow(remove, result).withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id") + down))

@@ -91,3 +91,10 @@ def test_texts_larger_than_a_block(spark):
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == len(raw) - 4 and got[2]["n_spans"] == 5
     assert got[2]["starts"] == [0, *(p + 1 for p in places)] and got[2]["ends"] == [*places, len(raw)]
     assert got[3]["n_removed"] == 100 and got[3]["starts"] == [1] and got[3]["n_passages"] == 0
+
+
+def test_the_largest_id_is_no_missing_one(spark):
+    most, text = (1 << 63) - 1, "all that is said here is said again in a longer text of more than fifty bytes"
+    df = spark.createDataFrame([(most, text), (None, text), (5, "short")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in repeated_spans(df).collect()}
+    assert got == {most: 0, None: len(text), 5: 0}
