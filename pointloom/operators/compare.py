@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.joins import nearest, paired
+from pointloom.operators.points import checkpointed
 from pointloom.operators.selection import shift_rotate
 from pointloom.operators.stats import TAU, fold, mean, stdev, sums
 
@@ -61,27 +64,120 @@ def mean_direction(df: DataFrame, pairs: DataFrame, base: float = 360.0) -> Data
     return g.select("set_a", "set_b", F.pmod(F.atan2("_s", "_c") * (base / TAU), F.lit(float(base))).alias("direction"))
 
 
-def best_alignment(df: DataFrame, pairs: DataFrame, parameters: list[dict], correlation: bool = False) -> DataFrame:
+#: Rows of a parameter grid, which every task gets (a hundred bytes a row).
+MOST_PARAMETERS = 5_000_000
+_GRID = {"scale": 1.0, "dx": 0.0, "dy": 0.0, "rx": 0.0, "ry": 0.0, "angle": 0.0}
+_MOMENTS = ("n", "ax", "ay", "bx", "by", "vax", "vay", "vbx", "vby", "bb", "axbx", "axby", "aybx", "ayby")
+
+
+def _moments() -> list[Column]:
+    """Count, means, variances and covariances of the pairs of points, in the order of _MOMENTS."""
+    c = {"ax": "a_x", "ay": "a_y", "bx": "b_x", "by": "b_y"}
+    both = [("bx", "by", "bb"), ("ax", "bx", "axbx"), ("ax", "by", "axby"), ("ay", "bx", "aybx"), ("ay", "by", "ayby")]
+    return [F.count("*").alias("n"), *[F.avg(v).alias(k) for k, v in c.items()], *[F.var_pop(v).alias(f"v{k}") for k, v in c.items()], *[F.covar_pop(c[a], c[b]).alias(k) for a, b, k in both]]
+
+
+def _grid_table(df: DataFrame, parameters: list[dict] | DataFrame) -> DataFrame:
+    """p_id and the linear map of each row of the grid: x' = m11 x + m12 y + t1, y' = m21 x + m22 y + t2."""
+    if isinstance(parameters, list):
+        rows = [(k, *[float((_GRID | p)[c]) for c in _GRID]) for k, p in enumerate(parameters)]
+        parameters = df.sparkSession.createDataFrame(rows, "p_id int, " + ", ".join(f"{c} double" for c in _GRID))
+    given = parameters.select("p_id", *[(F.col(c) if c in parameters.columns else F.lit(v)).cast("double").alias(c) for c, v in _GRID.items()])
+    at = lambda x, y: shift_rotate(F.lit(x), F.lit(y), F.col("angle"), F.col("scale"), (F.col("rx"), F.col("ry")), (F.col("dx"), F.col("dy")))
+    (t1, t2), (x1, x2), (y1, y2) = at(0.0, 0.0), at(1.0, 0.0), at(0.0, 1.0)
+    return given.select("p_id", *_GRID, t1.alias("t1"), t2.alias("t2"), (x1 - t1).alias("m11"), (x2 - t2).alias("m21"), (y1 - t1).alias("m12"), (y2 - t2).alias("m22"))
+
+
+def _bounds(g: dict[str, np.ndarray], m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of the grid a lower and an upper bound of the mean distance of a pair, from the moments of its chunks.
+
+    A chunk's mean distance is at least the distance of its means and at most its root mean square distance.
+    """
+    low, high = np.zeros(len(g["t1"])), np.zeros(len(g["t1"]))
+    for row in m:
+        v = dict(zip(_MOMENTS, row))
+        mx = v["ax"] - g["m11"] * v["bx"] - g["m12"] * v["by"] - g["t1"]
+        my = v["ay"] - g["m21"] * v["bx"] - g["m22"] * v["by"] - g["t2"]
+        spread = v["vax"] + v["vay"]
+        for p, q, k in (("m11", "m12", "ax"), ("m21", "m22", "ay")):
+            spread = spread + g[p] ** 2 * v["vbx"] + g[q] ** 2 * v["vby"] + 2 * g[p] * g[q] * v["bb"] - 2 * g[p] * v[k + "bx"] - 2 * g[q] * v[k + "by"]
+        square = mx * mx + my * my
+        low += v["n"] * np.sqrt(square)
+        high += v["n"] * np.sqrt(square + np.maximum(spread, 0))
+    n = m[:, 0].sum()
+    return low / n, high / n
+
+
+def _pooled(m: np.ndarray, parts: int) -> np.ndarray:
+    """The moments of neighbouring chunks put together, ``parts`` of them."""
+    out = []
+    for own in np.array_split(m, min(parts, len(m))):
+        n, mean = own[:, 0], own[:, 1:5]
+        centre = (n[:, None] * mean).sum(axis=0) / n.sum()
+        d = mean - centre
+        pairs = [(0, 0), (1, 1), (2, 2), (3, 3), (2, 3), (0, 2), (0, 3), (1, 2), (1, 3)]
+        second = [(n * (own[:, 5 + k] + d[:, i] * d[:, j])).sum() / n.sum() for k, (i, j) in enumerate(pairs)]
+        out.append([n.sum(), *centre, *second])
+    return np.array(out)
+
+
+def best_alignment(df: DataFrame, pairs: DataFrame, parameters: list[dict] | DataFrame, correlation: bool = False, chunks: int = 64) -> DataFrame:
     """The row of the parameter grid that brings the second set nearest to the first, point by point.
 
-    ``parameters`` is a list of scale, dx, dy, rx, ry, angle (each pair of points is spread over them, 500 at a time); p_id is the place in it. The least mean distance wins, or with ``correlation`` the greatest mean of the correlations of x and of y; ties
-    go to the smallest p_id.
+    ``parameters`` is a list or a table of scale, dx, dy, rx, ry and angle; p_id is the place in the list, or a column
+    of the table (up to MOST_PARAMETERS rows). The least mean distance wins, or with ``correlation`` the greatest mean
+    of the correlations of x and of y; ties go to the smallest p_id.
+
+    Correlations follow from a pair's moments alone. For distances the moments of chunks of a pair's points bound every
+    row of the grid, coarse to fine; only the rows that the bounds leave are tried on the points.
     """
-    neutral = {"scale": 1.0, "dx": 0.0, "dy": 0.0, "rx": 0.0, "ry": 0.0, "angle": 0.0}
-    pairs_of_points = paired(df, pairs, "x", "y")
+    grid = checkpointed(_grid_table(df, parameters))
+    if grid.count() > MOST_PARAMETERS:
+        raise ValueError(f"a grid has more than {MOST_PARAMETERS} rows")
+    table = grid.toPandas().sort_values("p_id", ignore_index=True)
+    shared = df.sparkSession.sparkContext.broadcast({c: table[c].to_numpy() for c in table.columns})
+    m = checkpointed(paired(df, pairs, "x", "y"))
+    wide = -(-((m.agg(F.max("idx")).first()[0] or 0) + 1) // chunks)
+    moments = m.where("a_x IS NOT NULL AND a_y IS NOT NULL AND b_x IS NOT NULL AND b_y IS NOT NULL").groupBy("set_a", "set_b", F.floor(F.col("idx") / wide).alias("chunk")).agg(*_moments())
+    # at most ``chunks`` rows a pair
+    outlines = moments.groupBy("set_a", "set_b").agg(F.sort_array(F.collect_list(F.struct("chunk", F.array(*[F.col(c).cast("double") for c in _MOMENTS]).alias("m")))).alias("ms"))
+    keys = f"set_a {df.schema['set_id'].dataType.simpleString()}, set_b {df.schema['set_id'].dataType.simpleString()}"
+
+    def correlations(m: np.ndarray, g: dict) -> tuple[int, float]:
+        v = dict(zip(_MOMENTS, m[0]))
+        total = np.zeros(len(g["p_id"]))
+        for p, q, k in (("m11", "m12", "ax"), ("m21", "m22", "ay")):
+            with np.errstate(all="ignore"):
+                var = g[p] ** 2 * v["vbx"] + g[q] ** 2 * v["vby"] + 2 * g[p] * g[q] * v["bb"]
+                total = total + (g[p] * v[k + "bx"] + g[q] * v[k + "by"]) / np.sqrt(var * v["v" + k]) / 2
+        best = int(np.argmax(np.where(np.isnan(total), -2.0, total)))
+        return int(g["p_id"][best]), float(total[best])
+
+    def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = shared.value
+        for frame in frames:
+            out = []
+            for a, b, ms in zip(frame["set_a"], frame["set_b"], frame["ms"]):
+                own = np.array([x["m"] for x in ms], float)
+                if correlation:
+                    out.append((a, b, *correlations(_pooled(own, 1), g)))
+                    continue
+                left = np.arange(len(g["p_id"]))
+                for parts in (1, 8, len(own)):
+                    low, high = _bounds({c: v[left] for c, v in g.items() if c[0] in "mt"}, _pooled(own, parts))
+                    left = left[low <= high.min() * (1 + 1e-9) + 1e-12]
+                out += [(a, b, int(g["p_id"][k]), None) for k in left]
+            yield pd.DataFrame(out, columns=["set_a", "set_b", "p_id", "score"])
+
+    found = outlines.mapInPandas(rows_of, f"{keys}, p_id {grid.schema['p_id'].dataType.simpleString()}, score double")
     if correlation:
-        score = -(F.corr("a_x", "_x") + F.corr("a_y", "_y")) / 2
-    else:
-        score = F.avg(F.sqrt(F.pow(F.col("a_x") - F.col("_x"), 2) + F.pow(F.col("a_y") - F.col("_y"), 2)))
-    parts = []
-    for first in range(0, len(parameters), 500):
-        rows = F.array(*[F.struct(F.lit(first + k).alias("p_id"), *[F.lit(float(v)).alias(c) for c, v in (neutral | p).items()]) for k, p in enumerate(parameters[first : first + 500])])
-        m = pairs_of_points.withColumn("_p", F.explode(rows)).select("*", "_p.*")
-        x, y = shift_rotate(F.col("b_x"), F.col("b_y"), F.col("angle"), F.col("scale"), (F.col("rx"), F.col("ry")), (F.col("dx"), F.col("dy")))
-        parts.append(m.withColumns({"_x": x, "_y": y}).groupBy("set_a", "set_b", "p_id").agg(score.alias("_v")))
-    scored = functools.reduce(DataFrame.unionByName, parts)
+        return found
+    tried = found.drop("score").join(F.broadcast(grid), "p_id").join(m, ["set_a", "set_b"])
+    x, y = shift_rotate(F.col("b_x"), F.col("b_y"), F.col("angle"), F.col("scale"), (F.col("rx"), F.col("ry")), (F.col("dx"), F.col("dy")))
+    distance = F.sqrt(F.pow(F.col("a_x") - x, 2) + F.pow(F.col("a_y") - y, 2))
+    scored = tried.groupBy("set_a", "set_b", "p_id").agg(F.avg(distance).alias("_v"))
     best = scored.groupBy("set_a", "set_b").agg(F.min(F.struct("_v", "p_id")).alias("_b"))
-    return best.select("set_a", "set_b", F.col("_b.p_id").alias("p_id"), (-F.col("_b._v") if correlation else F.col("_b._v")).alias("score"))
+    return best.select("set_a", "set_b", F.col("_b.p_id").alias("p_id"), F.col("_b._v").alias("score"))
 
 
 def closeness(df: DataFrame, pairs: DataFrame, columns: tuple[str, ...] = ("y", "e")) -> DataFrame:

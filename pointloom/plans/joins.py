@@ -350,6 +350,16 @@ def a37b(spark, d):
     return cmp.best_alignment(p, pairs(p), _GRID_PARAMETERS, correlation=True).select("set_a", "set_b", r("score").alias("score"))
 
 
+@query("a37_alignment_over_a_table", "WITH {P0}, " + _Q + ", " + _J + """, g AS (SELECT i * 100 + k AS p_id, 0.5 + i / 20.0 AS s, 0.0 + 3.6 * k AS a, -2.0 + ((i + k) % 5) AS dx FROM range(20) t(i), range(100) u(k)),
+v AS (SELECT set_a, set_b, p_id, avg(sqrt(power(a_x - (b_x * s * cos(radians(a)) - b_y * s * sin(radians(a)) + dx), 2) + power(a_y - (b_x * s * sin(radians(a)) + b_y * s * cos(radians(a))), 2))) AS score FROM j, g GROUP BY ALL)
+SELECT set_a, set_b, CAST(arg_min(p_id, score) AS BIGINT) AS p_id, round(min(score), 6) AS score FROM v GROUP BY ALL""")
+def a37c(spark, d):
+    p = thousands(spark, d)
+    i, k = F.floor(F.col("id") / 100), F.col("id") % 100
+    grid = spark.range(2000).select(F.col("id").alias("p_id"), (0.5 + i / 20.0).alias("scale"), (k * 3.6).alias("angle"), (-2.0 + (i + k) % 5).alias("dx"))
+    return cmp.best_alignment(p, pairs(p), grid).select("set_a", "set_b", "p_id", r("score").alias("score"))
+
+
 @query("a38_closeness", "WITH {P}, " + _J + """ SELECT set_a, set_b, round(1 - avg(abs(a_y - b_y)) / (greatest(max(a_y), max(b_y)) - least(min(a_y), min(b_y))), 8) AS closeness_y,
   round(1 - avg(abs(a_e - b_e)) / (greatest(max(a_e), max(b_e)) - least(min(a_e), min(b_e))), 8) AS closeness_e FROM j GROUP BY ALL""")
 def a38(spark, d):
