@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.special import chi2_probability_udf, f_probability_udf, t_probability_udf
 from pointloom.operators.joins import bracket
+from pointloom.operators.order_stats import BROADCAST_BINS, medians
 from pointloom.operators.points import checkpointed, column
 
 MAD = 1.482602218505602
@@ -295,8 +296,71 @@ def robust_fit_arrays(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float
     return best, a, float(np.abs(y - a - best * x).mean())
 
 
-def robust_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Line of least absolute deviations per group (each group is one task's work)."""
+def _robust_fit_over_tasks(df: DataFrame, by: list[str], x: str, y: str, most_rows: int, slopes: int = 32) -> DataFrame:
+    """As :func:`robust_fit` for groups of any size, all at once.
+
+    Each pass tries ``slopes`` + 1 slopes of a group's bracket: the median of y - b x of each is found by distributed
+    selection, and the sign of sum x * sign(y - a - b x) tells which two of them the line of least deviations lies
+    between, or on which side the bracket must move on.
+    """
+    rows = checkpointed(df.select(F.struct(*by).alias("bin"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(_valid(F.col("x")) & _valid(F.col("y"))))
+    n, vx, cov = F.count("*"), F.var_pop("x"), F.covar_pop("x", "y")
+    start = rows.groupBy("bin").agg(n.alias("n"), vx.alias("vx"), F.coalesce(F.try_divide(cov, vx), F.lit(0.0)).alias("slope"), F.var_pop("y").alias("vy"), cov.alias("cov"), F.max(F.abs("y")).alias("top"))
+    rest = F.greatest(F.col("n") * (F.col("vy") - F.col("slope") * F.col("cov")), F.lit(1e-300))
+    width = 3 * F.sqrt(F.try_divide(rest / F.greatest(F.col("n") - 2, F.lit(1)), F.col("n") * F.col("vx")))
+    flat = (F.col("vx") == 0) | (F.col("n") < 2)
+    width = F.when(flat, 0.0).otherwise(F.greatest(F.coalesce(width, F.lit(0.0)), F.lit(1e-9)))
+    state = checkpointed(start.select("bin", "n", (1e-12 * F.greatest(F.lit(1.0), "top")).alias("zero"), (F.col("slope") - width).alias("low"), (F.col("slope") + width).alias("high")))
+    few = state.count() <= BROADCAST_BINS  # groups of more than most_rows rows, so they are few
+
+    def residuals(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows with what is left of y, and the medians of that, for each line (bin, i, b)."""
+        met = rows.join(F.broadcast(lines) if few else lines, "bin").withColumn("r", F.col("y") - F.col("b") * F.col("x"))
+        return met, checkpointed(medians(met, ["bin", "i"], "r", most_rows).select("bin", "i", F.col("median").alias("a")))
+
+    for _ in range(60):
+        tight = F.col("high") - F.col("low") <= 1e-12 * F.greatest(F.lit(1.0), F.abs(F.col("low") + F.col("high")) / 2)
+        going = checkpointed(state.withColumn("tight", tight))
+        if not going.where("NOT tight").limit(1).count():
+            break
+        lines = going.where("NOT tight").select("bin", "zero", "low", "high", F.posexplode(F.array(*[F.col("low") + (F.col("high") - F.col("low")) * (k / slopes) for k in range(slopes + 1)])).alias("i", "b"))
+        met, centres = residuals(lines)
+        off = F.col("r") - F.col("a")
+        sign = F.when(F.abs(off) < F.col("zero"), 0.0).otherwise(F.signum(off))
+        joined_ = met.join(F.broadcast(centres) if few else centres, ["bin", "i"])
+        balance = joined_.groupBy("bin", "i").agg(F.sum(F.col("x") * sign).alias("f"), F.first("b").alias("b"))
+        # it falls as the slope grows
+        turn = balance.groupBy("bin").agg(F.max(F.when(F.col("f") > 0, F.struct("i", "b"))).alias("above"), F.min(F.when(F.col("f") <= 0, F.struct("i", "b"))).alias("below"))
+        span = F.col("high") - F.col("low")
+        low = F.when(F.col("above").isNull(), F.col("low") - 4 * span).when(F.col("below").isNull(), F.col("high")).otherwise(F.col("above.b"))
+        high = F.when(F.col("above").isNull(), F.col("low")).when(F.col("below").isNull(), F.col("high") + 4 * span).otherwise(F.col("below.b"))
+        moved = going.where("NOT tight").join(turn, "bin").select("bin", "n", "zero", low.alias("low"), high.alias("high"))
+        state = checkpointed(going.where("tight").drop("tight").unionByName(moved))
+    met, centres = residuals(state.select("bin", F.posexplode(F.array("low", "high")).alias("i", "b")))
+    of = met.join(F.broadcast(centres) if few else centres, ["bin", "i"]).groupBy("bin", "i").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("r") - F.col("a"))).alias("deviation"), F.first("b").alias("slope"), F.first("a").alias("intercept"))
+    best = of.groupBy("bin").agg(F.min(F.struct("deviation", "i", "n", "slope", "intercept")).alias("f"))
+    return best.select(*[f"bin.{k}" for k in by], "f.n", "f.slope", "f.intercept", "f.deviation")
+
+
+def robust_fit(df: DataFrame, by: list[str], x: str, y: str, most_rows: int = 1_000_000, sort_rows: int = 1_000_000) -> DataFrame:
+    """Line of least absolute deviations per group: n, slope, intercept and mean absolute deviation.
+
+    Groups of up to ``most_rows`` rows are one task's work each; larger ones are fitted over all tasks, by medians that
+    are sorted in a task up to ``sort_rows`` values.
+    """
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    bin_ = F.struct(*by).alias("_bin")
+    large = checkpointed(df.groupBy(bin_).agg(F.count(F.when(ok, 1)).alias("_n")).where(F.col("_n") > most_rows).select("_bin"))
+    n_large = large.count()
+    if not n_large:
+        return _robust_fit_in_tasks(df, by, x, y)
+    there = F.broadcast(large) if n_large <= BROADCAST_BINS else large
+    split = df.select(*by, x, y, bin_)
+    small = _robust_fit_in_tasks(split.join(there, "_bin", "left_anti"), by, x, y)
+    return small.unionByName(_robust_fit_over_tasks(split.join(there, "_bin", "left_semi"), by, x, y, sort_rows))
+
+
+def _robust_fit_in_tasks(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     keys = {c: df.schema[c].dataType.simpleString() for c in by}
 
     def one(key, frame: pd.DataFrame) -> pd.DataFrame:

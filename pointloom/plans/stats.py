@@ -312,6 +312,12 @@ def a32(spark, d):
     return got.select("set_id", "n", r("slope", 4).alias("slope"), r("intercept", 2).alias("intercept"), r("deviation", 4).alias("deviation"))
 
 
+@query("a32_robust_fit_over_tasks", ORACLE["a32_robust_fit"])
+def a32b(spark, d):
+    got = st.robust_fit(series(spark, d), ["set_id"], "t", "v", most_rows=4)
+    return got.select("set_id", "n", r("slope", 4).alias("slope"), r("intercept", 2).alias("intercept"), r("deviation", 4).alias("deviation"))
+
+
 @query("a41_sizes", """SELECT n_regionkey AS g, count(*) AS n_points, count(DISTINCT s_suppkey) AS n_sets, sum(l_quantity) AS n_obs
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
 def a41(spark, d):
