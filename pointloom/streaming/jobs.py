@@ -64,9 +64,9 @@ def _same(a: float | None, b: float | None) -> bool:
     return a == b or (a is None or np.isnan(a)) and (b is None or np.isnan(b))
 
 
-def change_stream(stream: DataFrame, key: str, t: str, x: str) -> DataFrame:
-    """Only the rows whose x differs from the key's row before, with the number of the run they begin and how many late
-    rows the key had so far. Missing values are equal to each other."""
+def change_stream(stream: DataFrame, key: str, t: str, x: str, count_late: bool = False) -> DataFrame:
+    """Only the rows whose x differs from the key's row before, with the number of the run they begin; with
+    ``count_late`` how many late rows the key had so far, too. Missing values are equal to each other."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, value, run, late = state.get if state.exists else (float("-inf"), None, -1, 0)
@@ -85,7 +85,8 @@ def change_stream(stream: DataFrame, key: str, t: str, x: str) -> DataFrame:
 
     kind = stream.schema[key].dataType.simpleString()
     rows = stream.select(F.col(key).alias("key"), F.col(t).cast("double").alias(t), F.col(x).cast("double").alias(x))
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, t double, value double, run_id long, late long", "last double, value double, run long, late long", "append", GroupStateTimeout.NoTimeout)
+    out = rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, t double, value double, run_id long, late long", "last double, value double, run long, late long", "append", GroupStateTimeout.NoTimeout)
+    return out if count_late else out.drop("late")
 
 
 class _InOrder(StatefulProcessor):

@@ -111,7 +111,7 @@ def test_segments_of_any_length(spark):
 def test_missing_values_are_no_change(spark, tmp_path):
     rows = [(1, 1.0, 5.0), (1, 2.0, None), (1, 3.0, None), (1, 4.0, 5.0)]
     spark.createDataFrame(rows, "key long, t double, v double").write.parquet(f"{tmp_path}/in")
-    stream = jobs.change_stream(spark.readStream.schema("key long, t double, v double").parquet(f"{tmp_path}/in"), "key", "t", "v")
+    stream = jobs.change_stream(spark.readStream.schema("key long, t double, v double").parquet(f"{tmp_path}/in"), "key", "t", "v", count_late=True)
     q = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
     q.awaitTermination()
     got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").orderBy("t").collect()
