@@ -116,7 +116,9 @@ def field_tokens(rows: DataFrame, fields: list[str], rule: str = "start", ranks:
     """Token counts of several text fields of a row, which are encoded as one text.
 
     The fields, null ones as empty, are put together with ``separator``, each separator belonging to the field before
-    it. Columns: doc_id, field, n_tokens, n_crossing, doc_tokens.
+    it. Columns: doc_id, field, n_tokens, n_crossing, doc_tokens. Repeated rows and rows without an id each have their
+    fields; long texts are encoded whole; an empty table gives an empty result; columns other than doc_id and the
+    fields are not read, whatever their names.
     """
     if "\0" in separator:
         raise ValueError("the separator can't hold the sign that marks fields")

@@ -120,6 +120,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     score; ties go to the smaller vec_id, fewer than k rows come back if there are fewer. Shorter vectors count as
     filled up with zeros. Rows that repeat a vec_id are candidates each by itself, never for a query of their id;
     of queries that repeat an id the least vector is asked. Scores must fit a signed 64-bit number.
+    :func:`quantised` leaves out null vectors and those that hold null or non-finite parts, so these are neither asked
+    nor found. An empty table of vectors or of queries gives an empty result; other columns are not read.
     """
     one = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
     n, m = vectors.count(), one.count()

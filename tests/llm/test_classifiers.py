@@ -49,6 +49,7 @@ def test_no_labels_and_empty_table(spark):
     assert toxicity.toxicity_scores(df, none).first()["predicted"] == 0
     assert quality.quality_scores(df, none).first()["score"] == pytest.approx(0.5)
     assert quality.quality_scores(df.limit(0), none).count() == 0
+    assert toxicity.toxicity_scores(df.limit(0), none).count() == 0
 
 
 def test_offending_sentence_is_located(spark):
