@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pointloom.operators.points import checkpointed, ordered
 from pointloom.operators.scans import joined
@@ -74,58 +78,104 @@ def bracket(queries: DataFrame, refs: DataFrame, value: str, payload: list[str]
 
 #: Children per side of a grid's cell, and places that need no further division.
 _FAN, _LEAF = 4, 1024
-
-
-def nearest(queries: DataFrame, refs: DataFrame, by: list[str] = [], x: str = "x", y: str = "y", ref_id: list[str] = ["idx"], leaf: int = _LEAF, most_depth: int = 24) -> DataFrame:  # noqa: B006
+#: Queries of a cell beyond which it is split.
+_HOT_ROWS = 200_000
+
+
+def _nearest_in_cells(at_once: int = 1 << 22):
+    """Over rows in the order of _cell, _part, _side and _rid: for each query (side 1) the square of the distance to the
+    nearest place of its cell (side 0) and the least id at that distance. A cell's places are held, its queries pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, places = None, [], None
+        for batch in batches:
+            cell, part, side, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_cell", "_part", "_side", "_x", "_y"))
+            if not len(cell):
+                continue
+            new = np.ones(len(cell), bool)
+            new[1:] = (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])
+            first = np.flatnonzero(new)
+            ids, least, found = [], [], []
+            for a, b in zip(first.tolist(), np.append(first[1:], len(cell)).tolist()):
+                if (cell[a], part[a]) != key:
+                    key, held, places = (cell[a], part[a]), [], None
+                if side[a] == 0:
+                    held.append((x[a:b], y[a:b], batch.column("_rid").slice(a, b - a)))
+                    continue
+                if not held:
+                    continue
+                if places is None:
+                    places = (*(np.concatenate([h[k] for h in held]) for k in (0, 1)), pa.concat_arrays([h[2] for h in held]))
+                px, py, rid = places
+                step = max(1, at_once // len(px))
+                for k in range(a, b, step):
+                    e = min(b, k + step)
+                    d = (x[k:e, None] - px) ** 2 + (y[k:e, None] - py) ** 2
+                    best = d.argmin(axis=1)  # the first one of equals has the least id
+                    ids.append(batch.column("_id").slice(k, e - k))
+                    least.append(d[np.arange(e - k), best])
+                    found.append(rid.take(pa.array(best)))
+            if ids:
+                yield pa.record_batch([pa.concat_arrays(ids), pa.array(np.concatenate(least)), pa.concat_arrays(found)], names=["_id", "_d", "_rid"])
+
+    return run
+
+
+def nearest(queries: DataFrame, refs: DataFrame, by: list[str] = [], x: str = "x", y: str = "y", ref_id: list[str] = ["idx"], leaf: int = _LEAF, most_depth: int = 24, hot_rows: int = _HOT_ROWS) -> DataFrame:  # noqa: B006
     """The nearest reference in the plane for each query (all columns of ``queries``, ref_<id>..., distance).
 
     Groups of ``by`` are searched on their own. Each group's references are counted in nested grids, each cell of one
     holding four by four of the next; cells of more than ``leaf`` places are divided, down to a depth that the densest
     cell calls for. Queries go down level by level with the cells that can hold their nearest reference: those no
     farther than the farthest corner of some other's bounding box. So a query meets the places of a few cells,
-    however dense or remote, and no level meets whole tables. Ties go to the smallest ids. Rows with a missing
-    coordinate on either side take no part; queries of a group without references have no row.
+    however dense or remote, and no level meets whole tables. At the end each place goes to the one undivided cell it
+    lies in, and a task holds a cell's places while the cell's queries pass; cells of more than ``hot_rows`` queries
+    are split by a hash of the query. Ties go to the smallest ids. Rows with a missing coordinate on either side take
+    no part; queries of a group without references have no row.
     """
     if by and by != ["_by"]:  # a struct of the keys, so that null keys meet
         whole = F.struct(*by).alias("_by")
-        return nearest(queries.select("*", whole), refs.select("*", whole), ["_by"], x, y, ref_id, leaf, most_depth).drop("_by")
-    given = queries.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.struct(*[F.col(c) for c in queries.columns]).alias("_q"))
+        return nearest(queries.select("*", whole), refs.select("*", whole), ["_by"], x, y, ref_id, leaf, most_depth, hot_rows).drop("_by")
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    given = queries.where(there(x) & there(y)).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.struct(*[F.col(c) for c in queries.columns]).alias("_q"))
     left = checkpointed(given).withColumn("_id", F.monotonically_increasing_id())
-    known = refs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    known = refs.where(there(x) & there(y))
     # a place that several references share is one, of the smallest ids
     ref = checkpointed(known.groupBy(*by, F.col(x).cast("double").alias("_rx"), F.col(y).cast("double").alias("_ry")).agg(F.min(F.struct(*[F.col(c).alias(c) for c in ref_id])).alias("_rid")))
     box = {"x0": F.min("_rx"), "x1": F.max("_rx"), "y0": F.min("_ry"), "y1": F.max("_ry"), "n": F.count("*")}
-    groups = checkpointed(ref.groupBy(*by).agg(*[f.alias(c) for c, f in box.items()]).where("n > 0"))
+    groups = checkpointed(ref.groupBy(*by).agg(*[f.alias(c) for c, f in box.items()]).where("n > 0")).withColumn("_cell", -1 - F.monotonically_increasing_id())
     largest = groups.agg(F.max("n")).first()[0]
     if largest is None:
         ids = [F.lit(None).cast(refs.schema[c].dataType).alias(f"ref_{c}") for c in ref_id]
         return queries.limit(0).select("*", *ids, F.lit(None).cast("double").alias("distance"))
     span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    frame = groups.select(*by, F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), F.when(span > 0, span).otherwise(1.0).alias("_span"))
+    frame = groups.select(*by, "_cell", F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), F.when(span > 0, span).otherwise(1.0).alias("_span"))
     beside = lambda df, table: df.join(table, by) if by else df.crossJoin(F.broadcast(table))  # noqa: E731  (one row without groups)
     framed = beside(ref, frame)
     depth = math.ceil(math.log(largest / leaf, _FAN * _FAN)) + 1 if largest > leaf else 0
     while True:
         n = float(_FAN**depth)
         at = lambda c, low: F.least(F.floor((F.col(c) - F.col(low)) / F.col("_span") * n), F.lit(n - 1)).cast("long")  # noqa: B023, E731
-        placed = framed.select(*by, "_rx", "_ry", "_rid", at("_rx", "_x0").alias("i"), at("_ry", "_y0").alias("j"))
+        placed = framed.select(*by, "_cell", "_rx", "_ry", "_rid", at("_rx", "_x0").alias("i"), at("_ry", "_y0").alias("j"))
+        if not depth:  # the groups themselves, which all are small
+            break
         level = placed.groupBy(*by, "i", "j").agg(*[f.alias(c) for c, f in box.items()])
         densest = level.agg(F.max("n")).first()[0]
-        if densest <= 4 * leaf or depth >= most_depth or not depth:
+        if densest <= 4 * leaf or depth >= most_depth:
             break
         depth = min(most_depth, depth + max(1, math.ceil(math.log(densest / leaf, _FAN * _FAN) / 2)))
     up = [f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max), ("n", F.sum))]
-    levels = [level.withColumn("level", F.lit(depth))]  # without depth the groups themselves, which all are small
+    levels = [level.withColumn("level", F.lit(depth))] if depth else []
     for k in range(depth - 1, 0, -1):
         level = level.groupBy(*by, F.shiftright("i", 2).alias("i"), F.shiftright("j", 2).alias("j")).agg(*up)
         levels.append(level.withColumn("level", F.lit(k)))
-    tree = checkpointed(functools.reduce(DataFrame.unionByName, levels)) if depth else None
+    tree = checkpointed(functools.reduce(DataFrame.unionByName, levels)).withColumn("_cell", F.monotonically_increasing_id()) if depth else None
     near = lambda low, c, high: F.greatest(F.col(low) - F.col(c), F.lit(0.0), F.col(c) - F.col(high))
     far = lambda low, c, high: F.greatest(F.abs(F.col(low) - F.col(c)), F.abs(F.col(c) - F.col(high)))
     square = lambda f: F.pow(f("x0", "_x", "x1"), 2) + F.pow(f("y0", "_y", "y1"), 2)
     zero = F.lit(0).cast("long")
     cells = beside(left.select(*by, "_id", "_x", "_y"), groups).withColumns({"level": F.lit(0), "i": zero, "j": zero})
-    own = ["level", "i", "j", "n", "x0", "x1", "y0", "y1"]
+    own = ["_cell", "level", "i", "j", "n", "x0", "x1", "y0", "y1"]
     for k in range(1, depth + 1):
         children = tree.where(F.col("level") == k).select(*by, F.shiftright("i", 2).alias("_pi"), F.shiftright("j", 2).alias("_pj"), F.struct(*own).alias("_c"))
         divided = (F.col("level") == k - 1) & (F.col("n") > leaf)
@@ -136,15 +186,27 @@ def nearest(queries: DataFrame, refs: DataFrame, by: list[str] = [], x: str = "x
         cells = met.withColumn("_bound", bound).where(square(near) <= F.col("_bound")).drop("_bound")
         if k % 4 == 0:
             cells = checkpointed(cells)
-    places = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    down = F.lit(2) * (F.lit(depth) - F.col("level"))
-    places = places.withColumns({"i": F.call_function("shiftright", F.col("i"), down), "j": F.call_function("shiftright", F.col("j"), down)})
-    d = F.pow(F.col("_x") - F.col("_rx"), 2) + F.pow(F.col("_y") - F.col("_ry"), 2)
-    cells = checkpointed(cells.select(*by, "_id", "_x", "_y", "level", "i", "j")) if depth else cells
-    at = [*by, "level", "i", "j"]
-    # a least number is aggregated by hashing, the least id among those at that distance on the few rows left
-    least = cells.join(places.select(*at, "_rx", "_ry"), at).groupBy("_id").agg(F.min(d).alias("_d"))
-    best = cells.join(least, "_id").join(places, at).where(d == F.col("_d")).groupBy("_id").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_rid").alias("id"))).alias("_b"))
+    if depth:
+        # the undivided cell of each of the deepest cells, and so of its places
+        down = F.lit(2) * (F.lit(depth) - F.col("level"))
+        above = lambda c: F.call_function("shiftright", F.col(c), down)
+        deepest = tree.where(F.col("level") == depth).select(*by, F.col("i").alias("_di"), F.col("j").alias("_dj"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+        whole = tree.select(*by, "level", "i", "j", "n", "_cell").unionByName(groups.select(*by, F.lit(0).alias("level"), zero.alias("i"), zero.alias("j"), "n", "_cell"))
+        whole = whole.where((F.col("n") <= leaf) | (F.col("level") == depth)).drop("n")
+        of = deepest.withColumns({"i": above("_di"), "j": above("_dj")}).join(whole, [*by, "level", "i", "j"]).groupBy(*by, "_di", "_dj").agg(F.min_by("_cell", "level").alias("_cell"))
+        placed = placed.drop("_cell").join(of.withColumnsRenamed({"_di": "i", "_dj": "j"}), [*by, "i", "j"])
+        cells = checkpointed(cells.select("_cell", "_id", "_x", "_y"))
+    counts = checkpointed(cells.groupBy("_cell").count().where(F.col("count") > hot_rows).select("_cell", F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts")))
+    few = counts.count() <= 100_000
+    parts = lambda rows: rows.join(F.broadcast(counts) if few else counts, "_cell", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    kind = ref.schema["_rid"].dataType
+    asked = parts(cells.select("_cell", "_id", "_x", "_y")).select("_cell", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int").alias("_part"), F.lit(1).alias("_side"), "_id", "_x", "_y", F.lit(None).cast(kind).alias("_rid"))
+    held = parts(placed.select("_cell", "_rx", "_ry", "_rid")).select("_cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_id"), F.col("_rx").alias("_x"), F.col("_ry").alias("_y"), "_rid")
+    rows = asked.unionByName(held).repartition("_cell", "_part").sortWithinPartitions("_cell", "_part", "_side", "_rid")
+    met = rows.mapInArrow(_nearest_in_cells(), StructType([StructField("_id", LongType()), StructField("_d", DoubleType()), StructField("_rid", kind)]))
+    # without levels a query has one cell
+    best = met.select("_id", F.struct(F.col("_d").alias("d"), F.col("_rid").alias("id")).alias("_b"))
+    best = best.groupBy("_id").agg(F.min("_b").alias("_b")) if depth else best
     ids = [F.col(f"_b.id.{c}").alias(f"ref_{c}") for c in ref_id]
     return left.join(best, "_id").select("_q.*", *ids, F.sqrt("_b.d").alias("distance"))
 

@@ -136,10 +136,16 @@ def angular(df: DataFrame, by: list[str], x: str, w: str | None = None, base: fl
     return centre.join(spread, by).withColumn("stdev", F.when(F.col("n") > 1, F.sqrt(F.greatest(v, F.lit(0.0)))).otherwise(0.0)).withColumn("cv", F.when(F.col("mean") != 0, F.col("stdev") / F.col("mean"))).drop("_dd", "_d1")
 
 
-def pairs_of(bins_: DataFrame, key: str) -> DataFrame:
-    """Each two different bins, by n, mean and variance; the table of bins is one row per bin."""
+def pairs_of(bins_: DataFrame, key: str, pairs: DataFrame | None = None) -> DataFrame:
+    """Two bins a row (k1, k2), by n, mean and variance; the table of bins is one row per bin.
+
+    ``pairs`` (k1, k2) lists the bins to be held against each other, in either order; a pair of which a bin is missing
+    has no row, one listed twice has two. Without it each two different bins are a pair: the square of their number.
+    """
     one = bins_.select(F.col(key).alias("k"), "n", mean().alias("m"), variance().alias("v"))
     a, b = (one.select(*[F.col(c).alias(c + i) for c in ("k", "n", "m", "v")]) for i in "12")
+    if pairs is not None:
+        return pairs.select("k1", "k2").join(a, "k1").join(b, "k2").select(*a.columns, *b.columns)
     return a.join(b, F.col("k1") < F.col("k2"))
 
 

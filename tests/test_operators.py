@@ -216,8 +216,8 @@ def test_nearest_in_groups_of_uneven_density(spark, leaf):
         rows += [(g, i, *map(float, np.round(p, 6))) for i, p in enumerate(dense)]
         asked += [(g, i, *map(float, p)) for i, p in enumerate(np.concatenate([rng.uniform(-500, 500, (15, 2)), rng.normal(0, 1e-4, (15, 2)), [[7.0, 7.0], [7.0, 7.0]]]))]
     q = spark.createDataFrame(asked + [(9, 0, 1.0, 1.0)], "g long, q long, x double, y double")
-    ref = spark.createDataFrame(rows + [(1, 999, None, 0.0)], "g long, idx long, x double, y double")
-    got = {(r["g"], r["q"]): (r["ref_idx"], r["distance"]) for r in joins.nearest(q, ref, ["g"], leaf=leaf).collect()}
+    ref = spark.createDataFrame(rows + [(1, 999, None, 0.0), (1, 998, float("nan"), 0.0)], "g long, idx long, x double, y double")
+    got = {(r["g"], r["q"]): (r["ref_idx"], r["distance"]) for r in joins.nearest(q, ref, ["g"], leaf=leaf, hot_rows=5 * leaf).collect()}
     want = {}
     for g, i, x, y in asked:
         d, k = min(((x - a) ** 2 + (y - b) ** 2, k) for h, k, a, b in rows if h == g)
@@ -297,3 +297,12 @@ def test_results_do_not_depend_on_partitions(spark, parts):
     a = _column(wn.running_sum_in_blocks(df, "y", block=20), "running")
     b = _column(df.withColumn("running", F.sum("y").over(wn.running())), "running")
     assert np.allclose(a, b)
+
+
+def test_listed_pairs_of_bins(spark):
+    df = spark.createDataFrame([("abc"[i % 3], float(i * i)) for i in range(12)], "k string, x double")
+    listed = spark.createDataFrame([("c", "a"), ("a", "zz"), ("b", "b")], "k1 string, k2 string")
+    bins = st.bins(df, ["k"], "x")
+    got, every = st.pairs_of(bins, "k", listed), st.pairs_of(bins, "k")
+    assert sorted((r["k1"], r["k2"]) for r in got.collect()) == [("b", "b"), ("c", "a")] and got.columns == every.columns
+    assert every.count() == 3
