@@ -26,11 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import scratch, shuffle_files_dropped, shuffle_partitions
+from pointloom.llm.common import checkpointed, scratch, shuffle_files_dropped, shuffle_partitions
 
 LENGTH = 50
 #: Bytes of text that a task cuts into stretches at a time.
@@ -39,8 +38,15 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 #: Suffixes that a bucket sorts at once, as far as their first two bytes tell them apart.
 SORTED_AT_ONCE = 1 << 20
-#: Documents looked at for common grams, and the share of them that makes a gram common.
-HOT_DOCS, HOT_SHARE = 2000, 0.01
+#: Partitions that the buckets are dealt over at most; a task takes its buckets one after the other.
+MOST_PARTITIONS = 20_000
+#: Documents looked at for common grams: so many at least, and one of so many; a gram that more than HOT_COUNT of them
+#: have is common, so that about 10,000 documents of a table of any size, or a hundredth of a small one, are too many.
+HOT_DOCS, HOT_ONE_OF, HOT_COUNT = 2000, 500, 20
+#: Looks at the sample at most: with some grams behind all others, others of the same phrase may become the least.
+HOT_ROUNDS = 6
+#: Most common grams (4 bytes each, in every task).
+MOST_HOT = 1 << 20
 #: Most suffixes of a stretch.
 STRETCH = 1024
 #: Perfect difference covers by period.
@@ -86,7 +92,8 @@ def _least_grams(raw: np.ndarray, length: int, hot: np.ndarray) -> np.ndarray:
     h = (h >> _U(33)).astype(np.uint32)
     least = _least(h, length - gram + 1)
     for _ in range(len(hot)):
-        common = np.intersect1d(np.unique(least), hot)
+        some = np.unique(least)
+        common = some[hot[np.minimum(np.searchsorted(hot, some), len(hot) - 1)] == some]
         if not len(common):
             break
         h[np.isin(h, common)] |= _HOT  # behind all others, and no longer equal to a hash of the list
@@ -232,6 +239,11 @@ class _Texts:
         return ids[rows], b"".join(keys[k] for k in rows), np.array([t.size for t in texts], np.int64), b"".join(texts)
 
 
+def _name(ids: np.ndarray, keys: bytes) -> int:
+    """The name of a block: 63 bits of a hash of its rows' ids and of their texts' digests."""
+    return int.from_bytes(hashlib.blake2b(ids.astype("<i8").tobytes() + keys, digest_size=8).digest(), "little") >> 1
+
+
 def _cut(texts: tuple, length: int, n_buckets: int, hot: np.ndarray, piece: int) -> Iterator[pa.RecordBatch]:
     """What a block of texts sends: its stretches to their buckets, and its table of documents."""
     ids, keys, sizes, data = texts
@@ -412,6 +424,8 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("starts", pa.
 def _spans(table: pa.Table, length: int) -> pa.Table:
     """Of one piece: the removed spans of each document that has any."""
     kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
+    if OWN not in kinds:
+        raise RuntimeError("a task was run again with its rows in another order; write the documents first")
     (ids, sizes), rest = _opened(payloads[kinds.index(OWN)], 2)
     ids, sizes = _ungapped(ids), sizes.astype(np.int64)
     keys = bytes(rest[: 16 * len(ids)])
@@ -435,24 +449,36 @@ def _spans(table: pa.Table, length: int) -> pa.Table:
     return pa.table(columns, schema=_SPANS)
 
 
-def _common_grams(docs: DataFrame, length: int, most_docs: int, share: float) -> np.ndarray:
-    """Least grams of more than the given share of about ``most_docs`` documents, chosen by a hash of their texts.
+def _common_grams(docs: DataFrame, length: int, most_docs: int, one_of: int, count: int) -> np.ndarray:
+    """Least grams of more than ``count`` documents of a sample, chosen by a hash of their texts: about ``most_docs``
+    of them, or one of ``one_of`` where those are more. The sample is looked at until no gram is common that is not
+    behind the others already, ``HOT_ROUNDS`` times at most.
 
     They change in which buckets strings meet, never the result.
     """
     n = docs.count()
-    part = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, most_docs / max(n, 1)) * (1 << 30)) + 1
-    some = docs.where(part).dropDuplicates(["key"]).select("text")
+    wanted = max(most_docs, n // one_of)
+    part = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, wanted / max(n, 1)) * (1 << 30)) + 1
+    some = checkpointed(docs.where(part).dropDuplicates(["key"]).select("text"))
+    hot, room = np.empty(0, np.uint32), min(MOST_HOT, wanted // 2)
+    for _ in range(HOT_ROUNDS):
+        counts = some.mapInArrow(_grams_of(length, hot), "gram long").groupBy("gram").count()
+        common = counts.where((F.col("count") > count) & (F.col("gram") < int(_HOT)))
+        found = common.orderBy(F.desc("count"), "gram").limit(room - len(hot)).collect()
+        hot = np.union1d(hot, np.array([r["gram"] for r in found], np.uint32))
+        if not found or len(hot) >= room:
+            break
+    return hot
+
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams_of(length: int, hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("text"):
                 raw = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                yield pa.record_batch([pa.array(np.unique(stretches(raw, np.array([len(raw)]), length, np.empty(0, np.uint32))[2]).astype(np.int64))], names=["gram"])
+                yield pa.record_batch([pa.array(np.unique(stretches(raw, np.array([len(raw)]), length, hot)[2]).astype(np.int64))], names=["gram"])
 
-    counts = some.mapInArrow(grams, "gram long").groupBy("gram").count()
-    found = counts.where(F.col("count") > F.lit(max(20, int(share * min(n, most_docs))))).orderBy(F.desc("count"), "gram").limit(1000).collect()
-    return np.array(sorted(r["gram"] for r in found), np.uint32)
+    return run
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, at_once: int = SORTED_AT_ONCE) -> DataFrame:
@@ -462,8 +488,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     words or more), starts and ends (the maximal removed runs, in bytes). Null and empty texts have 0 bytes. A null
     id counts as larger than every other, so it is never the smaller one; rows of one id do not remove each other's
     strings, and repeated rows have equal results; ids of both -2^63 and 2^63-1 can't be told from null. Long texts are cut like others; an empty table gives an empty
-    result; other columns of ``docs`` are not read. ``length`` is 16 at least. A task that is run again must meet its
-    rows in the same order, as rows of files and checkpoints are.
+    result; other columns of ``docs`` are not read. ``length`` is 16 at least. A task that is run again must meet its rows in
+    the same order, as rows of files and checkpoints are: write rows of a shuffle first. A block of text is named by a
+    hash of its rows, so answers are never taken for another block's; those for a block that is no more raise an error.
     """
     if length < 16:
         raise ValueError("strings of fewer than 16 bytes are not supported")
@@ -476,15 +503,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     doc_id = F.coalesce(F.col("doc_id").cast("long") - down, F.lit(_NO_ID))
     whole = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     n_buckets = max(shuffle_partitions(spark), -(-int(3.5 * n_bytes) // bucket_bytes))
-    hot = _common_grams(whole, length, HOT_DOCS, HOT_SHARE)
+    hot = _common_grams(whole, length, HOT_DOCS, HOT_ONE_OF, HOT_COUNT)
 
     def send(batches):
-        task = TaskContext.get().partitionId()
-        for k, texts in enumerate(_Texts().blocks(batches, block_bytes)):
-            yield from _cut(texts, length, n_buckets, hot, task << 32 | k)
+        for texts in _Texts().blocks(batches, block_bytes):
+            yield from _cut(texts, length, n_buckets, hot, _name(*texts[:2]))
 
     sent = whole.mapInArrow(send, _ddl(_SENT))
-    answers = sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda table: _answers(table, length, at_once), _ddl(_SENT))
+    answers = sent.repartition(min(n_buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(lambda table: _answers(table, length, at_once), _ddl(_SENT))
     spans = answers.groupBy("piece").applyInArrow(lambda table: _spans(table, length), "doc_id long, key binary, starts array<long>, ends array<long>")
     folder = scratch(spark, "spans")
     with shuffle_files_dropped(spark):  # the stretches need not lie beside the texts of the last step

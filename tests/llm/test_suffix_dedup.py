@@ -70,7 +70,7 @@ def test_common_lines_and_their_grams(spark):
     rows = [(i, "".join(rng.choices("abcdefgh ", k=150)) + line[i % 3 :] + "".join(rng.choices("abcdefgh ", k=150))) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     keyed = df.selectExpr("text", "unhex(md5(text)) AS key")
-    hot = suffix_dedup._common_grams(keyed, 50, 2000, 0.01)
+    hot = suffix_dedup._common_grams(keyed, 50, 2000, 500, 20)
     assert 0 < len(hot) < 60
     for text in (line, rows[0][1]):
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -98,3 +98,29 @@ def test_the_largest_id_is_no_missing_one(spark):
     df = spark.createDataFrame([(most, text), (None, text), (5, "short")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in repeated_spans(df).collect()}
     assert got == {most: 0, None: len(text), 5: 0}
+
+
+def test_a_gram_in_fewer_than_one_of_a_hundred_documents(spark, monkeypatch):
+    rng = random.Random(8)
+    word = "a phrase of forty bytes in nine of a 1000"
+    text = lambda i: "".join(rng.choices("abcdefgh ", k=60)) + (word if i % 111 == 0 else "") + "".join(rng.choices("abcdefgh ", k=60))
+    rows = [(i, text(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = df.selectExpr("text", "unhex(md5(text)) AS key")
+    few, many = (suffix_dedup._common_grams(keyed, 50, 100, one_of, 20) for one_of in (500, 1))
+    assert len(few) < len(many)  # the share of a sample grows with the table
+    raws = [np.frombuffer(t.encode(), np.uint8) for i, t in rows if i % 111 == 0]
+    for hot, most in ((few, len(raws)), (many, 20)):
+        held = [set(suffix_dedup.stretches(r, np.array([len(r)]), 50, hot)[2].tolist()) for r in raws]
+        largest = max(sum(g in h for h in held) for g in set().union(*held))
+        assert largest <= most and (hot is few) == (largest > 20), largest
+    monkeypatch.setattr(suffix_dedup, "MOST_PARTITIONS", 2)
+    again = rows[:300] + [(5000 + i, t[7:]) for i, t in rows[:300]]
+    assert _got(spark.createDataFrame(again, "doc_id long, text string"), bucket_bytes=2000, block_bytes=4000) == _brute(again, 50)
+
+
+def test_blocks_are_named_by_their_rows():
+    ids, keys = np.array([3, 5]), bytes(32)
+    name = suffix_dedup._name(ids, keys)
+    assert name == suffix_dedup._name(ids.copy(), keys) and 0 <= name < 1 << 63
+    assert len({name, suffix_dedup._name(ids[::-1], keys), suffix_dedup._name(ids, bytes(31) + b"1")}) == 3
