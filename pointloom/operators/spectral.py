@@ -1,11 +1,12 @@
 """Fourier transforms of sets.
 
-A set is one task's work, up to ``most`` points; :func:`long_spectrum` deals a set of any length over tasks.
+A set is one task's work, up to ``most`` points; the forms named ``long_...`` deal a set of any length over tasks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ MOST_POINTS = 50_000_000
 
 def _series(frame: pd.DataFrame, c: str, most: int) -> np.ndarray:
     if len(frame) > most:
-        raise ValueError(f"a set has more than {most} points; see long_spectrum")
+        raise ValueError(f"a set has more than {most} points; see the forms named long_...")
     # gaps are filled by place, as the transform knows no missing values
     return frame.sort_values("idx")[c].astype(float).interpolate(limit_direction="both").fillna(0.0).to_numpy()
 
@@ -98,30 +99,99 @@ def _transform(rows: DataFrame, high: int, low: int, sign: int, cells: int) -> D
     return done.select("set_id", (F.col("a") + high * F.col("b")).alias("i"), "re", "im")
 
 
-def long_spectrum(df: DataFrame, c: str, cells: int = 1 << 22) -> DataFrame:
-    """As :func:`spectrum`, for sets of any length (idx from 0 without gaps): a convolution with a chirp turns a length
-    into the power of two that holds twice as many points, whose transform is dealt over tasks of ``cells`` cells."""
+def _filled(df: DataFrame, c: str) -> tuple[DataFrame, DataFrame]:
+    """The values of sets of any length (set_id, idx, v), gaps filled by place, and each set's length n."""
     given = df.select("set_id", "idx", F.col(c).cast("double").alias("v"))
     known = given.where(F.col("v").isNotNull())
     gaps = bracket(given.where(F.col("v").isNull()).drop("v"), known, "idx", ["v"], ["set_id"], spread=True)
     part = (F.col("idx") - F.col("lower")) / (F.col("upper") - F.col("lower"))
     line = F.col("lower_v") + (F.col("upper_v") - F.col("lower_v")) * part
     filled = known.unionByName(gaps.select("set_id", "idx", F.coalesce(line, "lower_v", "upper_v", F.lit(0.0)).alias("v")))
-    counts = checkpointed(given.groupBy("set_id").agg(F.count("*").alias("n")))
+    return filled, checkpointed(given.groupBy("set_id").agg(F.count("*").alias("n")))
+
+
+def _places(counts: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """set_id, n and each place i below n, a long set's in blocks over tasks."""
+    blocks = counts.where("n > 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    first = F.col("_block") * block
+    return blocks.repartition("set_id", "_block").select("set_id", "n", F.explode(F.sequence(first, F.least(first + block, F.col("n")) - 1)).alias("i"))
+
+
+def _long_transform(rows: DataFrame, counts: DataFrame, cells: int) -> DataFrame:
+    """The unscaled transform (set_id, n, i, re, im) of (set_id, i, re, im), i below the set's n, absent rows being zero.
+
+    A convolution with a chirp turns a length into the power of two that holds twice as many points, whose transform
+    is dealt over tasks.
+    """
     longest = counts.agg(F.max("n")).first()[0] or 1
     bits = max(2, (2 * longest - 1).bit_length())
     high, low = 1 << (bits // 2), 1 << (bits - bits // 2)
     m = high * low
-    rows = filled.join(counts, "set_id")
-    angle = F.lit(math.pi) * (F.pmod(F.col("idx") * F.col("idx"), 2 * F.col("n")) / F.col("n"))
-    a = rows.select("set_id", F.col("idx").alias("i"), (F.col("v") * F.cos(angle)).alias("re"), (-F.col("v") * F.sin(angle)).alias("im"))
-    both = F.array_distinct(F.array(F.col("idx"), F.pmod(m - F.col("idx"), F.lit(m))))  # the chirp is even
-    b = rows.select("set_id", F.explode(both).alias("i"), F.cos(angle).alias("re"), F.sin(angle).alias("im"))
+    angle = F.lit(math.pi) * (F.pmod(F.col("i") * F.col("i"), 2 * F.col("n")) / F.col("n"))
+    turned = [(F.col("re") * F.cos(angle) + F.col("im") * F.sin(angle)).alias("re"), (F.col("im") * F.cos(angle) - F.col("re") * F.sin(angle)).alias("im")]
+    a = rows.join(counts, "set_id").select("set_id", "i", *turned)
+    both = F.array_distinct(F.array(F.col("i"), F.pmod(m - F.col("i"), F.lit(m))))  # the chirp is even
+    b = _places(counts).select("set_id", F.explode(both).alias("i"), F.cos(angle).alias("re"), F.sin(angle).alias("im"))
     fa, fb = (_transform(t, high, low, -1, cells) for t in (a, b))
-    f = fa.join(fb.select("set_id", "i", F.col("re").alias("_re"), F.col("im").alias("_im")), ["set_id", "i"])
-    product = f.select("set_id", "i", (F.col("re") * F.col("_re") - F.col("im") * F.col("_im")).alias("re"), (F.col("re") * F.col("_im") + F.col("im") * F.col("_re")).alias("im"))
-    out = _transform(product, high, low, 1, cells).join(counts, "set_id").where(F.col("i") <= F.floor(F.col("n") / 2)).withColumn("idx", F.col("i"))
-    re = (F.col("re") * F.cos(angle) + F.col("im") * F.sin(angle)) / m
-    im = (F.col("im") * F.cos(angle) - F.col("re") * F.sin(angle)) / m
-    found = out.select("set_id", F.col("i").alias("k"), re.alias("re"), im.alias("im"), "n")
+    product = _product(fa, fb)
+    out = _transform(product, high, low, 1, cells).join(counts, "set_id").where(F.col("i") < F.col("n"))
+    return out.select("set_id", "n", "i", *[(t / m).alias(k) for t, k in zip(turned, ("re", "im"))])
+
+
+def _product(a: DataFrame, b: DataFrame, by_reverse: bool = False, least: float = 0.0) -> DataFrame:
+    """Place by place a * b, or a / b (0 where b is not above ``least``)."""
+    both = a.join(b.select("set_id", "i", F.col("re").alias("_re"), F.col("im").alias("_im")), ["set_id", "i"])
+    re, im, c, d = F.col("re"), F.col("im"), F.col("_re"), F.col("_im")
+    if not by_reverse:
+        return both.select("set_id", "i", (re * c - im * d).alias("re"), (re * d + im * c).alias("im"))
+    size = c * c + d * d
+    over = lambda v: F.when(size > least * least, v / size).otherwise(0.0)
+    return both.select("set_id", "i", over(re * c + im * d).alias("re"), over(im * c - re * d).alias("im"))
+
+
+def long_spectrum(df: DataFrame, c: str, cells: int = 1 << 22) -> DataFrame:
+    """As :func:`spectrum`, for sets of any length (idx from 0 without gaps), dealt over tasks of ``cells`` cells."""
+    filled, counts = _filled(df, c)
+    rows = filled.select("set_id", F.col("idx").alias("i"), F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    found = _long_transform(rows, counts, cells).where(F.col("i") <= F.floor(F.col("n") / 2)).withColumnRenamed("i", "k")
     return found.withColumn("power", (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("n") * F.col("n"))).select("set_id", "k", "re", "im", "power", "n")
+
+
+def _long_back(rows: DataFrame, counts: DataFrame, cells: int, scaled: bool = True) -> DataFrame:
+    """set_id, idx and value, the real part of the inverse transform: that of the conjugate is its conjugate."""
+    out = _long_transform(rows.select("set_id", "i", "re", (-F.col("im")).alias("im")), counts, cells)
+    return out.select("set_id", F.col("i").alias("idx"), (F.col("re") / F.col("n") if scaled else F.col("re")).alias("value"))
+
+
+def long_inverse(transformed: DataFrame, scaled: bool = True, cells: int = 1 << 22) -> DataFrame:
+    """As :func:`inverse`, for sets of any length; absent frequencies are 0."""
+    n, k = F.col("n"), F.col("k")
+    counts = checkpointed(transformed.groupBy("set_id").agg(F.max("n").cast("long").alias("n")))
+    half = transformed.where(k <= F.floor(n / 2))
+    own = F.struct(k.alias("i"), F.col("re").cast("double").alias("re"), F.when((k == 0) | (2 * k == n), 0.0).otherwise(F.col("im").cast("double")).alias("im"))
+    # the upper frequencies are the lower ones' conjugates
+    mirrored = F.when((k > 0) & (2 * k < n), F.array(own, F.struct((n - k).alias("i"), F.col("re").cast("double").alias("re"), (-F.col("im")).cast("double").alias("im")))).otherwise(F.array(own))
+    return _long_back(half.select("set_id", F.explode(mirrored).alias("_x")).select("set_id", "_x.*"), counts, cells, scaled)
+
+
+def long_cyclic_convolution(df: DataFrame, c: str, mask: list[float], deconvolve: bool = False, cells: int = 1 << 22, least: float = 1e-9) -> DataFrame:
+    """As :func:`cyclic_convolution`, for sets of any length (idx from 0 without gaps).
+
+    Values and mask are transformed over tasks, multiplied place by place and turned back. A deconvolution leaves 0
+    where the mask's transform is not above ``least``, which is larger than for a set in one task, as rounding is.
+    """
+    filled, counts = _filled(df, c)
+    values = filled.select("set_id", F.col("idx").alias("i"), F.col("v").alias("re"), F.lit(0.0).alias("im"))
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, weights = np.arange(len(mask)) - len(mask) // 2, np.asarray(mask, float)
+        for frame in frames:
+            for key, n in zip(frame["set_id"], frame["n"]):
+                # cells of a mask longer than the set wrap round and add up
+                cell, own = np.unique(at % n, return_inverse=True)
+                yield pd.DataFrame({"set_id": key, "i": cell, "re": np.bincount(own, weights), "im": 0.0})
+
+    kind = counts.schema["set_id"].dataType.simpleString()
+    wide = counts.mapInPandas(placed, f"set_id {kind}, i long, re double, im double")
+    a, b = (_long_transform(t, counts, cells).drop("n") for t in (values, wide))
+    return _long_back(_product(a, b, deconvolve, least), counts, cells)

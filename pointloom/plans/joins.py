@@ -261,15 +261,24 @@ def w25b(spark, d):
     return got.select("set_id", "k", (r("re", 5) + 0.0).alias("re"), (r("im", 5) + 0.0).alias("im"), r("power", 6).alias("power"))
 
 
-@query("w26_inverse", "WITH {S}, n AS (SELECT set_id, count(*) AS n FROM s GROUP BY set_id)" + """, k AS (SELECT set_id, n, unnest(range(least(n // 2, 3) + 1)) AS k FROM n),
+_INVERSE = "WITH {S}, n AS (SELECT set_id, count(*) AS n FROM s GROUP BY set_id)" + """, k AS (SELECT set_id, n, unnest(range(least(n // 2, 3) + 1)) AS k FROM n),
 f AS (SELECT s.set_id, k.k, k.n, sum(v * cos(2 * pi() * ((k.k * idx) % k.n) / k.n)) AS re, -sum(v * sin(2 * pi() * ((k.k * idx) % k.n) / k.n)) AS im FROM k JOIN s ON s.set_id = k.set_id GROUP BY ALL)
 SELECT s.set_id, s.idx, round(sum(CASE WHEN k = 0 THEN re WHEN 2 * k = n THEN re * cos(pi() * idx) ELSE 2 * (re * cos(2 * pi() * ((k * idx) % n) / n) - im * sin(2 * pi() * ((k * idx) % n) / n)) END / n), 5) AS value
-FROM s JOIN f ON f.set_id = s.set_id GROUP BY s.set_id, s.idx""")
+FROM s JOIN f ON f.set_id = s.set_id GROUP BY s.set_id, s.idx"""
+
+
+@query("w26_inverse", _INVERSE)
 def w26(spark, d):
     low = spectral.spectrum(series(spark, d), "v").where("k <= 3")  # only the lowest frequencies go back
     return spectral.inverse(low).select("set_id", "idx", r("value", 5).alias("value"))
 
 
+@query("w26_inverse_over_tasks", _INVERSE)
+def w26b(spark, d):
+    low = spectral.long_spectrum(series(spark, d), "v", cells=1 << 12).where("k <= 3")
+    return spectral.long_inverse(low, cells=1 << 12).select("set_id", "idx", r("value", 5).alias("value"))
+
+
 @query("w27_cyclic_convolution", """WITH {S}, n AS (SELECT *, count(*) OVER (PARTITION BY set_id) AS n FROM s)
 SELECT a.set_id, a.idx, round(0.25 * b.v + 0.5 * a.v + 0.25 * c.v, 5) AS value FROM n a JOIN n b ON b.set_id = a.set_id AND b.idx = (a.idx + a.n - 1) % a.n JOIN n c ON c.set_id = a.set_id AND c.idx = (a.idx + 1) % a.n""")
 def w27(spark, d):
@@ -279,12 +288,20 @@ def w27(spark, d):
 _LONG_MASK = [0.05, -0.2, 0.3, 0.6, 0.15, -0.1, 0.02]
 
 
-@query("w27_long_mask", """WITH {S}, n AS (SELECT *, count(*) OVER (PARTITION BY set_id) AS n FROM s), m AS (SELECT unnest(range(7)) AS j, unnest([0.05, -0.2, 0.3, 0.6, 0.15, -0.1, 0.02]) AS m)
-SELECT a.set_id, a.idx, round(sum(m * b.v), 5) AS value FROM n a, m JOIN n b ON b.set_id = a.set_id AND b.idx = (a.idx - j + 3 + 7 * a.n) % a.n GROUP BY a.set_id, a.idx""")
+_WRAPPED = """WITH {S}, n AS (SELECT *, count(*) OVER (PARTITION BY set_id) AS n FROM s), m AS (SELECT unnest(range(7)) AS j, unnest([0.05, -0.2, 0.3, 0.6, 0.15, -0.1, 0.02]) AS m)
+SELECT a.set_id, a.idx, round(sum(m * b.v), 5) AS value FROM n a, m JOIN n b ON b.set_id = a.set_id AND b.idx = (a.idx - j + 3 + 7 * a.n) % a.n GROUP BY a.set_id, a.idx"""
+
+
+@query("w27_long_mask", _WRAPPED)
 def w27c(spark, d):
     return spectral.cyclic_convolution(series(spark, d), "v", _LONG_MASK).select("set_id", "idx", r("value", 5).alias("value"))
 
 
+@query("w27_long_mask_over_tasks", _WRAPPED)
+def w27d(spark, d):
+    return spectral.long_cyclic_convolution(series(spark, d), "v", _LONG_MASK, cells=1 << 12).select("set_id", "idx", r("value", 5).alias("value"))
+
+
 @query("w27_deconvolution", "WITH {S} SELECT set_id, idx, round(v, 4) AS value FROM s")
 def w27b(spark, d):
     mask = [0.2, 0.6, 0.1]
@@ -292,6 +309,13 @@ def w27b(spark, d):
     return spectral.cyclic_convolution(there, "value", mask, deconvolve=True).select("set_id", "idx", r("value", 4).alias("value"))
 
 
+@query("w27_deconvolution_over_tasks", "WITH {S} SELECT set_id, idx, round(v, 4) AS value FROM s")
+def w27e(spark, d):
+    mask = [0.2, 0.6, 0.1]
+    there = spectral.cyclic_convolution(series(spark, d), "v", mask)
+    return spectral.long_cyclic_convolution(there, "value", mask, deconvolve=True, cells=1 << 12).select("set_id", "idx", r("value", 4).alias("value"))
+
+
 @query("a33_correlation", "WITH {P}, " + _J + """, c AS (SELECT set_a, set_b, count(*) AS n, corr(a_x, b_x) AS rx, corr(a_y, b_y) AS ry, corr(a_e, b_e) AS re FROM j GROUP BY ALL)
 SELECT set_a, set_b, round(rx, 8) AS rx, round(ry, 8) AS ry, round(re, 8) AS re, round((rx + ry + re) / 3, 8) AS r FROM c""")
 def a33(spark, d):

@@ -306,3 +306,17 @@ def test_listed_pairs_of_bins(spark):
     got, every = st.pairs_of(bins, "k", listed), st.pairs_of(bins, "k")
     assert sorted((r["k1"], r["k2"]) for r in got.collect()) == [("b", "b"), ("c", "a")] and got.columns == every.columns
     assert every.count() == 3
+
+
+@pytest.mark.parametrize("cells", [6, 1 << 22])
+def test_long_inverse_and_convolution_are_those_of_whole_sets(spark, cells):
+    rng = np.random.default_rng(cells % 97)
+    rows = [(g, i, None if i % 11 == 5 else float(rng.normal())) for g, n in ((1, 1), (2, 2), (3, 7), (4, 24)) for i in range(n)]
+    df = spark.createDataFrame(rows, "set_id long, idx long, y double")
+    f = spectral.spectrum(df, "y").cache()
+    mask = [0.1, -0.2, 0.9, 0.3, 0.1]
+    cases = [(lambda s, **o: getattr(spectral, s + "inverse")(f.where("k < 3"), **o)), (lambda s, **o: getattr(spectral, s + "inverse")(f, False, **o))]
+    cases += [(lambda s, back=back, **o: getattr(spectral, s + "cyclic_convolution")(df, "y", mask, back, **o)) for back in (False, True)]
+    for case in cases:
+        got, want = (sorted(map(tuple, d.select("set_id", "idx", "value").collect())) for d in (case("long_", cells=cells), case("")))
+        assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-9)
