@@ -191,15 +191,17 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds go on until nothing changes, which takes at most the square of the logarithm of the number of nodes.
     """
     e = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, n = None, e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a component's links gather at its hub, whose rows are dealt out
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")).select("u", F.least("u", "m").alias("m"), "w")
+        large = spread_join(both, least, "u", ["m"], "w", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        root = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+        small = spread_join(large, root, "u", ["m"], "w", 2 * n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        n = now[0]
         if now == before:
             # every node now points to its root; roots point to themselves
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -62,6 +62,16 @@ def test_components_against_all_pairs(spark, chunk):
     assert all(len(v) == 1 for v in got.values()) and len(got) == len(set(want))
 
 
+def test_components_of_hubs_and_chains(spark):
+    # a hub of more links than a key may have before its rows are dealt out, a chain to a second hub, and a chain apart
+    edges = [(5000, i) for i in range(1, 3001)] + [(i, i + 1) for i in range(5000, 5040)] + [(5040, i) for i in range(6000, 7500)]
+    edges += [(i, i + 1) for i in range(-40, -20)] + [(5000, 5000), (2, 5000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["root"] for r in sh.components(df).collect()}
+    assert got == {x: -40 if x < 0 else 1 for e in edges for x in e}
+    assert sh.components(df.limit(0)).count() == 0
+
+
 def test_documents_with_odd_rows(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choices(["sea", "land", "moon", "sun", "tree"], k=400)) for _ in range(6)]
