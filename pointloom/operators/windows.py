@@ -84,10 +84,11 @@ def with_error_length(df: DataFrame, e: str = "e", name: str = "length", base: f
 
 
 def with_unwrapped(df: DataFrame, a: str, name: str = "unwrapped", base: float = 360.0, block: int | None = None) -> DataFrame:
-    """The angle without jumps: the first one plus the differences, folded where they reach half the base."""
+    """The angle without jumps: the first one plus the differences, less the nearest whole number of turns where they
+    reach half the base (half a turn up counts as half a turn down, and the reverse)."""
     df = scanned(df, block, lag={"_p": a})
     step = F.col(a) - F.col("_p")
-    step = F.when(F.abs(step) < base / 2, step).otherwise(-fold(-step, base))
+    step = F.when(F.abs(step) < base / 2, step).otherwise(step - base * F.round(step / base))
     return scanned(df, block, sums={name: F.coalesce(step, F.col(a))}).drop("_p")
 
 

@@ -58,6 +58,13 @@ def test_angles_about_zero(spark):
     assert _column(u, "unwrapped") == pytest.approx([350, 370, 390, 350])
 
 
+def test_half_turns_unwrap_to_the_other_side(spark):
+    above = 180.00000000000003  # the next number after 180
+    for block in (None, 2):
+        got = _column(wn.with_unwrapped(_set(spark, [0, 180, 0, above, 360]), "y", block=block), "unwrapped")
+        assert got == pytest.approx([0, -180, 0, -180, 0])
+
+
 def test_f_test_rules(spark):
     rows = spark.createDataFrame([("a", 5, 1.0, 4.0, "b", 5, 2.0, 4.0), ("a", 5, 1.0, 0.0, "c", 4, 1.0, 4.0), ("a", 1, 1.0, 0.0, "d", 4, 1.0, 4.0)], "k1 string, n1 long, m1 double, v1 double, k2 string, n2 long, m2 double, v2 double")
     got = {r["k2"]: r for r in st.t_test_chosen(rows).collect()}
