@@ -92,19 +92,21 @@ def with_unwrapped(df: DataFrame, a: str, name: str = "unwrapped", base: float =
     return scanned(df, block, sums={name: F.coalesce(step, F.col(a))}).drop("_p")
 
 
-def with_integral(df: DataFrame, v: str, t: str, name: str = "integral", resets: bool = False, initial: float = 0.0, block: int | None = None) -> DataFrame:
+def with_integral(df: DataFrame, v: str, t: str, name: str = "integral", resets: bool = False, initial: float = 0.0, block: int | None = None, late_zero: bool = True) -> DataFrame:
     """Running sum of v times the step in t.
 
     Rows with a missing v or t keep the sum and the time before. A non-zero first value counts with the mean step;
-    a first value of zero makes the sum start a row later. With ``resets`` the missing rows have no sum, and the next
-    valid row starts again at the initial value. Rows before the first valid one are null.
+    a first value of zero makes the sum start a row later, or is as any other where ``late_zero`` is false. With
+    ``resets`` the missing rows have no sum, and the next valid row starts again at the initial value. Rows before the
+    first valid one are null, and so is a sum without a mean step (the first valid row is the set's last).
     """
     ok = F.col(v).isNotNull() & F.col(t).isNotNull()
     idx, first, known = F.col("idx"), F.col("_first"), F.when(ok, F.col("idx"))
     timed = F.when(F.col(t).isNotNull(), idx)
     df = scanned(df, block, whole={"_first": F.min(known), "_v0": F.min_by(v, known), "_t0": F.min_by(t, known), "_n": F.count(F.lit(1)), "_t1": F.max_by(t, timed), "_i1": F.max(timed)})
     df = df.withColumn("_t1", F.when(F.col("_i1") >= first, F.col("_t1")))
-    at, late = idx == first, (F.col("_v0") == 0) & (idx == first + 1)
+    zero = (F.col("_v0") == 0) & F.lit(late_zero)
+    at, late = idx == first, zero & (idx == first + 1)
     missing = F.when((idx > first) & ~ok, 1).otherwise(0)
     held = F.when((idx >= first) & (ok | late), F.col(t))
     # of a missing row, and of valid ones how many have come before
@@ -115,8 +117,8 @@ def with_integral(df: DataFrame, v: str, t: str, name: str = "integral", resets:
     average = F.try_divide(F.col("_t1") - F.col("_t0"), F.col("_n") - first - 1)
     step = F.when(~ok, 0.0).when(at, F.when(F.col("_v0") != 0, F.col(v) * F.coalesce(average, F.lit(0.0))).otherwise(0.0)).when(late | again, 0.0).otherwise(F.col(v) * (F.col(t) - F.col("_b")))
     df = scanned(df, block, since={"_total": (step, (missing == 1) if resets else F.lit(False))})
-    total = F.col("_total") + initial
-    shown = F.when(idx >= first, F.when(ok | F.lit(not resets), total)).when((idx == first - 1) & (F.col("_v0") != 0), F.lit(float(initial)))
+    total = F.when(zero | average.isNotNull(), F.col("_total") + initial)
+    shown = F.when(idx >= first, F.when(ok | F.lit(not resets), total)).when((idx == first - 1) & ~zero, F.lit(float(initial)))
     return df.withColumn(name, shown).drop("_first", "_v0", "_t0", "_n", "_t1", "_i1", "_b", "_ok", "_gap", "_total")
 
 
