@@ -1,6 +1,7 @@
 """Fourier transforms of sets.
 
-A set is one task's work, up to ``most`` points; the forms named ``long_...`` deal a set of any length over tasks.
+A set is one task's work, up to ``most`` points; the forms named ``long_...`` deal sets of more than ``cells`` points,
+of any length, over tasks of so many cells, and the others out as wholes.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.joins import bracket
@@ -34,25 +35,28 @@ def spectrum(df: DataFrame, c: str, most: int = MOST_POINTS) -> DataFrame:
         f = np.fft.rfft(v)
         return pd.DataFrame({"set_id": frame["set_id"].iloc[0], "k": np.arange(len(f)), "re": f.real, "im": f.imag, "power": np.abs(f) ** 2 / len(v) ** 2, "n": len(v)})
 
-    return df.select("set_id", "idx", c).groupBy("set_id").applyInPandas(run, "set_id long, k long, re double, im double, power double, n long")
+    return df.select("set_id", "idx", c).groupBy("set_id").applyInPandas(run, f"set_id {_kind(df)}, k long, re double, im double, power double, n long")
 
 
 def inverse(transformed: DataFrame, scaled: bool = True) -> DataFrame:
-    """set_id, idx and value from the columns of :func:`spectrum`, with or without the factor 1 / N."""
+    """set_id, idx and value from the columns of :func:`spectrum`, with or without the factor 1 / N; absent frequencies
+    are 0."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("k")
         n = int(frame["n"].iloc[0])
-        v = np.fft.irfft(frame["re"].to_numpy() + 1j * frame["im"].to_numpy(), n) * (1 if scaled else n)
+        f = np.zeros(n // 2 + 1, complex)
+        low = frame[frame["k"] <= n // 2]
+        f[low["k"]] = low["re"].to_numpy() + 1j * low["im"].to_numpy()
+        v = np.fft.irfft(f, n) * (1 if scaled else n)
         return pd.DataFrame({"set_id": frame["set_id"].iloc[0], "idx": np.arange(n), "value": v})
 
-    return transformed.groupBy("set_id").applyInPandas(run, "set_id long, idx long, value double")
+    return transformed.groupBy("set_id").applyInPandas(run, f"set_id {_kind(transformed)}, idx long, value double")
 
 
-def cyclic_convolution(df: DataFrame, c: str, mask: list[float], deconvolve: bool = False, most: int = MOST_POINTS) -> DataFrame:
+def cyclic_convolution(df: DataFrame, c: str, mask: list[float], deconvolve: bool = False, most: int = MOST_POINTS, least: float = 1e-12) -> DataFrame:
     """set_id, idx and value: each set convolved cyclically with a mask (of any length) centred on its middle, or the reverse.
 
-    Where the mask's transform is 0 a deconvolution has nothing to divide by and leaves 0.
+    Where the mask's transform is 0 (not above ``least``) a deconvolution has nothing to divide by and leaves 0.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -62,17 +66,29 @@ def cyclic_convolution(df: DataFrame, c: str, mask: list[float], deconvolve: boo
         f = np.fft.rfft(wide)
         g = np.fft.rfft(v)
         with np.errstate(all="ignore"):
-            out = np.fft.irfft(np.where(np.abs(f) > 1e-12, g / f, 0) if deconvolve else g * f, len(v))
+            out = np.fft.irfft(np.where(np.abs(f) > least, g / f, 0) if deconvolve else g * f, len(v))
         return pd.DataFrame({"set_id": frame["set_id"].iloc[0], "idx": np.arange(len(v)), "value": out})
 
-    return df.select("set_id", "idx", c).groupBy("set_id").applyInPandas(run, "set_id long, idx long, value double")
+    return df.select("set_id", "idx", c).groupBy("set_id").applyInPandas(run, f"set_id {_kind(df)}, idx long, value double")
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["set_id"].dataType.simpleString()
+
+
+def _parted(df: DataFrame, n: Column, cells: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the sets whose length, the aggregate ``n``, is at most ``cells``, and of the longer ones if any."""
+    longer = checkpointed(df.groupBy("set_id").agg(n.alias("n")).where(F.col("n") > cells).select("set_id"))
+    if not longer.limit(1).count():
+        return df, None
+    return df.join(longer, "set_id", "left_anti"), df.join(longer, "set_id", "left_semi")
 
 
 def _transform(rows: DataFrame, high: int, low: int, sign: int, cells: int) -> DataFrame:
     """The unscaled transform of (set_id, i, re, im), i below high * low, absent rows being zero, in two steps: along
     the columns of the matrix of ``low`` columns that the set fills row by row, and along its rows. Each task has
     about ``cells`` cells of it."""
-    kind, n = rows.schema["set_id"].dataType.simpleString(), high * low
+    kind, n = _kind(rows), high * low
     wide, tall = max(1, cells // high), max(1, cells // low)
     along = lambda m, axis: np.fft.fft(m, axis=axis) if sign < 0 else np.fft.ifft(m, axis=axis) * m.shape[axis]
 
@@ -151,6 +167,11 @@ def _product(a: DataFrame, b: DataFrame, by_reverse: bool = False, least: float
 
 def long_spectrum(df: DataFrame, c: str, cells: int = 1 << 22) -> DataFrame:
     """As :func:`spectrum`, for sets of any length (idx from 0 without gaps), dealt over tasks of ``cells`` cells."""
+    short, longer = _parted(df.select("set_id", "idx", c), F.count("*"), cells)
+    return spectrum(short, c, cells) if longer is None else spectrum(short, c, cells).unionByName(_dealt_spectrum(longer, c, cells))
+
+
+def _dealt_spectrum(df: DataFrame, c: str, cells: int) -> DataFrame:
     filled, counts = _filled(df, c)
     rows = filled.select("set_id", F.col("idx").alias("i"), F.col("v").alias("re"), F.lit(0.0).alias("im"))
     found = _long_transform(rows, counts, cells).where(F.col("i") <= F.floor(F.col("n") / 2)).withColumnRenamed("i", "k")
@@ -164,7 +185,12 @@ def _long_back(rows: DataFrame, counts: DataFrame, cells: int, scaled: bool = Tr
 
 
 def long_inverse(transformed: DataFrame, scaled: bool = True, cells: int = 1 << 22) -> DataFrame:
-    """As :func:`inverse`, for sets of any length; absent frequencies are 0."""
+    """As :func:`inverse`, for sets of any length."""
+    short, longer = _parted(transformed, F.max("n"), cells)
+    return inverse(short, scaled) if longer is None else inverse(short, scaled).unionByName(_dealt_inverse(longer, scaled, cells))
+
+
+def _dealt_inverse(transformed: DataFrame, scaled: bool, cells: int) -> DataFrame:
     n, k = F.col("n"), F.col("k")
     counts = checkpointed(transformed.groupBy("set_id").agg(F.max("n").cast("long").alias("n")))
     half = transformed.where(k <= F.floor(n / 2))
@@ -177,9 +203,15 @@ def long_inverse(transformed: DataFrame, scaled: bool = True, cells: int = 1 <<
 def long_cyclic_convolution(df: DataFrame, c: str, mask: list[float], deconvolve: bool = False, cells: int = 1 << 22, least: float = 1e-9) -> DataFrame:
     """As :func:`cyclic_convolution`, for sets of any length (idx from 0 without gaps).
 
-    Values and mask are transformed over tasks, multiplied place by place and turned back. A deconvolution leaves 0
-    where the mask's transform is not above ``least``, which is larger than for a set in one task, as rounding is.
+    Values and mask of a long set are transformed over tasks, multiplied place by place and turned back. A deconvolution
+    leaves 0 where the mask's transform is not above ``least``, which is larger than for a set in one task, as rounding is.
     """
+    short, longer = _parted(df.select("set_id", "idx", c), F.count("*"), cells)
+    out = cyclic_convolution(short, c, mask, deconvolve, cells, least)
+    return out if longer is None else out.unionByName(_dealt_convolution(longer, c, mask, deconvolve, cells, least))
+
+
+def _dealt_convolution(df: DataFrame, c: str, mask: list[float], deconvolve: bool, cells: int, least: float) -> DataFrame:
     filled, counts = _filled(df, c)
     values = filled.select("set_id", F.col("idx").alias("i"), F.col("v").alias("re"), F.lit(0.0).alias("im"))
 
@@ -191,7 +223,6 @@ def long_cyclic_convolution(df: DataFrame, c: str, mask: list[float], deconvolve
                 cell, own = np.unique(at % n, return_inverse=True)
                 yield pd.DataFrame({"set_id": key, "i": cell, "re": np.bincount(own, weights), "im": 0.0})
 
-    kind = counts.schema["set_id"].dataType.simpleString()
-    wide = counts.mapInPandas(placed, f"set_id {kind}, i long, re double, im double")
+    wide = counts.mapInPandas(placed, f"set_id {_kind(counts)}, i long, re double, im double")
     a, b = (_long_transform(t, counts, cells).drop("n") for t in (values, wide))
     return _long_back(_product(a, b, deconvolve, least), counts, cells)

@@ -88,6 +88,19 @@ def test_masks_longer_than_the_set(spark):
     assert np.allclose(got, want) and sorted(np.round(got)) == [44, 53, 55, 58]
 
 
+def test_only_long_sets_are_dealt_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(s, k, float(v)) for s, n in ((1, 12), (2, 7), (3, 90)) for k, v in enumerate(rng.normal(size=n))], "set_id long, idx long, v double")
+    mask, seen, dealt = [0.2, 0.6, 0.1], [], spectral._long_transform
+    monkeypatch.setattr(spectral, "_long_transform", lambda rows, counts, cells: seen.append({r["set_id"] for r in counts.collect()}) or dealt(rows, counts, cells))
+    there = spectral.spectrum(df, "v").where("k <> 2")  # absent frequencies are 0
+    for f in (lambda n: spectral.long_spectrum(df, "v", n), lambda n: spectral.long_inverse(there, cells=n), lambda n: spectral.long_cyclic_convolution(df, "v", mask, cells=n), lambda n: spectral.long_cyclic_convolution(df, "v", mask, True, n)):
+        seen.clear()
+        whole = _rows(f(90))
+        assert not seen
+        assert np.allclose(whole, _rows(f(12)), atol=1e-7) and seen and all(s == {3} for s in seen)
+
+
 def test_null_groups_meet(spark):
     q = spark.createDataFrame([(None, 2.0), (1, 2.0)], "g long, v double")
     refs = spark.createDataFrame([(None, 1.0), (None, 5.0), (1, 3.0)], "g long, v double")
