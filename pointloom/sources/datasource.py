@@ -26,6 +26,8 @@ from pointloom.sources.readers import _CHANNEL, _EVENT, _FULL_SCALE, _GENERAL, I
 
 SPLIT_BYTES = 64 << 20
 BATCH_ROWS = 1 << 16
+#: Partitions of a read, whatever the number of files and ranges, and what opening a file counts for in them.
+MOST_PARTITIONS, OPEN_BYTES = 512, 16 << 10
 RECORDS = "file string, idx long, columns array<double>"
 SAMPLES = "file string, channel long, name string, units string, idx long, t double, raw int, value double"
 EVENTS = "file string, position long, t double, text string"
@@ -45,20 +47,41 @@ def data_files(path: str) -> list[tuple[str, int]]:
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     file: str
     start: int
     end: int
 
 
-def file_ranges(path: str, split: int, align: int = 1, offset: int = 0) -> list[FileRange]:
+@dataclass
+class FileRanges(InputPartition):
+    ranges: list[FileRange]
+
+
+def bundled(ranges: list[FileRange], most: int = MOST_PARTITIONS) -> list[FileRanges]:
+    """A partition for each range, or where there are more than ``most`` as many of about equal size."""
+    if len(ranges) <= most:
+        return [FileRanges([r]) for r in ranges]
+    share = sum(r.end - r.start + OPEN_BYTES for r in ranges) / most
+    out, begun = {}, 0
+    for r in ranges:
+        own = out.setdefault(int(begun / share), [])
+        if own and (own[-1].file, own[-1].end) == (r.file, r.start):
+            own[-1] = FileRange(r.file, own[-1].start, r.end)
+        else:
+            own.append(r)
+        begun += r.end - r.start + OPEN_BYTES
+    return [FileRanges(own) for own in out.values()]
+
+
+def file_ranges(path: str, split: int, align: int = 1, offset: int = 0) -> list[FileRanges]:
     """Ranges of all files, of whole records of ``align`` bytes behind the first ``offset``."""
     step = max(1, split // align) * align
     out = []
     for file, size in data_files(path):
         end = offset + (size - offset) // align * align
         out += [FileRange(file, at, min(at + step, end)) for at in range(offset, end, step)]
-    return out
+    return bundled(out)
 
 
 class RecordsReader(DataSourceReader):
@@ -70,11 +93,15 @@ class RecordsReader(DataSourceReader):
         self.split, self.offset = int(options.get("split_bytes", SPLIT_BYTES)), int(options.get("offset", 0))
         self.width = self.columns * self.size
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[FileRanges]:
         return file_ranges(self.path, self.split, self.width, self.offset)
 
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FileRanges) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(self.path)
+        for own in partition.ranges:
+            yield from self._read(fs, own)
+
+    def _read(self, fs: pafs.FileSystem, partition: FileRange) -> Iterator[pa.RecordBatch]:
         with fs.open_input_file(partition.file) as f:
             for at in range(partition.start, partition.end, BATCH_ROWS * self.width):
                 n = min(BATCH_ROWS * self.width, partition.end - at)
@@ -164,13 +191,17 @@ class RecordingsReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT_BYTES))
         self.events = options.get("events", "false").lower() == "true"
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[FileRanges]:
         if self.events:  # they stand at a file's end
-            return [FileRange(file, 0, size) for file, size in data_files(self.path)]
+            return bundled([FileRange(file, 0, size) for file, size in data_files(self.path)])
         return file_ranges(self.path, self.split)
 
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FileRanges) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(self.path)
+        for own in partition.ranges:
+            yield from self._read(fs, own)
+
+    def _read(self, fs: pafs.FileSystem, partition: FileRange) -> Iterator[pa.RecordBatch]:
         text = lambda b: b.split(b"\0")[0].decode("latin-1").strip()
         with fs.open_input_file(partition.file) as f:
             g = _GENERAL.unpack(f.read_at(_GENERAL.size, 0))
@@ -221,11 +252,15 @@ class ImportedReader(DataSourceReader):
     def __init__(self, path: str, names: list[str], text: bool, parse: Callable):
         self.path, self.names, self.text, self.parse = path, names, text, parse
 
-    def partitions(self) -> list[FileRange]:
-        return [FileRange(file, 0, size) for file, size in data_files(self.path)]
+    def partitions(self) -> list[FileRanges]:
+        return bundled([FileRange(file, 0, size) for file, size in data_files(self.path)])
 
-    def read(self, partition: FileRange) -> Iterator[tuple]:
+    def read(self, partition: FileRanges) -> Iterator[tuple]:
         fs, _ = file_system(self.path)
+        for own in partition.ranges:
+            yield from self._read(fs, own)
+
+    def _read(self, fs: pafs.FileSystem, partition: FileRange) -> Iterator[tuple]:
         with fs.open_input_stream(partition.file) as f:
             data = f.read()
         rows = self.parse(data.decode() if self.text else data)
@@ -235,7 +270,7 @@ class ImportedReader(DataSourceReader):
 
 
 def importer(name: str) -> type[DataSource]:
-    """A data source of a format that ``readers.register_importer`` has added; a file is a partition."""
+    """A data source of a format that ``readers.register_importer`` has added; a file is read in one task."""
     columns, text, parse = IMPORTERS[name]
     names = [c.strip().split()[0] for c in columns.split(",")]
 

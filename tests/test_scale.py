@@ -172,3 +172,19 @@ def test_records_written_and_read_in_ranges(spark, tmp_path):
     assert got.rdd.getNumPartitions() > 30
     assert sorted(r["columns"][0] for r in got.collect()) == sorted(2 * list(map(float, range(500))))
     assert got.groupBy("file").agg(F.max("idx") + 1 - F.count("*")).where("`((max(idx) + 1) - count(1))` <> 0").count() == 0
+
+
+def test_many_ranges_and_files_share_partitions(spark, tmp_path):
+    datasource.register(spark)
+    rng = np.random.default_rng(1)
+    want = []
+    for k in range(700):
+        a = rng.normal(size=(int(rng.integers(0, 6)), 2)).astype("<f4")
+        (tmp_path / f"r{k:03d}.bin").write_bytes(a.tobytes())
+        want += [(f"r{k:03d}.bin", i, *map(float, row)) for i, row in enumerate(a)]
+    got = spark.read.format("loom_records").option("columns", 2).option("size", 4).option("split_bytes", 8).load(str(tmp_path))
+    assert 1 < got.rdd.getNumPartitions() <= datasource.MOST_PARTITIONS
+    assert sorted((r["file"].rpartition("/")[2], r["idx"], *r["columns"]) for r in got.collect()) == sorted(want)
+    ranges = [datasource.FileRange("f", k, k + 1) for k in range(1000)] + [datasource.FileRange("g", 0, 10**9)]
+    parts = datasource.bundled(ranges, 7)
+    assert len(parts) <= 7 and sum(r.end - r.start for p in parts for r in p.ranges) == 1000 + 10**9
