@@ -56,23 +56,24 @@ def with_curve_length(df: DataFrame, x: str = "x", y: str = "y", name: str = "le
     ``signed``: 1 or -1 takes the sign of the step in x or y, 2 that of the turn about the origin, 3 that of the step
     seen from the direction of the point before; there ties keep the sign before them.
     """
+    return with_curve_lengths(df, {name: signed}, x, y, block)
+
+
+def with_curve_lengths(df: DataFrame, signed: dict[str, int], x: str = "x", y: str = "y", block: int | None = None) -> DataFrame:
+    """As :func:`with_curve_length` for several kinds at once (name: ``signed``), in the scans of one."""
     df = scanned(df, block, lag={"_px": x, "_py": y})
     px, py = F.col("_px"), F.col("_py")
     dx, dy = F.col(x) - px, F.col(y) - py
     length = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
-    if signed in (1, -1):
-        sign = F.when((dx if signed == 1 else dy) < 0, -1.0).otherwise(1.0)
-    elif signed == 2:
-        sign = F.when(F.col(y) * px - F.col(x) * py < 0, -1.0).otherwise(1.0)
-    elif signed == 3:
+    minus = lambda c: F.when(c, -1.0).otherwise(1.0)
+    signs = {0: F.lit(1.0), 1: minus(dx < 0), -1: minus(dy < 0), 2: minus(F.col(y) * px - F.col(x) * py < 0)}
+    if 3 in signed.values():
         along, across = px * dx + py * dy, px * dy - py * dx
         df = df.withColumns({"_s": F.when(across > 0, 1.0).when(across < 0, -1.0), "_d": F.when((across == 0) & (along > 0), -1.0).when((across == 0) & (along < 0), 1.0)})
         known = F.when(F.col("_d").isNotNull(), F.col("idx"))
         df = scanned(df, block, last={"_s": "_s"}, whole={"_d1": F.min_by("_d", known), "_i1": F.min(known)})
-        sign = F.coalesce(F.col("_s"), F.when(F.col("idx") >= F.col("_i1"), F.col("_d1")), F.lit(-1.0))
-    else:
-        sign = F.lit(1.0)
-    return scanned(df, block, sums={name: sign * length}).drop("_px", "_py", "_s", "_d", "_d1", "_i1")
+        signs[3] = F.coalesce(F.col("_s"), F.when(F.col("idx") >= F.col("_i1"), F.col("_d1")), F.lit(-1.0))
+    return scanned(df, block, sums={name: signs[kind] * length for name, kind in signed.items()}).drop("_px", "_py", "_s", "_d", "_d1", "_i1")
 
 
 def with_error_length(df: DataFrame, e: str = "e", name: str = "length", base: float | None = None, block: int | None = None) -> DataFrame:

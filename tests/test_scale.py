@@ -174,6 +174,20 @@ def test_records_written_and_read_in_ranges(spark, tmp_path):
     assert got.groupBy("file").agg(F.max("idx") + 1 - F.count("*")).where("`((max(idx) + 1) - count(1))` <> 0").count() == 0
 
 
+def test_lengths_of_several_signs_share_their_scans(spark, monkeypatch):
+    df = _series(spark, 40).withColumnRenamed("v", "x").withColumnRenamed("a", "y")
+    signed, scans_ = {"l": 0, "x1": 1, "y1": -1, "t": 2, "s": 3}, []
+    want = _rows(df.select("set_id", "idx"))
+    for block in (None, 7):
+        one = {n: {(r["set_id"], r["idx"]): round(r[n], 9) for r in wn.with_curve_length(df, name=n, signed=k, block=block).collect()} for n, k in signed.items()}
+        got = wn.with_curve_lengths(df, signed, block=block).collect()
+        assert len(got) == len(want) and all(round(r[n], 9) == one[n][r["set_id"], r["idx"]] for r in got for n in signed)
+    real = wn.scanned
+    monkeypatch.setattr(wn, "scanned", lambda *a, **k: scans_.append(1) or real(*a, **k))
+    wn.with_curve_lengths(df, {"x1": 1, "y1": -1, "t": 2}, block=7)
+    assert len(scans_) == 2
+
+
 def test_many_ranges_and_files_share_partitions(spark, tmp_path):
     datasource.register(spark)
     rng = np.random.default_rng(1)
