@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.points import checkpointed
+from pointloom.operators.scans import joined
 from pointloom.operators.windows import LONG_MASK, convolved, convolved_in_blocks
 
 
@@ -83,40 +87,78 @@ def recursive_filters(df: DataFrame, x: str, tau: float, dt: float | None = None
 def recursive_filters_in_blocks(df: DataFrame, x: str, tau: float, dt: float | None = None, t: str | None = None, y: str | None = None, c: float = 1.0, memory: float = 0.0, block: int = 1_000_000) -> DataFrame:
     """As :func:`recursive_filters`, for sets too long for one task.
 
-    Both filters are linear in their memory: a block of consecutive points (by idx) turns the value before it into
-    a s + b behind it. Only these two numbers a block are chained along a set, and each block then starts from its own
-    value.
+    Both filters are linear in their memory: a block of consecutive points (by idx) turns the value behind its first
+    point into a s + b at its end. One row a block (its first point, its last t, a and b) is chained along the set, and
+    each block then starts from its own value. Tasks go through many blocks, sorted, one point after the other.
     """
     null = F.lit(None)
     cut = df.select("set_id", "idx", F.col(x).cast("double").alias("_x"), (F.col(t) if t else null).cast("double").alias("_t"), (F.col(y) if y else null).cast("double").alias("_y"), F.floor(F.col("idx") / block).alias("_block"))
-    cut = checkpointed(cut.repartition("set_id", "_block"))
-    last = cut.groupBy("set_id", "_block").agg(F.max_by("_t", "idx").alias("_before")).withColumn("_block", F.col("_block") + 1)
-
-    def filtered(frame: pd.DataFrame, *memories: float) -> tuple[pd.DataFrame, list[np.ndarray]]:
-        frame = frame.sort_values("idx")
-        at, before = frame["_t"].to_numpy(float), frame["_before"].iloc[0]
-        step = np.full(len(frame), float(dt)) if t is None else np.diff(at, prepend=at[0] if np.isnan(before) else before)
-        v = frame["_x"].to_numpy(float)
-        return frame, [low_pass(v, tau, step, m) if y is None else shunt(v, frame["_y"].to_numpy(float), c, tau, step, m) for m in memories]
-
-    def outline(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, (none, one) = filtered(frame, 0.0, 1.0)
-        return pd.DataFrame({"set_id": frame["set_id"].iloc[:1], "_block": frame["_block"].iloc[:1], "a": one[-1] - none[-1], "b": none[-1]})
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:  # one row a block
-        frame = frame.sort_values("_block")
-        start, s = [], memory
-        for a, b in zip(frame["a"], frame["b"]):
-            start.append(s)
-            s = a * s + b
-        return pd.DataFrame({"set_id": frame["set_id"], "_block": frame["_block"], "_start": start})
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, (out,) = filtered(frame, frame["_start"].iloc[0])
-        return pd.DataFrame({"set_id": frame["set_id"], "idx": frame["idx"], "filtered": out})
-
+    cut = checkpointed(cut.repartition("set_id", "_block").sortWithinPartitions("set_id", "_block", "idx"))
     kind = df.schema["set_id"].dataType.simpleString()
-    known = cut.join(last, ["set_id", "_block"], "left")
-    outlines = known.groupBy("set_id", "_block").applyInPandas(outline, f"set_id {kind}, _block long, a double, b double")
-    starts = outlines.groupBy("set_id").applyInPandas(chain, f"set_id {kind}, _block long, _start double")
-    return known.join(starts, ["set_id", "_block"]).groupBy("set_id", "_block").applyInPandas(run, f"set_id {kind}, idx long, filtered double")
+    inhibited = y is not None
+
+    def advanced(s: float, v: float, step: float, w: float) -> float:
+        if v != v or step != step or inhibited and w != w:
+            return s
+        if tau == 0:
+            return float(np.float64(v) / (c + w)) if inhibited else v
+        return s + min(step / tau, 1.0) * (v - ((c + w) * s if inhibited else s))
+
+    def behind(at: float, before: float) -> float:
+        return at - before if t else float(dt)
+
+    def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
+        return [batch.column(n).to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(batch.column(n).type) else batch.column(n).to_pylist() for n in names]
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["set_id", "_block", "x", "t", "y", "last", "a", "b"]
+        own, one, none, last = None, 1.0, 0.0, 0.0
+
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, type_) for v, type_ in zip(zip(*rows), types)], names)
+
+        for batch in batches:
+            types, out = [batch.schema.field("set_id").type, pa.int64(), *[pa.float64()] * 6], []
+            for s, k, v, at, w in zip(*columns(batch, "set_id", "_block", "_x", "_t", "_y")):
+                if own is None or s != own[0] or k != own[1]:
+                    if own is not None:
+                        out.append((*own, last, one - none, none))
+                    own, one, none = (s, k, v, at, w), 1.0, 0.0
+                else:
+                    step = behind(at, last)
+                    one, none = advanced(one, v, step, w), advanced(none, v, step, w)
+                last = at
+            if out:
+                yield done(out)
+        if own is not None:
+            yield done([(*own, last, one - none, none)])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_, own, value, before = False, None, memory, 0.0
+        for batch in batches:
+            starts, from_ = [], []
+            for s, v, at, w, last, a, b in zip(*columns(batch, "set_id", "x", "t", "y", "last", "a", "b")):
+                if not known_ or s != own:
+                    known_, own, value, before = True, s, memory, at
+                starts.append(value)
+                from_.append(before)
+                value = a * advanced(value, v, behind(at, before), w) + b
+                before = last
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("_block"), pa.array(starts, pa.float64()), pa.array(from_, pa.float64())], ["set_id", "_block", "_start", "_from"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, value, before = None, memory, 0.0
+        for batch in batches:
+            out = []
+            for s, k, v, at, w, start, from_ in zip(*columns(batch, "set_id", "_block", "_x", "_t", "_y", "_start", "_from")):
+                if own != (s, k):
+                    own, value, before = (s, k), start, from_
+                value = advanced(value, v, behind(at, before), w)
+                before = at
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("idx"), pa.array(out, pa.float64())], ["set_id", "idx", "filtered"])
+
+    outlines = cut.mapInArrow(outline, f"set_id {kind}, _block long, x double, t double, y double, last double, a double, b double")
+    starts = outlines.repartition("set_id").sortWithinPartitions("set_id", "_block").mapInArrow(chain, f"set_id {kind}, _block long, _start double, _from double")
+    known = joined(cut, starts, ["set_id", "_block"]).withColumn("idx", F.col("idx").cast("long"))
+    return known.repartition("set_id", "_block").sortWithinPartitions("set_id", "_block", "idx").mapInArrow(run, f"set_id {kind}, idx long, filtered double")
