@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +103,16 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     right = right.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in right.columns])
     on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys])
     return left.join(right, on).drop(*[f"_k_{k}" for k in keys])
+
+
+def begun(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """The places in a batch sorted by the keys at which their values change, the first row's among them; nulls are equal."""
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for key in keys:
+        c = batch.column(key)
+        a, b = c.slice(1), c.slice(0, max(n - 1, 0))
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= other.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)

@@ -4,19 +4,23 @@ them shuffles once. Those with a ``block`` take sets too long for one task in bl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pointloom.operators.points import column, ordered, running, whole
-from pointloom.operators.scans import scanned
+from pointloom.operators.scans import begun, scanned
 from pointloom.operators.stats import fold, mean, stdev
 
 
 #: Values of a mask up to which a convolution is a sum of window columns.
 LONG_MASK = 64
+#: Values that are transformed together.
+_TRANSFORM_CELLS = 1 << 21
 
 
 def counters(df: DataFrame, block: int | None = None) -> DataFrame:
@@ -123,17 +127,21 @@ def with_integral(df: DataFrame, v: str, t: str, name: str = "integral", resets:
     return df.withColumn(name, shown).drop("_first", "_v0", "_t0", "_n", "_t1", "_i1", "_b", "_ok", "_gap", "_total")
 
 
+def _filled(c: str, a: str, i: str, b: str, j: str, linear: bool) -> Column:
+    """The column, where it is missing from the last known value a at place i and the next one b at j."""
+    gap = F.col(j) - F.col(i)
+    if linear:
+        inside = F.col(a) + (F.col(b) - F.col(a)) / F.nullif(gap, F.lit(0)) * (F.col("idx") - F.col(i))
+    else:
+        inside = F.when(F.col("idx") < F.col(i) + F.floor(gap / 2), F.col(a)).otherwise(F.col(b))
+    return F.when(F.col(c).isNotNull(), F.col(c)).when(F.col(a).isNull(), F.col(b)).when(F.col(b).isNull(), F.col(a)).otherwise(inside)
+
+
 def with_gaps_filled(df: DataFrame, c: str, name: str = "filled", linear: bool = True, block: int | None = None) -> DataFrame:
     """Missing values filled by index: linearly, or by a step at half the gap; at the ends by the nearest value."""
     place = F.when(F.col(c).isNotNull(), F.col("idx"))
     df = scanned(df, block, last={"_a": c, "_i": place}, ahead={"_b": c, "_j": place})
-    gap = F.col("_j") - F.col("_i")
-    if linear:
-        inside = F.col("_a") + (F.col("_b") - F.col("_a")) / F.nullif(gap, F.lit(0)) * (F.col("idx") - F.col("_i"))
-    else:
-        inside = F.when(F.col("idx") < F.col("_i") + F.floor(gap / 2), F.col("_a")).otherwise(F.col("_b"))
-    filled = F.when(F.col(c).isNotNull(), F.col(c)).when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).otherwise(inside)
-    return df.withColumn(name, filled).drop("_a", "_i", "_b", "_j")
+    return df.withColumn(name, _filled(c, "_a", "_i", "_b", "_j", linear)).drop("_a", "_i", "_b", "_j")
 
 
 def with_trend_removed(df: DataFrame, c: str, start: int, start_trend: float | None, end: int = -1, end_trend: float | None = None, name: str = "detrended") -> DataFrame:
@@ -265,35 +273,67 @@ def convolved_in_blocks(df: DataFrame, columns: dict[str, str], mask: list[float
     half, m = len(mask) // 2, np.array(mask, float)
     block = max(block, 4 * len(mask))
     reach = len(mask) - 1 - half  # points ahead
+    names, each = df.columns, range(len(columns))
+    last, ahead, ends = {}, {}, {"_n": F.max("idx") + 1}
     for k, c in enumerate(columns.values()):
-        df = with_gaps_filled(df, c, f"_f{k}", linear, block)
-    ends = {"_n": F.max("idx") + 1}
-    for k in range(len(columns)):
-        ends |= {f"_lo{k}": F.min_by(f"_f{k}", "idx") if low is None else F.max(F.lit(float(low))), f"_hi{k}": F.max_by(f"_f{k}", "idx") if high is None else F.max(F.lit(float(high)))}
-    sent = F.explode(F.sequence(F.floor(F.greatest(F.col("idx") - reach, F.lit(0)) / block), F.floor((F.col("idx") + half) / block)))
-    points = scanned(df, block, whole=ends).withColumn("_b", sent).where(F.col("_b") * block < F.col("_n"))
-    size = 1 << (block + len(mask) - 2).bit_length()
-    transform = np.conj(np.fft.rfft(m, size))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        first, n = int(frame["_b"].iloc[0]) * block, int(frame["_n"].iloc[0])
-        count = min(block, n - first)
-        at = frame["idx"].to_numpy() - (first - half)
-        own = frame[(frame["idx"] >= first) & (frame["idx"] < first + count)]
-        out = own[names].copy()
-        place = first - half + np.arange(block + len(mask) - 1)
-        for k, (result, c) in enumerate(columns.items()):
-            v = np.where(place < 0, frame[f"_lo{k}"].iloc[0], frame[f"_hi{k}"].iloc[0]).astype(float)
-            v[at] = frame[f"_f{k}"].to_numpy(float)
-            got = np.fft.irfft(np.fft.rfft(v, size) * transform, size)[own["idx"].to_numpy() - first]
-            out[result] = np.where(own[c].isna(), np.nan, got)
-        return out
-
-    names = [c for c in df.columns if not c.startswith("_f")]
+        place = F.when(F.col(c).isNotNull(), F.col("idx"))
+        last |= {f"_a{k}": c, f"_i{k}": place}
+        ahead |= {f"_b{k}": c, f"_j{k}": place}
+        # the ends are filled by the nearest value
+        ends |= {f"_lo{k}": F.min_by(c, place).cast("double") if low is None else F.max(F.lit(float(low))), f"_hi{k}": F.max_by(c, place).cast("double") if high is None else F.max(F.lit(float(high)))}
+    found = scanned(df, block, last=last, ahead=ahead, whole=ends)
+    filled = [_filled(c, f"_a{k}", f"_i{k}", f"_b{k}", f"_j{k}", linear).cast("double").alias(f"_f{k}") for k, c in enumerate(columns.values())]
+    known = [F.col(c).isNotNull().alias(f"_k{k}") for k, c in enumerate(columns.values())]
+    sent = F.explode(F.sequence(F.floor(F.greatest(F.col("idx") - reach, F.lit(0)) / block), F.floor((F.col("idx") + half) / block))).alias("_b")
+    points = found.select(*names, F.col("idx").cast("long").alias("_at"), *filled, *known, *ends, sent).where(F.col("_b") * block < F.col("_n"))
+
+    def convolve(batch: pa.RecordBatch, first_row: np.ndarray) -> pa.RecordBatch:
+        """The results of whole blocks, those that need transforms of one size at a time."""
+        get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(first_row)), np.diff(np.append(first_row, batch.num_rows)))
+        first = get("_b")[first_row] * block
+        count = np.minimum(block, get("_n")[first_row] - first)
+        at = get("_at") - first[of]
+        mine = (at >= 0) & (at < count[of])
+        size = np.array([1 << int(n + len(mask) - 2).bit_length() for n in count])
+        out = [np.empty(batch.num_rows) for _ in each]
+        values = [(get(f"_f{k}").astype(float), get(f"_lo{k}").astype(float)[first_row], get(f"_hi{k}").astype(float)[first_row]) for k in each]
+        for n in np.unique(size):
+            transform = np.conj(np.fft.rfft(m, n))
+            same = np.flatnonzero(size == n)
+            step = max(1, _TRANSFORM_CELLS // int(n))
+            for part in (same[k : k + step] for k in range(0, len(same), step)):
+                place = np.full(len(first), -1)
+                place[part] = np.arange(len(part))
+                rows = np.flatnonzero(place[of] >= 0)
+                ahead_of = (first[part, None] + np.arange(n) - half) < 0
+                for k, (f, lo, hi) in enumerate(values):
+                    v = np.where(ahead_of, lo[part, None], hi[part, None])
+                    v[place[of[rows]], at[rows] + half] = f[rows]
+                    got = np.fft.irfft(np.fft.rfft(v) * transform, int(n))
+                    own = rows[mine[rows]]
+                    out[k][own] = got[place[of[own]], at[own]]
+        own = pa.array(np.flatnonzero(mine))
+        kept = batch.select(names).take(own)
+        results = [pa.array(out[k][mine], mask=~get(f"_k{k}")[mine].astype(bool) | np.isnan(out[k][mine])) for k in each]
+        return pa.RecordBatch.from_arrays([*kept.columns, *results], [*names, *columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of a block that may go on
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            begins = begun(batch, ["set_id", "_b"])
+            held = batch.slice(begins[-1])
+            if len(begins) > 1:
+                yield convolve(batch.slice(0, begins[-1]), begins[:-1])
+        if held is not None and held.num_rows:
+            yield convolve(held, np.array([0]))
+
     schema = StructType([df.schema[c] for c in names] + [StructField(r, DoubleType()) for r in columns])
-    found = points.groupBy("set_id", "_b").applyInPandas(run, schema)
-    return found.withColumns({r: F.nanvl(r, F.lit(None).cast("double")) for r in columns})
+    return points.repartition("set_id", "_b").sortWithinPartitions("set_id", "_b", "_at").mapInArrow(run, schema)
 
 
 def running_sum_in_blocks(df: DataFrame, c: str, name: str = "running", block: int = 1_000_000) -> DataFrame:

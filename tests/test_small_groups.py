@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators import smooth
+from pointloom.operators import windows as wn
 
 
 def _plan(df):
@@ -29,3 +30,17 @@ def test_recursive_filters_of_many_blocks(spark, args):
     want = _by_place(smooth.recursive_filters(df, "v", memory=0.4, **args), "filtered")
     own = _by_place(got, "filtered")
     assert own.keys() == want.keys() and all(np.allclose(own[k], want[k], equal_nan=True) for k in want)
+
+
+@pytest.mark.parametrize("ends", [{}, {"low": 3.0, "high": -2.0}])
+def test_convolutions_of_many_blocks(spark, ends):
+    df = _sets(spark).withColumn("u", F.col("v") * 2)
+    mask = [0.5, -1.0, 2.0, 0.25, 1.5]
+    got = wn.convolved_in_blocks(df, {"c": "v", "d": "u"}, mask, block=20, **ends)
+    assert "FlatMapGroups" not in _plan(got)
+    plain = wn.convolved(wn.convolved(df, "v", mask, "c", **ends), "u", mask, "d", **ends)
+    own, want = _by_place(got, "c", "d"), _by_place(plain, "c", "d")
+    assert own.keys() == want.keys()
+    for k in want:
+        assert [x is None for x in own[k]] == [x is None for x in want[k]] and np.allclose(*([x or 0.0 for x in v] for v in (own[k], want[k])))
+    assert wn.convolved_in_blocks(df.limit(0), {"c": "v"}, mask, block=20).count() == 0
