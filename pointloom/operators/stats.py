@@ -351,12 +351,12 @@ def _robust_fit_over_tasks(df: DataFrame, by: list[str], x: str, y: str, most_ro
 def robust_fit(df: DataFrame, by: list[str], x: str, y: str, most_rows: int = 1_000_000, sort_rows: int = 1_000_000) -> DataFrame:
     """Line of least absolute deviations per group: n, slope, intercept and mean absolute deviation.
 
-    Groups of up to ``most_rows`` rows are one task's work each; larger ones are fitted over all tasks, by medians that
-    are sorted in a task up to ``sort_rows`` values.
+    Groups of up to ``most_rows`` rows are one task's work each, and so are those of up to ``sort_rows``, of which a task
+    would sort all residuals for each median; larger ones are fitted over all tasks.
     """
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
     bin_ = F.struct(*by).alias("_bin")
-    large = checkpointed(df.groupBy(bin_).agg(F.count(F.when(ok, 1)).alias("_n")).where(F.col("_n") > most_rows).select("_bin"))
+    large = checkpointed(df.groupBy(bin_).agg(F.count(F.when(ok, 1)).alias("_n")).where(F.col("_n") > max(most_rows, sort_rows)).select("_bin"))
     n_large = large.count()
     if not n_large:
         return _robust_fit_in_tasks(df, by, x, y)

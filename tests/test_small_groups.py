@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators import smooth
+from pointloom.operators import stats as st
 from pointloom.operators import windows as wn
 
 
@@ -44,3 +45,13 @@ def test_convolutions_of_many_blocks(spark, ends):
     for k in want:
         assert [x is None for x in own[k]] == [x is None for x in want[k]] and np.allclose(*([x or 0.0 for x in v] for v in (own[k], want[k])))
     assert wn.convolved_in_blocks(df.limit(0), {"c": "v"}, mask, block=20).count() == 0
+
+
+def test_robust_fits_of_groups_that_a_task_would_sort_are_whole(spark):
+    rng = np.random.default_rng(8)
+    groups = {k: (rng.normal(size=12), rng.normal(size=12)) for k in range(3)}
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (x, y) in groups.items() for a, b in zip(x, y)], "k long, x double, y double")
+    got = st.robust_fit(df, ["k"], "x", "y", most_rows=4)
+    assert "FlatMapGroups" in _plan(got) and "checkpoint" not in _plan(got) and "Generate" not in _plan(got)  # no passes over all rows
+    for row in got.collect():
+        assert np.allclose([row["slope"], row["intercept"], row["deviation"]], st.robust_fit_arrays(*groups[row["k"]]), atol=1e-6)
