@@ -148,8 +148,9 @@ def clusters(signed: DataFrame) -> DataFrame:
     tied = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")).where("hub != last")
     tied = checkpointed(tied.select("key", "hub", "n"))
     n = signed.where("keys IS NOT NULL").count() * BANDS
-    ties = spread_join(rows, tied, "key", ["hub"], "n", n).where("hub != node").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    return components(ties)
+    ties = spread_join(rows, tied, "key", ["hub"], "n", n).where("hub != node").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # a node's ties together, so that a batch ties their hubs
+    return components(ties.repartition("a").sortWithinPartitions("a"))
 
 
 def connecting(sets: list[np.ndarray], sketch: np.ndarray, percent: int, label: np.ndarray, first: int | None = None) -> list[tuple[int, int]]:

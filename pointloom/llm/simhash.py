@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 #: Most fingerprints of a bucket that are compared in one go.
 CHUNK = 4096
+#: Edges of a task in the star steps, and their tasks at least.
+TASK_EDGES, LEAST_TASKS = 50_000, 12
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
@@ -185,27 +188,61 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk_rows: int = CHUNK) -> Da
     return edges.distinct()
 
 
+def _forests():
+    """Of each partition's edges (a, b): every node with the least one that it reaches there, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            up: dict = {}
+
+            def top(x):
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                up.setdefault(a, a)
+                up.setdefault(b, b)
+                a, b = top(a), top(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+            found = [(x, top(x)) for x in up]
+            found = [(x, y) for x, y in found if x != y]
+            kinds = [batch.schema.field(c).type for c in "ab"]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in (0, 1)], ["u", "v"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """For every node of the edges (a, b): node and root, the smallest node reachable.
 
-    Rounds go on until nothing changes, which takes at most the square of the logarithm of the number of nodes.
+    Batches of edges are first replaced by forests of their own, so that what the rounds have to join is little. Rounds
+    go on until all nodes point to roots, which takes at most the square of the logarithm of the number of nodes.
     """
-    e = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before, n = None, e.count()
+    kind = edges.schema["a"].dataType.simpleString()
+    own = edges.where("a != b").select("a", "b").mapInArrow(_forests(), f"u {kind}, v {kind}")
+    parts = shuffle_partitions(edges.sparkSession)
+    e = checkpointed(own.distinct())
+    n = e.count()
     while True:
+        # as many tasks as the edges left call for, not as many as a table of documents does
+        tasks = min(parts, max(LEAST_TASKS, -(-n // TASK_EDGES)))
+        few = lambda df: df.coalesce(tasks)  # noqa: B023, E731
+        e = few(e)
+        # all are stars where no node points to two others, or to one that points on
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out")))
+        open_ = few(ends.groupBy("x").agg(F.sum("out").alias("out"), F.min("out").alias("least"))).where("out > 1 OR out = 1 AND least = 0")
+        if not open_.limit(1).count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # a component's links gather at its hub, whose rows are dealt out
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")).select("u", F.least("u", "m").alias("m"), "w")
-        large = spread_join(both, least, "u", ["m"], "w", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
-        small = spread_join(large, root, "u", ["m"], "w", 2 * n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        n = now[0]
-        if now == before:
-            # every node now points to its root; roots point to themselves
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+        least = few(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))).select("u", F.least("u", "m").alias("m"), "w")
+        large = few(few(spread_join(both, least, "u", ["m"], "w", 2 * n)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        root = few(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")))
+        small = few(spread_join(large, root, "u", ["m"], "w", 2 * n)).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = checkpointed(few(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct()))
+        n = e.count()
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, chunk_rows: int = CHUNK) -> DataFrame:

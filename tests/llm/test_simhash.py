@@ -86,3 +86,17 @@ def test_documents_with_odd_rows(spark):
     key = lambda r: (str(r[0]), r[1])
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sh.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_edges_that_a_batch_connects_need_no_round(spark, monkeypatch):
+    def joined(*args):
+        raise AssertionError("a round of star steps")
+
+    edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95)]
+    df = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    monkeypatch.setattr(sh, "spread_join", joined)
+    got = {r["node"]: r["root"] for r in sh.components(df).collect()}
+    assert got == {k: 0 for k in range(41)} | {90: 90, 95: 90, 100: 90}
+    monkeypatch.undo()
+    parted = {r["node"]: r["root"] for r in sh.components(df.repartition(7)).collect()}
+    assert parted == got
