@@ -43,7 +43,7 @@ def io01b(spark, d):
 @query("io01_multiset_in_splits", ORACLE["io01_multiset"])
 def io01c(spark, d):
     at = folder(spark, "multiset")
-    rd.write_multiset(scatter(spark, d), at, sets_a_file=1 << 40)  # a single file
+    rd.write_multiset_file(scatter(spark, d), at)
     return splits.read_multiset_splits(spark, at, 64 << 10).select("name", "idx", "x", "y", "e")
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pointloom.operators.points import checkpointed, with_positions
 
 POINTS = "file string, set_no long, name string, idx long, x double, y double, e double, l double, n double, run_id long, columns array<double>"
+#: Bytes of text that are passed on at once.
+TEXT_BLOCK = 256 << 10
 # How the text format writes infinite and missing numbers.
 _SIGNS = {"++": math.inf, "+.+": math.inf, "---": -math.inf, "--.-": -math.inf}
 _DIRECTIVE = re.compile(r"\*([A-Z0-9_]+)\*\s*(.*)")
@@ -183,7 +185,10 @@ def numbered(points: DataFrame) -> DataFrame:
     points = checkpointed(points)
     sets = with_positions(points.select("file", "set_no").distinct(), ["file", "set_no"], "set_id")
     files = with_positions(points.select("file").distinct(), ["file"], "file_id")
-    return points.join(sets, ["file", "set_no"]).join(files, "file")
+    known = sets.join(files, "file")  # one row a set
+    # dealt by rows: paths shrink so much on disk that tasks cut by bytes would hold very many
+    dealt = points.repartition(_tasks(points.sparkSession, points.count()), "file", "set_no")
+    return dealt.join(known, ["file", "set_no"])
 
 
 def read_delimited(spark: SparkSession, path: str, columns: list | None = None, sep: str = "\t", decimal_comma: bool = False) -> DataFrame:
@@ -286,16 +291,57 @@ def write_processed(df: DataFrame, path: str, folders: int | None = None) -> Non
         kept.withColumn("folder", part).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
+#: Rows that a task of a shuffle takes: their memory does not grow with the table, as it does where sizes on disk decide.
+TASK_ROWS = 500_000
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows // 10_000), -(-rows // TASK_ROWS))
+
+
+def _multiset_lines(df: DataFrame):
+    line = F.concat_ws(" ", "x", "y", "e")
+    return F.when(F.col("idx") == 0, F.concat_ws("\n", F.lit(""), F.concat(F.lit('"set '), "set_id"), line)).otherwise(line)
+
+
 def write_multiset(df: DataFrame, path: str, sets_a_file: int = 25) -> None:
     """Sets (set_id, idx, x, y, e) in the text format: a name, points, a blank line; some neighbouring sets a file.
 
-    The lines of a file are sorted in a task, so nothing is gathered in a row.
+    The lines of a file are sorted in a task, so nothing is gathered in a row; :func:`write_multiset_file` writes a
+    file too large for that.
     """
-    line = F.concat_ws(" ", "x", "y", "e")
-    lines = F.when(F.col("idx") == 0, F.array(F.lit(""), F.concat(F.lit('"set '), "set_id"), line)).otherwise(F.array(line))
-    rows = df.select(F.lpad(F.floor(F.col("set_id") / sets_a_file).cast("string"), 12, "0").alias("part"), "set_id", "idx", lines.alias("lines"))
-    dealt = rows.repartition("part").sortWithinPartitions("part", "set_id", "idx")
-    dealt.select("part", F.explode("lines").alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+    rows = df.select(F.lpad(F.floor(F.col("set_id") / sets_a_file).cast("string"), 12, "0").alias("part"), "set_id", "idx", _multiset_lines(df).alias("value"))
+    dealt = rows.repartition(_tasks(df.sparkSession, df.count()), "part").sortWithinPartitions("part", "set_id", "idx")
+    dealt.select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
+
+
+def write_multiset_file(df: DataFrame, path: str) -> None:
+    """As :func:`write_multiset` in a single file of any size.
+
+    Ranges of sets are sorted and written by tasks; one task then strings these pieces together in their order, a
+    block of text at a time, and holds no more. The pieces stand beside ``path`` and are reached by PyArrow.
+    """
+    from pointloom.sources.datasource import data_files, file_system
+
+    spark = df.sparkSession
+    pieces = f"{path.rstrip('/')}-pieces"
+    rows = df.select("set_id", "idx", _multiset_lines(df).alias("value"))
+    rows.repartitionByRange(_tasks(spark, df.count()), "set_id", "idx").sortWithinPartitions("set_id", "idx").select("value").write.text(pieces)
+
+    def strung(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for folder in frame["folder"]:
+                fs, _ = file_system(folder)
+                for file, _ in data_files(folder):  # in the order of their names, which is that of the ranges
+                    with fs.open_input_stream(file) as f:
+                        rest = b""
+                        while block := f.read(TEXT_BLOCK):
+                            whole, end, rest = (rest + block).rpartition(b"\n")
+                            if end:
+                                yield pd.DataFrame({"value": [whole.decode()]})
+
+    one = spark.createDataFrame([(pieces,)], "folder string").coalesce(1)
+    one.mapInPandas(strung, "value string").write.mode("overwrite").text(path)
 
 
 def cut_columns(lines: DataFrame, fields: list[int], sep: str = "\t", missing: str = "0", comment: str = "#", no_data: str | None = None, replacement: str | None = None) -> DataFrame:

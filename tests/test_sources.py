@@ -165,3 +165,15 @@ def test_scalars_at_their_edges(spark):
     assert v(F.size(sc.line_in_circle(F.lit(-5.0), F.lit(0.0), F.lit(5.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))) == 2
     assert v(F.size(sc.line_in_circle(F.lit(-5.0), F.lit(1.0), F.lit(5.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))) == 1
     assert v(sc.strided(F.array(*map(F.lit, range(5))), -2)) == [4, 2, 0]
+
+
+def test_a_large_multiset_file_is_strung_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rd, "TASK_ROWS", 40)
+    assert rd._tasks(spark, 10_000_000) == 250_000  # tasks grow with the rows, not with their size on disk
+    df = spark.range(300).selectExpr("id % 7 AS set_id", "id div 7 AS idx", "id * 0.5 AS x", "id + 1.0 AS y", "0.25D AS e")
+    rd.write_multiset_file(df, f"{tmp_path}/one")
+    rd.write_multiset(df, f"{tmp_path}/sorted", sets_a_file=1 << 40)
+    text = lambda at: "".join(p.read_text() for p in sorted((tmp_path / at).rglob("part-*.txt")))
+    assert text("one") == text("sorted") and len([p for p in (tmp_path / "one").rglob("part-*.txt") if p.stat().st_size]) == 1
+    got = rd.read_multiset(spark, f"{tmp_path}/one").selectExpr("set_id", "idx", "x", "y", "e", "file_id")
+    assert sorted(map(tuple, got.collect())) == sorted((*r, 0) for r in df.collect())
