@@ -242,8 +242,8 @@ def _shuffled_stream(spark, d):
 
 
 @contextlib.contextmanager
-def _several_states(spark):
-    """A state store that keeps several states a key."""
+def _states_on_disk(spark):
+    """A state store that holds more than memory does."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -255,7 +255,7 @@ def _several_states(spark):
 
 @query("st02_out_of_order", ORACLE["st02_recursive_filter"])
 def st02b(spark, d):
-    with _several_states(spark):
+    with _states_on_disk(spark):
         got = _collected(spark, jobs.low_pass_in_order(_shuffled_stream(spark, d), "user_id", "ts", "value", 3600.0, "4 days"), "append", "filtered")
     return got.select("key", r("t", 3).alias("t"), r("filtered", 4).alias("filtered"), "late")
 
@@ -263,7 +263,7 @@ def st02b(spark, d):
 @query("st03_out_of_order", ORACLE["st03_changes"])
 def st03b(spark, d):
     stream = _shuffled_stream(spark, d).withColumn("level", F.floor(F.col("value") / 100))
-    with _several_states(spark):
+    with _states_on_disk(spark):
         got = _collected(spark, jobs.changes_in_order(stream, "user_id", "ts", "level", "4 days"), "append", "changes")
     return got.select("key", r("t", 3).alias("t"), "value", "run_id")
 

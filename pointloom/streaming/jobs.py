@@ -7,13 +7,14 @@ State is small per key and can time out. Streams out of order have :func:`low_pa
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pointloom.operators.stats import mean, stdev, sums
@@ -89,70 +90,68 @@ def change_stream(stream: DataFrame, key: str, t: str, x: str, count_late: bool
     return out if count_late else out.drop("late")
 
 
-class _InOrder(StatefulProcessor):
-    """Rows wait in a list until the watermark has passed them and are then applied in the order of time.
+#: States that the keys of a stream out of order share, by a hash; a state is read and written whole.
+STATES = 1024
 
-    ``step(state, t, v)`` gets and returns (last, value, number) and a result row or None. A row older than what has
-    been applied is late: it is dropped and counted. With ``idle_s`` a key without rows for so long is forgotten.
-    """
-
-    def __init__(self, step: Callable, start: tuple, names: list[str], idle_s: float | None):
-        self.step, self.start, self.names, self.idle_s = step, start, names, idle_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "t double, v double")
-        self.state = handle.getValueState("state", "last double, value double, number long, late long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(float(t), float(v)) for frame in rows for t, v in zip(frame["t"], frame["v"])]
-        yield self._applied(key, new, timerValues)
+def _in_order(stream: DataFrame, key: str, time: str, x: str, delay: str, step: Callable, start: tuple, result: str, idle_s: float | None, n_states: int = STATES) -> DataFrame:
+    """Rows wait in state until the watermark has passed them and are then applied in the order of time.
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._applied(key, [], timerValues)
-
-    def _applied(self, key, new: list[tuple[float, float]], timer_values) -> pd.DataFrame:
-        mark = timer_values.getCurrentWatermarkInMs() / 1000
-        *state, late = self.state.get() if self.state.exists() else (*self.start, 0)
-        late += sum(t < state[0] for t, _ in new)
-        held = [row for row in (*(self.waiting.get() if self.waiting.exists() else ()), *new) if row[0] >= state[0]]
-        held.sort(key=lambda row: row[0])
-        ready = sum(t <= mark for t, _ in held)
-        out = []
-        for t, v in held[:ready]:
-            state, row = self.step(tuple(state), t, v)
-            if row is not None:
-                out.append((*key, *row, late))
-        self.waiting.clear()
-        if held[ready:]:
-            self.waiting.put([(float(t), float(v)) for t, v in held[ready:]])
-        self.state.update((float(state[0]), float(state[1]), int(state[2]), int(late)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held[ready:]:
-            self.handle.registerTimer(int(held[ready][0] * 1000) + 1)
-        elif self.idle_s is not None and state[0] + self.idle_s <= mark:
-            self.state.clear()
-        elif self.idle_s is not None:
-            self.handle.registerTimer(int((state[0] + self.idle_s) * 1000) + 1)
-        return pd.DataFrame(out, columns=self.names)
-
-    def close(self) -> None:
-        pass
-
-
-def _in_order(stream: DataFrame, key: str, time: str, x: str, delay: str, step: Callable, start: tuple, result: str, idle_s: float | None) -> DataFrame:
+    ``step(state, t, v)`` gets and returns (last, value, number) of a key and a result row or None. A row older than
+    what has been applied is late: it is dropped and counted. With ``idle_s`` a key without rows for so long is
+    forgotten. A call has the keys of one of ``n_states`` hashes, so that calls do not grow in number with the keys.
+    """
     kind = stream.schema[key].dataType.simpleString()
     rows = stream.withWatermark(time, delay).select(F.col(key).alias("key"), F.col(time).alias("time"), (F.unix_micros(time) / 1e6).alias("t"), F.coalesce(F.col(x).cast("double"), F.lit(float("nan"))).alias("v"))
+    # missing keys have a state of their own, so that pandas keeps the others' type
+    rows = rows.withColumn("state", F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(n_states))).otherwise(-1))
     names = [c.split()[0] for c in f"key {kind}, {result}, late long".split(", ")]
-    return rows.groupBy("key").transformWithStateInPandas(_InOrder(step, start, names, idle_s), f"key {kind}, {result}, late long", "Append", "EventTime")
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark_ms = state.getCurrentWatermarkMs()
+        mark = mark_ms / 1000
+        # of each key (last, value, number) and its late rows; the waiting rows are in the order of time
+        known, late, keys, held = pickle.loads(state.get[0]) if state.exists else ({}, {}, [], np.empty((0, 2)))
+        if not state.hasTimedOut:
+            for frame in frames:
+                new = [None] * len(frame) if k[0] < 0 else [c if c == c else math.nan for c in frame["key"].tolist()]  # one NaN
+                keys, held = keys + new, np.concatenate([held, frame[["t", "v"]].to_numpy(float)])
+                for c, t in zip(new, frame["t"].tolist()):
+                    known.setdefault(c, start)
+                    late[c] = late.get(c, 0) + (t < known[c][0])
+            order = np.argsort(held[:, 0], kind="stable")
+            order = [i for i, t in zip(order.tolist(), held[order, 0].tolist()) if t >= known[keys[i]][0]]
+            keys, held = [keys[i] for i in order], held[order]
+        ready = int(np.searchsorted(held[:, 0], mark, "right"))
+        out = []
+        for c, (t, v) in zip(keys[:ready], held[:ready].tolist()):
+            known[c], row = step(known[c], t, v)
+            if row is not None:
+                out.append((c, *row, late[c]))
+        keys, held = keys[ready:], held[ready:]
+        due = [held[0, 0]] if keys else []
+        if idle_s is not None:
+            waiting = set(keys)
+            for c in [c for c, own in known.items() if c not in waiting and own[0] + idle_s <= mark]:
+                del known[c], late[c]
+            due += [own[0] + idle_s for c, own in known.items() if c not in waiting]
+        if known:
+            state.update((pickle.dumps((known, late, keys, held)),))
+            if due:  # called again when the watermark is beyond this time, which may not lie behind the present watermark
+                state.setTimeoutTimestamp(max(math.ceil(min(due) * 1000) - 1, mark_ms, 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            # keys as objects: Spark puts the frames of several calls together, some of missing keys
+            yield pd.DataFrame(out, columns=names).astype({"key": object})
+
+    return rows.groupBy("state").applyInPandasWithState(run, f"key {kind}, {result}, late long", "rows binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def low_pass_in_order(stream: DataFrame, key: str, time: str, x: str, tau: float, delay: str, idle_s: float | None = None) -> DataFrame:
     """As :func:`low_pass_stream` for rows that come out of order, by up to ``delay`` of the event time (a timestamp).
 
-    A row is given out once the watermark has passed it. The session needs a state store that keeps several states a
-    key (RocksDB's).
+    A row is given out once the watermark has passed it.
     """
 
     def step(state: tuple, t: float, v: float) -> tuple[tuple, tuple]:

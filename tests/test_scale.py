@@ -202,3 +202,31 @@ def test_many_ranges_and_files_share_partitions(spark, tmp_path):
     ranges = [datasource.FileRange("f", k, k + 1) for k in range(1000)] + [datasource.FileRange("g", 0, 10**9)]
     parts = datasource.bundled(ranges, 7)
     assert len(parts) <= 7 and sum(r.end - r.start for p in parts for r in p.ranges) == 1000 + 10**9
+
+
+@pytest.mark.parametrize("idle", [None, 1e6])
+def test_streams_out_of_order_keep_few_states(spark, tmp_path, idle):
+    rng = random.Random(4)
+    at = f"{tmp_path}/in"
+    rows = [(k if k % 50 else None, float(t), float(rng.randrange(2))) for k in range(2500) for t in rng.sample(range(10, 1000), 3)]
+    rows += [(None, 1000.0 + t, float(t % 3)) for t in range(0, 40, 2)]
+    rows = list({(k, t): (k, t, v) for k, t, v in rows}.values())  # one row of a key and time
+    rng.shuffle(rows)
+    batches = [rows[::3], rows[1::3], rows[2::3], [(-1, 1e5, 0.0)]]
+    for batch in batches:  # one after another, as a stream takes files in the order of their times
+        df = spark.createDataFrame(batch, "key long, t double, v double").withColumn("time", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+        df.coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema("key long, t double, v double, time timestamp").option("maxFilesPerTrigger", 1).parquet(at)
+    q = jobs.changes_in_order(stream, "key", "time", "v", "2000 seconds", idle).writeStream.format("parquet").outputMode("append")
+    q = q.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+    q.awaitTermination()
+    last, want = {}, []
+    for k, t, v in sorted(rows, key=lambda r: r[1]):
+        value, run = last.get(k, (None, -1))
+        if v != value:
+            run += 1
+            want.append((k, t, v, run, 0))
+        last[k] = (v, run)
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("key", "t", "value", "run_id", "late").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= jobs.STATES + 1
