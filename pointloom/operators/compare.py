@@ -6,22 +6,99 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from pointloom.operators.joins import nearest, paired
 from pointloom.operators.points import checkpointed
+from pointloom.operators.scans import begun
 from pointloom.operators.selection import shift_rotate
 from pointloom.operators.stats import TAU, fold, mean, stdev, sums
 
 
-def closest_points(df: DataFrame, pairs: DataFrame, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """For each pair (set_a, set_b) and each point of either set the closest point of the other: direction 12 or 21."""
-    side = lambda own, d: pairs.join(df.select(F.col("set_id").alias(own), "idx", "x", "y", *extra), own).withColumn("direction", F.lit(d))
+#: Points of a set up to which its pairs are whole in a task.
+WHOLE = 4096
+
+
+def closest_points(df: DataFrame, pairs: DataFrame, extra: list[str] = [], whole: int = WHOLE) -> DataFrame:  # noqa: B006
+    """For each pair (set_a, set_b) and each point of either set the closest point of the other: direction 12 or 21.
+
+    Pairs of sets of up to ``whole`` points are met whole, many a task, in one shuffle of the points; pairs of longer
+    sets are searched by :func:`nearest`, which deals a set over tasks.
+    """
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    known = df.select("set_id", "idx", "x", "y", *extra).where(there("x") & there("y"))
+    long = checkpointed(known.groupBy("set_id").count().where(F.col("count") > whole).select("set_id"))
+    if not long.take(1):
+        return _closest_in_whole_pairs(known, pairs, extra)
+    own = lambda c: long.select(F.col("set_id").alias(c))
+    rest = pairs.join(own("set_a"), "set_a", "left_anti")
+    large = pairs.join(own("set_a"), "set_a", "left_semi").unionByName(rest.join(own("set_b"), "set_b", "left_semi"))
+    small = rest.join(own("set_b"), "set_b", "left_anti")
+    side = lambda own, d: large.join(known.withColumnRenamed("set_id", own), own).withColumn("direction", F.lit(d))
     # the points of both sets, told apart by the direction in which they ask and are asked
     asked = side("set_a", 12).unionByName(side("set_b", 21))
     given = side("set_b", 12).unionByName(side("set_a", 21))
-    return nearest(asked, given, ["set_a", "set_b", "direction"], ref_id=["idx", "x", "y", *extra])
+    return _closest_in_whole_pairs(known, small, extra).unionByName(nearest(asked, given, ["set_a", "set_b", "direction"], ref_id=["idx", "x", "y", *extra]))
+
+
+def _closest_in_whole_pairs(known: DataFrame, pairs: DataFrame, extra: list[str], at_once: int = 1 << 20) -> DataFrame:
+    """closest_points() of pairs that each fit a task, which goes through many of them, sorted."""
+    columns = ["idx", "x", "y", *extra]
+    side = lambda own, k: pairs.select("set_a", "set_b", F.col(own).alias("set_id"), F.lit(k).alias("_side"))
+    rows = known.join(side("set_a", 0).unionByName(side("set_b", 1)), "set_id").select("set_a", "set_b", "_side", *columns, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    # the first one of equals has the least id
+    rows = rows.repartition("set_a", "set_b").sortWithinPartitions("set_a", "set_b", "_side", *columns)
+
+    def met(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each point of either set (the first n points are the first set's) the place of its closest, and their square distance."""
+        ax, ay, bx, by = x[:n], y[:n], x[n:], y[n:]
+        to, least = np.empty(len(x), np.int64), np.full(len(x), np.inf)
+        step = max(1, at_once // len(bx))
+        for k in range(0, n, step):
+            d = (ax[k : k + step, None] - bx) ** 2 + (ay[k : k + step, None] - by) ** 2
+            best = d.argmin(axis=1)
+            to[k : k + len(d)], least[k : k + len(d)] = n + best, d[np.arange(len(d)), best]
+            back = d.argmin(axis=0)
+            found = d[back, np.arange(len(bx))]
+            nearer = np.flatnonzero((found < least[n:]) | (k == 0))
+            to[n + nearer], least[n + nearer] = k + back[nearer], found[nearer]
+        return to, least
+
+    def closest(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+        side, x, y = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_side", "_x", "_y"))
+        asks, given, least = [], [], []
+        for a, b in zip(starts[:-1], starts[1:]):
+            n = int(np.searchsorted(side[a:b], 1))
+            if 0 < n < b - a:
+                to, d = met(x[a:b], y[a:b], n)
+                asks.append(np.arange(a, b))
+                given.append(a + to)
+                least.append(d)
+        asks, given, least = (np.concatenate([np.empty(0, t), *v]) for v, t in ((asks, np.int64), (given, np.int64), (least, float)))
+        own, other = rows.take(pa.array(asks)), rows.take(pa.array(given))
+        got = {c: own.column(c) for c in ("set_a", "set_b", *columns)} | {"direction": pa.array(np.where(side[asks] == 0, 12, 21).astype(np.int32))}
+        got |= {f"ref_{c}": other.column(c) for c in columns} | {"distance": pa.array(np.sqrt(least))}
+        return pa.RecordBatch.from_arrays(list(got.values()), list(got))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = []
+        for batch in batches:
+            held = pa.Table.from_batches([*left, batch]).combine_chunks().to_batches()
+            if not held:
+                continue
+            starts = begun(held[0], ["set_a", "set_b"]).tolist()
+            left = [held[0].slice(starts[-1])]  # a pair may go on in the next batch
+            if len(starts) > 1:
+                yield closest(held[0], starts)
+        if left:
+            yield closest(left[0], [0, left[0].num_rows])
+
+    of = rows.schema
+    fields = [of["set_a"], of["set_b"], *[of[c] for c in columns], StructField("direction", IntegerType())]
+    return rows.mapInArrow(run, StructType([*fields, *[StructField(f"ref_{c}", of[c].dataType) for c in columns], StructField("distance", DoubleType())]))
 
 
 def _transformed(d: Column, transform: str | None, parameter: float) -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import joins, order_stats, scans, smooth, spectral
+from pointloom.operators import compare, joins, order_stats, scans, smooth, spectral
 from pointloom.operators import stats as st
 from pointloom.operators import windows as wn
 from pointloom.sources import datasource, splits
@@ -230,3 +230,24 @@ def test_streams_out_of_order_keep_few_states(spark, tmp_path, idle):
     got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("key", "t", "value", "run_id", "late").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= jobs.STATES + 1
+
+
+def test_closest_points_of_whole_and_dealt_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(s, k, rng.choice([None, float("nan"), *map(float, range(6))]), float(rng.randrange(6)), 10.0 * (s or 0) + k) for s, n in ((1, 30), (2, 45), (3, 1), (4, 12), (None, 5)) for k in range(n)]
+    df = spark.createDataFrame([*rows, (5, 0, None, 1.0, 0.0)], "set_id long, idx long, x double, y double, a double").repartition(5)
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (2, 2), (3, 4), (4, 1), (1, 5), (1, 9), (None, 1)], "set_a long, set_b long")
+    there = [r for r in rows if r[2] is not None and r[2] == r[2]]
+    want = []
+    for a, b in ((1, 2), (2, 1), (2, 2), (3, 4), (4, 1)):
+        for direction, own, other in ((12, a, b), (21, b, a)):
+            for _, k, x, y, v in (r for r in there if r[0] == own):
+                d, *ref = min(((x - r[2]) ** 2 + (y - r[3]) ** 2, *r[1:]) for r in there if r[0] == other)
+                want.append((a, b, direction, k, x, y, v, *ref, round(d**0.5, 9)))
+    names = ["set_a", "set_b", "direction", "idx", "x", "y", "a", "ref_idx", "ref_x", "ref_y", "ref_a", "distance"]
+    for most in (compare.WHOLE, 20):  # all pairs whole; those of sets of more than 20 points dealt over tasks
+        assert _rows(compare.closest_points(df, pairs, ["a"], most).select(*names)) == sorted(want, key=str)
+    assert _rows(compare._closest_in_whole_pairs(df.where("x IS NOT NULL AND NOT isnan(x)"), pairs, ["a"], 40).select(*names)) == sorted(want, key=str)
+    monkeypatch.setattr(compare, "nearest", None)  # short sets need no search over tasks
+    assert compare.closest_points(df, pairs).count() == len(want)
+    assert compare.closest_points(df, pairs.limit(0)).count() == 0
