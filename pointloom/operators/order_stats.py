@@ -1,10 +1,9 @@
-"""Exact order statistics of bins of any size, by distributed selection.
+"""Exact order statistics of bins of any size, by ranges of values.
 
-A bin of up to ``most_rows`` values is sorted in a task. For larger ones the rank sought is closed in on: a sketch of
-the bin's quantiles gives two values about it, an exact count tells how many values lie below, at, between and above
-them, and either one of the two is the answer or only the values strictly between go on. A pass leaves about a
-hundredth of a bin's values; all bins and ranks narrow at once, and nothing of a bin is ever gathered before it is
-small.
+A bin of up to ``most_rows`` values is sorted in a task. The values of larger ones are counted and dealt over ranges,
+in the order of bin and value, so that a large bin has many ranges and many a bin shares one. How many values a bin
+has in each range tells the range that holds a rank, and only there the bin's values are sorted. All bins and ranks
+go at once, and nothing of a bin is gathered beyond its share of a range.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pointloom.operators.points import checkpointed
 
 MOST_ROWS = 1_000_000
 GRID = 512
-#: Large bins up to which the tables about them are broadcast (some hundred bytes a bin).
+#: Large bins, or ranks of theirs, up to which the tables about them are broadcast (some hundred bytes a row).
 BROADCAST_BINS = 100_000
 
 
@@ -25,56 +24,23 @@ def _spread(rows: DataFrame, table: DataFrame, keys: list[str], n_table: int) ->
     return rows.join(F.broadcast(table) if n_table <= BROADCAST_BINS else table, keys)
 
 
-def selected(values: DataFrame, targets: DataFrame, keys: list[str], most_rows: int = MOST_ROWS, grid: int = GRID) -> DataFrame:
-    """The values at given ranks: ``values`` has keys (never null) and v; ``targets`` has keys, rank (from 0) and n,
-    how many values the key has. Returns keys, rank and v."""
-    cells = [k / grid for k in range(grid + 1)]
-    names = [*keys, "rank"]
-    # a target is followed by its own key, so its candidates may differ from those of others of its bin
-    todo = checkpointed(targets.select(*keys, "rank", F.col("rank").alias("k"), "n"))
-    known: list[DataFrame] = []
-    rows, key, margin = values, keys, 1
-    while True:
-        small = todo.where(F.col("n") <= most_rows)
-        n_small, n_large = small.count(), todo.where(F.col("n") > most_rows).count()
-        if n_small:
-            bins = small.select(*key).distinct()
-            own = _spread(rows, bins, key, n_small)
-            placed = own.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("v")) - 1)
-            known.append(placed.join(small, [*key, "k"]).select(*names, "v"))
-        if not n_large:
-            break
-        large = todo.where(F.col("n") > most_rows)
-        sketched = _spread(rows, large.select(*key).distinct(), key, n_large).groupBy(*key).agg(F.percentile_approx("v", cells, 10 * grid).alias("g"))
-        at = F.floor(F.col("k") * grid / F.greatest(F.col("n") - 1, F.lit(1))).cast("int")
-        low = F.when(at - margin < 0, F.lit(float("-inf"))).otherwise(F.get("g", F.greatest(at - margin, F.lit(0))))
-        high = F.when(at + 1 + margin > grid, F.lit(float("inf"))).otherwise(F.get("g", F.least(at + 1 + margin, F.lit(grid))))
-        ends = checkpointed(large.join(sketched, key).select(*names, "k", "n", low.alias("low"), high.alias("high")))
-        # a bin has a few targets, so a row meets a few ends
-        met = _spread(rows, ends.select(*names, "low", "high"), key, n_large)
-        v = F.col("v")
-        inside = (v > F.col("low")) & (v < F.col("high"))
-        one = lambda c: F.count(F.when(c, 1))
-        counts = met.groupBy(*names).agg(one(v < F.col("low")).alias("below"), one(v == F.col("low")).alias("at_low"), one(inside).alias("inside"), one((v == F.col("high")) & (v > F.col("low"))).alias("at_high"))
-        k = F.col("k") - F.col("below")
-        where = F.when(k < 0, "wider").when(k < F.col("at_low"), "low").when(k < F.col("at_low") + F.col("inside"), "inside").when(k < F.col("at_low") + F.col("inside") + F.col("at_high"), "high").otherwise("wider")
-        placed = checkpointed(ends.join(counts, names).withColumn("where", where))
-        known.append(placed.where("where IN ('low', 'high')").select(*names, F.when(F.col("where") == "low", F.col("low")).otherwise(F.col("high")).alias("v")))
-        wider = placed.where(F.col("where") == "wider").count()  # the sketch was off by more than the margin
-        going = placed.where(F.col("where") == "inside")
-        kept = met.join(F.broadcast(going.select(*names)) if n_large <= BROADCAST_BINS else going.select(*names), names).where(inside)
-        rest = kept.select(*names, "v")
-        if wider:
-            again = placed.where(F.col("where") == "wider").select(*names)
-            rest = rest.unionByName(met.join(again, names).select(*names, "v"))
-            margin = min(grid, 4 * margin)
-        rows = checkpointed(rest)
-        todo = checkpointed(placed.where("where IN ('inside', 'wider')").select(*names, F.when(F.col("where") == "inside", F.col("k") - F.col("below") - F.col("at_low")).otherwise(F.col("k")).alias("k"), F.when(F.col("where") == "inside", F.col("inside")).otherwise(F.col("n")).alias("n")))
-        key = names
-    out = known[0]
-    for more in known[1:]:
-        out = out.unionByName(more)
-    return out
+def selected(values: DataFrame, targets: DataFrame, keys: list[str], grid: int = GRID) -> DataFrame:
+    """The values at given ranks: ``values`` has keys (never null) and v; ``targets`` has keys and rank (from 0).
+    Returns keys, rank and v. Values are dealt over ``grid`` ranges at least."""
+    targets = checkpointed(targets.select(*keys, "rank"))
+    n_targets = targets.count()
+    ranges = max(grid, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # equal values are one row, so that no value is more than a range
+    counted = values.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    dealt = checkpointed(counted.repartitionByRange(ranges, *keys, "v").withColumn("range", F.spark_partition_id()))
+    cell = [*keys, "range"]
+    upto = lambda c, order: F.sum(c).over(Window.partitionBy(*(k for k in cell if k != order)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = dealt.groupBy(*cell).agg(F.sum("c").alias("n")).withColumn("end", upto("n", "range"))
+    within = (F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n"))
+    found = checkpointed(_spread(sizes, targets, keys, n_targets).where(within).select(*cell, "rank", (F.col("rank") - F.col("end") + F.col("n")).alias("at")))
+    held = _spread(dealt, found.select(*cell).distinct(), cell, n_targets).withColumn("end", upto("c", "v"))
+    at = (F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("c"))
+    return _spread(held, found, cell, n_targets).where(at).select(*keys, "rank", "v")
 
 
 def quantiles(df: DataFrame, by: list[str], x: str | Column, ps: list[float], most_rows: int = MOST_ROWS, grid: int = GRID) -> DataFrame:
@@ -89,20 +55,22 @@ def quantiles(df: DataFrame, by: list[str], x: str | Column, ps: list[float], mo
     rows = rows.where("v IS NOT NULL")
     large = sizes.where(F.col("n") > most_rows).select("bin", "n")
     n_large = large.count()
+    n_small = sizes.where(F.col("n") <= most_rows).count()
     out = rows
-    if n_large:
+    if n_large and n_small:
         out = rows.join(F.broadcast(large.select("bin")) if n_large <= BROADCAST_BINS else large.select("bin"), "bin", "left_anti")
     found = out.groupBy("bin").agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in ps])).alias("q"))
     if n_large:
         place = [F.col("n").cast("double") * p - p for p in ps]
         ranks = F.array_distinct(F.array(*[f(h).cast("long") for h in place for f in (F.floor, F.ceil)]))
         targets = large.select("bin", "n", F.explode(ranks).alias("rank"))
-        held = _spread(rows, large.select("bin"), ["bin"], n_large)
-        got = selected(held, targets, ["bin"], most_rows, grid).groupBy("bin").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))  # two entries a quantile
+        held = _spread(rows, large.select("bin"), ["bin"], n_large) if n_small else rows
+        got = selected(held, targets, ["bin"], grid).groupBy("bin").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))  # two entries a quantile
         got = got.join(large, "bin")
         low, high = ([F.element_at("at", f(h).cast("long")) for h in place] for f in (F.floor, F.ceil))
         between = [a + F.when(b > a, (b - a) * (h - F.floor(h))).otherwise(0.0) for a, b, h in zip(low, high, place)]
-        found = found.unionByName(got.select("bin", F.array(*between).alias("q")))
+        got = got.select("bin", F.array(*between).alias("q"))
+        found = found.unionByName(got) if n_small else got
     out = sizes.join(found, "bin", "left")
     return out.select(*([f"bin.{k}" for k in by]), "n", "q")
 

@@ -86,7 +86,7 @@ def a09(spark, d):
     return st.median_deviation(scatter(spark, d), ["set_id"], "x").select("set_id", "median", r("adev", 8).alias("adev"))
 
 
-# Bins of more than 50 values count as large here, so that they are narrowed, in steps of an eighth.
+# Bins of more than 50 values count as large here, so that they are dealt over ranges, eight of them at least.
 @query("a07_median_of_large_bins", ORACLE["a07_median"])
 def a07b(spark, d):
     return os_.medians(scatter(spark, d), ["set_id"], "y", 50, 8).select("set_id", r("median").alias("median"))

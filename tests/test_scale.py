@@ -63,6 +63,19 @@ def test_order_statistics_of_large_bins(spark):
     assert order_stats.quantiles(df.limit(0), ["k"], "x", ps).count() == 0
 
 
+def test_order_statistics_take_as_many_steps_for_larger_bins(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(order_stats, "checkpointed", lambda df, f=order_stats.checkpointed: (steps.append(1), f(df))[1])
+    rng = random.Random(6)
+    for n in (100, 4000):
+        xs = [[rng.gauss(0, 1) if rng.random() < 0.7 else 0.5 for _ in range(n)] for _ in range(3)]
+        df = spark.createDataFrame([(k if k else None, x) for k, own in enumerate(xs) for x in own], "k long, x double")
+        got = {r["k"]: (r["median"], r["adev"]) for r in order_stats.median_deviations(df, ["k"], "x", 2.0, 20, 8).collect()}
+        for k, own in enumerate(xs):
+            assert np.allclose(got[k or None], (np.median(own), 2 * np.median(np.abs(np.array(own) - np.median(own)))), atol=1e-12)
+    assert len(steps) == 2 * 9  # whatever the bins' sizes
+
+
 def test_robust_fit_over_tasks(spark):
     rng = np.random.default_rng(9)
     x = rng.uniform(0, 10, 120)
