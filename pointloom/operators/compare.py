@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from pointloom.operators.joins import nearest, paired
@@ -22,6 +23,28 @@ from pointloom.operators.stats import TAU, fold, mean, stdev, sums
 WHOLE = 4096
 
 
+def _sides(known: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """The points of both sets of each pair, a pair in one partition: set_a, set_b, _side (0 or 1), the columns, _x and _y."""
+    side = lambda own, k: pairs.select("set_a", "set_b", F.col(own).alias("set_id"), F.lit(k).alias("_side"))
+    rows = known.join(side("set_a", 0).unionByName(side("set_b", 1)), "set_id").select("set_a", "set_b", "_side", *columns, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    return rows.repartition("set_a", "set_b").sortWithinPartitions("set_a", "set_b", "_side", *columns)
+
+
+def _by_pair(batches: Iterator[pa.RecordBatch], f: Callable[[pa.RecordBatch, list[int]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``f`` makes of whole pairs, given with the places at which they start and the end."""
+    left = []
+    for batch in batches:
+        held = pa.Table.from_batches([*left, batch]).combine_chunks().to_batches()
+        if not held:
+            continue
+        starts = begun(held[0], ["set_a", "set_b"]).tolist()
+        left = [held[0].slice(starts[-1])]  # a pair may go on in the next batch
+        if len(starts) > 1:
+            yield f(held[0], starts)
+    if left:
+        yield f(left[0], [0, left[0].num_rows])
+
+
 def closest_points(df: DataFrame, pairs: DataFrame, extra: list[str] = [], whole: int = WHOLE) -> DataFrame:  # noqa: B006
     """For each pair (set_a, set_b) and each point of either set the closest point of the other: direction 12 or 21.
 
@@ -47,10 +70,7 @@ def closest_points(df: DataFrame, pairs: DataFrame, extra: list[str] = [], whole
 def _closest_in_whole_pairs(known: DataFrame, pairs: DataFrame, extra: list[str], at_once: int = 1 << 20) -> DataFrame:
     """closest_points() of pairs that each fit a task, which goes through many of them, sorted."""
     columns = ["idx", "x", "y", *extra]
-    side = lambda own, k: pairs.select("set_a", "set_b", F.col(own).alias("set_id"), F.lit(k).alias("_side"))
-    rows = known.join(side("set_a", 0).unionByName(side("set_b", 1)), "set_id").select("set_a", "set_b", "_side", *columns, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
-    # the first one of equals has the least id
-    rows = rows.repartition("set_a", "set_b").sortWithinPartitions("set_a", "set_b", "_side", *columns)
+    rows = _sides(known, pairs, columns)  # the first one of equals has the least id
 
     def met(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each point of either set (the first n points are the first set's) the place of its closest, and their square distance."""
@@ -83,22 +103,9 @@ def _closest_in_whole_pairs(known: DataFrame, pairs: DataFrame, extra: list[str]
         got |= {f"ref_{c}": other.column(c) for c in columns} | {"distance": pa.array(np.sqrt(least))}
         return pa.RecordBatch.from_arrays(list(got.values()), list(got))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = []
-        for batch in batches:
-            held = pa.Table.from_batches([*left, batch]).combine_chunks().to_batches()
-            if not held:
-                continue
-            starts = begun(held[0], ["set_a", "set_b"]).tolist()
-            left = [held[0].slice(starts[-1])]  # a pair may go on in the next batch
-            if len(starts) > 1:
-                yield closest(held[0], starts)
-        if left:
-            yield closest(left[0], [0, left[0].num_rows])
-
     of = rows.schema
     fields = [of["set_a"], of["set_b"], *[of[c] for c in columns], StructField("direction", IntegerType())]
-    return rows.mapInArrow(run, StructType([*fields, *[StructField(f"ref_{c}", of[c].dataType) for c in columns], StructField("distance", DoubleType())]))
+    return rows.mapInArrow(lambda batches: _by_pair(batches, closest), StructType([*fields, *[StructField(f"ref_{c}", of[c].dataType) for c in columns], StructField("distance", DoubleType())]))
 
 
 def _transformed(d: Column, transform: str | None, parameter: float) -> Column:
@@ -198,7 +205,71 @@ def _pooled(m: np.ndarray, parts: int) -> np.ndarray:
     return np.array(out)
 
 
-def best_alignment(df: DataFrame, pairs: DataFrame, parameters: list[dict] | DataFrame, correlation: bool = False, chunks: int = 64) -> DataFrame:
+def _best_of_whole_pairs(known: DataFrame, pairs: DataFrame, shared, grid: DataFrame, at_once: int = 32, parts: int = 8) -> DataFrame:
+    """best_alignment() by distance of pairs that each fit a task, which goes through many of them, sorted.
+
+    The rows of the grid that the bounds leave are tried from the least lower bound on, some at once, until the bounds
+    of the rest are above the best so far.
+    """
+    rows = _sides(known, pairs, ["idx"])
+
+    def best_of(g: dict[str, np.ndarray], c: np.ndarray) -> tuple[int, float] | None:
+        """The place in the grid and the score of the best row for pairs of points (a_x, a_y, b_x, b_y)."""
+        if not np.isfinite(c).all():
+            return None
+        # neighbours in the second set share a chunk
+        c = c[:, np.lexsort((c[3] > np.median(c[3]), c[2]))]
+        moments = []
+        for own in np.array_split(c, min(parts, c.shape[1]), axis=1):
+            centre = own.mean(axis=1)
+            d = own - centre[:, None]
+            v = d @ d.T / own.shape[1]
+            moments.append([own.shape[1], *centre, *v.diagonal(), v[2, 3], v[0, 2], v[0, 3], v[1, 2], v[1, 3]])
+        moments = np.array(moments)
+        slack = 1e-12 * max(1.0, np.abs(c).max())  # bounds are rounded at the coordinates' size
+        left = np.arange(len(g["p_id"]))
+        for n in (1, parts):
+            low, high = _bounds({k: v[left] for k, v in g.items() if k[0] in "mt"}, _pooled(moments, n))
+            near = low <= high.min() * (1 + 1e-9) + slack
+            left, low = left[near], low[near]
+        order = np.argsort(low, kind="stable")
+        left, low = left[order], low[order]
+        ax, ay, bx, by = c
+        best, score = None, np.inf
+        for k in range(0, len(left), at_once):
+            if low[k] > score * (1 + 1e-9) + slack:
+                break
+            at = left[k : k + at_once]
+            m11, m12, t1, m21, m22, t2 = (g[v][at, None] for v in ("m11", "m12", "t1", "m21", "m22", "t2"))
+            v = np.sqrt((ax - (m11 * bx + m12 * by + t1)) ** 2 + (ay - (m21 * bx + m22 * by + t2)) ** 2).mean(axis=1)
+            least = v.min()
+            if least <= score:  # ties go to the smallest p_id, in whose order the grid is
+                first = int(at[v == least].min())
+                best = first if least < score or best is None else min(best, first)
+                score = least
+        return None if best is None else (int(g["p_id"][best]), float(score))
+
+    def aligned(batch: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+        g = shared.value
+        side, idx, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_side", "idx", "_x", "_y"))
+        at, found = [], []
+        for a, b in zip(starts[:-1], starts[1:]):
+            n = a + int(np.searchsorted(side[a:b], 1))
+            _, i, j = np.intersect1d(idx[a:n], idx[n:b], assume_unique=True, return_indices=True)
+            got = best_of(g, np.stack([x[a + i], y[a + i], x[n + j], y[n + j]])) if len(i) else None
+            if got:
+                at.append(a)
+                found.append(got)
+        keys = batch.take(pa.array(at, pa.int64()))
+        columns = [pa.array([p for p, _ in found], kind), pa.array([v for _, v in found], pa.float64())]
+        return pa.RecordBatch.from_arrays([keys.column("set_a"), keys.column("set_b"), *columns], ["set_a", "set_b", "p_id", "score"])
+
+    kind = to_arrow_type(grid.schema["p_id"].dataType)
+    of = rows.schema
+    return rows.mapInArrow(lambda batches: _by_pair(batches, aligned), StructType([of["set_a"], of["set_b"], grid.schema["p_id"], StructField("score", DoubleType())]))
+
+
+def best_alignment(df: DataFrame, pairs: DataFrame, parameters: list[dict] | DataFrame, correlation: bool = False, chunks: int = 64, whole: int = WHOLE) -> DataFrame:
     """The row of the parameter grid that brings the second set nearest to the first, point by point.
 
     ``parameters`` is a list or a table of scale, dx, dy, rx, ry and angle; p_id is the place in the list, or a column
@@ -206,13 +277,26 @@ def best_alignment(df: DataFrame, pairs: DataFrame, parameters: list[dict] | Dat
     of the correlations of x and of y; ties go to the smallest p_id.
 
     Correlations follow from a pair's moments alone. For distances the moments of chunks of a pair's points bound every
-    row of the grid, coarse to fine; only the rows that the bounds leave are tried on the points.
+    row of the grid, coarse to fine; only the rows that the bounds leave are tried on the points. Pairs of which a set
+    has up to ``whole`` points are whole in a task for that; longer ones are dealt over tasks.
     """
     grid = checkpointed(_grid_table(df, parameters))
     if grid.count() > MOST_PARAMETERS:
         raise ValueError(f"a grid has more than {MOST_PARAMETERS} rows")
     table = grid.toPandas().sort_values("p_id", ignore_index=True)
     shared = df.sparkSession.sparkContext.broadcast({c: table[c].to_numpy() for c in table.columns})
+    best = None
+    if not correlation:
+        known = df.where(~F.col("discarded")) if "discarded" in df.columns else df
+        known = known.where("x IS NOT NULL AND y IS NOT NULL").select("set_id", "idx", "x", "y")
+        long = checkpointed(known.groupBy("set_id").count().where(F.col("count") > whole).select("set_id"))
+        pairs = pairs.distinct()
+        if not long.take(1):
+            return _best_of_whole_pairs(known, pairs, shared, grid)
+        meets = lambda rows, c, how: rows.join(long.select(F.col("set_id").alias(c)), c, how)
+        half = meets(pairs, "set_b", "left_semi")
+        best = _best_of_whole_pairs(known, meets(pairs, "set_b", "left_anti").unionByName(meets(half, "set_a", "left_anti")), shared, grid)
+        pairs = meets(half, "set_a", "left_semi")
     m = checkpointed(paired(df, pairs, "x", "y"))
     wide = -(-((m.agg(F.max("idx")).first()[0] or 0) + 1) // chunks)
     moments = m.where("a_x IS NOT NULL AND a_y IS NOT NULL AND b_x IS NOT NULL AND b_y IS NOT NULL").groupBy("set_a", "set_b", F.floor(F.col("idx") / wide).alias("chunk")).agg(*_moments())
@@ -253,8 +337,8 @@ def best_alignment(df: DataFrame, pairs: DataFrame, parameters: list[dict] | Dat
     x, y = shift_rotate(F.col("b_x"), F.col("b_y"), F.col("angle"), F.col("scale"), (F.col("rx"), F.col("ry")), (F.col("dx"), F.col("dy")))
     distance = F.sqrt(F.pow(F.col("a_x") - x, 2) + F.pow(F.col("a_y") - y, 2))
     scored = tried.groupBy("set_a", "set_b", "p_id").agg(F.avg(distance).alias("_v"))
-    best = scored.groupBy("set_a", "set_b").agg(F.min(F.struct("_v", "p_id")).alias("_b"))
-    return best.select("set_a", "set_b", F.col("_b.p_id").alias("p_id"), F.col("_b._v").alias("score"))
+    dealt = scored.groupBy("set_a", "set_b").agg(F.min(F.struct("_v", "p_id")).alias("_b"))
+    return best.unionByName(dealt.select("set_a", "set_b", F.col("_b.p_id").alias("p_id"), F.col("_b._v").alias("score")))
 
 
 def closeness(df: DataFrame, pairs: DataFrame, columns: tuple[str, ...] = ("y", "e")) -> DataFrame:

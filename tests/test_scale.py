@@ -264,3 +264,29 @@ def test_closest_points_of_whole_and_dealt_pairs(spark, monkeypatch):
     monkeypatch.setattr(compare, "nearest", None)  # short sets need no search over tasks
     assert compare.closest_points(df, pairs).count() == len(want)
     assert compare.closest_points(df, pairs.limit(0)).count() == 0
+
+
+def test_alignment_of_whole_and_dealt_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    sets = {s: rng.uniform(-50, 50, (n, 2)).tolist() for s, n in ((1, 30), (2, 40), (3, 35), (4, 7), (5, 0))}
+    sets[1][3][0] = sets[2][5][1] = None
+    rows = [(s, k, *p) for s, ps in sets.items() for k, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "set_id long, idx long, x double, y double").repartition(4)
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (4, 1), (3, 4), (1, 5), (1, 2)], "set_a long, set_b long")
+    grid = [{"scale": s, "angle": a, "dx": x, "dy": -x} for s in (0.3, 1.0) for a in (0.0, 360.0, 40.0, 190.0) for x in (-3.0, 0.0, 0.0, 8.0)]
+    want = []
+    for a, b in ((1, 2), (2, 3), (3, 3), (4, 1), (3, 4)):
+        c = np.array([(*p, *q) for p, q in zip(sets[a], sets[b]) if None not in (*p, *q)]).T
+        scores = []
+        for g in grid:
+            w, s = np.radians(g["angle"]), g["scale"]
+            x, y = s * (c[2] * np.cos(w) - c[3] * np.sin(w)) + g["dx"], s * (c[2] * np.sin(w) + c[3] * np.cos(w)) + g["dy"]
+            scores.append(np.hypot(c[0] - x, c[1] - y).mean())
+        want.append((a, b, round(min(scores), 9), scores))
+    for whole in (compare.WHOLE, 20):  # all pairs whole; those of two sets of more than 20 points dealt over tasks
+        got = sorted(tuple(r) for r in compare.best_alignment(df, pairs, grid, whole=whole).select("set_a", "set_b", "score", "p_id").collect())
+        assert [(a, b, round(v, 9) + 0.0) for a, b, v, _ in got] == sorted((a, b, v) for a, b, v, _ in want)
+        for (*_, k), (*_, scores) in zip(got, sorted(want, key=lambda r: r[:2])):
+            assert scores[k] == pytest.approx(min(scores), abs=1e-12) and grid.index(grid[k]) == k  # the first of equal rows
+    monkeypatch.setattr(compare, "paired", None)  # short sets are not joined point by point
+    assert compare.best_alignment(df, pairs, grid).count() == len(want)
