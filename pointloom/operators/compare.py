@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from pointloom.operators.joins import nearest, paired
 from pointloom.operators.points import checkpointed
-from pointloom.operators.scans import begun
+from pointloom.operators.scans import grouped
 from pointloom.operators.selection import shift_rotate
 from pointloom.operators.stats import TAU, fold, mean, stdev, sums
 
@@ -30,21 +30,6 @@ def _sides(known: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
     return rows.repartition("set_a", "set_b").sortWithinPartitions("set_a", "set_b", "_side", *columns)
 
 
-def _by_pair(batches: Iterator[pa.RecordBatch], f: Callable[[pa.RecordBatch, list[int]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What ``f`` makes of whole pairs, given with the places at which they start and the end."""
-    left = []
-    for batch in batches:
-        held = pa.Table.from_batches([*left, batch]).combine_chunks().to_batches()
-        if not held:
-            continue
-        starts = begun(held[0], ["set_a", "set_b"]).tolist()
-        left = [held[0].slice(starts[-1])]  # a pair may go on in the next batch
-        if len(starts) > 1:
-            yield f(held[0], starts)
-    if left:
-        yield f(left[0], [0, left[0].num_rows])
-
-
 def closest_points(df: DataFrame, pairs: DataFrame, extra: list[str] = [], whole: int = WHOLE) -> DataFrame:  # noqa: B006
     """For each pair (set_a, set_b) and each point of either set the closest point of the other: direction 12 or 21.
 
@@ -105,7 +90,7 @@ def _closest_in_whole_pairs(known: DataFrame, pairs: DataFrame, extra: list[str]
 
     of = rows.schema
     fields = [of["set_a"], of["set_b"], *[of[c] for c in columns], StructField("direction", IntegerType())]
-    return rows.mapInArrow(lambda batches: _by_pair(batches, closest), StructType([*fields, *[StructField(f"ref_{c}", of[c].dataType) for c in columns], StructField("distance", DoubleType())]))
+    return rows.mapInArrow(lambda batches: grouped(batches, ["set_a", "set_b"], closest), StructType([*fields, *[StructField(f"ref_{c}", of[c].dataType) for c in columns], StructField("distance", DoubleType())]))
 
 
 def _transformed(d: Column, transform: str | None, parameter: float) -> Column:
@@ -266,7 +251,7 @@ def _best_of_whole_pairs(known: DataFrame, pairs: DataFrame, shared, grid: DataF
 
     kind = to_arrow_type(grid.schema["p_id"].dataType)
     of = rows.schema
-    return rows.mapInArrow(lambda batches: _by_pair(batches, aligned), StructType([of["set_a"], of["set_b"], grid.schema["p_id"], StructField("score", DoubleType())]))
+    return rows.mapInArrow(lambda batches: grouped(batches, ["set_a", "set_b"], aligned), StructType([of["set_a"], of["set_b"], grid.schema["p_id"], StructField("score", DoubleType())]))
 
 
 def best_alignment(df: DataFrame, pairs: DataFrame, parameters: list[dict] | DataFrame, correlation: bool = False, chunks: int = 64, whole: int = WHOLE) -> DataFrame:

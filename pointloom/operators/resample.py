@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.joins import bracket
 from pointloom.operators.points import with_positions
+from pointloom.operators.scans import grouped
 
 
 def without_duplicates(df: DataFrame, x: str, *columns: str, how: str = "mean") -> DataFrame:
@@ -87,28 +89,44 @@ def spline_integral(x: np.ndarray, y: np.ndarray, m: np.ndarray, low: float, hig
     return float(((cuts[1:] - cuts[:-1]) / 6 * (f(cuts[:-1]) + 4 * f(middle) + f(cuts[1:]))).sum())
 
 
+def _filled(x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots in order: gaps inside become ramps by place, at the ends they are left out."""
+    known = np.flatnonzero(~np.isnan(v))
+    if not len(known):
+        return x[:0], v[:0]
+    inside = slice(known[0], known[-1] + 1)
+    gaps = np.flatnonzero(np.isnan(v[inside])) + known[0]
+    filled = v.copy()
+    filled[gaps] = np.interp(gaps, known, v[known])
+    return x[inside], filled[inside]
+
+
 def _knots(frame: pd.DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
     frame = frame.sort_values(x)
-    v = frame[y].to_numpy(float)
-    inside = np.flatnonzero(~np.isnan(v))
-    if len(inside):  # gaps inside become ramps by place, at the ends they are left out
-        frame, v = frame.iloc[inside[0] : inside[-1] + 1], v[inside[0] : inside[-1] + 1]
-        v = pd.Series(v).interpolate().to_numpy()
-    else:
-        frame, v = frame.iloc[:0], v[:0]
-    return frame[x].to_numpy(float), v
+    return _filled(frame[x].to_numpy(float), frame[y].to_numpy(float))
 
 
 def spline_resample(df: DataFrame, x: str, y: str, n: int, duplicates: str = "mean") -> DataFrame:
-    """set_id, idx, x and y at n equal steps over each set's range of x. A set is one task's work."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kx, ky = _knots(frame, x, y)
-        at = np.linspace(kx[0], kx[-1], n) if len(kx) else np.empty(0)
-        return pd.DataFrame({"set_id": frame["set_id"].iloc[0], "idx": np.arange(len(at)), x: at, y: spline_at(kx, ky, natural_spline(kx, ky), at)})
+    """set_id, idx, x and y at n equal steps over each set's range of x. A set is one task's work, and a task goes
+    through many of them, sorted."""
+
+    def resampled(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+        all_x, all_y = (rows.column(c).to_numpy(zero_copy_only=False) for c in (x, y))
+        first, places, values = [], [np.empty(0)], [np.empty(0)]
+        for a, b in zip(starts[:-1], starts[1:]):
+            kx, ky = _filled(all_x[a:b], all_y[a:b])
+            if len(kx):
+                first.append(a)
+                places.append(np.linspace(kx[0], kx[-1], n))
+                values.append(spline_at(kx, ky, natural_spline(kx, ky), places[-1]))
+        sets = rows.column("set_id").take(pa.array(np.repeat(np.array(first, np.int64), n)))
+        idx = np.tile(np.arange(n), len(first)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([sets, pa.array(idx), *(pa.array(np.concatenate(v)) for v in (places, values))], ["set_id", "idx", x, y])
 
     clean = without_duplicates(df.where(F.col(x).isNotNull()), x, y, how=duplicates)
-    return clean.groupBy("set_id").applyInPandas(run, f"set_id long, idx long, {x} double, {y} double")
+    rows = clean.select("set_id", *[F.col(c).cast("double").alias(c) for c in (x, y)]).repartition("set_id").sortWithinPartitions("set_id", x)
+    kind = df.schema["set_id"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: grouped(batches, ["set_id"], resampled), f"set_id {kind}, idx long, {x} double, {y} double")
 
 
 def spline_values(queries: DataFrame, df: DataFrame, x: str, y: str, duplicates: str = "mean", name: str = "value") -> DataFrame:

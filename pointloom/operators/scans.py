@@ -8,6 +8,7 @@ scanned in turn, and every block takes what came before it from there.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -116,3 +117,23 @@ def begun(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
         other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
         new[1:] |= other.to_numpy(zero_copy_only=False)
     return np.flatnonzero(new)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], f: Callable[[pa.RecordBatch, list[int]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``f`` makes of whole groups of rows sorted by the keys, given with the places at which they start and the end."""
+    whole = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    left = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if left and len(begun(whole([left[-1].slice(left[-1].num_rows - 1), batch]), keys)) == 1:
+            left.append(batch)  # the group goes on
+            continue
+        held = whole([*left, batch])
+        starts = begun(held, keys).tolist()
+        left = [held.slice(starts[-1])]
+        if len(starts) > 1:
+            yield f(held, starts)
+    if left:
+        held = whole(left)
+        yield f(held, [0, held.num_rows])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pointloom.operators import compare, resample, smooth
 from pointloom.operators import stats as st
 from pointloom.operators import windows as wn
+from pointloom.operators.points import checkpointed
 from pointloom.operators.selection import assign_roles, discard, scale
 from pointloom.plans.registry import query, r, scatter, series
 
@@ -32,7 +33,7 @@ def trajectories(spark, d):
     s = wn.with_gaps_filled(series(spark, d), "y", "y0")
     smoothed = smooth.savitzky_golay(s, "y0", 2, 2, name="y1").select("set_id", "idx", "t", "y1")
     even = resample.spline_resample(smoothed, "t", "y1", 64).select("set_id", "idx", F.col("t").alias("x"), F.col("y1").alias("y"))
-    long = wn.with_curve_length(even)
+    long = checkpointed(wn.with_curve_length(even))  # read three times
     pairs = long.where("set_id % 2 = 0").select(F.col("set_id").alias("set_a"), (F.col("set_id") + 1).alias("set_b")).distinct()
     got = compare.figural_distance(long, pairs, pointwise=True)
     return got.select("set_a", "set_b", "n", r("distance", 4).alias("distance"))

@@ -7,12 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import compare, joins, order_stats, scans, smooth, spectral
+from pointloom.operators import compare, joins, order_stats, resample, scans, smooth, spectral
 from pointloom.operators import stats as st
 from pointloom.operators import windows as wn
+from pointloom.plans import workloads
 from pointloom.sources import datasource, splits
 from pointloom.sources import readers as rd
 from pointloom.streaming import jobs
+from tests.oracle import DATA
 
 
 def _series(spark, n=90, seed=3):
@@ -290,3 +292,33 @@ def test_alignment_of_whole_and_dealt_pairs(spark, monkeypatch):
             assert scores[k] == pytest.approx(min(scores), abs=1e-12) and grid.index(grid[k]) == k  # the first of equal rows
     monkeypatch.setattr(compare, "paired", None)  # short sets are not joined point by point
     assert compare.best_alignment(df, pairs, grid).count() == len(want)
+
+
+def test_sets_resampled_many_a_task(spark):
+    rng = random.Random(12)
+    sets = {"a": 1, "b": 2, "c": 40, "d": 0, "e": 90, None: 25, "f": 3}
+    rows = [(s, k, 0.5 * k, rng.choice([None, float("nan"), *map(float, range(5))])) for s, n in sets.items() for k in range(n)]
+    rows += [("d", k, float(k), None) for k in range(4)] + [("g", 0, None, 1.0), ("c", 99, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "set_id string, idx long, x double, y double").repartition(3)
+    want = []
+    for s in {r[0] for r in rows}:
+        at = {r[2]: [q[3] for q in rows if q[0] == s and q[2] == r[2] and q[3] is not None] for r in rows if r[0] == s and r[2] is not None}
+        x, y = np.array(sorted(at)), np.array([np.mean(at[k]) if at[k] else np.nan for k in sorted(at)])
+        known = np.flatnonzero(~np.isnan(y))
+        if len(known):
+            places = np.arange(known[0], known[-1] + 1)
+            kx, ky = x[places], np.interp(places, known, y[known])
+            grid = np.linspace(kx[0], kx[-1], 7)
+            want += [(s, k, *map(float, v)) for k, v in enumerate(zip(grid, resample.spline_at(kx, ky, resample.natural_spline(kx, ky), grid)))]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for n in ("4", before):  # sets go on over batches; many sets share one
+        spark.conf.set(key, n)
+        try:
+            got = resample.spline_resample(df, "x", "y", 7)
+            assert _rows(got) == sorted((tuple(round(c, 9) if isinstance(c, float) else c for c in r) for r in want), key=str)
+        finally:
+            spark.conf.set(key, before)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # no call of Python for each set
+    chain = workloads.trajectories(spark, DATA)._jdf.queryExecution().toString()
+    assert "InPandas" not in chain and "InArrow" not in chain  # the curves are made once, not for every reading
